@@ -3,7 +3,7 @@
 An item of m words is found in a document when a passage differs from it by at most ``1 - similarity``
 of m word edits.  If so, some run of the item's words is unchanged, and by the pigeonhole rule it has at
 least ``ceil((m - k) / (k + 1))`` words; word n-grams of that length (three at most) give the places where an
-item-sized window can lie, without loss.  Windows are embedded by CGK random walks: a string of
+item-sized window can lie, without loss; where a passage lies, as many n-grams agree as the q-gram bound says.  Windows are embedded by CGK random walks: a string of
 symbols becomes one of three times its length, in which each step repeats the current symbol or goes
 on to the next as a random function of step and symbol says; edit distance becomes Hamming distance.
 Bit-sampling LSH compares a window with its item: tables look at a few sampled positions, and a window
@@ -131,7 +131,10 @@ class Benchmark:
         self.embedded = [[embed(w[None, :], np.array([len(w)]), k, 3 * len(w))[0] for w in self.words] for k in range(WALKS)]
 
     def windows(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Distinct (text, item, first word of the window) at which an n-gram agrees."""
+        """Distinct (text, item, first word of the window) at which n-grams agree.
+
+        Each edit spoils n of the item's m - n + 1 n-grams at most, and a passage's edits move what is left of
+        them by k words at most: so many must agree within k words of the window's place."""
         found = []
         for n, (grams, item, at, near) in self.grams.items():
             g = combined(h, n)
@@ -143,9 +146,15 @@ class Benchmark:
             p, lo, hi, doc = p[ok], lo[ok], hi[ok], doc[ok]
             times = hi - lo
             which = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            found.append(np.stack([np.repeat(doc, times), item[which], np.repeat(p, times) - at[which]], 1))
-        got = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        return np.unique(got, axis=0) if len(got) else got.reshape(0, 3)
+            which_item = item[which]
+            pair = np.repeat(doc, times) * len(self.m) + which_item
+            key = np.sort((pair << 36) + (np.repeat(p, times) - at[which]) + (1 << 35))
+            own = (key >> 36) % max(1, len(self.m))
+            k = self.k[own]
+            agree = np.searchsorted(key, key + k, "right") - np.searchsorted(key, key - k, "left")
+            key = np.unique(key[agree >= self.m[own] - n + 1 - k * n])
+            found.append(np.stack([(key >> 36) // max(1, len(self.m)), (key >> 36) % max(1, len(self.m)), (key & ((1 << 36) - 1)) - (1 << 35)], 1))
+        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
     def search(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, words of the item, first word of the passage), the best for each pair."""
