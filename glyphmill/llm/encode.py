@@ -2,18 +2,28 @@
 
 Both pre-tokenisers used here never match across the start of a run of white space, so a text can be
 cut there and its pieces encoded apart: the concatenated ids are those of the whole text.  Pieces are
-remembered in a bounded table.  Texts with control separators, on whose class Python and the library
-differ, are encoded whole.
+remembered in a bounded table.  Texts with runs of white space, where that counts, and with odd
+separators are encoded whole.
 """
 
 from __future__ import annotations
 
-import re
 from struct import Struct, pack
 
-ODD = re.compile("[\x1c-\x1f\x85᠎​-‍  ⁠﻿]")
-PIECE = re.compile(r"\s*\S+|\s+")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# Characters on whose class Python, Arrow and the library may differ, and this module's own marks.
+ODD = r"[\x{1c}-\x{1f}\x{85}\x{180e}\x{200b}-\x{200d}\x{2060}\x{feff}\x{e000}\x{e001}]"
+BLANK = r"|[\t\r\v\f\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+FIRST, LINE = "\ue000", "\ue001"
+BLOCK = 6 << 20  # characters
 WORD = Struct("<I").pack
+MARKS = "!#$%&*+,-./:;<=>?@|"
+# Fixed rule of byte-level vocabularies: bytes that print stand for themselves, the others follow from U+0100.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 LONG = 48  # characters; longer pieces rarely come again
 
 
@@ -26,58 +36,97 @@ class PieceEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.blank_free, self.room = blank_free, room
+        # with white space kept, only single blanks and line feeds between other characters are cut at
+        self.odd = ODD if blank_free else ODD + BLANK + r"|[ \n][ \n]|[ \n]\z"
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         done = self.model.encode_batch_fast(pieces, add_special_tokens=False)
         return [pack(f"<{len(ids)}I", *ids) for ids in [x.ids for x in done]]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Plain ASCII words are one pre-token each and go straight to the library's BPE model."""
-        rest, known, merge = [], self.known, self.model.model.tokenize
+        """A piece that is a run of letters, with or without a blank before and ASCII marks behind, is one
+        pre-token or two; these go straight to the library's BPE model, once each."""
+        rest, known, merge, cores, tails, blank_free = [], self.known, self.model.model.tokenize, self.cores, self.tails, self.blank_free
+        if len(cores) > self.room:
+            cores.clear()
         for p in pieces:
-            if self.blank_free:
-                word = p.lower() if p.isascii() and p.isalpha() else ""
-            else:
-                word = "\u0120" + p[1:] if p[0] == " " and p.isascii() and p[1:].isalpha() else ""
-            if word and len(word) <= LONG:
-                known[p] = b"".join([WORD(x.id) for x in merge(word)])
-            else:
+            if not p:
+                known[p] = b""
+                continue
+            core = p.rstrip(MARKS)
+            body = core if blank_free or core[:1] != " " else core[1:]
+            if not body.isalpha() or len(body) > LONG or (blank_free and max(body) >= "\u0130"):
                 rest.append(p)
+                continue
+            tail = p[len(core) :]
+            if blank_free:
+                core = core.lower()
+            ids = cores.get(core)
+            if ids is None:
+                if core.isascii():
+                    seen = core if core == body or blank_free else "\u0120" + body
+                else:
+                    seen = core.encode().decode("latin-1").translate(BYTE_CHARS)
+                ids = cores[core] = b"".join([WORD(x.id) for x in merge(seen)])
+            if tail:
+                if tail not in tails:
+                    tails[tail] = self._whole([tail])[0]
+                ids += tails[tail]
+            known[p] = ids
         known.update(zip(rest, self._whole(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            out += self._block(texts[at : at + 256])
+        out: list[bytes] = [b""] * len(texts)
+        odd = np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), self.odd)).tolist()
+        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
+            out[i] = ids
+        rest = sorted(set(range(len(texts))).difference(odd))
+        a, size = 0, 0
+        for k, i in enumerate(rest):
+            size += len(texts[i])
+            if size >= BLOCK or k == len(rest) - 1:
+                for j, ids in zip(rest[a : k + 1], self._block([texts[j] for j in rest[a : k + 1]])):
+                    out[j] = ids
+                a, size = k + 1, 0
         return out
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        cut = str.split if self.blank_free else PIECE.findall
-        parts = [None if ODD.search(t) else cut(t) for t in texts]
+        """Cuts the texts, looks up each distinct piece of the block once, and gathers."""
+        if self.blank_free:
+            parts = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        else:  # a mark tells a text's first piece, or a line feed in front of a piece, from a blank
+            parts = pc.split_pattern(pa.array([FIRST + t.replace("\n", " " + LINE) for t in texts], pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        if not self.blank_free:
+            pieces = [p[1:] if p[:1] == FIRST else "\n" + p[1:] if p[:1] == LINE else " " + p for p in pieces]
         if len(self.known) > self.room:  # two generations: what is used again moves to the new one
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        found = [list(map(known.get, ps)) if ps else [] for ps in parts]
-        new = list({p for ps, ids in zip(parts, found) if None in ids for p, x in zip(ps, ids) if x is None})
+        new = [p for p in pieces if p not in known]
         if old:
             known.update((p, old[p]) for p in new if p in old)
             new = [p for p in new if p not in old]
         self._learn(new)
-        out = []
-        for t, ps, ids in zip(texts, parts, found):
-            if ps is None:
-                out.append(self._whole([t])[0])
-            elif None in ids:
-                out.append(b"".join([known[p] if x is None else x for p, x in zip(ps, ids)]))
-            else:
-                out.append(b"".join(ids))
+        found = list(map(known.__getitem__, pieces))
         for p in new:
             if len(p) > LONG:
-                del known[p]
-        return out
+                known.pop(p, None)
+        each = np.array(list(map(len, found)), np.int64) // 4
+        first = np.cumsum(each) - each
+        flat = np.frombuffer(b"".join(found), "<u4")
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        n = each[which]
+        end = np.cumsum(n)
+        ids = flat[np.repeat(first[which] - end + n, n) + np.arange(int(n.sum()))] if len(n) else flat[:0]
+        bounds = np.concatenate(([0], end))[parts.offsets.to_numpy()] * 4
+        raw = memoryview(ids.tobytes())
+        return [bytes(raw[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}

@@ -37,8 +37,8 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, blank_free: bool) ->
         enc, end, df, total = encoder(vocabulary, blank_free), np.array([end_id], "<u4").tobytes(), np.zeros(1, np.int64), 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for k in range(0, len(ids), 256):
-                got = [x + end for x in enc.encode(texts[k : k + 256])]
+            for k in range(0, len(ids), 2048):
+                got = [x + end for x in enc.encode(texts[k : k + 2048])]
                 flat = np.frombuffer(b"".join(got), "<u4").astype(np.int64)
                 lens = np.array([len(x) // 4 for x in got])
                 width = int(flat.max()) + 1
@@ -52,7 +52,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, blank_free: bool) ->
                 n = len(got)
                 packed = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in got] if width <= 65536 else got
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(n, np.int32)), pa.array(ids[k : k + 256], pa.int64()), pa.array(lens), pa.array(packed, pa.binary())],
+                    [pa.array(np.zeros(n, np.int32)), pa.array(ids[k : k + 2048], pa.int64()), pa.array(lens), pa.array(packed, pa.binary())],
                     ["kind", "doc_id", "n", "ids"],
                 )
         at = np.flatnonzero(df)

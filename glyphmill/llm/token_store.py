@@ -2,8 +2,8 @@
 
 Documents are dealt by range of doc_id into shards.  A shard file holds, in this order:
 
-    magic (8 bytes) | ids, little-endian unsigned 32-bit | keys, int64 ascending | offsets, int64, one
-    more than keys | null flags, uint8 | index | footer (8 x int64)
+    magic (8 bytes) | ids, little-endian unsigned, 16 or 32 bits | keys, int64 ascending | offsets, int64, one
+    more than keys | null flags, uint8 | index | footer (9 x int64)
 
 The index is a minimal perfect hash over the distinct keys: levels of bit arrays (a key settles at the
 first level at which no other key has its bit) with running counts of set bits, so a key's slot is
@@ -27,7 +27,7 @@ from .common import U64, mix64, partitions, shared_dir, store, table, texts_of
 from .encode import encoder
 
 MAGIC = b"GMTOKS01"
-FOOTER = np.dtype([(n, "<i8") for n in ("records", "ids", "keys_at", "offsets_at", "nulls_at", "index_at", "index_size", "slots")])
+FOOTER = np.dtype([(n, "<i8") for n in ("records", "ids", "keys_at", "offsets_at", "nulls_at", "index_at", "index_size", "slots", "width")])
 READ_IDS = 1 << 20
 
 
@@ -91,7 +91,8 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 class ShardWriter:
     """Writes one shard; records come in ascending order of key and go to the file as they come."""
 
-    def __init__(self, fs, path: str):
+    def __init__(self, fs, path: str, width: int = 4):
+        self.width = width
         self.out = fs.open_output_stream(path)
         self.out.write(MAGIC)
         self.keys: list[int] = []
@@ -99,7 +100,8 @@ class ShardWriter:
         self.sizes: list[int] = []
 
     def add(self, key: int | None, ids: bytes) -> None:
-        self.out.write(ids)
+        """``ids``: little-endian unsigned 32-bit integers."""
+        self.out.write(ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
         self.keys.append(key or 0)
         self.nulls.append(key is None)
         self.sizes.append(len(ids) // 4)
@@ -114,9 +116,9 @@ class ShardWriter:
         marks, records = np.zeros(n, "<u4"), np.zeros(n, "<i8")
         marks[slot], records[slot] = fingerprints(distinct), own[first]
         index = mph.to_bytes() + marks.tobytes() + records.tobytes()
-        at = len(MAGIC) + 4 * int(offsets[-1])
+        at = len(MAGIC) + self.width * int(offsets[-1])
         foot = np.zeros(1, FOOTER)
-        foot[0] = (len(keys), offsets[-1], at, at + keys.nbytes, at + keys.nbytes + offsets.nbytes, at + keys.nbytes + offsets.nbytes + nulls.nbytes, len(index), n)
+        foot[0] = (len(keys), offsets[-1], at, at + keys.nbytes, at + keys.nbytes + offsets.nbytes, at + keys.nbytes + offsets.nbytes + nulls.nbytes, len(index), n, self.width)
         for part in (keys, offsets, nulls):
             self.out.write(part.tobytes())
         self.out.write(index)
@@ -135,7 +137,7 @@ class ShardReader:
         if self.file.read_at(8, 0) != MAGIC:
             raise ValueError(f"{path} is not a token shard")
         get = lambda n, at, kind: np.frombuffer(self.file.read_at(n * np.dtype(kind).itemsize, at), kind)
-        n = int(foot["records"])
+        n, self.width = int(foot["records"]), int(foot["width"])
         self.keys, self.offsets = get(n, int(foot["keys_at"]), "<i8"), get(n + 1, int(foot["offsets_at"]), "<i8")
         self.nulls = get(n, int(foot["nulls_at"]), np.uint8)
         raw = self.file.read_at(int(foot["index_size"]), int(foot["index_at"]))
@@ -154,7 +156,7 @@ class ShardReader:
     def ids(self, first: int, last: int) -> np.ndarray:
         """All ids of the records first..last-1."""
         a, b = int(self.offsets[first]), int(self.offsets[last])
-        return np.frombuffer(self.file.read_at(4 * (b - a), len(MAGIC) + 4 * a), "<u4")
+        return np.frombuffer(self.file.read_at(self.width * (b - a), len(MAGIC) + self.width * a), f"<u{self.width}").astype("<u4")
 
     def get(self, key: int) -> np.ndarray | None:
         at = int(self.find(np.array([key]))[0])
@@ -173,10 +175,10 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
         for batch in batches:
             if writer is None:
                 fs.create_dir(at, recursive=True)
-                writer = ShardWriter(fs, path)
+                writer = ShardWriter(fs, path, 2 if max(enc.model.get_vocab_size(), end_id + 1) <= 65536 else 4)
             ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for k in range(0, len(ids), 256):
-                for key, got in zip(ids[k : k + 256], enc.encode(texts[k : k + 256])):
+            for k in range(0, len(ids), 2048):
+                for key, got in zip(ids[k : k + 2048], enc.encode(texts[k : k + 2048])):
                     writer.add(key, got + end)
         if writer is not None:
             records, n = writer.close()
