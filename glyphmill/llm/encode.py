@@ -59,7 +59,7 @@ class PieceEncoder:
                 continue
             core = p.rstrip(MARKS)
             body = core if blank_free or core[:1] != " " else core[1:]
-            if not body.isalpha() or len(body) > LONG or (blank_free and max(body) >= "\u0130"):
+            if not body.isalpha() or len(body) > LONG or (blank_free and not body.isascii() and max(body) >= "\u0130"):
                 rest.append(p)
                 continue
             tail = p[len(core) :]
@@ -108,12 +108,15 @@ class PieceEncoder:
         if len(self.known) > self.room:  # two generations: what is used again moves to the new one
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        new = [p for p in pieces if p not in known]
+        found = list(map(known.get, pieces))
+        missing = [k for k, x in enumerate(found) if x is None]
+        new = [pieces[k] for k in missing]
         if old:
             known.update((p, old[p]) for p in new if p in old)
             new = [p for p in new if p not in old]
         self._learn(new)
-        found = list(map(known.__getitem__, pieces))
+        for k in missing:
+            found[k] = known[pieces[k]]
         for p in new:
             if len(p) > LONG:
                 known.pop(p, None)

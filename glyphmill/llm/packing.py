@@ -2,8 +2,9 @@
 
 Token ids are the terms.  Pass 1 encodes the documents and counts, over all of them, in how many
 documents each id occurs; that table has one entry for an id of the vocabulary at most, which bounds
-what is gathered.  A document's strongest term (largest BM25 weight) names its neighbourhood, and
-neighbourhoods are laid out one after another along an axis measured in tokens; cutting the axis into
+what is gathered.  A document's heaviest term names its neighbourhood (a term weighs more the later it was
+merged into the vocabulary, which makes it rarer, and the more often it occurs; this only says which
+documents meet in a shard), and neighbourhoods are laid out one after another along an axis measured in tokens; cutting the axis into
 equal lengths gives shards of about ``shard_tokens`` ids.  A common term spreads over several shards.
 
 In a shard an inverted index maps each term to (document, BM25 weight).  The seed of a window is
@@ -53,20 +54,22 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, blank_free: bool) ->
                 got = [x + end for x in enc.encode(texts[k : k + 2048])]
                 n, lens = len(got), np.array([len(x) // 4 for x in got])
                 brief = [narrow(np.frombuffer(x, "<u4")) for x in got]
-                seen = np.bincount(np.concatenate([counted(x)[0] for x in brief]))
+                held = [counted(x) for x in brief]
+                top = [int(t[np.argmax(np.log(t + 2.0) ** 3 * c / (c + K1))]) for t, c in held]
+                seen = np.bincount(np.concatenate([t for t, _ in held]))
                 if len(seen) > len(df):
                     df = np.concatenate((df, np.zeros(len(seen) - len(df), np.int64)))
                 df[: len(seen)] += seen
                 packed = [x.tobytes() for x in brief]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(n, np.int32)), pa.array(ids[k : k + 2048], pa.int64()), pa.array(lens), pa.array(packed, pa.binary())],
-                    ["kind", "doc_id", "n", "ids"],
+                    [pa.array(np.zeros(n, np.int32)), pa.array(ids[k : k + 2048], pa.int64()), pa.array(lens), pa.array(top, pa.int64()), pa.array(packed, pa.binary())],
+                    ["kind", "doc_id", "n", "top", "ids"],
                 )
         at = np.flatnonzero(df)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(df[at]), pa.nulls(len(at), pa.binary())], ["kind", "doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(df[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())], ["kind", "doc_id", "n", "top", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, top long, ids binary")
 
 
 def unpacked(raw: bytes, n: int) -> np.ndarray:
@@ -179,7 +182,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = 2048,
 
     Null text counts as empty: such a document is its end id alone and is packed like any other.  Null
     doc_ids are allowed and stay null; repeated rows are packed once for each row.  Ties in score go
-    to the document that comes first in its shard (by size class of its strongest term, then doc_id).
+    to the document that comes first in its shard (in order of its place on the axis, then doc_id).
     An empty table gives no pieces; other columns are not read.
     """
     spark = docs.sparkSession
@@ -192,30 +195,13 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = 2048,
     df[counts["term"].to_numpy()] = counts["n"].to_numpy()
     weights = Weights(df, n_docs, total / n_docs)
 
-    def strongest(ids: np.ndarray) -> int:
-        t, v = weights.of(ids)
-        return int(t[np.argmax(v)])
-
-    def routes(batches):
-        for batch in batches:
-            n, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            top = np.array([strongest(unpacked(r, k)) for k, r in zip(n, raw)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(top), batch.column(0)], ["term", "n"])
-
     only = parts.where("kind = 0")
-    mass = only.select("n", "ids").mapInArrow(routes, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas().sort_values("term")  # at most the vocabulary
-    before = np.zeros(len(df) + 1)
-    size = np.zeros(len(df))
-    size[mass["term"].to_numpy()] = mass["n"].to_numpy()
-    before[1:] = np.cumsum(size)
-
-    def sharded(batches):
-        for batch in batches:
-            ids, n, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            top = np.array([strongest(unpacked(r, k)) for k, r in zip(n, raw)], np.int64)
-            within = np.array([zlib.crc32(str(i).encode()) / 2**32 for i in ids])
-            at = before[top] + within * size[top]
-            yield pa.RecordBatch.from_arrays([pa.array((at // shard_tokens).astype(np.int64)), pa.array(at), *batch.columns], ["shard", "place", "doc_id", "n", "ids"])
+    mass = only.groupBy("top").agg(F.sum("n").alias("size")).toPandas().sort_values("top")  # at most the vocabulary
+    mass["before"] = mass["size"].cumsum() - mass["size"]
+    axis = F.broadcast(spark.createDataFrame(mass.astype({"size": "float64", "before": "float64"}), "top long, size double, before double"))
+    within = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) / F.lit(2.0**32)
+    dealt = only.join(axis, "top").withColumn("place", F.col("before") + within * F.col("size"))
+    dealt = dealt.select(F.floor(F.col("place") / shard_tokens).alias("shard"), "place", "doc_id", "n", "ids")
 
     def packed(batches):
         for shard, t in grouped(batches, "shard"):
@@ -230,7 +216,6 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = 2048,
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7])], [x.split()[0] for x in SHAPE.split(", ")])
 
-    dealt = only.select("doc_id", "n", "ids").mapInArrow(sharded, "shard long, place double, doc_id long, n long, ids binary")
     return dealt.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "place", "doc_id").mapInArrow(packed, SHAPE)
 
 
