@@ -1,4 +1,598 @@
-"""Named queries over the driver's tables, and the SQL that each must agree with."""
+"""Named queries over the driver's tables, and the SQL that each must agree with.
 
-QUERIES = {}
-ORACLES = {}
+The tables hold no Japanese, no links and no directives, so most queries append one of a few fixed strings
+to each text, chosen by doc_id, in the same way in both engines; every row of the table takes part."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import github_escape, match_case, message, safe_fix
+from ..operators import english, findings, japanese, lines, masking, suggest, tokens
+from ..sources import files
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+ENGLISH = [
+    "\nsee https://exmaple.com/foo?bar=baz or mail foo.bar@exmaple.com now",
+    "\nid 0xDEADBEEF sha 550e8400e29b41d4a716446655440000 token eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9 end",
+    "\nprint \\nfoo and \\tbar, developer's APIs and IDs doesn't 'quoted'",
+    "\ngetUserName HTTPServerError parse_html_doc state-of-the-art sha256sum the colour of Color behaviour",
+    "\nWe Recieve teh TEH Teh serialised ser flate recieve publically zzqqy",
+]
+JAPANESE = [
+    "\nバージョン１２３ＡＢＣです ﾃﾞｰﾀﾍﾞｰｽ接続 ﾊﾟﾞｱ",
+    "\n重量は5㎏、面積は2㎡。let　x = 1;　終 ℡",
+    "\n子どもは1,000円を使う。子どもを説明、する。\n子供は一〇〇〇円を使う．\n",
+    "\nサーバーを起動する。\nサーバーを停止する。\n古いサーバを削除する。Webサイト と Web サイト",
+    "\n費用は1,000円、予備は42件。比較値は一〇〇〇円，四二件。お問合せ、お問い合わせ",
+]
+DIRECTIVES = [
+    "\nteh\nteh # glyphmill:ignore-line\n# glyphmill:ignore-next-line\nteh\nteh",
+    "\nglyphmill:ignore-next-line\nglyphmill:ignore-next-line\nteh",
+    "\nteh glyphmill:other glyphmill:ignore-line\nteh",
+    "\nteh\n# glyphmill:ignore-file",
+    "",
+]
+CODE = [
+    "\n---\ntitle: x\n",
+    "\n`code recieve` and [a](http://x.y/recieve) ``a ` b`` end",
+    "\n```\nrecieve\n```\nafter",
+    "\nlet recieve = 1; // recieve comment\n\"recieve string\" /* é */ x",
+    "",
+]
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def oracle(name: str, sql: str) -> None:
+    ORACLES[name] = sql
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def appended(spark: SparkSession, sf_dir: str, tails: list[str]) -> DataFrame:
+    tail = F.lit("")
+    for k, t in enumerate(tails):
+        tail = F.when(F.col("doc_id") % len(tails) == k, F.lit(t)).otherwise(tail)
+    return documents(spark, sf_dir).select("doc_id", F.concat("text", tail).alias("text"))
+
+
+def docs_sql(tails: list[str] | None = None) -> str:
+    if not tails:
+        return "docs AS (SELECT doc_id, text FROM documents)"
+    cases = " ".join(f"WHEN {k} THEN {quoted(t)}" for k, t in enumerate(tails))
+    return f"docs AS (SELECT doc_id, text || CASE doc_id % {len(tails)} {cases} ELSE '' END AS text FROM documents)"
+
+
+DELIMS = r""" \t\n\f\r"`()\[\]{}<>,;\x{80}-\x{10FFFF}"""
+BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+LINES = f"""
+raw AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM docs)),
+lines AS (SELECT doc_id, CAST(line AS INTEGER) AS line, rtrim(raw, chr(13)) AS b,
+  CAST(coalesce(sum(strlen(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line {BEFORE}), 0) AS BIGINT) AS line_offset FROM raw)"""
+JUNK = r"""((strlen(token) > 40 AND regexp_matches(token, '[0-9]')) OR regexp_matches(token, '^0[xX][0-9A-Fa-f_ui]+$')
+  OR (strlen(regexp_replace(token, '[^0-9A-Za-z]', '', 'g')) >= 12 AND regexp_matches(token, '[0-9]') AND regexp_matches(regexp_replace(token, '[^0-9A-Za-z]', '', 'g'), '^[0-9A-Fa-f]*$'))
+  OR (strlen(regexp_replace(token, '[^0-9A-Za-z]', '', 'g')) >= 16 AND strlen(regexp_replace(token, '[^0-9]', '', 'g')) >= 3
+      AND len(regexp_extract_all(token, '[a-z][A-Z]')) + len(regexp_extract_all(token, '[A-Za-z][0-9]')) + len(regexp_extract_all(token, '[0-9][A-Za-z]')) >= 4))"""
+LINK = r"(contains(token, '://') OR regexp_matches(token, '[0-9A-Za-z].*@.*\.'))"
+TOKENS = f"""
+parts AS (SELECT doc_id, line, line_offset, unnest(p) AS token, generate_subscripts(p, 1) AS t FROM (SELECT *, regexp_extract_all(b, '[^{DELIMS}]+|[{DELIMS}]+') AS p FROM lines)),
+placed AS (SELECT *, coalesce(sum(strlen(token)) OVER (PARTITION BY doc_id, line ORDER BY t {BEFORE}), 0) AS tcol FROM parts),
+tokens AS (SELECT * FROM placed WHERE regexp_matches(token, '^[^{DELIMS}]'))"""
+WORDS = f"""{LINES},{TOKENS},
+runs0 AS (SELECT doc_id, line, line_offset, t, tcol, unnest(p) AS run, generate_subscripts(p, 1) AS r FROM
+  (SELECT *, regexp_extract_all(token, '\\\\?[A-Za-z][A-Za-z'']*|[^A-Za-z\\\\]+|\\\\') AS p FROM tokens WHERE NOT {LINK} AND NOT {JUNK})),
+runs1 AS (SELECT *, tcol + coalesce(sum(strlen(run)) OVER (PARTITION BY doc_id, line, t ORDER BY r {BEFORE}), 0) AS rcol FROM runs0),
+runs2 AS (SELECT *, regexp_replace(regexp_replace(run, '''+$', ''), '(.)''[sS]$', '\\1') AS w FROM runs1 WHERE regexp_matches(run, '^[A-Za-z]')),
+cases AS (SELECT doc_id, line, line_offset, t, r, rcol, unnest(p) AS word, generate_subscripts(p, 1) AS c FROM (SELECT *,
+  string_split(regexp_replace(regexp_replace(w, '([a-z])([A-Z])', '\\1' || chr(1) || '\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p
+  FROM runs2 WHERE NOT regexp_matches(w, '^[A-Z]{{2,}}s$'))),
+words0 AS (SELECT doc_id, line, line_offset, word, CAST(rcol + coalesce(sum(strlen(word)) OVER (PARTITION BY doc_id, line, t, r ORDER BY c {BEFORE}), 0) AS BIGINT) AS col FROM cases),
+words AS (SELECT *, lower(word) AS key, line_offset + col AS "offset" FROM words0 WHERE strlen(word) >= 3)"""
+MATCH = """CASE WHEN regexp_matches({w}, '^[^A-Z]*$') THEN {s} WHEN regexp_matches(regexp_replace({w}, '[^A-Za-z]', '', 'g'), '^[A-Z]{{2,}}$') THEN upper({s})
+ WHEN regexp_matches(regexp_replace({w}, '[^A-Za-z]', '', 'g'), '^[A-Z][a-z]*$') THEN upper({s}[1]) || {s}[2:] ELSE {s} END"""
+
+
+@query
+def line_offsets(spark, sf_dir):
+    return lines.lines(appended(spark, sf_dir, DIRECTIVES)).select("doc_id", "line", "line_offset", F.length("b").cast("long").alias("n_bytes"))
+
+
+oracle("line_offsets", f"WITH {docs_sql(DIRECTIVES)},{LINES} SELECT doc_id, line, line_offset, CAST(strlen(b) AS BIGINT) AS n_bytes FROM lines")
+
+
+def english_lines(spark, sf_dir):
+    return lines.lines(appended(spark, sf_dir, ENGLISH))
+
+
+@query
+def tokens_count(spark, sf_dir):
+    return tokens.words(english_lines(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_words"))
+
+
+oracle("tokens_count", f"WITH {docs_sql(ENGLISH)},{WORDS} SELECT doc_id, count(*) AS n_words FROM words GROUP BY doc_id")
+
+
+@query
+def word_frequency_topk(spark, sf_dir):
+    w = tokens.words(english_lines(spark, sf_dir)).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    return w.orderBy(F.desc("n"), "word").limit(100)
+
+
+oracle("word_frequency_topk", f"WITH {docs_sql(ENGLISH)},{WORDS} SELECT key AS word, count(*) AS n FROM words GROUP BY key ORDER BY n DESC, word LIMIT 100")
+
+
+def _tokens_where(name, condition, sql):
+    def run(spark, sf_dir):
+        t = tokens.token_rows(english_lines(spark, sf_dir)).where(condition())
+        return t.groupBy("doc_id", "line").agg(F.count("*").alias("n"), F.max("token").alias("largest"))
+
+    QUERIES[name] = run
+    oracle(name, f"WITH {docs_sql(ENGLISH)},{LINES},{TOKENS} SELECT doc_id, line, count(*) AS n, max(token) AS largest FROM tokens WHERE {sql} GROUP BY doc_id, line")
+
+
+_tokens_where("junk_token_filter", lambda: tokens.is_junk(F.col("token")), JUNK)
+_tokens_where("email_url_skip", lambda: tokens.is_link(F.col("token")), LINK)
+
+
+@query
+def plural_acronym_skip(spark, sf_dir):
+    w = tokens.token_rows(english_lines(spark, sf_dir)).where(tokens.is_plural_acronym(F.col("token")))
+    return w.groupBy("token").agg(F.count("*").alias("n"))
+
+
+oracle("plural_acronym_skip", f"WITH {docs_sql(ENGLISH)},{LINES},{TOKENS} SELECT token, count(*) AS n FROM tokens WHERE regexp_matches(token, '^[A-Z]{{2,}}s$') GROUP BY token")
+
+
+@query
+def escape_skip(spark, sf_dir):
+    w = tokens.words(english_lines(spark, sf_dir)).where(F.lower("word").isin("nfoo", "tbar", "foo", "bar", "print", "developer", "doesn't", "quoted"))
+    return w.groupBy("word").agg(F.count("*").alias("n"))
+
+
+oracle("escape_skip", f"WITH {docs_sql(ENGLISH)},{WORDS} SELECT word, count(*) AS n FROM words WHERE key IN ('nfoo', 'tbar', 'foo', 'bar', 'print', 'developer', 'doesn''t', 'quoted') GROUP BY word")
+
+# Rule tables of the queries: invented corrections for words that the texts have.
+RULES = [("teh", "the", 1), ("recieve", "receive", 1), ("publically", "publicly", 1), ("thnt", "that,than", 1), ("erth", "earth", 1), ("erth", "berth", 2), ("ednt", "ednt", 1), ("ononly", "only", 1)]
+ALLOW = ["zzqqy", "thnd"]
+FIXES_SQL = "fixes(key, fix, allowed) AS (VALUES ('teh', ['the'], false), ('recieve', ['receive'], false), ('publically', ['publicly'], false), ('thnt', ['that', 'than'], false), ('erth', ['berth'], false), ('ednt', ['ednt'], true), ('ononly', ['only'], false)), allow(key) AS (VALUES ('zzqqy'), ('thnd'))"
+
+
+def rules(spark):
+    return english.corrections(spark, RULES), spark.createDataFrame([(w,) for w in ALLOW], "word string")
+
+
+def flat(df: DataFrame) -> DataFrame:
+    return df.withColumn("suggestions", F.array_join("suggestions", ","))
+
+
+@query
+def typo_findings(spark, sf_dir):
+    fixes, allow = rules(spark)
+    found = english.english(english_lines(spark, sf_dir), fixes, allow)
+    return flat(found.withColumn("fix", safe_fix(F.col("kind"), F.col("suggestions"))))
+
+
+TYPO_ROWS = f"typos AS (SELECT doc_id, line, col, \"offset\", CAST(strlen(word) AS BIGINT) AS len, word, 'typo' AS kind, list_transform(fix, lambda s: {MATCH.format(w='word', s='s')}) AS s FROM words JOIN fixes USING (key) WHERE NOT allowed AND key NOT IN (SELECT key FROM allow))"
+oracle("typo_findings", f"WITH {docs_sql(ENGLISH)},{WORDS},{FIXES_SQL},{TYPO_ROWS} SELECT doc_id, line, col, \"offset\", len, word, kind, array_to_string(s, ',') AS suggestions, CASE WHEN len(s) = 1 THEN s[1] END AS fix FROM typos")
+
+
+@query
+def correction_layering(spark, sf_dir):
+    return english.corrections(spark, RULES).select("typo", F.array_join("fixes", ",").alias("fixes"), "allow")
+
+
+oracle("correction_layering", f"WITH {FIXES_SQL} SELECT key AS typo, array_to_string(fix, ',') AS fixes, allowed AS allow FROM fixes")
+
+
+@query
+def locale_findings(spark, sf_dir):
+    _, allow = rules(spark)
+    none = spark.createDataFrame([], "typo string, fixes array<string>, allow boolean")
+    return flat(english.english(english_lines(spark, sf_dir), none, allow, locale=english.locale_table(spark, "en-US")))
+
+
+PAIRS_SQL = "pairs(us, gb) AS (VALUES " + ", ".join("('{}', '{}')".format(*p.split()) for p in english.LOCALE_PAIRS.split(";")) + ")"
+oracle("locale_findings", f"WITH {docs_sql(ENGLISH)},{WORDS},{PAIRS_SQL} SELECT doc_id, line, col, \"offset\", CAST(strlen(word) AS BIGINT) AS len, word, 'en-variant' AS kind, {MATCH.format(w='word', s='us')} AS suggestions FROM words JOIN pairs ON key = gb")
+
+
+def known_words(spark, sf_dir):
+    """Words of at least five documents, as a word list."""
+    w = tokens.words(lines.lines(documents(spark, sf_dir))).select("doc_id", F.lower("word").alias("word")).distinct()
+    return w.groupBy("word").count().where("count >= 5").select("word")
+
+
+KNOWN_SQL = f"known AS (SELECT key FROM (WITH {docs_sql()},{WORDS} SELECT DISTINCT doc_id, key FROM words) GROUP BY key HAVING count(*) >= 5)"
+
+
+@query
+def unknown_words(spark, sf_dir):
+    fixes, allow = rules(spark)
+    found = english.english(english_lines(spark, sf_dir), fixes, allow, known=known_words(spark, sf_dir))
+    return found.where("kind = 'unknown-word'").groupBy("word").agg(F.count("*").alias("n"), F.min("offset").alias("first"))
+
+
+oracle("unknown_words", f"""WITH {docs_sql(ENGLISH)},{WORDS},{FIXES_SQL},{KNOWN_SQL} SELECT word, count(*) AS n, min("offset") AS first FROM words
+ WHERE key NOT IN (SELECT key FROM allow) AND key NOT IN (SELECT key FROM fixes) AND key NOT IN (SELECT key FROM known) AND strlen(word) >= 4 AND NOT regexp_matches(word, '^[A-Z]+$') GROUP BY word""")
+
+
+@query
+def suggest_topk(spark, sf_dir):
+    words = documents(spark, sf_dir).select(F.explode(F.split("text", "[^a-z]+")).alias("word")).where("length(word) between 4 and 9")
+    known = words.groupBy("word").count().where("count >= 30").select("word")
+    asked = words.where("length(word) >= 5").groupBy("word").count().where("count between 25 and 29").select("word")
+    return suggest.suggest(asked, known)
+
+
+oracle("suggest_topk", """WITH w AS (SELECT unnest(string_split_regex(text, '[^a-z]+')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w WHERE length(word) BETWEEN 4 AND 9 GROUP BY word),
+p AS (SELECT a.word, b.word AS suggestion, levenshtein(a.word, b.word) AS distance FROM c a, c b WHERE a.n BETWEEN 25 AND 29 AND length(a.word) >= 5 AND b.n >= 30 AND levenshtein(a.word, b.word) <= CASE WHEN strlen(a.word) <= 6 THEN 1 ELSE 2 END),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, abs(strlen(word) - strlen(suggestion)), suggestion) AS rank FROM p)
+SELECT word, CAST(rank AS INTEGER) AS rank, suggestion, CAST(distance AS INTEGER) AS distance FROM r WHERE rank <= 4""")
+
+
+@query
+def match_case_forms(spark, sf_dir):
+    w = tokens.words(english_lines(spark, sf_dir)).select("word").distinct()
+    return w.select("word", match_case(F.col("word"), F.lit("example")).alias("cased"))
+
+
+oracle("match_case_forms", f"WITH {docs_sql(ENGLISH)},{WORDS} SELECT DISTINCT word, {MATCH.format(w='word', s=chr(39) + 'example' + chr(39))} AS cased FROM words".replace("'example'[1]", "'e'").replace("'example'[2:]", "'xample'"))
+
+
+@query
+def issue_message(spark, sf_dir):
+    fixes, allow = rules(spark)
+    found = english.english(english_lines(spark, sf_dir), fixes, allow)
+    return found.select("doc_id", "offset", message(F.col("kind"), F.col("word"), F.col("suggestions")).alias("message"))
+
+
+MESSAGE = "CASE WHEN len(s) = 1 THEN '`' || word || '` should be `' || s[1] || '`' ELSE '`' || word || '` should be one of: ' || array_to_string(s, ', ') END"
+oracle("issue_message", f"WITH {docs_sql(ENGLISH)},{WORDS},{FIXES_SQL},{TYPO_ROWS} SELECT doc_id, \"offset\", {MESSAGE} AS message FROM typos")
+
+
+def japanese_docs(spark, sf_dir):
+    return appended(spark, sf_dir, JAPANESE)
+
+
+def occurrence_sql(run: str, other: str, keep: str) -> str:
+    return f"""occ0 AS (SELECT doc_id, unnest(p) AS word, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{run}|{other}') AS p FROM docs)),
+occ1 AS (SELECT *, CAST(coalesce(sum(strlen(word)) OVER (PARTITION BY doc_id ORDER BY k {BEFORE}), 0) AS BIGINT) AS "offset" FROM occ0), occ AS (SELECT * FROM occ1 WHERE regexp_matches(word, '{keep}'))"""
+
+
+def _ja(name, make, occ, select):
+    def run(spark, sf_dir):
+        return flat(make(spark, japanese_docs(spark, sf_dir))).select("doc_id", "offset", "len", "word", "kind", "suggestions")
+
+    QUERIES[name] = run
+    oracle(name, f"WITH {docs_sql(JAPANESE)},{occ} {select}")
+
+
+BASIC = "SELECT doc_id, \"offset\", CAST(strlen(word) AS BIGINT) AS len, word, '{kind}' AS kind, {to} AS suggestions FROM occ"
+from ..functions.text import COMPATIBILITY, FULL_ALNUM, FULL_KANA, HALF_ALNUM, HALF_KANA, KANA_PAIRS  # noqa: E402
+
+_ja("fullwidth_alnum", lambda s, d: japanese.fullwidth_alnum(d), occurrence_sql(f"[{japanese.FULL_ALNUM}]+", f"[^{japanese.FULL_ALNUM}]+", f"^[{japanese.FULL_ALNUM}]"), BASIC.format(kind="fullwidth-alnum", to=f"translate(word, '{FULL_ALNUM}', '{HALF_ALNUM}')"))
+_kana = "word"
+for _a, _b in KANA_PAIRS:
+    _kana = f"replace({_kana}, '{_a}', '{_b}')"
+_ja("halfwidth_kana", lambda s, d: japanese.halfwidth_kana(d), occurrence_sql("[｡-ﾟ]+", "[^｡-ﾟ]+", "^[｡-ﾟ]"), BASIC.format(kind="halfwidth-kana", to=f"translate({_kana}, '{HALF_KANA}', '{FULL_KANA}')"))
+_ja("fullwidth_space", lambda s, d: japanese.fullwidth_space(d, "always"), occurrence_sql("　", "[^　]+", "^　"), BASIC.format(kind="fullwidth-space", to="' '"))
+_map = "CASE word " + " ".join(f"WHEN {quoted(a)} THEN {quoted(b)}" for a, b in COMPATIBILITY.items()) + " END"
+_ja("compat_chars", lambda s, d: japanese.compatibility(d), occurrence_sql(f"[{japanese.COMPATIBLE}]", f"[^{japanese.COMPATIBLE}]+", f"^[{japanese.COMPATIBLE}]"), f"SELECT * FROM ({BASIC.format(kind='ja-compatibility', to=_map)}) WHERE suggestions IS NOT NULL")
+_KATA = occurrence_sql(f"[{japanese.KATAKANA}]+", f"[^{japanese.KATAKANA}]+", f"^[{japanese.KATAKANA}]")
+_long = "[" + ", ".join(quoted(w) for w in japanese.KATAKANA_SHORT) + "]"
+_ja("katakana_variants", lambda s, d: japanese.variants(d, japanese.katakana_table(s, "long")), _KATA, BASIC.format(kind="ja-variant", to="word || 'ー'") + f" WHERE list_contains({_long}, word)")
+_ja(
+    "katakana_consistency",
+    lambda s, d: japanese.katakana_consistency(d),
+    _KATA + ", f AS (SELECT *, regexp_replace(word, 'ー+$', '') AS key FROM occ WHERE length(word) >= 3), n AS (SELECT doc_id, key, word, count(*) AS n FROM f WHERE length(key) >= 2 GROUP BY ALL), g AS (SELECT doc_id, key, arg_max(word, (n, ends_with(word, 'ー'), strlen(word), word)) AS winner FROM n GROUP BY doc_id, key HAVING count(*) > 1)",
+    "SELECT doc_id, \"offset\", CAST(strlen(word) AS BIGINT) AS len, word, 'ja-variant' AS kind, winner AS suggestions FROM f JOIN g USING (doc_id, key) WHERE word <> winner",
+)
+_ja(
+    "punctuation_style",
+    lambda s, d: japanese.punctuation_style(d),
+    occurrence_sql("[、。，．]", "[^、。，．]+", "^[、。，．]") + ", c AS (SELECT doc_id, count(*) FILTER (word IN ('、', '。')) AS ja, count(*) FILTER (word IN ('，', '．')) AS we FROM occ GROUP BY doc_id)",
+    "SELECT doc_id, \"offset\", CAST(strlen(word) AS BIGINT) AS len, word, 'ja-punctuation' AS kind, CASE WHEN ja >= we THEN translate(word, '，．', '、。') ELSE translate(word, '、。', '，．') END AS suggestions FROM occ JOIN c USING (doc_id) WHERE ja > 0 AND we > 0 AND (word IN ('，', '．')) = (ja >= we)",
+)
+_DIG = f"0-9,{japanese.KANJI_DIGITS}"
+_NUM = occurrence_sql(f"(?:[0-9][0-9,]*|[{japanese.KANJI_DIGITS}]+)[{japanese.UNITS}]", f"[0-9][0-9,]*|[{japanese.KANJI_DIGITS}]+|[^{_DIG}]+|,", f"^(?:[0-9][0-9,]*|[{japanese.KANJI_DIGITS}]+)[{japanese.UNITS}]$")
+_ja(
+    "number_style",
+    lambda s, d: japanese.number_style(d),
+    _NUM + f", f AS (SELECT *, translate(replace(word, ',', ''), '{japanese.KANJI_DIGITS}', '00123456789') AS key, regexp_matches(word, '^[{japanese.KANJI_DIGITS}]') AS kanji FROM occ), g AS (SELECT doc_id, key, count(*) FILTER (kanji) AS nk, count(*) FILTER (NOT kanji) AS na, arg_min(word, \"offset\") FILTER (kanji) AS fk, arg_min(word, \"offset\") FILTER (NOT kanji) AS fa FROM f GROUP BY doc_id, key)",
+    "SELECT doc_id, \"offset\", CAST(strlen(word) AS BIGINT) AS len, word, 'ja-number-style' AS kind, CASE WHEN na >= nk THEN fa ELSE fk END AS suggestions FROM f JOIN g USING (doc_id, key) WHERE nk > 0 AND na > 0 AND kanji = (na >= nk)",
+)
+_ja("kanji_consistency", lambda s, d: japanese.kanji_consistency(d), "pairs(bad, good) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in japanese.KANJI_PAIRS) + ")", """, n AS (SELECT doc_id, text, bad, good, len(string_split(text, bad)) - 1 AS a, len(string_split(text, good)) - 1 AS b FROM docs, pairs WHERE contains(text, bad) AND contains(text, good)),
+m AS (SELECT doc_id, text, CASE WHEN a > b THEN good ELSE bad END AS word, CASE WHEN a > b THEN bad ELSE good END AS suggestions FROM n),
+u AS (SELECT doc_id, word, suggestions, unnest(string_split(text, word)) AS part, generate_subscripts(string_split(text, word), 1) AS k, len(string_split(text, word)) AS parts FROM m),
+o AS (SELECT *, CAST(sum(strlen(part)) OVER (PARTITION BY doc_id, word ORDER BY k) + (k - 1) * strlen(word) AS BIGINT) AS "offset" FROM u)
+SELECT doc_id, "offset", CAST(strlen(word) AS BIGINT) AS len, word, 'ja-variant' AS kind, suggestions FROM o WHERE k < parts""")
+ORACLES["kanji_consistency"] = ORACLES["kanji_consistency"].replace(") , n AS", "), n AS")
+_ja("regex_rules", lambda s, d: japanese.regex_rules(d, [("Web ?サイト", "ウェブサイト")]), "occ0 AS (SELECT doc_id, unnest(regexp_extract_all(text, 'Web ?サイト')) AS word, text FROM docs)", "SELECT doc_id, CAST(strlen(text[:strpos(text, word) - 1]) AS BIGINT) AS \"offset\", CAST(strlen(word) AS BIGINT) AS len, word, 'ja-variant' AS kind, 'ウェブサイト' AS suggestions FROM occ0")
+
+
+@query
+def ignore_file(spark, sf_dir):
+    return lines.without_ignored_files(appended(spark, sf_dir, DIRECTIVES)).select("doc_id")
+
+
+oracle("ignore_file", f"WITH {docs_sql(DIRECTIVES)} SELECT doc_id FROM docs WHERE NOT contains(text, 'glyphmill:ignore-file')")
+
+
+@query
+def ignore_lines(spark, sf_dir):
+    return lines.skipped_lines(lines.lines(appended(spark, sf_dir, DIRECTIVES)))
+
+
+oracle("ignore_lines", f"""WITH {docs_sql(DIRECTIVES)},{LINES},
+d AS (SELECT doc_id, line, regexp_extract(b, '^.*?glyphmill:(ignore-next-line|ignore-line|)', 1) AS d FROM lines WHERE contains(b, 'glyphmill:')),
+n AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM d WHERE d = 'ignore-next-line'),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, run ORDER BY line) AS k FROM n)
+SELECT doc_id, CAST(line AS INTEGER) AS line FROM (SELECT doc_id, line FROM d WHERE d <> '' UNION SELECT doc_id, line FROM l WHERE k % 2 = 1 UNION SELECT doc_id, line + 1 FROM l WHERE k % 2 = 1)""")
+
+EXTENSIONS = ["md", "py", "txt", "rs", "RST", "x"]
+
+
+def with_path(df: DataFrame) -> DataFrame:
+    ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))
+    return df.withColumn("path", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit("."), ext))
+
+
+PATH_SQL = "'docs/' || doc_id || '.' || [" + ", ".join(quoted(e) for e in EXTENSIONS) + f"][doc_id % {len(EXTENSIONS)} + 1]"
+
+
+@query
+def profile_choice(spark, sf_dir):
+    d = with_path(documents(spark, sf_dir))
+    return d.select("doc_id", "path", masking.profile(F.col("path")).alias("profile"), masking.is_prose(F.col("path")).alias("prose"))
+
+
+oracle("profile_choice", f"SELECT doc_id, {PATH_SQL} AS path, CASE doc_id % 6 WHEN 0 THEN 'prose' WHEN 1 THEN 'source' WHEN 3 THEN 'source' ELSE 'all' END AS profile, doc_id % 6 IN (0, 2, 4) AS prose FROM documents")
+
+
+@query
+def path_overrides(spark, sf_dir):
+    d = with_path(documents(spark, sf_dir)).withColumn("path", F.concat(F.lit("src"), F.col("doc_id") % 7, F.lit("/"), F.col("path")))
+    overrides = [("src1/**", "dictionary"), ("*.md", "off"), ("src3/*", "dictionary")]
+    mode = F.coalesce(*[F.when(F.col("path").rlike(files.glob_regex(g)), m) for g, m in reversed(overrides)], F.lit("corrections"))
+    return d.select("doc_id", mode.alias("mode"))
+
+
+oracle("path_overrides", "SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'dictionary' WHEN doc_id % 6 = 0 THEN 'off' WHEN doc_id % 7 = 1 THEN 'dictionary' ELSE 'corrections' END AS mode FROM documents")
+
+
+@query
+def markdown_mask(spark, sf_dir):
+    d = with_path(appended(spark, sf_dir, CODE)).where("path like '%.md'")
+    m = masking.mask(F.col("text"), F.col("path"))
+    return d.select("doc_id", m.alias("masked"), (F.octet_length(m) == F.octet_length("text")).alias("same_length"))
+
+
+@query
+def source_mask(spark, sf_dir):
+    d = with_path(appended(spark, sf_dir, CODE)).where("path like '%.py' or path like '%.rs'")
+    m = masking.mask(F.col("text"), F.col("path"))
+    return d.select("doc_id", m.alias("masked"), (F.octet_length(m) == F.octet_length("text")).alias("same_length"))
+
+
+def all_findings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = appended(spark, sf_dir, [a + b for a, b in zip(ENGLISH, JAPANESE)])
+    fixes, allow = rules(spark)
+    parts = [
+        english.english(lines.lines(docs), fixes, allow, locale=english.locale_table(spark, "en-US")),
+        japanese.fullwidth_alnum(docs),
+        japanese.katakana_consistency(docs),
+        japanese.punctuation_style(docs),
+    ]
+    return docs, findings.union(parts, allow)
+
+
+ALL_SQL = f"""{docs_sql([a + b for a, b in zip(ENGLISH, JAPANESE)])},{WORDS},{FIXES_SQL},{PAIRS_SQL},{TYPO_ROWS},
+{_KATA.replace('occ', 'ka')}, f AS (SELECT *, regexp_replace(word, 'ー+$', '') AS key FROM ka WHERE length(word) >= 3), n AS (SELECT doc_id, key, word, count(*) AS n FROM f WHERE length(key) >= 2 GROUP BY ALL), g AS (SELECT doc_id, key, arg_max(word, (n, ends_with(word, 'ー'), strlen(word), word)) AS winner FROM n GROUP BY doc_id, key HAVING count(*) > 1),
+{occurrence_sql(f"[{japanese.FULL_ALNUM}]+", f"[^{japanese.FULL_ALNUM}]+", f"^[{japanese.FULL_ALNUM}]").replace('occ', 'fa')},
+{occurrence_sql("[、。，．]", "[^、。，．]+", "^[、。，．]").replace('occ', 'pu')}, c AS (SELECT doc_id, count(*) FILTER (word IN ('、', '。')) AS ja, count(*) FILTER (word IN ('，', '．')) AS we FROM pu GROUP BY doc_id),
+found AS (
+ SELECT doc_id, "offset", word, kind, s, 0 AS phase FROM typos
+ UNION ALL SELECT doc_id, "offset", word, 'en-variant', [{MATCH.format(w='word', s='us')}], 0 FROM words JOIN pairs ON key = gb
+ UNION ALL SELECT doc_id, "offset", word, 'fullwidth-alnum', [translate(word, '{FULL_ALNUM}', '{HALF_ALNUM}')], 1 FROM fa
+ UNION ALL SELECT doc_id, "offset", word, 'ja-variant', [winner], 2 FROM f JOIN g USING (doc_id, key) WHERE word <> winner
+ UNION ALL SELECT doc_id, "offset", word, 'ja-punctuation', [CASE WHEN ja >= we THEN translate(word, '，．', '、。') ELSE translate(word, '、。', '，．') END], 3 FROM pu JOIN c USING (doc_id) WHERE ja > 0 AND we > 0 AND (word IN ('，', '．')) = (ja >= we)),
+placedf AS (SELECT *, len(string_split(before, chr(10))) AS line, string_split(before, chr(10))[-1] AS inline FROM (SELECT found.*, decode(encode(text)[1:"offset"]) AS before, text FROM found JOIN docs USING (doc_id))),
+lined AS (SELECT *, 'doc/' || doc_id AS path, CAST(strlen(inline) AS BIGINT) AS col, length(inline) + 1 AS "column", rtrim(string_split(text, chr(10))[line], chr(13)) AS line_text FROM placedf)"""
+
+
+@query
+def findings_all(spark, sf_dir):
+    _, found = all_findings(spark, sf_dir)
+    return flat(found).select("doc_id", "line", "col", "offset", "word", "kind", "suggestions", "phase")
+
+
+oracle("findings_all", f"WITH {ALL_SQL} SELECT doc_id, CAST(line AS INTEGER) AS line, col, \"offset\", word, kind, array_to_string(s, ',') AS suggestions, phase FROM lined")
+
+
+def _files(spark, sf_dir):
+    d = documents(spark, sf_dir).withColumn("content", F.encode(F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("a\x00"), F.col("text"))).otherwise(F.col("text")), "UTF-8"))
+    return files.guarded(d.withColumn("length", F.octet_length("content").cast("long")), 10_000)
+
+
+@query
+def scan_guards(spark, sf_dir):
+    return _files(spark, sf_dir).select("doc_id", "length", "skipped_large", "skipped_binary")
+
+
+GUARDS = "gl AS (SELECT doc_id, strlen(text) + CASE WHEN doc_id % 11 = 0 THEN 2 ELSE 0 END AS length FROM documents), guards AS (SELECT doc_id, CAST(length AS BIGINT) AS length, length > 10000 AS skipped_large, length <= 10000 AND doc_id % 11 = 0 AS skipped_binary FROM gl)"
+oracle("scan_guards", f"WITH {GUARDS} SELECT * FROM guards")
+
+
+@query
+def run_summary(spark, sf_dir):
+    _, found = all_findings(spark, sf_dir)
+    return findings.summary(found, _files(spark, sf_dir))
+
+
+oracle("run_summary", f"WITH {ALL_SQL},{GUARDS} SELECT (SELECT count(*) FROM found) AS issues, (SELECT count(DISTINCT doc_id) FROM found) AS files_with_issues, count(*) FILTER (NOT skipped_large AND NOT skipped_binary) AS files_checked, count(*) FILTER (skipped_binary) AS skipped_binary, count(*) FILTER (skipped_large) AS skipped_large FROM guards")
+
+
+def lined(spark, sf_dir) -> DataFrame:
+    docs, found = all_findings(spark, sf_dir)
+    return findings.with_line_text(found, docs).withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
+
+
+@query
+def words_collect(spark, sf_dir):
+    return flat(findings.collect_words(lined(spark, sf_dir)))
+
+
+oracle("words_collect", f"""WITH {ALL_SQL}, k AS (SELECT CASE WHEN regexp_matches(word, '^[\\x00-\\x7F]*$') THEN lower(word) ELSE word END AS w, * FROM lined WHERE kind IN ('typo', 'unknown-word', 'en-variant', 'ja-variant')),
+e AS (SELECT w, count(*) AS count, arg_min(kind, (doc_id, "offset", phase)) AS kind, arg_min(trim(line_text), (doc_id, "offset", phase)) AS x FROM k GROUP BY w),
+u AS (SELECT w, doc_id, "offset", phase, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM k), m AS (SELECT w, s, min((doc_id, "offset", phase, i)) AS pos FROM u GROUP BY w, s)
+SELECT w AS word, count, kind, CASE WHEN length(x) > 96 THEN x[:96] || '…' ELSE x END AS example, (SELECT string_agg(s, ',' ORDER BY pos) FROM m WHERE m.w = e.w) AS suggestions FROM e""")
+
+
+def printed(spark, sf_dir):
+    f = lined(spark, sf_dir)
+    return f.withColumn("fingerprint", findings.fingerprint(F.col("path"), F.col("kind"), F.col("word"), F.col("line_text")))
+
+
+FP = "fp AS (SELECT *, sha256(path || chr(0) || kind || chr(0) || lower(word) || chr(0) || sha256(trim(line_text, ' '))) AS fingerprint FROM lined)"
+
+
+@query
+def baseline_build(spark, sf_dir):
+    return findings.baseline(printed(spark, sf_dir))
+
+
+oracle("baseline_build", f"WITH {ALL_SQL},{FP} SELECT fingerprint, min(path) AS path, min(kind) AS kind, min(word) AS word, count(*) AS count FROM fp GROUP BY fingerprint")
+
+
+@query
+def baseline_suppress(spark, sf_dir):
+    f = printed(spark, sf_dir)
+    known = findings.baseline(f.where("doc_id % 2 = 0 and offset % 3 <> 0"))
+    return findings.suppress(f, known).select("doc_id", "offset", "phase", "fingerprint")
+
+
+oracle("baseline_suppress", f"""WITH {ALL_SQL},{FP}, b AS (SELECT fingerprint, count(*) AS budget FROM fp WHERE doc_id % 2 = 0 AND "offset" % 3 <> 0 GROUP BY fingerprint),
+r AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY path, "offset", phase) AS k FROM fp) SELECT doc_id, "offset", phase, fingerprint FROM r LEFT JOIN b USING (fingerprint) WHERE k > coalesce(budget, 0)""")
+
+
+@query
+def baseline_prune(spark, sf_dir):
+    f = printed(spark, sf_dir)
+    return findings.prune(findings.baseline(f), findings.baseline(f.where("offset % 3 <> 0"))).select("fingerprint", "count")
+
+
+oracle("baseline_prune", f"WITH {ALL_SQL},{FP} SELECT fingerprint, count(*) AS count FROM fp WHERE \"offset\" % 3 <> 0 GROUP BY fingerprint")
+
+
+@query
+def fix_apply(spark, sf_dir):
+    docs, found = all_findings(spark, sf_dir)
+    return findings.apply_fixes(docs, found)
+
+
+@query
+def fix_dry_run(spark, sf_dir):
+    return findings.dry_run(all_findings(spark, sf_dir)[1])
+
+
+oracle("fix_dry_run", f"WITH {ALL_SQL} SELECT doc_id, count(*) FILTER (kind <> 'typo' OR len(s) = 1) AS fixed, count(*) FILTER (kind = 'typo' AND len(s) > 1) AS skipped, count(*) FILTER (len(s) = 0) AS unfixable FROM found GROUP BY doc_id")
+
+
+@query
+def format_brief(spark, sf_dir):
+    f = lined(spark, sf_dir)
+    return f.select("doc_id", "offset", findings.brief(f).alias("line"))
+
+
+oracle("format_brief", f"WITH {ALL_SQL} SELECT doc_id, \"offset\", path || ':' || line || ':' || \"column\" || ': ' || word || ' -> ' || array_to_string(s, ',') AS line FROM lined")
+
+
+@query
+def format_json(spark, sf_dir):
+    r = findings.json_record()
+    return lined(spark, sf_dir).where("phase = 0").select("doc_id", "offset", F.get_json_object(r, "$.column").alias("column"), F.get_json_object(r, "$.fix").alias("fix"), F.get_json_object(r, "$.kind").alias("kind"), F.get_json_object(r, "$.length").alias("length"))
+
+
+oracle("format_json", f"WITH {ALL_SQL} SELECT doc_id, \"offset\", CAST(\"column\" AS VARCHAR) AS \"column\", CASE WHEN kind <> 'typo' OR len(s) = 1 THEN s[1] END AS fix, kind, CAST(strlen(word) AS VARCHAR) AS length FROM lined WHERE phase = 0")
+
+
+@query
+def format_github(spark, sf_dir):
+    return lined(spark, sf_dir).where("kind = 'typo'").select("doc_id", "offset", findings.github().alias("line"))
+
+
+oracle("format_github", f"WITH {ALL_SQL} SELECT doc_id, \"offset\", '::warning file=' || path || ',line=' || line || ',col=' || \"column\" || ',title=glyphmill [typo]::' || {MESSAGE} AS line FROM lined WHERE kind = 'typo'")
+
+
+@query
+def format_sarif(spark, sf_dir):
+    return findings.sarif(lined(spark, sf_dir))
+
+
+@query
+def github_escapes(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(github_escape(F.col("text"), True)).alias("prop"), F.md5(github_escape(F.col("text"), False)).alias("body"))
+
+
+_E = "replace(replace(replace(text, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')"
+oracle("github_escapes", f"SELECT doc_id, md5(replace(replace({_E}, ':', '%3A'), ',', '%2C')) AS prop, md5({_E}) AS body FROM documents")
+
+
+@query
+def incremental_reuse(spark, sf_dir):
+    d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("content_sha256"), F.lit("c1").alias("config_sha256"))
+    cache = d.where("cast(path as bigint) % 3 <> 0").withColumn("content_sha256", F.when(F.col("path").cast("long") % 5 == 0, "stale").otherwise(F.col("content_sha256")))
+    reuse, again = files.reusable(d, cache)
+    return reuse.select("path", F.lit("reuse").alias("action")).unionByName(again.select("path", F.lit("check").alias("action")))
+
+
+oracle("incremental_reuse", "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 THEN 'reuse' ELSE 'check' END AS action FROM documents")
+
+
+@query
+def wordlist_parse(spark, sf_dir):
+    v = documents(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("value"))
+    return files.word_list(v)
+
+
+oracle("wordlist_parse", "WITH v AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents) SELECT DISTINCT lower(trim(string_split(value, '#')[1], ' ')) AS word FROM v WHERE trim(string_split(value, '#')[1], ' ') <> ''")
+
+
+@query
+def corrections_parse(spark, sf_dir):
+    v = documents(spark, sf_dir).select(F.concat(F.lit("w"), F.col("doc_id"), F.when(F.col("doc_id") % 4 == 0, " ").otherwise("\t"), F.lit("a"), F.col("doc_id") % 9, F.lit(" ,, b")).alias("value"))
+    return files.correction_lines(v).select("typo", F.array_join("fixes", ",").alias("fixes"))
+
+
+oracle("corrections_parse", "SELECT 'w' || doc_id AS typo, 'a' || (doc_id % 9) || ',b' AS fixes FROM documents WHERE doc_id % 4 <> 0")
+
+
+@query
+def wordlist_lint(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("value"))
+    return files.lint_word_list(v)
+
+
+oracle("wordlist_lint", "SELECT value, CASE WHEN b = value THEN 'duplicate' ELSE 'unsorted' END AS problem FROM (SELECT n_name AS value, lag(n_name) OVER (ORDER BY n_nationkey) AS b FROM nation) WHERE b >= value")
+
+
+@query
+def registry_states(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("name"), F.lit("1.0").alias("version"), F.md5("n_name").alias("sha256"), "n_nationkey")
+    lock = n.where("n_nationkey % 3 <> 0").withColumn("version", F.when(F.col("n_nationkey") % 2 == 0, "0.9").otherwise("1.0"))
+    return files.registry_status(n.drop("n_nationkey"), lock.drop("n_nationkey"))
+
+
+oracle("registry_states", "SELECT n_name AS name, '1.0' AS version, CASE WHEN n_nationkey % 3 <> 0 THEN CASE WHEN n_nationkey % 2 = 0 THEN '0.9' ELSE '1.0' END END AS locked, CASE WHEN n_nationkey % 3 = 0 THEN 'absent' WHEN n_nationkey % 2 = 0 THEN 'outdated' ELSE 'installed' END AS state FROM nation")
