@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 ODD = r"[\x{1c}-\x{1f}\x{85}\x{180e}\x{200b}-\x{200d}\x{2060}\x{feff}\x{e000}\x{e001}]"
 BLANK = r"|[\t\r\v\f\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 FIRST, LINE = "\ue000", "\ue001"
-BLOCK = 6 << 20  # characters
+BLOCK = 4 << 20  # characters
 WORD = Struct("<I").pack
 MARKS = "!#$%&*+,-./:;<=>?@|"
 # Fixed rule of byte-level vocabularies: bytes that print stand for themselves, the others follow from U+0100.
@@ -30,12 +30,12 @@ LONG = 48  # characters; longer pieces rarely come again
 class PieceEncoder:
     """``blank_free``: the vocabulary drops white space, so pieces are words without it."""
 
-    def __init__(self, path: str, blank_free: bool, room: int = 500_000):
+    def __init__(self, path: str, blank_free: bool, room: int | None = None):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.blank_free, self.room = blank_free, room
+        self.blank_free, self.room = blank_free, room or (150_000 if blank_free else 400_000)
         # with white space kept, only single blanks and line feeds between other characters are cut at
         self.odd = ODD if blank_free else ODD + BLANK + r"|[ \n][ \n]|[ \n]\z"
         self.known: dict[str, bytes] = {}
@@ -51,7 +51,7 @@ class PieceEncoder:
         """A piece that is a run of letters, with or without a blank before and ASCII marks behind, is one
         pre-token or two; these go straight to the library's BPE model, once each."""
         rest, known, merge, cores, tails, blank_free = [], self.known, self.model.model.tokenize, self.cores, self.tails, self.blank_free
-        if len(cores) > self.room:
+        if len(cores) > 2 * self.room:
             cores.clear()
         for p in pieces:
             if not p:
@@ -98,7 +98,9 @@ class PieceEncoder:
     def _block(self, texts: list[str]) -> list[bytes]:
         """Cuts the texts, looks up each distinct piece of the block once, and gathers."""
         if self.blank_free:
-            parts = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+            # lower case as the library's, but for letters from U+0130 on, whose texts are left to it
+            as_is = set(np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), r"[\x{130}-\x{10FFFF}]")).tolist())
+            parts = pc.utf8_split_whitespace(pa.array([t if i in as_is else t.lower() for i, t in enumerate(texts)], pa.large_string()))
         else:  # a mark tells a text's first piece, or a line feed in front of a piece, from a blank
             parts = pc.split_pattern(pa.array([FIRST + t.replace("\n", " " + LINE) for t in texts], pa.large_string()), " ")
         coded = parts.flatten().dictionary_encode()

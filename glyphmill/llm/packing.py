@@ -27,7 +27,7 @@ from .common import grouped, partitions, staged, table, texts_of
 from .encode import encoder
 
 K1, B = 1.2, 0.75
-QUERY_TERMS = 16
+QUERY_TERMS = 8
 SHAPE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, kept_whole boolean"
 
 
@@ -48,6 +48,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, blank_free: bool) ->
 
     def run(batches):
         enc, end, df = encoder(vocabulary, blank_free), np.array([end_id], "<u4").tobytes(), np.zeros(1, np.int64)
+        rank = np.log(np.arange(max(enc.model.get_vocab_size(), end_id + 1)) + 2.0) ** 3
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
             for k in range(0, len(ids), 2048):
@@ -55,7 +56,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, blank_free: bool) ->
                 n, lens = len(got), np.array([len(x) // 4 for x in got])
                 brief = [narrow(np.frombuffer(x, "<u4")) for x in got]
                 held = [counted(x) for x in brief]
-                top = [int(t[np.argmax(np.log(t + 2.0) ** 3 * c / (c + K1))]) for t, c in held]
+                top = [int(t[np.argmax(rank[t] * (c / (c + K1)))]) for t, c in held]
                 seen = np.bincount(np.concatenate([t for t, _ in held]))
                 if len(seen) > len(df):
                     df = np.concatenate((df, np.zeros(len(seen) - len(df), np.int64)))
