@@ -35,12 +35,11 @@ class PieceEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.blank_free, self.room = blank_free, room or (150_000 if blank_free else 400_000)
+        self.blank_free, self.room = blank_free, room or (250_000 if blank_free else 400_000)
         # with white space kept, only single blanks and line feeds between other characters are cut at
         self.odd = ODD if blank_free else ODD + BLANK + r"|[ \n][ \n]|[ \n]\z"
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
@@ -49,10 +48,8 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """A piece that is a run of letters, with or without a blank before and ASCII marks behind, is one
-        pre-token or two; these go straight to the library's BPE model, once each."""
-        rest, known, merge, cores, tails, blank_free = [], self.known, self.model.model.tokenize, self.cores, self.tails, self.blank_free
-        if len(cores) > 2 * self.room:
-            cores.clear()
+        pre-token or two; these go straight to the library's BPE model."""
+        rest, known, old, merge, tails, blank_free = [], self.known, self.old, self.model.model.tokenize, self.tails, self.blank_free
         for p in pieces:
             if not p:
                 known[p] = b""
@@ -65,13 +62,13 @@ class PieceEncoder:
             tail = p[len(core) :]
             if blank_free:
                 core = core.lower()
-            ids = cores.get(core)
+            ids = known.get(core) or old.get(core)
             if ids is None:
                 if core.isascii():
                     seen = core if core == body or blank_free else "\u0120" + body
                 else:
                     seen = core.encode().decode("latin-1").translate(BYTE_CHARS)
-                ids = cores[core] = b"".join([WORD(x.id) for x in merge(seen)])
+                ids = known[core] = b"".join([WORD(x.id) for x in merge(seen)])
             if tail:
                 if tail not in tails:
                     tails[tail] = self._whole([tail])[0]
@@ -98,9 +95,13 @@ class PieceEncoder:
     def _block(self, texts: list[str]) -> list[bytes]:
         """Cuts the texts, looks up each distinct piece of the block once, and gathers."""
         if self.blank_free:
-            # lower case as the library's, but for letters from U+0130 on, whose texts are left to it
+            # lower case as the library's, but for letters from U+0130 on, whose texts are left to it; where
+            # there is no apostrophe, runs of marks are pre-tokens of their own and are set apart
             as_is = set(np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), r"[\x{130}-\x{10FFFF}]")).tolist())
-            parts = pc.utf8_split_whitespace(pa.array([t if i in as_is else t.lower() for i, t in enumerate(texts)], pa.large_string()))
+            low = pa.array([t if i in as_is else t.lower() for i, t in enumerate(texts)], pa.large_string())
+            apart = pc.replace_substring_regex(low, r"([^\s\p{L}\p{N}\p{Z}]+)", r" \1 ")
+            plain = [i not in as_is and "'" not in t for i, t in enumerate(texts)]
+            parts = pc.utf8_split_whitespace(pc.if_else(pa.array(plain, pa.bool_()), apart, low))
         else:  # a mark tells a text's first piece, or a line feed in front of a piece, from a blank
             parts = pc.split_pattern(pa.array([FIRST + t.replace("\n", " " + LINE) for t in texts], pa.large_string()), " ")
         coded = parts.flatten().dictionary_encode()
