@@ -59,7 +59,7 @@ def quoted(s: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return files.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def appended(spark: SparkSession, sf_dir: str, tails: list[str]) -> DataFrame:

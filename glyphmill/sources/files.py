@@ -35,6 +35,13 @@ def read_tree(spark: SparkSession, path: str, excludes: tuple[str, ...] = (), mo
     return checked.select("path", "length", text.alias("text"), "skipped_large", "skipped_binary")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out rows that come from fewer files than there are cores: a file of one row group is one task,
+    however it is split.  Larger inputs are left as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def word_list(lines: DataFrame) -> DataFrame:
     """(word) from rows ``value``: one a line, ``#`` comments, trimmed, lower-cased, distinct."""
     w = F.lower(F.trim(F.split("value", "#")[0]))
