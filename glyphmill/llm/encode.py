@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 ODD = r"[\x{1c}-\x{1f}\x{85}\x{180e}\x{200b}-\x{200d}\x{2060}\x{feff}\x{e000}\x{e001}]"
 BLANK = r"|[\t\r\v\f\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 FIRST, LINE = "\ue000", "\ue001"
-BLOCK = 4 << 20  # characters
+BLOCK = 4 << 20  # characters, half as many again where white space counts
 WORD = Struct("<I").pack
 MARKS = "!#$%&*+,-./:;<=>?@|"
 # Fixed rule of byte-level vocabularies: bytes that print stand for themselves, the others follow from U+0100.
@@ -35,7 +35,7 @@ class PieceEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.blank_free, self.room = blank_free, room or (250_000 if blank_free else 400_000)
+        self.blank_free, self.room = blank_free, room or (250_000 if blank_free else 700_000)
         # with white space kept, only single blanks and line feeds between other characters are cut at
         self.odd = ODD if blank_free else ODD + BLANK + r"|[ \n][ \n]|[ \n]\z"
         self.known: dict[str, bytes] = {}
@@ -86,7 +86,7 @@ class PieceEncoder:
         a, size = 0, 0
         for k, i in enumerate(rest):
             size += len(texts[i])
-            if size >= BLOCK or k == len(rest) - 1:
+            if size >= (BLOCK if self.blank_free else 3 * BLOCK // 2) or k == len(rest) - 1:
                 for j, ids in zip(rest[a : k + 1], self._block([texts[j] for j in rest[a : k + 1]])):
                     out[j] = ids
                 a, size = k + 1, 0
