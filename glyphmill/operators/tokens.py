@@ -21,7 +21,7 @@ class Options:
 
 def is_link(token: Column) -> Column:
     """URLs and mail addresses."""
-    return token.contains("://") | token.rlike("[0-9A-Za-z].*@.*\\.")
+    return token.contains("://") | (token.contains("@") & token.rlike("[0-9A-Za-z].*@.*\\."))
 
 
 def is_junk(token: Column, longest: int = 40) -> Column:
@@ -29,7 +29,8 @@ def is_junk(token: Column, longest: int = 40) -> Column:
     alnum = F.regexp_replace(token, "[^0-9A-Za-z]", "")
     digits = F.length(F.regexp_replace(token, "[^0-9]", ""))
     flips = F.regexp_count(token, F.lit("(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"))
-    return (
+    # each of the four cases has a digit, which spares most tokens the rest
+    return token.rlike("[0-9]") & (
         ((F.length(token) > longest) & (digits > 0))
         | token.rlike("^0[xX][0-9A-Fa-f_ui]+$")
         | ((F.length(alnum) >= 12) & (digits > 0) & alnum.rlike("^[0-9A-Fa-f]*$"))
