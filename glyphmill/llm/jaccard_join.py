@@ -3,7 +3,7 @@
 Texts become sets of hashed word shingles; equal sets are one class from there on.  MinHash bands give
 each class its keys; classes that share a key are joined to the least of them, and connected
 components of these edges bound where links can be: no link leaves a component but with the chance
-that all bands miss a pair (below 3e-6 at the threshold).  A component of up to ``BLOCK`` classes is one
+that all bands miss a pair (3.2e-6 at the threshold).  A component of up to ``BLOCK`` classes is one
 unit of work, a larger one is cut into blocks of which each pair is a unit, so neither links nor pairs
 are ever rows, and no task holds more than two blocks.
 

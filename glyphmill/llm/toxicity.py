@@ -7,7 +7,7 @@ of reported speech, Q quotation mark, O other.  Five transducers are composed in
     reported   marks those inside quotation marks or, in the clause, after a verb of speech
     target     marks insults within four tokens after a target, and pays for a target after an insult
     threat     pays for a threat verb that a target follows within three tokens
-    insult     turns the marks into factors of the token's weight
+    insult     turns the marks into the kinds that have a factor of their own
 
 A clause's score is the sum of its arcs' weights and of its insults' weights times their factors; single
 words outside the grammar's reach (a threat verb without a target) score nothing.  The lexicon of
@@ -45,7 +45,7 @@ WORD = re.compile(r"[^\W\d_][\w'’]*")
 
 
 def grammar(factors: dict[str, float]) -> tuple[Transducer, dict[str, float]]:
-    """The composed transducer, and by output symbol the factor of a token's weight."""
+    """The composed transducer, and by kind of insult the factor of a token's weight."""
     negation = Transducer("n0")
     for k in (1, 2, 3):
         negation.default[f"n{k}"] = f"n{k - 1}"
@@ -70,9 +70,11 @@ def grammar(factors: dict[str, float]) -> tuple[Transducer, dict[str, float]]:
         threat.default[f"t{k}"] = f"t{k - 1}"
         threat.on(f"t{k}", "Y", "Y", 4.0, "t0").on(f"t{k}", "T", "T", 0, "t3")
     insult = Transducer("i0")
+    for mark, kind in BASE.items():
+        insult.on("i0", mark, kind, 0, "i0")
     symbols = CLASSES | set(BASE)
     whole = negation.compose(reported, symbols).compose(target, symbols).compose(threat, symbols).compose(insult, symbols)
-    return whole, {o: factors[kind] for o, kind in BASE.items()}
+    return whole, dict(factors)
 
 
 PRIOR = {"plain": 1.0, "targeted": 1.2, "negated": 0.4, "reported": 0.5}
@@ -127,8 +129,8 @@ class Model:
             score, marks = 0.0, []
             for (o, w), (_, own) in zip(marked, read):
                 score += w + own * self.by_symbol.get(o, 0.0)
-                if o in BASE:
-                    marks.append(BASE[o])
+                if o in self.by_symbol:
+                    marks.append(o)
             if score:
                 out.append((score, marks))
         return out
