@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps, all in DataFrame operations.
 
 Every step aggregates the least neighbour of a node (with map-side combine) and joins it back to the
-edges, so no node's neighbours are gathered; a hub's edges can be split over tasks by the skew join.
+edges, so no node's neighbours are gathered; a hub's edges are split over ``SALTS`` parts of the join.
 """
 
 from __future__ import annotations
@@ -12,6 +12,22 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
+SALTS = 32
+
+
+def with_least(rows: DataFrame, key: str, value: str, several: bool = False) -> DataFrame:
+    """Adds m, the least ``value`` of the row's ``key``; with ``several`` only keys of two values or more stay.
+
+    Rows of one key are dealt over ``SALTS`` parts by their value.  The aggregate of a key says in a bit mask
+    which parts it has, so that its least value is copied to these only and a rare key is not copied."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    least = salted.groupBy(key).agg(F.min(value).alias("m"), F.max(value).alias("most"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask"))
+    if several:
+        least = least.where("m < most")
+    parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("mask", k) == 1)
+    return salted.join(least.select(key, "m", F.explode(parts).alias("salt")), [key, "salt"]).drop("salt")
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -24,10 +40,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        large = staged(with_least(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = with_least(large, "u", "v").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         cur = staged(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _mark(cur)
         if now == mark:

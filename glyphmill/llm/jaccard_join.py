@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, grouped, mix64, partitions, staged, table, texts_of
-from .components import components
+from .components import components, with_least
 from .words import combined, hashed, in_blocks
 
 BANDS, ROWS = 24, 4
@@ -163,8 +163,7 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, tolerance
         rows.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "text-classes"
     )
     keyed = sets.select("rep", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    candidates = components(keyed.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")))
+    candidates = components(with_least(keyed, "key", "rep", several=True).where("rep <> m").select(F.col("rep").alias("u"), F.col("m").alias("v")))
     candidates = staged(candidates, "candidates")
     blocks = candidates.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = candidates.join(blocks, "root").join(sets.select(F.col("rep").alias("node"), "set_a", "set_b"), "node")

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from glyphmill.llm import decontaminate, dom, encode, exact_dedup, html_extract, induced_sort, jaccard_join, language_id, packing, suffix_dedup, token_store, toxicity, warc
+from glyphmill.llm import components, decontaminate, dom, encode, exact_dedup, html_extract, induced_sort, jaccard_join, language_id, packing, suffix_dedup, token_store, toxicity, warc
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -133,6 +133,24 @@ def test_jaccard_join(spark, corpus):
     assert jaccard_join.jaccard_join(odd).where("doc_id is null and class_id is null and n_links = 0").count() == 1
 
 
+def test_components_against_union_find(spark):
+    r = random.Random(5)
+    edges = [(0, k) for k in range(1, 400, 3)] + [(k, k + 1) for k in range(1000, 1040)] + [(r.randint(2000, 2200), r.randint(2000, 2200)) for _ in range(150)] + [(7, 7), (3, 5), (3, 5)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    got = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(got) == len(want) and {x["node"]: x["root"] for x in got} == want
+
+
 def test_blocks_of_large_components_agree():
     sets = [np.unique(np.random.default_rng(k % 7).integers(0, 400, 120).astype(np.uint64)) for k in range(60)]
     sig = jaccard_join.signatures(sets)
