@@ -10,14 +10,27 @@ from ..functions.text import byte_view
 DIRECTIVE = "glyphmill:"
 
 
+CHUNK = 256  # lines
+
+
+def line_starts(parts: Column) -> Column:
+    """The byte offset of each line of an array: offsets in chunks of ``CHUNK`` lines, each from its chunk's start,
+    as a fold that appends to an array copies it each time."""
+    first = lambda n: F.array(n.cast("long"))
+    add = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda c: F.slice(parts, c * CHUNK + 1, F.lit(CHUNK)))
+    sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.length(x) + 1))
+    within = lambda c, start: F.slice(F.aggregate(c, first(start), lambda acc, x: add(acc, F.length(x) + 1)), F.lit(1), F.size(c))
+    return F.flatten(F.zip_with(chunks, F.slice(F.aggregate(sizes, first(F.lit(0)), add), F.lit(1), F.size(sizes)), within))
+
+
 def lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, line, line_offset, b): lines in byte view with their offset; no shuffle.
 
-    Offsets are a fold over the document's own array of lines.  Null text has no lines."""
+    Null text has no lines."""
     b = byte_view(F.col(text))
     parts = docs.select("doc_id", *keep, F.split(b, "\n", -1).alias("parts"))
-    starts = F.aggregate("parts", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    zipped = parts.select("doc_id", *keep, F.posexplode(F.arrays_zip(F.col("parts").alias("b"), F.slice(starts, 1, F.size("parts")).alias("o"))).alias("k", "z"))
+    zipped = parts.select("doc_id", *keep, F.posexplode(F.arrays_zip(F.col("parts").alias("b"), line_starts(F.col("parts")).alias("o"))).alias("k", "z"))
     return zipped.select("doc_id", *keep, (F.col("k") + 1).cast("int").alias("line"), F.col("z.o").alias("line_offset"), F.rtrim(F.col("z.b"), F.lit("\r")).alias("b"))
 
 

@@ -45,18 +45,25 @@ def is_plural_acronym(run: Column) -> Column:
 def token_rows(lines: DataFrame) -> DataFrame:
     """(.., t, token) for each delimited token; t is its index among the line's parts."""
     keep = [c for c in lines.columns]
-    parts = lines.select(*keep, F.posexplode(F.regexp_extract_all("b", F.lit(TOKEN_PARTS), F.lit(0))).alias("t", "token"))
-    return parts.where(~F.col("token").rlike(f"^[{DELIMITERS}]"))
+    parts = lines.select(*keep, F.posexplode(F.split("b", f"[{DELIMITERS}]+")).alias("k", "token")).where("token <> ''")
+    # delimiters alternate with tokens; one in front of all tokens leaves an empty token before it
+    t = 2 * F.col("k") - F.when(F.col("b").rlike(f"^[{DELIMITERS}]"), 1).otherwise(0)
+    return parts.select(*keep, t.alias("t"), "token")
 
 
 def words(lines: DataFrame, options: Options = Options()) -> DataFrame:
     """(lines' columns, t, token, r, run, c, word): the words that are looked up."""
     tokens = token_rows(lines).where(F.col("token").rlike("[A-Za-z]") & ~is_link(F.col("token")) & ~is_junk(F.col("token"), options.max_token_length))
     keep = tokens.columns
-    runs = tokens.select(*keep, F.posexplode(F.regexp_extract_all("token", F.lit(RUN_PARTS), F.lit(0))).alias("r", "run")).where(F.col("run").rlike("^[A-Za-z]"))
+    # most tokens are one run of lower-case letters, which nothing below changes
+    plain = F.col("token").rlike("^[a-z]++$")
+    parts = F.when(plain, F.array("token")).otherwise(F.regexp_extract_all("token", F.lit(RUN_PARTS), F.lit(0)))
+    runs = tokens.select(*keep, F.posexplode(parts).alias("r", "run")).where(F.col("run").rlike("^[A-Za-z]"))
     run = F.regexp_replace(F.regexp_replace("run", "'+$", ""), "(?<=.)'[sS]$", "")
-    runs = runs.withColumn("run", run).where(~is_plural_acronym(F.col("run")))
-    return runs.select(*keep, "r", "run", F.posexplode(F.split("run", CASE_CUT)).alias("c", "word")).where(F.length("word") >= options.min_word_length)
+    lower = F.col("run").rlike("^[a-z]++$")
+    runs = runs.withColumn("run", F.when(lower, F.col("run")).otherwise(run)).where(lower | ~is_plural_acronym(F.col("run")))
+    cased = F.when(F.col("run").rlike("[a-z][A-Z]|[A-Z][A-Z][a-z]"), F.split("run", CASE_CUT)).otherwise(F.array("run"))
+    return runs.select(*keep, "r", "run", F.posexplode(cased).alias("c", "word")).where(F.length("word") >= options.min_word_length)
 
 
 def _before(parts: Column, n: Column) -> Column:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from glyphmill.operators import review
+from glyphmill.operators import lines, review
 from glyphmill.sources import rules
 
 
@@ -33,3 +33,16 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, 0, 1, 0, "teh", "typo", [], 0, "p", "teh")], rows)
     assert review.decide(one, decisions).first()["action"] == "open"
     assert review.human(one).first()["report_line"] == "p:1:1: teh [typo]"
+
+
+def test_line_starts_across_chunks(spark):
+    texts = ["", "\n", "a", "\n".join("x" * (i % 7) for i in range(256)), "é\n".join("y" * (i % 5) for i in range(1500)) + "\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got: dict = {}
+    for r in lines.lines(rows).orderBy("doc_id", "line").collect():
+        got.setdefault(r["doc_id"], []).append(r["line_offset"])
+    for i, text in enumerate(texts):
+        want = [0]
+        for part in text.encode().split(b"\n")[:-1]:
+            want.append(want[-1] + len(part) + 1)
+        assert got[i] == want
