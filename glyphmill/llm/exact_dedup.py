@@ -24,15 +24,19 @@ BLANKS = " \t\n\x0b\x0c\r"
 KEY = ("text_sha256", "n_bytes", "verifier")
 
 
-def digest_runs(docs: DataFrame) -> DataFrame:
-    """One sorted run for each scan partition: (run, row, doc_id, digest key, n_code_points)."""
+def digest_runs(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """One sorted run for each scan partition: (run, row, doc_id, digest key, n_code_points).
+
+    ``row`` names a column that numbers the rows; without it they are numbered here.
+    """
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
     text = F.coalesce(F.col("text"), F.lit(""))
     norm = F.translate(text, BLANKS, "")
     return (
-        docs.select("doc_id", text.alias("text"), norm.alias("norm"))
+        docs.select("doc_id", text.alias("text"), norm.alias("norm"), number.alias("row"))
         .select(
             F.spark_partition_id().alias("run"),
-            F.monotonically_increasing_id().alias("row"),
+            "row",
             F.col("doc_id").cast("long").alias("doc_id"),
             F.sha2("norm", 256).alias("text_sha256"),
             F.octet_length("norm").alias("n_bytes"),
@@ -62,16 +66,17 @@ def merge_runs(runs: DataFrame, n_runs: int, fan_in: int = 8) -> DataFrame:
     return level.drop("run")
 
 
-def exact_dedup(docs: DataFrame, fan_in: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, fan_in: int = 8, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting space, tab and the other characters of
     ``[\\x20\\x09-\\x0D]``; the row with the most code points in its original text stays, then the smallest
     doc_id.  Null text counts as empty; empty texts are equal to each other.  A null doc_id is larger
     than any other.  Of repeated rows with one doc_id exactly one is kept.  An empty table gives an
-    empty result; other columns are not read.
+    empty result; other columns are not read, but for ``row``, which numbers the rows where given and
+    comes back as row_number.
     """
-    runs = staged(digest_runs(docs), "digest-runs")
+    runs = staged(digest_runs(docs, row), "digest-runs")
     n_runs = (runs.agg(F.max("run")).first()[0] or 0) + 1
     last = merge_runs(runs, n_runs, fan_in).where("group_size > 1")
     joined = runs.join(last, list(KEY), "left")
@@ -104,7 +109,9 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the documents that ``exact_dedup`` keeps."""
-    verdict = exact_dedup(docs.select("doc_id", "text"))
-    gone = verdict.where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: the rows that ``exact_dedup`` keeps, told apart by a row number and not by doc_id,
+    which can be null or repeated."""
+    row = "__row"
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    gone = exact_dedup(numbered.select("doc_id", "text", row), row=row).where(~F.col("kept")).select(F.col("row_number").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

@@ -96,6 +96,17 @@ def test_exact_dedup(spark, corpus):
     assert exact_dedup.exact_dedup(clash).where("kept").count() == len(groups)
 
 
+def test_keep_one_by_row(spark, corpus):
+    rows = corpus + [corpus[3], corpus[3], (0, "same id, other text"), (60, corpus[5][1]), (60, "kept beside a dropped row of its id"), (None, "no id"), (None, "no\tid"), (None, "no id"), (None, corpus[1][1])]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i or 0, i, t or ""))
+    want = sorted(repr(min(g)[3:]) for g in groups.values())
+    got = exact_dedup.keep_one(frame(spark, rows)).collect()
+    assert sorted(repr((r["doc_id"], r["text"] or "")) for r in got) == want
+    assert exact_dedup.keep_one(frame(spark, rows).limit(0)).count() == 0
+
+
 def shingles(t, n=5):
     w = re.findall("[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
