@@ -148,12 +148,20 @@ class Benchmark:
             which = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             which_item = item[which]
             pair = np.repeat(doc, times) * len(self.m) + which_item
-            key = np.sort((pair << 36) + (np.repeat(p, times) - at[which]) + (1 << 35))
-            own = (key >> 36) % max(1, len(self.m))
+            place = np.repeat(p, times) - at[which]
+            if not len(pair):
+                continue
+            # A pair has as many keys as there are places, and room for k on both sides.
+            low = int(place.min()) - int(self.k.max())
+            span = int(place.max()) + int(self.k.max()) + 1 - low
+            if (int(pair.max()) + 1) * span >= 1 << 63:
+                raise OverflowError("too many texts, items and words for one block")
+            key = np.sort(pair * span + (place - low))
+            own = (key // span) % len(self.m)
             k = self.k[own]
             agree = np.searchsorted(key, key + k, "right") - np.searchsorted(key, key - k, "left")
             key = np.unique(key[agree >= self.m[own] - n + 1 - k * n])
-            found.append(np.stack([(key >> 36) // max(1, len(self.m)), (key >> 36) % max(1, len(self.m)), (key & ((1 << 36) - 1)) - (1 << 35)], 1))
+            found.append(np.stack([key // span // len(self.m), (key // span) % len(self.m), key % span + low], 1))
         return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
     def search(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:

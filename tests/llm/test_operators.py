@@ -350,6 +350,19 @@ def test_decontaminate(spark):
     assert decontaminate.decontaminate(docs, table.limit(0)).count() == 0
 
 
+def test_windows_of_many_items_and_texts():
+    r = random.Random(9)
+    items = [words(r, 6) for _ in range(3)]
+    bench = decontaminate.Benchmark([0, 1, 2], items, 0.8, 0.9)
+    few = 4000
+    texts = [items[i % 3] for i in range(few)]
+    want = [(i, i % 3, 0, 6, 0) for i in range(few)]
+    assert bench.search(*decontaminate.hashed(texts)) == want
+    bench.m = np.concatenate((bench.m, np.full(60_000, 6)))  # as many items as a block holds
+    bench.k = np.concatenate((bench.k, np.full(60_000, 1)))
+    assert bench.search(*decontaminate.hashed(texts)) == want
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
