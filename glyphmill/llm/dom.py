@@ -16,10 +16,28 @@ BARRIER = frozenset("table ul ol dl div section article aside body main nav form
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+[^>]*+)(?:>|\Z)", re.S)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDE = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+HIDE = re.compile(r"hidden|style", re.I)
+EACH = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+IN_HEAD = frozenset("base link meta noscript noframes script style template title".split())
 NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+def hides(own: str) -> bool:
+    """Whether an element with these attributes is hidden: by ``hidden``, or by display or visibility in its style."""
+    for a in EACH.finditer(own):
+        name = a[1].lower()
+        if name == "hidden":
+            return True
+        if name == "style":
+            style = {}
+            for part in entities.unescape(a[2] or a[3] or a[4] or "").lower().split(";"):
+                key, _, value = part.partition(":")
+                style[key.strip()] = value.replace("!important", "").strip()
+            if style.get("display") == "none" or style.get("visibility") == "hidden":
+                return True
+    return False
+
+
 @dataclass
 class Block:
     text: str
@@ -48,6 +66,8 @@ def blocks(page: str) -> list[Block]:
 
     def add(piece: str) -> None:
         nonlocal shown, linked
+        if stack and stack[-1][0] == "head" and piece.strip():
+            close(len(stack) - 1)
         if hidden or not piece:
             return
         if not parts:
@@ -83,6 +103,8 @@ def blocks(page: str) -> list[Block]:
                     close(k)
                     break
             continue
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:  # its end tag may be left out
+            close(len(stack) - 1)
         if tag in ("br", "wbr", "img", "input"):
             add(" " if tag == "br" else "")
             if tag == "br" and parts:
@@ -103,7 +125,7 @@ def blocks(page: str) -> list[Block]:
         names = frozenset()
         if own and not own.isspace():
             names = frozenset(w.lower() for a in ATTR.finditer(own) for w in NAMES.findall(a[2] or a[3] or a[4] or ""))
-            if HIDE.search(own):
+            if HIDE.search(own) and hides(own):
                 names |= {"?hidden"}
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)

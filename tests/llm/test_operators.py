@@ -235,6 +235,18 @@ def test_html_fixed_pages():
     assert [b.text for b in dom.blocks("<div hidden>no</div><p>a<b>b</b>c<br>d")] == ["abc d"]
 
 
+def test_html_hidden_and_head():
+    shown = ('<div style="overflow:hidden">a</div>', '<div title="The hidden valley">a</div>', "<a href=/hidden/x>a</a>", '<div data-hidden="1" class="hidden-xs">a</div>', '<div style="display:none;display:block">a</div>')
+    for page in shown:
+        assert [b.text for b in dom.blocks(page)] == ["a"]
+    for own in ("hidden", 'hidden=""', "class=x HIDDEN", 'style="color:red; display : none !important"', "style='visibility:hidden'"):
+        assert dom.blocks(f"<div {own}>a</div>") == []
+    for page in ("<head><title>t</title><body><p>a", "<html><head><meta charset=x><title>t</title><p>a", "<head><script>x</script>a", "<head><style>x</style><template><p>no</p></template></head><body>a"):
+        assert [b.text for b in dom.blocks(page)] == ["a"]
+    wrapped = "<html><head><title>t</title><body><article style='overflow:hidden'><p>Some text, it is long enough.</p></article>"
+    assert html_extract.main_text(wrapped, html_extract.model()) == "Some text, it is long enough."
+
+
 def test_html_held_out_layouts():
     chain = html_extract.model()
     xs, ys = html_extract.labelled_pages(100, seed=77)
