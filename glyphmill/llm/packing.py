@@ -8,7 +8,7 @@ documents meet in a shard), and neighbourhoods are laid out one after another al
 equal lengths gives shards of about ``shard_tokens`` ids.  A common term spreads over several shards.
 
 In a shard an inverted index maps each term to (document, BM25 weight).  The seed of a window is
-the next unused document; its heaviest terms query the index, which returns unused neighbours by
+the next unused document; all its terms query the index, which returns unused neighbours by
 descending BM25 score.  Neighbours that fit whole go in greedily; when none fits, the best one is cut
 and its rest opens the next window.  So every window but a shard's last is full, and the last one is
 cut into sequences whose lengths are powers of two, which need no padding.
@@ -27,7 +27,6 @@ from .common import grouped, partitions, staged, table, texts_of
 from .encode import encoder
 
 K1, B = 1.2, 0.75
-QUERY_TERMS = 8
 SHAPE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, kept_whole boolean"
 
 
@@ -90,7 +89,7 @@ class Weights:
         return terms, (self.idf[terms] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
 
 
-def pack_shard(docs: list[np.ndarray], weights: Weights, window: int, query_terms: int = QUERY_TERMS) -> list[list[tuple[int, int, int]]]:
+def pack_shard(docs: list[np.ndarray], weights: Weights, window: int) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of pieces (document, first id, length)."""
     n = len(docs)
     each = [weights.of(x) for x in docs]
@@ -102,17 +101,23 @@ def pack_shard(docs: list[np.ndarray], weights: Weights, window: int, query_term
     keys, first = np.unique(terms[order], return_index=True)
     last = np.concatenate((first[1:], [len(order)]))
     post_doc, post_val = owner[order], vals[order]
+    row = np.full(len(keys), -1)  # terms of over a quarter of the documents are held as rows, which add up faster
+    often = np.flatnonzero((last - first) * 4 > n)
+    row[often] = np.arange(len(often))
+    common = np.zeros((len(often), n))
+    for r, i in enumerate(often.tolist()):
+        common[r, post_doc[first[i] : last[i]]] = post_val[first[i] : last[i]]
     left = np.array([len(x) for x in docs])
     used = np.zeros(n, bool)
     unused, seqs = 0, []
 
     def neighbours(doc: int) -> np.ndarray:
-        """Unused documents by descending score against the heaviest terms of ``doc``."""
-        t, v = each[doc]
-        heavy = t[np.argpartition(-v, query_terms)[:query_terms]] if len(t) > query_terms else t
-        at = np.searchsorted(keys, heavy)
-        spans = [slice(first[i], last[i]) for i in at]
-        score = np.bincount(np.concatenate([post_doc[s] for s in spans]), np.concatenate([post_val[s] for s in spans]), n)
+        """Unused documents by descending score against all terms of ``doc``."""
+        at = np.searchsorted(keys, each[doc][0])
+        score = common[row[at[row[at] >= 0]]].sum(0)
+        spans = [slice(first[i], last[i]) for i in at[row[at] < 0].tolist()]
+        if spans:
+            score += np.bincount(np.concatenate([post_doc[s] for s in spans]), np.concatenate([post_val[s] for s in spans]), n)
         score[used] = 0
         hits = np.flatnonzero(score)
         return hits[np.argsort(-score[hits], kind="stable")]

@@ -206,6 +206,22 @@ def test_packing(spark, corpus):
     assert packing.pack(odd, path).where("doc_id is null").count() == 1
 
 
+def test_packing_queries_all_terms():
+    r = np.random.default_rng(3)
+    docs = [r.integers(0, 300, int(r.integers(5, 90))).astype("<u2") for _ in range(80)]
+    docs = [np.concatenate((x, np.arange(300 + 12 * i, 312 + 12 * i))).astype("<u2") for i, x in enumerate(docs)]  # the heaviest terms of each are its own
+    weights = packing.Weights(np.bincount(np.concatenate([np.unique(x) for x in docs])), len(docs), float(np.mean([len(x) for x in docs])))
+    own = [dict(zip(*(c.tolist() for c in weights.of(x)))) for x in docs]
+    score = [sum(w for t, w in own[d].items() if t in own[0]) for d in range(len(docs))]
+    want, room = [0], 600 - len(docs[0])
+    for d in sorted((d for d in range(1, len(docs)) if score[d] > 0), key=lambda d: (-score[d], d)):
+        if len(docs[d]) <= room:
+            want.append(d)
+            room -= len(docs[d])
+    got = packing.pack_shard(docs, weights, 600)[0]
+    assert len(want) > 3 and [d for d, _, _ in got][: len(want)] == want
+
+
 def test_token_store(spark, corpus):
     path = public_tokenizers.path("byte_bpe_50k.json")
     ids = expected_ids(corpus, "byte_bpe_50k.json", 0)
