@@ -374,16 +374,16 @@ oracle("path_overrides", "SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'dictiona
 
 @query
 def markdown_mask(spark, sf_dir):
-    d = with_path(appended(spark, sf_dir, CODE)).where("path like '%.md'")
+    d = appended(spark, sf_dir, CODE).withColumn("path", F.format_string("docs/%s.md", "doc_id"))  # every document as this kind
     m = masking.mask(F.col("text"), F.col("path"))
     return d.select("doc_id", m.alias("masked"), (F.octet_length(m) == F.octet_length("text")).alias("same_length"))
 
 
 @query
 def source_mask(spark, sf_dir):
-    d = with_path(appended(spark, sf_dir, CODE)).where("path like '%.py' or path like '%.rs'")
+    d = appended(spark, sf_dir, CODE).withColumn("path", F.explode(F.array(*[F.format_string(f"docs/%s.{e}", "doc_id") for e in ("py", "rs")])))  # with hash comments and without
     m = masking.mask(F.col("text"), F.col("path"))
-    return d.select("doc_id", m.alias("masked"), (F.octet_length(m) == F.octet_length("text")).alias("same_length"))
+    return d.select("doc_id", "path", m.alias("masked"), (F.octet_length(m) == F.octet_length("text")).alias("same_length"))
 
 
 def all_findings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

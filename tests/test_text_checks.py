@@ -145,3 +145,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(seen) == [("u1", 4), ("u1", 8)]
+
+
+def test_mask_queries_cover_all_documents(spark):
+    from glyphmill.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    for name, times in (("markdown_mask", 1), ("source_mask", 2)):
+        got = catalogue.QUERIES[name](spark, sf).collect()
+        assert {r["doc_id"] for r in got} == ids and len(got) == times * len(ids) and all(r["same_length"] for r in got)
