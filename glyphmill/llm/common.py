@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -25,10 +26,13 @@ def partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is unset (a local session, as in tests) a temporary folder takes its place.
+    Where the setting is unset and the session is local, as in tests, a temporary folder takes its place; on a
+    cluster that would be another folder on each machine, so there an unset setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and not base.startswith("file:"):
@@ -45,6 +49,21 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a number for each row, and the name of that column.
+
+    The number is doc_id where every row has one of its own.  Else rows are numbered in order of doc_id (rows
+    without one last) and written, so that the numbers stay whenever the frame is read again."""
+    name = "row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    key = F.col("doc_id").try_cast("long")
+    if docs.select(key.alias("k")).groupBy("k").count().where("count > 1 or k is null").isEmpty():
+        return docs.withColumn(name, key), name
+    ordered = docs.orderBy(key.asc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id())
+    return staged(ordered.withColumn(name, F.monotonically_increasing_id()), "numbered-rows"), name
+
+
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a shared folder, for files that are not tables."""
     if uri.startswith("file:"):

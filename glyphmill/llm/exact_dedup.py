@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import numbered, staged, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 KEY = ("text_sha256", "n_bytes", "verifier")
@@ -109,9 +109,9 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the rows that ``exact_dedup`` keeps, told apart by a row number and not by doc_id,
-    which can be null or repeated."""
-    row = "__row"
-    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
-    gone = exact_dedup(numbered.select("doc_id", "text", row), row=row).where(~F.col("kept")).select(F.col("row_number").alias(row))
-    return numbered.join(gone, row, "left_anti").select(*docs.columns)
+    """Pipeline stage: of rows with equal texts the one that ``exact_dedup`` keeps.  Rows go by number and never by
+    doc_id, which can be null or repeated.  Empty and null texts are equal to each other, so one of them stays.
+    All columns are returned as they are; an empty table stays empty."""
+    own, row = numbered(docs)
+    gone = exact_dedup(own.select("doc_id", "text", row), row=row).where("not kept").select(F.col("row_number").alias(row))
+    return own.join(gone, row, "left_anti").select(*docs.columns)

@@ -1,11 +1,11 @@
 """Operator 2, n-gram Jaccard join with Bayesian candidate pruning.
 
-Texts become sets of hashed word shingles; equal sets are one class from there on.  MinHash bands give
-each class its keys; classes that share a key are joined to the least of them, and connected
-components of these edges bound where links can be: no link leaves a component but with the chance
-that all bands miss a pair (3.2e-6 at the threshold).  A component of up to ``BLOCK`` classes is one
-unit of work, a larger one is cut into blocks of which each pair is a unit, so neither links nor pairs
-are ever rows, and no task holds more than two blocks.
+Texts become sets of hashed word shingles; equal sets are one class from there on.  Each class has a key
+for every band of its MinHash values, and a key that several classes share is a bucket.  Buckets with the
+same members are one.  A bucket of up to ``BLOCK`` classes is one unit of work, a larger one is cut into blocks of which
+each pair is a unit, so neither links nor pairs are ever rows, and no task holds more than two blocks.  A
+pair is compared in the bucket of the first band that it shares and in no other, which counts it once.  The
+chance that all bands miss a pair at the threshold is 3.2e-6.
 
 In a unit the MinHash values of all its pairs are compared 16 at a time.  After n values of which m agree
 the posterior of the similarity is Beta(m + 1, n - m + 1); pairs for which the probability of
@@ -23,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, grouped, mix64, partitions, staged, table, texts_of
-from .components import components, with_least
+from .common import U64, grouped, mix64, numbered, partitions, staged, table, texts_of
+from .components import SALTS, components, with_least
 from .words import combined, hashed, in_blocks
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 STEP = 16
-BLOCK = 256
+BLOCK = 256  # classes of a block
+BLOCK_SHINGLES = 1 << 18
+MOST_BLOCKS = 64  # of a bucket, which bounds how often a set is copied; blocks are larger beyond
+PART = 512  # classes compared at once
 _A = mix64(np.arange(1, HASHES + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F)) | U64(1)
 _B = mix64(np.arange(1, HASHES + 1, dtype=U64) * U64(0x165667B19E3779F9))
 
@@ -93,10 +96,16 @@ def least_matches(similarity: float, tolerance: float) -> dict[int, int]:
     return out
 
 
-def linked(sets_a: list, sig_a: np.ndarray, sets_b: list, sig_b: np.ndarray, similarity: float, limits: dict[int, int]) -> np.ndarray:
-    """Which pairs reach the similarity: pruned by the posterior, then verified exactly."""
+def linked(sets_a: list, sig_a: np.ndarray, sets_b: list, sig_b: np.ndarray, similarity: float, limits: dict[int, int], band: int = 0) -> np.ndarray:
+    """Which pairs reach the similarity: pruned by the posterior, then verified exactly.  Pairs that share a
+    band before ``band`` are left out."""
     na, nb = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
     open_ = np.minimum(na[:, None], nb) + 1e-9 >= similarity * np.maximum(na[:, None], nb)
+    for k in range(band):
+        same = open_.copy()
+        for r in range(k * ROWS, (k + 1) * ROWS):
+            same &= sig_a[:, r, None] == sig_b[None, :, r]
+        open_ &= ~same
     agree = np.zeros(open_.shape, np.int16)
     for n, least in limits.items():
         if not open_.any():
@@ -134,57 +143,91 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
         label = new
 
 
-def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, tolerance: float = 1e-6) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, text_class, n_shingles.
+def buckets(sets: DataFrame) -> DataFrame:
+    """(rep, key, band, blocks) for every class and bucket that it is in, of buckets with the same members the
+    one of the lowest band.
+
+    Keys of one class only go first; the rows of a key are dealt over ``SALTS`` parts of the join, of which an
+    aggregate says in a bit mask which the key has."""
+    keyed = sets.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")).where("n > 1")
+    parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("mask", k) == 1)
+    members = staged(keyed.join(shared.select("key", F.explode(parts).alias("salt")), ["key", "salt"]), "bucket-members")
+    same = [F.count("*").alias("n"), F.min("rep").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
+    rest = [F.sum("n_shingles").alias("size"), F.min("band").alias("b"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")]
+    each = members.groupBy("key").agg(*same, *rest)
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES))
+    each = each.groupBy("n", "m", "x", "y").agg(F.min(F.struct("b", "key", "mask", "size")).alias("z")).select("n", "z.*")
+    each = each.select("key", F.least(blocks, F.col("n"), F.lit(MOST_BLOCKS)).cast("int").alias("blocks"), F.explode(parts).alias("salt"))
+    return members.join(each, ["key", "salt"]).select("rep", "key", "band", "blocks")
+
+
+def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, tolerance: float = 1e-6, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, text_class, n_shingles, kept, row_number.
 
     ``text_class`` is the smallest doc_id with the same shingle set, ``n_links`` the number of other text classes
     whose similarity to it is at least ``similarity``, ``class_id`` the smallest doc_id of its component of
-    links.  A text of fewer than n words has one shingle of all its words.  Null and empty texts, and texts
-    without a word, have no shingle: they are their own class and link to nothing.  Rows with a null doc_id
-    link to nothing and have null classes.  Repeated rows are returned each; they share a class.
+    links; both are null where no row of the class has a doc_id.  A text of fewer than n words has one shingle of
+    all its words.  Null and empty texts, and texts without a word, have no shingle: each such row is its own class,
+    links to nothing and is kept.  Rows are told apart by number and not by doc_id, so null and repeated ids take
+    part like any other; repeated rows are returned each and share a class.  ``kept`` marks one row of each class: that
+    of the smallest doc_id, of equal ones the first by number.  ``row`` names a column that numbers the rows in
+    order of doc_id (as ``numbered`` does); without it they are numbered here.  An empty table gives no rows; other
+    columns are not read.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if row is None:
+        docs, row = numbered(docs.select("doc_id", "text"))
+    own = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def signed(batches):
         for batch in batches:
-            ids, texts = batch.column(0), texts_of(batch.column(1))
+            rows, ids, texts = batch.column(0), batch.column(1), texts_of(batch.column(2))
             for a in range(0, len(texts), 512):
                 sets = shingle_sets(texts[a : a + 512], n)
                 keys = band_keys(signatures(sets))
                 size = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[a : a + 512], *set_hashes(sets), pa.array(size), pa.array([k.tolist() if m else [] for k, m in zip(keys, size)], pa.list_(pa.int64()))],
-                    ["doc_id", "set_a", "set_b", "n_shingles", "bands"],
+                    [rows[a : a + 512], ids[a : a + 512], *set_hashes(sets), pa.array(size), pa.array([k.tolist() if m else [] for k, m in zip(keys, size)], pa.list_(pa.int64()))],
+                    ["row", "doc_id", "set_a", "set_b", "n_shingles", "bands"],
                 )
 
-    rows = staged(own.mapInArrow(signed, "doc_id long, set_a long, set_b long, n_shingles long, bands array<long>"), "shingle-sets")
-    sets = staged(
-        rows.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "text-classes"
-    )
-    keyed = sets.select("rep", F.explode("bands").alias("key"))
-    candidates = components(with_least(keyed, "key", "rep", several=True).where("rep <> m").select(F.col("rep").alias("u"), F.col("m").alias("v")))
-    candidates = staged(candidates, "candidates")
-    blocks = candidates.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = candidates.join(blocks, "root").join(sets.select(F.col("rep").alias("node"), "set_a", "set_b"), "node")
+    rows = staged(own.mapInArrow(signed, "row long, doc_id long, set_a long, set_b long, n_shingles long, bands array<long>"), "shingle-sets")
+    least = F.min(F.struct("row", "doc_id")).alias("least")
+    # the copies of one text can be many: they are dealt over SALTS parts of the last join, a bit mask says which
+    salt = F.when(F.col("n_shingles") > 0, F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    mask = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")
+    sets = rows.withColumn("salt", salt).where("n_shingles > 0").groupBy("set_a", "set_b").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), mask)
+    sets = staged(sets.select("set_a", "set_b", F.col("least.row").alias("rep"), F.col("least.doc_id").alias("rep_id"), "n_shingles", "bands", "mask"), "text-classes")
+    members = buckets(sets).groupBy("rep").agg(F.collect_list(F.struct("key", "band", "blocks")).alias("buckets"))  # one a band at most
 
     def shingled(batches):
         for batch in batches:
-            texts, a, b = texts_of(batch.column(3)), batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            texts = texts_of(batch.column(2))
             for k in range(0, len(texts), 512):
                 sets = shingle_sets(texts[k : k + 512], n)
-                ha, hb = set_hashes(sets)
-                same = (ha.to_numpy() == a[k : k + 512]) & (hb.to_numpy() == b[k : k + 512])  # of rows that share a doc_id, the one meant
-                part = batch.slice(k, len(sets)).select([0, 1, 2])
-                out = pa.RecordBatch.from_arrays([*part.columns, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "root", "blocks", "shingles"])
-                yield out.filter(pa.array(same))
+                sig = signatures(sets)
+                part = batch.slice(k, len(sets))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
+                    ["node", "buckets", "shingles", "signature"],
+                )
 
-    texts = own.withColumnRenamed("doc_id", "node").join(members, "node").select("node", "root", "blocks", "text", "set_a", "set_b")
+    kind = "buckets array<struct<key:bigint,band:int,blocks:int>>"
+    texts = own.join(members, own["row"] == members["rep"]).select(F.col("row").alias("node"), "buckets", "text")
+    units = texts.mapInArrow(shingled, f"node long, {kind}, shingles binary, signature binary")
+    units = units.select("node", "shingles", "signature", F.explode("buckets").alias("z")).select("node", "shingles", "signature", "z.*")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    units = texts.mapInArrow(shingled, "node long, root long, blocks int, shingles binary").select(
-        "node", "root", "shingles", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    units = units.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select(
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
+        "key",
+        "band",
+        "node",
+        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
+        "shingles",
+        "signature",
     )
-    units = units.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "node", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"), "shingles")
     limits = least_matches(similarity, tolerance)
 
     def compared(batches):
@@ -196,23 +239,31 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, tolerance
             return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["kind", "u", "v"])
 
         for _, t in grouped(batches, "unit"):
-            nodes, first = np.unique(t.column("node").to_numpy(), return_index=True)
-            if len(nodes) < 2:
+            nodes, side, band = t.column("node").to_numpy(), t.column("side").to_numpy(), int(t.column("band")[0].as_py())
+            alone = not side.any()
+            if len(nodes) < 2 or (not alone and (side == side[0]).all()):
                 continue
-            side, raw = t.column("side").to_numpy()[first], t.column("shingles").take(pa.array(first)).to_pylist()
-            own_sets = [np.frombuffer(x, U64) for x in raw]
-            sig = signatures(own_sets)
-            links = np.zeros((len(nodes), len(nodes)), bool)
-            a, b = (np.flatnonzero(side == s) for s in (1, 2))
-            if not len(a) and not len(b):
-                links = linked(own_sets, sig, own_sets, sig, similarity, limits)
-                np.fill_diagonal(links, False)
-            elif len(a) and len(b):
-                got = linked([own_sets[i] for i in a], sig[a], [own_sets[i] for i in b], sig[b], similarity, limits)
-                links[np.ix_(a, b)] = got
-                links[np.ix_(b, a)] = got.T
-            held += [(0, int(nodes[i]), int(c)) for i, c in enumerate(links.sum(1)) if c]
-            held += [(1, int(nodes[i]), int(nodes[j])) for i, j in forest(links)]
+            sets = [np.frombuffer(x, U64) for x in t.column("shingles").to_pylist()]
+            sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(len(sets), HASHES)
+            count = np.zeros(len(nodes), np.int64)
+            left, right = (np.arange(len(nodes)),) * 2 if alone else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+            for i in range(0, len(left), PART):
+                for j in range(i if alone else 0, len(right), PART):
+                    a, b = left[i : i + PART], right[j : j + PART]
+                    links = linked([sets[x] for x in a], sig[a], [sets[x] for x in b], sig[b], similarity, limits, band)
+                    if alone and i == j:
+                        np.fill_diagonal(links, False)
+                        count[a] += links.sum(1)
+                        held += [(1, int(nodes[a[x]]), int(nodes[a[y]])) for x, y in forest(links)]
+                        continue
+                    count[a] += links.sum(1)
+                    count[b] += links.sum(0)
+                    if links.any():
+                        both, square = np.concatenate((a, b)), np.zeros((len(a) + len(b),) * 2, bool)
+                        square[: len(a), len(a) :] = links
+                        square[len(a) :, : len(a)] = links.T
+                        held += [(1, int(nodes[both[x]]), int(nodes[both[y]])) for x, y in forest(square)]
+            held += [(0, int(nodes[x]), int(count[x])) for x in np.flatnonzero(count)]
             if len(held) > 8192:
                 yield out()
         if held:
@@ -220,15 +271,21 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, tolerance
 
     verified = staged(units.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(compared, "kind int, u long, v long"), "links")
     links = verified.where("kind = 0").groupBy(F.col("u").alias("rep")).agg(F.sum("v").alias("n_links"))
-    roots = components(verified.where("kind = 1").select("u", "v")).select(F.col("node").alias("rep"), F.col("root"))
-    of_set = sets.select("set_a", "set_b", "rep").join(links, "rep", "left").join(roots, "rep", "left")
+    roots = components(verified.where("kind = 1").select("u", "v")).select(F.col("node").alias("rep"), "root")
+    # rows are numbered in order of doc_id, so the root has the smallest one of its class
+    named = with_least(roots.join(sets.select("rep", "rep_id"), "rep").select("rep", "root", F.struct("rep", "rep_id").alias("own")), "root", "own")
+    classes = named.select("rep", "root", F.col("m.rep_id").alias("class_id"))
+    parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("mask", k) == 1)
+    of_set = sets.select("set_a", "set_b", "rep", "rep_id", "mask").join(links, "rep", "left").join(classes, "rep", "left").withColumn("salt", F.explode(parts)).drop("mask")
     some = F.col("n_shingles") > 0
-    return rows.drop("bands").join(of_set, ["set_a", "set_b"], "left").select(
+    return rows.drop("bands").withColumn("salt", salt).join(of_set, ["set_a", "set_b", "salt"], "left").select(
         "doc_id",
-        F.when(some & F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.when(some & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("text_class"),
+        F.when(some, F.when(F.col("root").isNull(), F.col("rep_id")).otherwise(F.col("class_id"))).otherwise(F.col("doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(some, F.col("rep_id")).otherwise(F.col("doc_id")).alias("text_class"),
         "n_shingles",
+        (~some | (F.coalesce("root", "rep") == F.col("row"))).alias("kept"),
+        F.col("row").alias("row_number"),
     )
 
 
@@ -241,10 +298,14 @@ def set_hashes(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("kept", "row_number")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each near-duplicate class the document that names it stays."""
-    gone = jaccard_join(docs.select("doc_id", "text")).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each near-duplicate class one row stays, that of the smallest doc_id (rows without one come
+    last, of equal ids the first by number).  Rows go by number and never by doc_id, which can be null or
+    repeated: another row of a dropped row's id stays.  Rows without a word all stay.  All columns are returned as
+    they are; an empty table stays empty."""
+    own, row = numbered(docs)
+    gone = jaccard_join(own.select("doc_id", "text", row), row=row).where("not kept").select(F.col("row_number").alias(row))
+    return own.join(gone, row, "left_anti").select(*docs.columns)
