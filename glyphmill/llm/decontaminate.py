@@ -1,31 +1,38 @@
 """Operator 10, benchmark decontamination under edit distance.
 
 An item of m words is found in a document when a passage differs from it by at most ``1 - similarity``
-of m word edits.  If so, some run of the item's words is unchanged, and by the pigeonhole rule it has at
-least ``ceil((m - k) / (k + 1))`` words; word n-grams of that length (three at most) give the places where an
-item-sized window can lie, without loss; where a passage lies, as many n-grams agree as the q-gram bound says.  Windows are embedded by CGK random walks: a string of
-symbols becomes one of three times its length, in which each step repeats the current symbol or goes
+of m word edits.  Items and item-sized windows of the documents are embedded by CGK random walks: a
+string of symbols becomes one of three times its length, in which each step repeats the current symbol or goes
 on to the next as a random function of step and symbol says; edit distance becomes Hamming distance.
-Bit-sampling LSH compares a window with its item: tables look at a few sampled positions, and a window
-that agrees with the item on all of one table's positions is a candidate.  The number of tables is
-raised until simulated passages at the threshold reach the target recall.  Candidates are
-verified by exact edit distance.
+Bit-sampling LSH deals the embedded items into buckets: each table looks at a few sampled positions of one
+walk, and a bucket is what is found there.  Windows look their buckets up in every table, and the
+items that they meet there are their candidates; nothing else is.  The number of tables is raised until
+simulated passages at the threshold reach the target recall.  Candidates are verified by exact edit distance.
+
+Not every window is embedded.  If a passage matches an item, some run of the item's words is unchanged, by
+the pigeonhole rule one of at least ``ceil((m - k) / (k + 1))`` words; and k edits spoil at most k * n of its n-grams.  So
+a window is embedded only if at least m - n + 1 - k * n of its n-grams (of that length, three words at
+most) occur in items of its size, in whatever of them.  This loses nothing and does not say which item it may be.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, table, texts_of
+from .common import U64, mix64, numbered, shared_dir, store, table, texts_of
 from .words import combined, hashed, in_blocks
 
-WALKS = 4
 SAMPLED = 3
-SHAPE = "doc_id long, item_id long, edit_distance long, item_words long, similarity double, word_at long"
+SIMULATED_WORDS = 512  # passages of longer items are simulated with this length
+SHAPE = "doc_id long, item_id long, edit_distance long, item_words long, similarity double, word_at long, row_number long"
 PAD = U64(0)
+CELLS = 1 << 20  # of a matrix of windows
+HELD_BYTES = 64 << 20  # of texts that meet a block of items at once
 
 
 def allowed(m: np.ndarray | int, similarity: float):
@@ -37,58 +44,59 @@ def embed(words: np.ndarray, lens: np.ndarray, walk: int, steps: int) -> np.ndar
     n = len(words)
     wide = np.concatenate((words, np.full((n, 1), PAD, U64)), 1)
     rows, at = np.arange(n), np.zeros(n, np.int64)
-    out = np.empty((n, steps), U64)
+    out = np.empty((steps, n), U64)
     for t in range(steps):
         x = wide[rows, np.minimum(at, lens)]
-        out[:, t] = x
+        out[t] = x
         salt = U64((0x9E3779B97F4A7C15 * (walk * 100_003 + t + 1)) & (2**64 - 1))
-        at += ((mix64(x ^ salt) >> U64(61)) & U64(1)).astype(np.int64)
-    return out
+        at += (mix64(x ^ salt) >> U64(63)).astype(np.int64)
+    return out.T
 
 
 class Tables:
-    """Sampled positions for each walk, as fractions of the embedding's length."""
+    """Sampled positions of each table, as fractions of the embedding's length, and the walk that it looks at."""
 
     def __init__(self, tables: int, seed: int = 11):
+        self.n, self.walks = tables, max(4, tables // 32)
         self.draws = np.random.default_rng(seed).random((tables, SAMPLED))
-        self.walk = np.arange(tables) % WALKS
-
-    def at(self, length: int) -> np.ndarray:
-        return (self.draws * length).astype(np.int64)
-
-    def agree(self, equal: list[np.ndarray], length: int) -> np.ndarray:
-        """Whether any table's positions all agree; ``equal[w]`` compares embeddings by walk w."""
-        at, hit = self.at(length), np.zeros(len(equal[0]), bool)
-        for k in range(len(at)):
-            hit |= equal[self.walk[k]][:, at[k]].all(1)
-        return hit
-
-
-def tables_for(recall: float, similarity: float, lengths: list[int], most: int = 512) -> Tables:
-    """The fewest tables (by doubling) whose recall on random edits at the threshold is ``recall``."""
+        self.salt = mix64(np.arange(1, tables + 1, dtype=U64) * U64(0xA24BAED4963EE407))
+
+    def buckets(self, words: np.ndarray) -> np.ndarray:
+        """(strings x tables) keys of the buckets of strings of one length."""
+        n, m = words.shape
+        at, out = (self.draws * (3 * m)).astype(np.int64), np.empty((n, self.n), U64)
+        for w in range(self.walks):
+            own = embed(words, np.full(n, m), w, 3 * m)
+            for t in range(w, self.n, self.walks):
+                key = np.full(n, self.salt[t], U64)
+                for p in at[t]:
+                    key = mix64(key * U64(0xD1342543DE82EF95) + own[:, p])
+                out[:, t] = key
+        return out
+
+
+def tables_for(recall: float, similarity: float, lengths: list[int]) -> Tables:
+    """The fewest tables (by doubling) whose recall on random edits at the threshold is ``recall``, at each length."""
     rng = np.random.default_rng(17)
     trials = []
-    for m in sorted({int(np.quantile(lengths, q)) for q in (0.0, 0.5, 1.0)}):
+    for m in sorted({min(int(x), SIMULATED_WORDS) for x in lengths}):
         k = int(allowed(m, similarity))
-        pairs = []
-        for _ in range(150):
+        a, b = np.empty((150, m), U64), np.empty((150, m), U64)
+        for i in range(150):
             x = rng.integers(1, 2**62, m).astype(U64)
             y = x.copy()
             for _ in range(k):  # substitutions, insertions and deletions
                 p, kind = rng.integers(0, max(1, len(y))), rng.integers(0, 3)
                 new = rng.integers(1, 2**62, 1).astype(U64)
                 y = np.concatenate((y[:p], new if kind < 2 else y[:0], y[p + (kind != 1) :]))
-            y = np.concatenate((y, rng.integers(1, 2**62, k).astype(U64)))[:m]  # a window has the item's size
-            pairs.append((x, y))
-        a, b = np.array([p[0] for p in pairs]), np.full((len(pairs), m), PAD, U64)
-        for i, (_, y) in enumerate(pairs):
-            b[i, : len(y)] = y
-        ends = np.full(len(pairs), m)
-        trials.append(([embed(a, ends, w, 3 * m) == embed(b, ends, w, 3 * m) for w in range(WALKS)], 3 * m))
+            a[i], b[i] = x, np.concatenate((y, rng.integers(1, 2**62, k).astype(U64)))[:m]  # a window has the item's size
+        trials.append((a, b))
     n = 8
-    while n < most and min(Tables(n).agree(e, length).mean() for e, length in trials) < recall:
+    while True:  # each walk and table has a chance of its own to meet, so this ends
+        tables = Tables(n)
+        if all((tables.buckets(a) == tables.buckets(b)).any(1).mean() >= recall for a, b in trials):
+            return tables
         n *= 2
-    return Tables(n)
 
 
 def edit_distances(items: np.ndarray, m: int, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,133 +115,175 @@ def edit_distances(items: np.ndarray, m: int, regions: np.ndarray) -> tuple[np.n
 
 
 class Benchmark:
-    """The items' words, their n-grams, embeddings and tables."""
+    """The n-grams of the items and, for each length, their buckets."""
 
-    def __init__(self, ids: list[int], texts: list[str], similarity: float, recall: float):
+    def __init__(self, ids: list[int], texts: list[str], similarity: float, tables: Tables):
         h, bounds = hashed(texts)
         keep = [i for i in range(len(ids)) if bounds[i + 1] > bounds[i]]
+        self.tables = tables
         self.ids = np.array([ids[i] for i in keep], np.int64)
         self.words = [np.where(h[bounds[i] : bounds[i + 1]] == PAD, U64(1), h[bounds[i] : bounds[i + 1]]) for i in keep]
         self.m = np.array([len(w) for w in self.words], np.int64)
-        self.k = allowed(self.m, similarity) if len(keep) else self.m
-        self.tables = tables_for(recall, similarity, self.m.tolist()) if len(keep) else None
+        self.k = allowed(self.m, similarity)
         self.grams: dict[int, tuple] = {}
-        size = np.minimum(3, np.maximum(1, -(-(self.m - self.k) // (self.k + 1)))) if len(keep) else self.m
+        self.buckets: dict[int, tuple] = {}
+        size = np.minimum(3, np.maximum(1, -(-(self.m - self.k) // (self.k + 1))))
         for n in sorted(set(size.tolist())):
-            own = [(combined(self.words[i], n), i) for i in np.flatnonzero(size == n)]
-            g = np.concatenate([x for x, _ in own])
-            item = np.concatenate([np.full(len(x), i) for x, i in own])
-            at = np.concatenate([np.arange(len(x)) for x, _ in own])
-            order = np.argsort(g, kind="stable")
+            lengths = sorted({(int(m), int(k)) for m, k in zip(self.m[size == n], self.k[size == n])})
+            which = {m: i for i, (m, _) in enumerate(lengths)}
+            own = [(combined(self.words[i], n), which[int(self.m[i])]) for i in np.flatnonzero(size == n)]
+            pairs = np.unique(np.array(list(zip(np.concatenate([g for g, _ in own]), np.concatenate([np.full(len(g), i, U64) for g, i in own])))), axis=0)
+            g, first = np.unique(pairs[:, 0], return_index=True)
             near = np.zeros(1 << 22, bool)
             near[(g >> U64(42)).astype(np.int64)] = True
-            self.grams[n] = (g[order], item[order], at[order], near)
-        self.embedded = [[embed(w[None, :], np.array([len(w)]), k, 3 * len(w))[0] for w in self.words] for k in range(WALKS)]
-
-    def windows(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Distinct (text, item, first word of the window) at which n-grams agree.
-
-        Each edit spoils n of the item's m - n + 1 n-grams at most, and a passage's edits move what is left of
-        them by k words at most: so many must agree within k words of the window's place."""
-        found = []
-        for n, (grams, item, at, near) in self.grams.items():
+            self.grams[n] = (g, np.append(first, len(pairs)), pairs[:, 1].astype(np.int64), near, lengths)
+        for m in sorted(set(self.m.tolist())):
+            own = np.flatnonzero(self.m == m)
+            words = np.stack([self.words[i] for i in own])
+            rows = max(1, CELLS // (3 * m))
+            keys = np.concatenate([tables.buckets(words[a : a + rows]) for a in range(0, len(own), rows)]).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.buckets[m] = (keys[order], np.repeat(own, tables.n)[order])
+
+    def windows(self, h: np.ndarray, bounds: np.ndarray):
+        """(m, k, first words of windows) of the windows that are looked up."""
+        for n, (grams, first, length, near, lengths) in self.grams.items():
             g = combined(h, n)
             p = np.flatnonzero(near[(g >> U64(42)).astype(np.int64)]) if len(g) else np.zeros(0, np.int64)
-            lo, hi = np.searchsorted(grams, g[p], "left"), np.searchsorted(grams, g[p], "right")
-            p, lo, hi = p[hi > lo], lo[hi > lo], hi[hi > lo]
+            at = np.minimum(np.searchsorted(grams, g[p]), len(grams) - 1)
             doc = np.searchsorted(bounds, p, "right") - 1
-            ok = p + n <= bounds[doc + 1]
-            p, lo, hi, doc = p[ok], lo[ok], hi[ok], doc[ok]
-            times = hi - lo
-            which = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            which_item = item[which]
-            pair = np.repeat(doc, times) * len(self.m) + which_item
-            place = np.repeat(p, times) - at[which]
-            if not len(pair):
-                continue
-            # A pair has as many keys as there are places, and room for k on both sides.
-            low = int(place.min()) - int(self.k.max())
-            span = int(place.max()) + int(self.k.max()) + 1 - low
-            if (int(pair.max()) + 1) * span >= 1 << 63:
-                raise OverflowError("too many texts, items and words for one block")
-            key = np.sort(pair * span + (place - low))
-            own = (key // span) % len(self.m)
-            k = self.k[own]
-            agree = np.searchsorted(key, key + k, "right") - np.searchsorted(key, key - k, "left")
-            key = np.unique(key[agree >= self.m[own] - n + 1 - k * n])
-            found.append(np.stack([key // span // len(self.m), (key // span) % len(self.m), key % span + low], 1))
-        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+            ok = (grams[at] == g[p]) & (p + n <= bounds[doc + 1])
+            p, at = p[ok], at[ok]
+            times = first[at + 1] - first[at]
+            which = length[np.repeat(first[at] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+            hits = np.repeat(p, times)
+            order = np.argsort(which, kind="stable")
+            cuts = np.searchsorted(which[order], np.arange(len(lengths) + 1))
+            for (m, k), x, y in zip(lengths, cuts[:-1], cuts[1:]):
+                c = m - n + 1 - k * n
+                q = hits[order[x:y]]
+                if len(q) < c:
+                    continue
+                # windows with the hits i to i + c - 1: they begin after the last one less what follows it, and not after the first
+                doc = np.searchsorted(bounds, q, "right") - 1
+                head, tail = q[: len(q) - c + 1], q[c - 1 :]
+                ok = (doc[: len(q) - c + 1] == doc[c - 1 :]) & (tail - head <= m - n)
+                low, high = bounds[doc[c - 1 :][ok]], bounds[doc[c - 1 :][ok] + 1]
+                begin, end = np.maximum(tail[ok] - (m - n), low), np.minimum(head[ok], high - (m - k)) + 1
+                begin = np.maximum(begin, np.concatenate(([0], np.maximum.accumulate(end)[:-1]))[: len(end)])
+                size = np.maximum(end - begin, 0)
+                if size.any():
+                    yield m, k, np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
     def search(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, words of the item, first word of the passage), the best for each pair."""
-        h = np.where(h == PAD, U64(1), h)
-        rows, best = self.windows(h, bounds), {}
-        for item in np.unique(rows[:, 1]) if len(rows) else []:
-            m, k = int(self.m[item]), int(self.k[item])
-            mine = rows[rows[:, 1] == item]
-            for a in range(0, len(mine), 4096):
-                part = mine[a : a + 4096]
-                low, high = bounds[part[:, 0]], bounds[part[:, 0] + 1]
-                at = part[:, 2:] + np.arange(m)
-                inside = (at >= low[:, None]) & (at < high[:, None])
-                win = np.where(inside, h[np.clip(at, 0, len(h) - 1)], PAD)
-                ends = np.full(len(part), m)
-                equal = [embed(win, ends, w, 3 * m) == self.embedded[w][item] for w in range(WALKS)]
-                part = part[self.tables.agree(equal, 3 * m)]
-                if not len(part):
-                    continue
-                low, high = bounds[part[:, 0]], bounds[part[:, 0] + 1]
-                at = part[:, 2:] - k + np.arange(m + 2 * k)
-                inside = (at >= low[:, None]) & (at < high[:, None])
-                region = np.where(inside, h[np.clip(at, 0, len(h) - 1)], PAD)
-                d, end = edit_distances(np.broadcast_to(self.words[item], (len(part), m)), m, region)
+        h, best = np.where(h == PAD, U64(1), h), {}
+        for m, k, all_ in self.windows(h, bounds):
+            keys, items = self.buckets[m]
+            met = []
+            rows = max(1, CELLS // (3 * m))
+            for a in range(0, len(all_), rows):
+                at = all_[a : a + rows]
+                doc = np.searchsorted(bounds, at, "right") - 1
+                place = at[:, None] + np.arange(m)
+                asked = self.tables.buckets(np.where(place < bounds[doc + 1][:, None], h[np.minimum(place, len(h) - 1)], PAD))
+                low, high = np.searchsorted(keys, asked.ravel(), "left"), np.searchsorted(keys, asked.ravel(), "right")
+                times = high - low
+                which = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                row = np.repeat(np.repeat(np.arange(len(at)), self.tables.n), times)
+                # windows of one item that begin within k words of each other are verified as one
+                met.append(np.stack([doc[row], items[which], at[row] // (k + 1)], 1))
+            met = np.unique(np.concatenate(met), axis=0) if met else np.zeros((0, 3), np.int64)
+            wide = m + 4 * k + 1
+            rows = max(1, CELLS // wide)
+            for a in range(0, len(met), rows):
+                doc, item, first = met[a : a + rows, 0], met[a : a + rows, 1], met[a : a + rows, 2] * (k + 1) - k
+                place = first[:, None] + np.arange(wide)
+                inside = (place >= bounds[doc][:, None]) & (place < bounds[doc + 1][:, None])
+                region = np.where(inside, h[np.clip(place, 0, len(h) - 1)], PAD)
+                d, end = edit_distances(np.stack([self.words[i] for i in item]), m, region)
                 for r in np.flatnonzero(d <= k):
-                    doc = int(part[r, 0])
-                    first = max(0, int(part[r, 2] - k + end[r] - m - low[r]))
-                    got = (int(d[r]), first)
-                    if (doc, item) not in best or got < best[doc, item]:
-                        best[doc, item] = got
+                    key = (int(doc[r]), int(item[r]))
+                    got = (int(d[r]), max(0, int(first[r] + end[r] - m - bounds[doc[r]])))
+                    if key not in best or got < best[key]:
+                        best[key] = got
         return [(doc, int(item), d, int(self.m[item]), first) for (doc, item), (d, first) in sorted(best.items())]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.995, block_bytes: int = 16 << 20) -> DataFrame:
-    """(document, item) pairs: doc_id, item_id, edit_distance, item_words, similarity, word_at.
+_HELD: dict[tuple, Benchmark] = {}
+
+
+def held(uri: str, block: int, similarity: float, tables: Tables) -> Benchmark:
+    """A block of items, read from the shared folder; a Python worker holds one at a time."""
+    if (uri, block) not in _HELD:
+        _HELD.clear()
+        files, path = store(f"{uri}/block={block}")
+        found = files.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+        rows = []
+        for f in sorted((f.path for f in found if f.path.endswith(".parquet"))):
+            t = pq.read_table(files.open_input_file(f), columns=["item_id", "text"])
+            rows += zip(t.column("item_id").to_pylist(), t.column("text").to_pylist())
+        rows.sort()
+        _HELD[uri, block] = Benchmark([i for i, _ in rows], [t for _, t in rows], similarity, tables)
+    return _HELD[uri, block]
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.995, block_bytes: int = 16 << 20, row: str | None = None) -> DataFrame:
+    """(document, item) pairs: doc_id, item_id, edit_distance, item_words, similarity, word_at, row_number.
 
     Whole documents are searched for every item; a pair appears once with its best passage.  Words compare
     lower-cased and without punctuation.  Null and empty texts, and items without a word, match nothing.
     Items of fewer than five words must occur unchanged.  Repeated rows give repeated pairs; null ids stay null
-    for documents, and items without an id are not used.  Items are searched for in blocks of at most about
-    ``block_bytes`` of text, which bounds what is sent to a task whatever the size of the benchmark.
+    for documents, and items without an id are not used.  ``row`` names a column that numbers the rows, which comes
+    back as row_number (else null).  Other columns are not read; an empty table on either side gives no pairs.
+
+    The driver holds no items: they are written to the shared folder in blocks of about ``block_bytes`` of text, and tasks read
+    them block by block, each for ``HELD_BYTES`` of texts at a time, whatever the size of the benchmark.
     """
     spark = docs.sparkSession
     own = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks, out = -(-size // block_bytes), None
-    for b in range(blocks):
-        mine = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else own
-        rows = sorted(mine.collect())
-        bench = Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows], similarity, recall)
-
-        def search(batches, bench=bench):
-            for batch in batches:
-                ids, texts, found = batch.column(0).to_pylist(), texts_of(batch.column(1)), []
+    words = F.size(F.filter(F.split(F.lower("text"), r"[\x00-/:-`{-\x7f]+"), lambda w: w != ""))
+    got = own.select(words.alias("m"), F.octet_length("text").alias("b")).where("m > 0").agg(F.sum(F.col("b") + 64), F.min("m"), F.percentile_approx("m", 0.5), F.max("m")).first()
+    if got[0] is None:
+        return spark.createDataFrame([], SHAPE)
+    blocks, tables = -(-got[0] // block_bytes), tables_for(recall, similarity, got[1:])
+    uri = shared_dir(spark, "benchmark-items")
+    own.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).repartition(blocks, "block").write.partitionBy("block").parquet(uri)
+
+    def search(batches):
+        def found(some):
+            rows, ids, texts = ([x for part in some for x in part[c]] for c in range(3))
+            for block in range(blocks):
+                bench = held(uri, block, similarity, tables)
                 for a, z in in_blocks(texts):
                     h, bounds = hashed(texts[a:z])
-                    found += [(ids[a + d], int(bench.ids[i]), e, m, 1 - e / m, first) for d, i, e, m, first in bench.search(h, bounds)]
-                if found:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], [x.split()[0] for x in SHAPE.split(", ")])
+                    hits = [(ids[a + d], int(bench.ids[i]), e, m, 1 - e / m, first, rows[a + d]) for d, i, e, m, first in bench.search(h, bounds)]
+                    if hits:
+                        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits), kinds)], [x.split()[0] for x in SHAPE.split(", ")])
+
+        some, size = [], 0
+        for batch in batches:
+            some.append((batch.column(2).to_pylist(), batch.column(0).to_pylist(), texts_of(batch.column(1))))
+            size += batch.column(1).nbytes
+            if blocks == 1 or size > HELD_BYTES:
+                yield from found(some)
+                some, size = [], 0
+        if some:
+            yield from found(some)
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, SHAPE)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], SHAPE)
+    number = F.lit(None).cast("long") if row is None else F.col(row)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", number.alias("row_number")).mapInArrow(search, SHAPE)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_number")
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Pipeline stage: the documents in which no item was found."""
-    hits = decontaminate(docs.select("doc_id", "text"), items).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: the rows in which no item was found.  Rows go by number and never by doc_id, which can be null
+    or repeated; rows with empty or null texts stay.  All columns are returned as they are; an empty table stays
+    empty, and with an empty benchmark all rows stay."""
+    own, row = numbered(docs)
+    hits = decontaminate(own.select("doc_id", "text", row), items, row=row).select(F.col("row_number").alias(row)).distinct()
+    return own.join(hits, row, "left_anti").select(*docs.columns)
