@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import grouped, partitions, staged, table, texts_of
-from .encode import encoder
+from .encode import encoder, forget
 
 K1, B = 1.2, 0.75
 SHAPE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, kept_whole boolean"
@@ -205,11 +205,13 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = 2048,
     mass = only.groupBy("top").agg(F.sum("n").alias("size")).toPandas().sort_values("top")  # at most the vocabulary
     mass["before"] = mass["size"].cumsum() - mass["size"]
     axis = F.broadcast(spark.createDataFrame(mass.astype({"size": "float64", "before": "float64"}), "top long, size double, before double"))
-    within = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) / F.lit(2.0**32)
+    # by row and not by doc_id, which can be null or the same for many rows
+    within = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.monotonically_increasing_id()), F.lit(1 << 32)) / F.lit(2.0**32)
     dealt = only.join(axis, "top").withColumn("place", F.col("before") + within * F.col("size"))
     dealt = dealt.select(F.floor(F.col("place") / shard_tokens).alias("shard"), "place", "doc_id", "n", "ids")
 
     def packed(batches):
+        forget()
         for shard, t in grouped(batches, "shard"):
             ids, lens, raw = t.column("doc_id").to_pylist(), t.column("n").to_pylist(), t.column("ids").to_pylist()
             held = [unpacked(r, k) for k, r in zip(lens, raw)]
