@@ -378,17 +378,116 @@ def test_decontaminate(spark):
     assert decontaminate.decontaminate(docs, table.limit(0)).count() == 0
 
 
-def test_windows_of_many_items_and_texts():
-    r = random.Random(9)
-    items = [words(r, 6) for _ in range(3)]
-    bench = decontaminate.Benchmark([0, 1, 2], items, 0.8, 0.9)
-    few = 4000
-    texts = [items[i % 3] for i in range(few)]
-    want = [(i, i % 3, 0, 6, 0) for i in range(few)]
-    assert bench.search(*decontaminate.hashed(texts)) == want
-    bench.m = np.concatenate((bench.m, np.full(60_000, 6)))  # as many items as a block holds
-    bench.k = np.concatenate((bench.k, np.full(60_000, 1)))
-    assert bench.search(*decontaminate.hashed(texts)) == want
+def planted(r, m, n):
+    """(item, text with a passage that has the most edits allowed) pairs."""
+    items, texts = [words(r, m) for _ in range(n)], []
+    for t in items:
+        own = t.split()
+        for _ in range(int(0.2 * m + 1e-9)):
+            at, kind = r.randrange(len(own)), r.randrange(3)
+            own[at : at + (kind > 0)] = ["zz" + words(r, 1)] if kind < 2 else []
+        texts.append(words(r, 40) + " " + " ".join(own) + " " + words(r, 40))
+    return items, texts
+
+
+def test_recall_at_the_threshold():
+    r = random.Random(12)
+    for m in (7, 20, 60):
+        items, texts = planted(r, m, 120)
+        bench = decontaminate.Benchmark(list(range(120)), items, 0.8, decontaminate.tables_for(0.995, 0.8, [7, 20, 60]))
+        got = {(d, i) for d, i, *_ in bench.search(*decontaminate.hashed(texts))}
+        want = {(i, i) for i in range(120) if word_edits(items[i].split(), re.findall("[a-z]+", texts[i])) <= int(0.2 * m + 1e-9)}
+        assert len(got & want) >= 0.97 * len(want) and len(want) > 100
+
+
+def test_candidates_come_from_buckets():
+    items, texts = planted(random.Random(13), 20, 30)
+    bench = decontaminate.Benchmark(list(range(30)), items, 0.8, decontaminate.Tables(64))
+    assert len(bench.search(*decontaminate.hashed(texts))) >= 28
+    keys, own = bench.buckets[20]
+    bench.buckets[20] = (keys[:0], own[:0])
+    assert bench.search(*decontaminate.hashed(texts)) == []
+
+
+def test_windows_against_all_places():
+    r = random.Random(14)
+    items, texts = planted(r, 12, 20)
+    bench = decontaminate.Benchmark(list(range(20)), items, 0.8, decontaminate.Tables(8))
+    h, bounds = decontaminate.hashed(texts + ["", "one two", items[0]])
+    k, n = 2, 3
+    grams = {tuple(w.tolist()) for i in bench.words for w in np.lib.stride_tricks.sliding_window_view(i, n)}
+    want = []
+    for a, z in zip(bounds[:-1], bounds[1:]):
+        for p in range(a, z - (12 - k) + 1):
+            inside = sum(tuple(h[q : q + n].tolist()) in grams for q in range(p, min(p + 12, z) - n + 1))
+            want += [p] if inside >= 12 - n + 1 - k * n else []
+    assert sorted(x for _, _, at in bench.windows(h, bounds) for x in at.tolist()) == want
+
+
+def odd_rows(corpus):
+    """Repeated rows, repeated and null ids."""
+    return corpus + [corpus[3], corpus[3], (0, "same id, other text"), (60, corpus[5][1]), (60, "kept beside a dropped row of its id"), (None, "no id"), (None, corpus[1][1]), (None, corpus[6][1] + " tail"), (None, None)]
+
+
+def test_keep_representatives_by_row(spark, corpus):
+    rows = odd_rows(corpus)
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (d, t) in enumerate(rows):
+        groups.setdefault(find(i), []).append((d is None, d or 0, i))
+    ids = sorted(str(rows[min(g)[2]][0]) for g in groups.values())
+    got = jaccard_join.keep_representatives(frame(spark, rows).selectExpr("*", "1 as row", "2 as rep", "3 as salt", "4 as kept")).collect()
+    assert sorted(str(x["doc_id"]) for x in got) == ids and got[0]["row"] == 1
+    kept = {x["text"] for x in got}
+    assert {"same id, other text", "kept beside a dropped row of its id", "no id"} <= kept
+    assert jaccard_join.keep_representatives(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_keep_uncontaminated_by_row(spark, corpus):
+    rows = odd_rows(corpus)
+    table = spark.createDataFrame([(1, " ".join(corpus[1][1].split()[10:40])), (2, " ".join(corpus[3][1].split()[5:30])), (None, "x")], "item_id long, text string")
+    items = [corpus[1][1].split()[10:40], corpus[3][1].split()[5:30]]
+    hit = lambda t: any(word_edits(i, re.findall("[a-z]+", (t or "").lower())) <= 0.2 * len(i) for i in items)
+    got = decontaminate.keep_uncontaminated(frame(spark, rows).selectExpr("*", "1 as item_id", "2 as row_number"), table).collect()
+    assert sorted(repr((x["doc_id"], x["text"])) for x in got) == sorted(repr(x) for x in rows if not hit(x[1]))
+    assert decontaminate.keep_uncontaminated(frame(spark, rows), table.limit(0)).count() == len(rows)
+    assert decontaminate.keep_uncontaminated(frame(spark, rows).limit(0), table).count() == 0
+
+
+def test_keep_clean_by_row(spark, corpus):
+    r = random.Random(1)
+    labelled = [(i, words(r, 30) + (" idiot you fool. " if i % 3 == 0 else " . ") + words(r, 10)) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    rows = odd_rows(corpus) + [(None, "you idiot fool"), (0, "you fool, idiot")]
+    got = toxicity.keep_clean(frame(spark, rows).selectExpr("*", "1 as score"), labels, frame(spark, labelled)).collect()
+    assert sorted(repr((x["doc_id"], x["text"])) for x in got) == sorted(repr(x) for x in odd_rows(corpus))
+    assert toxicity.keep_clean(frame(spark, rows).limit(0), labels, frame(spark, labelled)).count() == 0
+
+
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "MOST_BLOCKS", 5)
+    monkeypatch.setattr(jaccard_join, "PART", 6)
+    r = random.Random(5)
+    base, rows = words(r, 150).split(), []
+    for i in range(70):
+        own = list(base)
+        own[r.randrange(150)] = "changed" + str(i)
+        rows.append((i, " ".join(own)))
+    sets = [shingles(t) for _, t in rows]
+    want = {i: sum(5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard_join.jaccard_join(frame(spark, rows)).collect()}
+    assert got == {i: (0, n) for i, n in want.items()}
 
 
 def test_pipeline_runs(spark):
