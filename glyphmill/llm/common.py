@@ -40,12 +40,12 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it again: cuts lineage, and what was
     computed is neither computed twice nor lost with an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark, label)}/table"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -101,10 +101,10 @@ def pack_shard(docs: list[np.ndarray], weights: Weights, window: int) -> list[li
     keys, first = np.unique(terms[order], return_index=True)
     last = np.concatenate((first[1:], [len(order)]))
     post_doc, post_val = owner[order], vals[order]
-    row = np.full(len(keys), -1)  # terms of over a quarter of the documents are held as rows, which add up faster
-    often = np.flatnonzero((last - first) * 4 > n)
+    row = np.full(len(keys), -1)  # terms of over a tenth of the documents are held as rows, which add up faster
+    often = np.flatnonzero((last - first) * 10 > n)
     row[often] = np.arange(len(often))
-    common = np.zeros((len(often), n))
+    common = np.zeros((len(often), n), np.float32)
     for r, i in enumerate(often.tolist()):
         common[r, post_doc[first[i] : last[i]]] = post_val[first[i] : last[i]]
     left = np.array([len(x) for x in docs])
@@ -114,10 +114,14 @@ def pack_shard(docs: list[np.ndarray], weights: Weights, window: int) -> list[li
     def neighbours(doc: int) -> np.ndarray:
         """Unused documents by descending score against all terms of ``doc``."""
         at = np.searchsorted(keys, each[doc][0])
-        score = common[row[at[row[at] >= 0]]].sum(0)
-        spans = [slice(first[i], last[i]) for i in at[row[at] < 0].tolist()]
-        if spans:
-            score += np.bincount(np.concatenate([post_doc[s] for s in spans]), np.concatenate([post_val[s] for s in spans]), n)
+        asked = np.zeros(len(often), np.float32)
+        asked[row[at[row[at] >= 0]]] = 1
+        score = (asked @ common).astype(np.float64)
+        rare = at[row[at] < 0]
+        size = last[rare] - first[rare]
+        if len(rare):
+            which = np.repeat(first[rare] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            score += np.bincount(post_doc[which], post_val[which], n)
         score[used] = 0
         hits = np.flatnonzero(score)
         return hits[np.argsort(-score[hits], kind="stable")]
@@ -192,7 +196,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = 2048,
     An empty table gives no pieces; other columns are not read.
     """
     spark = docs.sparkSession
-    parts = staged(encoded(docs, vocabulary, end_id, blank_free), "packing-ids")
+    parts = staged(encoded(docs, vocabulary, end_id, blank_free), "packing-ids", "lz4")  # ids hardly compress
     n_docs, total = parts.where("kind = 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not n_docs:
         return spark.createDataFrame([], SHAPE)
