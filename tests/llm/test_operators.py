@@ -96,6 +96,14 @@ def test_exact_dedup(spark, corpus):
     assert exact_dedup.exact_dedup(clash).where("kept").count() == len(groups)
 
 
+def test_exact_dedup_tree(spark, corpus):
+    many = frame(spark, corpus + [(k, "copy") for k in range(100, 160)]).repartition(13)
+    want = sorted(map(tuple, exact_dedup.exact_dedup(many, leaves=1).drop("row_number").collect()))
+    assert sum(x[2] == 60 for x in want) == 60
+    for leaves in (2, 5, 64):  # more scan runs than leaves, and fewer
+        assert sorted(map(tuple, exact_dedup.exact_dedup(many, leaves=leaves).drop("row_number").collect())) == want
+
+
 def test_keep_one_by_row(spark, corpus):
     rows = corpus + [corpus[3], corpus[3], (0, "same id, other text"), (60, corpus[5][1]), (60, "kept beside a dropped row of its id"), (None, "no id"), (None, "no\tid"), (None, "no id"), (None, corpus[1][1])]
     groups = {}
