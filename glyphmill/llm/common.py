@@ -92,21 +92,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def grouped(batches, key: str):
-    """(key, table) for each run of equal keys in a stream of Arrow batches that is sorted by ``key``."""
-    held: list[pa.RecordBatch] = []
-    at = None
+def key_runs(batches, key: str):
+    """(key, part of a batch) for each run of equal keys in a stream of Arrow batches."""
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
         cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            k = keys[a]
-            if held and k != at:
-                yield at, pa.Table.from_batches(held)
-                held = []
-            at = k
-            held.append(batch.slice(a, b - a))
+            yield keys[a], batch.slice(a, b - a)
+
+
+def grouped(batches, key: str):
+    """(key, table) for each run of equal keys in a stream of Arrow batches that is sorted by ``key``."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for k, part in key_runs(batches, key):
+        if held and k != at:
+            yield at, pa.Table.from_batches(held)
+            held = []
+        at = k
+        held.append(part)
     if held:
         yield at, pa.Table.from_batches(held)

@@ -7,33 +7,37 @@
 2. Segments meet by anchor hash.  Of identical segments all but the first repeat whole (those found in
    one task never leave it); of an anchor with one distinct segment nothing more can repeat, since no
    window occurs twice in a segment.  Only anchors whose distinct segments differ need comparison.
-3. The bytes of these segments go to shards by anchor hash.  A shard's segments make one string,
-   which external induced sorting turns into its suffix array with common-prefix values; suffixes
+3. An anchor whose distinct segments are larger than a shard is split: its segments are cut again, by
+   64-byte strings, and meet once more as in 2.
+4. The bytes of the segments left go to shards by anchor hash.  A shard's segments make one string in a
+   file, which external induced sorting turns into its suffix array with common-prefix values; suffixes
    that share at least ``span`` bytes are one window each, and all but the earliest occurrence repeat.
-4. Repeated windows of a document are merged into the runs of bytes that go.
+5. Repeated windows of a document are merged into the runs of bytes that go.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, bytes_of, grouped, mix64, partitions, staged, table
-from .induced_sort import suffix_array
+from .common import U64, bytes_of, grouped, key_runs, mix64, partitions, staged, table
+from .induced_sort import spans, suffix_array
 from .words import powers
 
-ANCHOR = 32
+ANCHORS = (32, 64)  # bytes; the second splits the anchors that are too frequent
 PIECE = 1 << 16  # window starts handled at once; longer texts are cut, with overlap
 SEGMENT = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("st", "<u4"), ("n", "<u4")])
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 2 << 20  # on average; a shard of any size is sorted within SORT_BYTES and its files
+SORT_BYTES = 1 << 20  # of queued tuples in memory, beyond which they go to a file
 _CODES = mix64(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
 
 
-def segments(raw: bytes, span: int) -> np.ndarray:
+def segments(raw: bytes, span: int, anchor: int = ANCHORS[0]) -> np.ndarray:
     """Segments of one text: anchor hash, content hash, first window, number of windows."""
     out = []
     for a in range(0, len(raw) - span + 1, PIECE):
@@ -41,9 +45,9 @@ def segments(raw: bytes, span: int) -> np.ndarray:
         up, down = powers(len(buf) + 1)
         total = np.zeros(len(buf) + 1, U64)
         np.cumsum(_CODES[buf] * up[: len(buf)], out=total[1:])
-        h = mix64((total[ANCHOR:] - total[:-ANCHOR]) * down[: len(buf) - ANCHOR + 1])
+        h = mix64((total[anchor:] - total[:-anchor]) * down[: len(buf) - anchor + 1])
         m = (h & ~U64(0xFFFFF)) | np.arange(len(h), dtype=U64)
-        width, s = span - ANCHOR + 1, 1
+        width, s = span - anchor + 1, 1
         while 2 * s <= width:
             m = np.minimum(m[:-s], m[s:])
             s *= 2
@@ -107,33 +111,49 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out
 
 
-def repeated_windows(doc: np.ndarray, st: np.ndarray, n: np.ndarray, text: bytes, span: int) -> np.ndarray:
-    """Window runs that repeat an earlier window, among segments of n + span - 1 bytes each."""
-    size = n + span - 1
-    raw = np.frombuffer(text, np.uint8).astype(np.int32) + 2
-    ends = np.cumsum(size)
-    string = np.ones(len(raw) + len(n), np.int32)  # 1 after each segment
-    inside = np.repeat(np.arange(len(n)), size)
-    string[np.arange(len(raw)) + inside] = raw
-    string = np.concatenate((string, [0])).astype(np.int32)
-    at = ends - size + np.arange(len(n))
-    owner = np.full(len(string), -1, np.int64)
-    window = np.repeat(np.arange(len(n)), n)
-    place = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    owner[place] = window
-    sa, lcp = suffix_array(string, span)
-    group = np.cumsum(lcp < span)
-    ok = owner[sa] >= 0
-    sa, group = sa[ok], group[ok]
-    own = owner[sa]
-    d, p = doc[own], st[own] + sa - at[own]
-    order = np.lexsort((p, d, group))
-    again = np.zeros(len(order), bool)
-    again[1:] = group[order][1:] == group[order][:-1]
-    flag = order[again]
-    out = np.zeros(len(flag), SEGMENT)
-    out["doc"], out["st"], out["n"] = d[flag], p[flag], 1
-    return joined(out)
+class Shard:
+    """A shard's segments as one string in a file: bytes plus 2, 1 after each segment, 0 at the end."""
+
+    def __init__(self):
+        self.string, self.places = tempfile.TemporaryFile(), tempfile.TemporaryFile()
+
+    def add(self, place: np.ndarray, text: bytes, span: int) -> None:
+        """Segments of n + span - 1 bytes each; ``place`` has rows of document, first window and n."""
+        size = place[2] + span - 1
+        out = np.ones(len(text) + len(size), "<i2")
+        out[np.arange(len(text)) + np.repeat(np.arange(len(size)), size)] = np.frombuffer(text, np.uint8).astype("<i2") + 2
+        self.string.write(out.tobytes())
+        self.places.write(np.ascontiguousarray(place.T, "<i8").tobytes())
+
+    def repeated(self, span: int, budget: int = SORT_BYTES):
+        """Window runs (doc, st, 1) that repeat an earlier window, in parts."""
+        self.string.write(b"\0\0")
+        for f in (self.string, self.places):
+            f.flush()
+        string = np.memmap(self.string, "<i2", "r")
+        place = np.memmap(self.places, "<i8", "r").reshape(-1, 3)
+        at = np.cumsum(place[:, 2] + span) - (place[:, 2] + span)
+        sa, lcp, _ = suffix_array(np.asarray(string), span, budget)
+        groups, least = 0, np.zeros((0, 3), np.int64)  # the last group's first window so far
+        for a, b in spans(len(sa), max(256, budget // 64)):
+            group = groups + np.cumsum(lcp[a:b] < span)
+            groups = int(group[-1])
+            own = np.searchsorted(at, sa[a:b], "right") - 1
+            off = sa[a:b] - at[own]
+            ok = off < place[own, 2]
+            rows = np.concatenate((least, np.stack((group[ok], place[own[ok], 0], place[own[ok], 1] + off[ok]), 1)))
+            rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+            first = np.ones(len(rows), bool)
+            first[1:] = rows[1:, 0] != rows[:-1, 0]
+            least = rows[first & (rows[:, 0] == groups)]
+            again = rows[~first]
+            out = np.zeros(len(again), SEGMENT)
+            out["doc"], out["st"], out["n"] = again[:, 1], again[:, 2], 1
+            yield joined(out)
+
+    def close(self) -> None:
+        self.string.close()
+        self.places.close()
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -156,15 +176,9 @@ def suffix_dedup(docs: DataFrame, span: int = 100, with_text: bool = False) -> D
     spark = docs.sparkSession
     own = numbered(docs)
     parts = partitions(spark)
-    buckets = 4 * parts
+    buckets = 16 * parts
 
-    def anchored(batches):
-        held = []
-        for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
-                part = segments(raw, span)
-                part["doc"] = i
-                held.append(part)
+    def dealt(held):
         if not held:
             return
         reps, again = first_of_each(np.concatenate(held))
@@ -176,15 +190,35 @@ def suffix_dedup(docs: DataFrame, span: int = 100, with_text: bool = False) -> D
         order = np.argsort(bucket, kind="stable")
         reps, bucket = reps[order], bucket[order]
         cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
-        for k in range(0, len(spans), 64):
-            some = spans[k : k + 64]
+        each = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+        for k in range(0, len(each), 256):
+            some = each[k : k + 256]
             none = pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(some), np.int32)), pa.array([int(bucket[a]) for a, _ in some], pa.int64()), none, none, none, none, pa.array([packed(reps[a:b]) for a, b in some], pa.binary())],
                 [x.split()[0] for x in ROWS.split(", ")],
             )
 
+    def anchored(batches):
+        held = []
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
+                part = segments(raw, span)
+                part["doc"] = i
+                held.append(part)
+        yield from dealt(held)
+
+    def anchored_again(batches):
+        held = []
+        for batch in batches:
+            for i, raw, want in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), batch.column(2).to_pylist()):
+                for w in want:
+                    part = segments(raw[w["st"] : w["st"] + w["n"] + span - 1], span, min(ANCHORS[1], span))
+                    part["doc"], part["st"] = i, part["st"] + np.uint32(w["st"])
+                    part["h"] = mix64(part["h"] ^ U64(w["h"] & (2**64 - 1)))
+                    held.append(part)
+        yield from dealt(held)
+
     def met(batches):
         for _, t in grouped(batches, "bucket"):
             kind = t.column("kind").to_numpy()
@@ -199,12 +233,25 @@ def suffix_dedup(docs: DataFrame, span: int = 100, with_text: bool = False) -> D
             new = np.concatenate(([True], reps["h"][1:] != reps["h"][:-1]))
             group = np.cumsum(new) - 1
             many = np.bincount(group)[group] > 1
-            if many.any():
-                yield rows(2, reps[many])
-
-    dealt = own.select("id", "text").mapInArrow(anchored, ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = staged(dealt.mapInArrow(met, ROWS).drop("bucket", "blob"), "segments")
-    asked = found.where("kind = 2")
+            hot = many & (np.bincount(group, reps["n"] + float(span - 1))[group] > SHARD_BYTES)
+            for k, some in ((2, many & ~hot), (3, hot)):
+                if some.any():
+                    yield rows(k, reps[some])
+
+    def meet(pieces: DataFrame, label: str) -> DataFrame:
+        dealt_out = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        return staged(dealt_out.mapInArrow(met, ROWS).drop("bucket", "blob"), label)
+
+    def with_want(asked: DataFrame) -> DataFrame:
+        want = asked.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("st", "n", "h")).alias("want"))
+        return own.select("id", "text").join(want, "id")
+
+    found = meet(own.select("id", "text").mapInArrow(anchored, ROWS), "segments")
+    hot = found.where("kind = 3")
+    if not hot.isEmpty():
+        split = meet(with_want(hot).mapInArrow(anchored_again, ROWS), "split-segments")
+        found = found.where("kind < 3").unionByName(split)
+    asked = found.where("kind > 1")
     shards = max(1, (asked.agg(F.sum(F.col("n") + span - 1)).first()[0] or 0) // SHARD_BYTES)
 
     def fetched(batches):
@@ -222,16 +269,26 @@ def suffix_dedup(docs: DataFrame, span: int = 100, with_text: bool = False) -> D
                 blob = np.array([doc, st, n], "<i8").tobytes()
                 yield pa.RecordBatch.from_pydict({"shard": [shard], "place": [blob], "text": [b"".join(text)]})
 
-    want = asked.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("st", "n", "h")).alias("want"))
-    pieces = own.select("id", "text").join(want, "id").mapInArrow(fetched, "shard long, place binary, text binary")
+    pieces = with_want(asked).mapInArrow(fetched, "shard long, place binary, text binary")
 
     def sorted_(batches):
-        for _, t in grouped(batches, "shard"):
-            place = np.concatenate([np.frombuffer(x, "<i8").reshape(3, -1) for x in t.column("place").to_pylist()], 1)
-            again = repeated_windows(place[0], place[1], place[2], b"".join(t.column("text").to_pylist()), span)
-            for a in range(0, len(again), 1 << 16):
-                part = again[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part["doc"].astype(np.int64)), pa.array(part["st"].astype(np.int64)), pa.array(part["n"].astype(np.int64))], ["doc", "st", "n"])
+        def repeats(one: Shard):
+            for again in one.repeated(span):
+                for a in range(0, len(again), 1 << 16):
+                    part = again[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part["doc"].astype(np.int64)), pa.array(part["st"].astype(np.int64)), pa.array(part["n"].astype(np.int64))], ["doc", "st", "n"])
+            one.close()
+
+        at, one = None, None
+        for shard, t in key_runs(batches, "shard"):
+            if one is not None and shard != at:
+                yield from repeats(one)
+                one = None
+            at, one = shard, one or Shard()
+            for place, text in zip(t.column("place").to_pylist(), t.column("text").to_pylist()):
+                one.add(np.frombuffer(place, "<i8").reshape(3, -1), text, span)
+        if one is not None:
+            yield from repeats(one)
 
     compared = pieces.repartition(min(parts, shards), "shard").sortWithinPartitions("shard").mapInArrow(sorted_, "doc long, st long, n long")
     marks = found.where("kind = 1").select("doc", "st", "n").unionByName(compared)
