@@ -45,7 +45,7 @@ def test_suffix_array_random():
     for k in range(120):
         t = np.concatenate((r.integers(1, int(r.integers(2, 5)), int(r.integers(1, 50))), [0]))
         cap = int(r.choice([3, 50]))
-        sa, lcp = induced_sort.suffix_array(t, cap, budget=int(r.choice([64, 1 << 20])), base=int(r.choice([4, 1000])))
+        sa, lcp, _ = induced_sort.suffix_array(t, cap, budget=int(r.choice([64, 1 << 20])))
         s = t.tolist()
         want = sorted(range(len(s)), key=lambda i: s[i:])
         assert sa.tolist() == want
@@ -56,6 +56,25 @@ def test_suffix_array_random():
             assert lcp[i] == n
 
 
+def test_suffix_array_beyond_its_budget():
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    t = r.integers(1, 30, 70_000)
+    t = np.concatenate((t, t[20_000:50_000], r.integers(1, 3, 10_000), t[:20_000], [0])).astype("<i2")
+    induced_sort.suffix_array(t[-2000:], 50, 1 << 16)
+    tracemalloc.start()
+    sa, lcp, spills = induced_sort.suffix_array(t, 50, 1 << 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    files = len(t) * (1 + 8 + 4 + 4 + 2 + 2)  # types, words, suffixes and prefixes of one level alone
+    assert spills > 3 and peak < files / 3 and len(t) * 6 > 10 * (1 << 16)
+    s = t.tolist()
+    assert np.array_equal(np.sort(sa), np.arange(len(s)))
+    for a, b, n in zip(sa[:-1].tolist(), sa[1:].tolist(), lcp[1:].tolist()):
+        assert s[a : a + n] == s[b : b + n] and (s[a + n] < s[b + n] if n < 50 else s[a:] < s[b:])
+
+
 def removed(rows, span=100):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda x: x[0]):
@@ -80,6 +99,19 @@ def test_suffix_dedup(spark, corpus):
     assert sorted(r["n_removed"] == r["n_bytes"] for r in rows) == [False, True]  # a repeated row goes
 
 
+def test_suffix_dedup_splits_frequent_anchors(spark, corpus, monkeypatch):
+    r = random.Random(21)
+    core = words(r, 30)
+    rows = corpus + [(200 + k, words(r, r.randint(0, 9)) + core[r.randint(0, 40) :] + words(r, r.randint(0, 30))) for k in range(60)]
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 256)
+    labels = []
+    monkeypatch.setattr(suffix_dedup, "staged", lambda df, label, real=suffix_dedup.staged: labels.append(label) or real(df, label))
+    clash = frame(spark, rows).selectExpr("*", "1 as id", "2 as marks", "3 as want", "4 as kind")
+    assert {x[0]: tuple(x[1:5]) for x in suffix_dedup.suffix_dedup(clash).collect()} == removed(rows)
+    assert labels == ["segments", "split-segments"]
+
+
 def test_exact_dedup(spark, corpus):
     rows = exact_dedup.exact_dedup(frame(spark, corpus)).collect()
     groups = {}
