@@ -128,13 +128,13 @@ class Text:
         first = np.concatenate(([0], np.flatnonzero(cut)))
         self.single = np.diff(first, append=sigma) == 1
         self.words = None
-        if cap > 8 and sigma <= 512:  # four symbols in one word
-            self.words = mapped(n, "<i8")
+        if cap > 8 and sigma <= 512:  # three symbols in one word
+            self.words = mapped(n, "<i4")
             for a, b in spans(n, self.block):
-                p = np.zeros(b - a + 3, np.int64)
-                z = min(n, b + 3)
+                p = np.zeros(b - a + 2, np.int32)
+                z = min(n, b + 2)
                 p[: z - a] = t[a:z]
-                self.words[a:b] = (p[:-3] << 27) | (p[1:-2] << 18) | (p[2:-1] << 9) | p[3:]
+                self.words[a:b] = (p[:-2] << 18) | (p[1:-1] << 9) | p[2:]
 
     def prefix(self, a: np.ndarray, b: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
         """Length of the common prefix of the suffixes a and b, at most ``cap``, if it is at least ``known``."""
@@ -142,8 +142,8 @@ class Text:
         open_ = np.flatnonzero(out < self.cap)
         while self.words is not None and len(open_):
             x, y = a[open_] + out[open_], b[open_] + out[open_]
-            ok = (np.maximum(x, y) + 4 <= n) & (self.words[np.minimum(x, n - 1)] == self.words[np.minimum(y, n - 1)])
-            out[open_[ok]] += 4
+            ok = (np.maximum(x, y) + 3 <= n) & (self.words[np.minimum(x, n - 1)] == self.words[np.minimum(y, n - 1)])
+            out[open_[ok]] += 3
             open_ = open_[ok & (out[open_] < self.cap)]
         open_ = np.flatnonzero(out < self.cap)
         while len(open_):

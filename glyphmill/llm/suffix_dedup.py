@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, bytes_of, grouped, key_runs, mix64, partitions, staged, table
-from .induced_sort import spans, suffix_array
+from .induced_sort import mapped, spans, suffix_array
 from .words import powers
 
 ANCHORS = (32, 64)  # bytes; the second splits the anchors that are too frequent
@@ -86,6 +86,8 @@ def first_of_each(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return part[new], part[~new]
 
 
+STRETCH = 4096  # window starts
+FETCHED = ["shard", "place", "text", "doc", "st", "h", "n"]
 ROWS = "kind int, bucket long, doc long, st long, n long, h long, blob binary"
 
 
@@ -126,29 +128,33 @@ class Shard:
         self.places.write(np.ascontiguousarray(place.T, "<i8").tobytes())
 
     def repeated(self, span: int, budget: int = SORT_BYTES):
-        """Window runs (doc, st, 1) that repeat an earlier window, in parts."""
+        """Runs of windows that repeat an earlier window, in parts."""
         self.string.write(b"\0\0")
         for f in (self.string, self.places):
             f.flush()
-        string = np.memmap(self.string, "<i2", "r")
-        place = np.memmap(self.places, "<i8", "r").reshape(-1, 3)
+        string = np.asarray(np.memmap(self.string, "<i2", "r"))
+        place = np.asarray(np.memmap(self.places, "<i8", "r")).reshape(-1, 3)
         at = np.cumsum(place[:, 2] + span) - (place[:, 2] + span)
-        sa, lcp, _ = suffix_array(np.asarray(string), span, budget)
-        groups, least = 0, np.zeros((0, 3), np.int64)  # the last group's first window so far
-        for a, b in spans(len(sa), max(256, budget // 64)):
+        sa, lcp, _ = suffix_array(string, span, budget)
+        block, marked = max(256, budget // 64), mapped(len(string), "?")
+        groups, least = 0, np.zeros((0, 4), np.int64)  # the last group's first window so far
+        for a, b in spans(len(sa), block):
             group = groups + np.cumsum(lcp[a:b] < span)
             groups = int(group[-1])
             own = np.searchsorted(at, sa[a:b], "right") - 1
             off = sa[a:b] - at[own]
             ok = off < place[own, 2]
-            rows = np.concatenate((least, np.stack((group[ok], place[own[ok], 0], place[own[ok], 1] + off[ok]), 1)))
+            rows = np.concatenate((least, np.stack((group[ok], place[own[ok], 0], place[own[ok], 1] + off[ok], sa[a:b][ok]), 1)))
             rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
             first = np.ones(len(rows), bool)
             first[1:] = rows[1:, 0] != rows[:-1, 0]
             least = rows[first & (rows[:, 0] == groups)]
-            again = rows[~first]
+            marked[rows[~first, 3]] = True
+        for a, b in spans(len(marked), 1 << 20):
+            again = np.flatnonzero(marked[a:b]) + a
+            own = np.searchsorted(at, again, "right") - 1
             out = np.zeros(len(again), SEGMENT)
-            out["doc"], out["st"], out["n"] = again[:, 1], again[:, 2], 1
+            out["doc"], out["st"], out["n"] = place[own, 0], place[own, 1] + again - at[own], 1
             yield joined(out)
 
     def close(self) -> None:
@@ -211,12 +217,12 @@ def suffix_dedup(docs: DataFrame, span: int = 100, with_text: bool = False) -> D
     def anchored_again(batches):
         held = []
         for batch in batches:
-            for i, raw, want in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), batch.column(2).to_pylist()):
-                for w in want:
-                    part = segments(raw[w["st"] : w["st"] + w["n"] + span - 1], span, min(ANCHORS[1], span))
-                    part["doc"], part["st"] = i, part["st"] + np.uint32(w["st"])
-                    part["h"] = mix64(part["h"] ^ U64(w["h"] & (2**64 - 1)))
-                    held.append(part)
+            doc, st, h = (batch.column(k).to_pylist() for k in range(3))
+            for i, p, x, raw in zip(doc, st, h, batch.column(3).to_pylist()):
+                part = segments(raw, span, min(ANCHORS[1], span))
+                part["doc"], part["st"] = i, part["st"] + np.uint32(p)
+                part["h"] = mix64(part["h"] ^ U64(x & (2**64 - 1)))
+                held.append(part)
         yield from dealt(held)
 
     def met(batches):
@@ -242,34 +248,63 @@ def suffix_dedup(docs: DataFrame, span: int = 100, with_text: bool = False) -> D
         dealt_out = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket")
         return staged(dealt_out.mapInArrow(met, ROWS).drop("bucket", "blob"), label)
 
-    def with_want(asked: DataFrame) -> DataFrame:
-        want = asked.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("st", "n", "h")).alias("want"))
-        return own.select("id", "text").join(want, "id")
+    def shards_of(asked: DataFrame) -> int:
+        return max(1, (asked.agg(F.sum(F.col("n") + span - 1)).first()[0] or 0) // SHARD_BYTES)
+
+    def to_shards(cols: dict[int, list]):
+        for shard, (doc, st, n, text) in cols.items():
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "place": [np.array([doc, st, n], "<i8").tobytes()], "text": [b"".join(text)]})
 
     found = meet(own.select("id", "text").mapInArrow(anchored, ROWS), "segments")
-    hot = found.where("kind = 3")
-    if not hot.isEmpty():
-        split = meet(with_want(hot).mapInArrow(anchored_again, ROWS), "split-segments")
-        found = found.where("kind < 3").unionByName(split)
     asked = found.where("kind > 1")
-    shards = max(1, (asked.agg(F.sum(F.col("n") + span - 1)).first()[0] or 0) // SHARD_BYTES)
+    hot, shards = not found.where("kind = 3").isEmpty(), shards_of(found.where("kind = 2"))
 
     def fetched(batches):
         for batch in batches:
             cols: dict[int, list] = {}
+            apart: list[tuple] = []
             for i, raw, want in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), batch.column(2).to_pylist()):
                 for w in want:
-                    shard = int(w["h"] & (2**63 - 1)) % shards
-                    doc, st, n, text = cols.setdefault(shard, [[], [], [], []])
-                    doc.append(i)
-                    st.append(w["st"])
-                    n.append(w["n"])
-                    text.append(raw[w["st"] : w["st"] + w["n"] + span - 1])
-            for shard, (doc, st, n, text) in cols.items():
-                blob = np.array([doc, st, n], "<i8").tobytes()
-                yield pa.RecordBatch.from_pydict({"shard": [shard], "place": [blob], "text": [b"".join(text)]})
-
-    pieces = with_want(asked).mapInArrow(fetched, "shard long, place binary, text binary")
+                    text = raw[w["st"] : w["st"] + w["n"] + span - 1]
+                    if w["kind"] == 3:
+                        apart.append((i, w["st"], w["h"], w["n"], text))
+                        continue
+                    held = cols.setdefault(int(w["h"] & (2**63 - 1)) % shards, [[], [], [], []])
+                    for k, x in enumerate((i, w["st"], w["n"], text)):
+                        held[k].append(x)
+            for b in to_shards(cols):
+                none = pa.nulls(b.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*b.columns, none, none, none, none], FETCHED)
+            if apart:
+                doc, st, h, n, text = zip(*apart)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.binary()), pa.array(text, pa.binary()), *(pa.array(x, pa.int64()) for x in (doc, st, h, n))], FETCHED)
+
+    want = asked.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("st", "n", "h", "kind")).alias("want"))
+    pieces = own.select("id", "text").join(want, "id").mapInArrow(fetched, "shard long, place binary, text binary, doc long, st long, h long, n long")
+    if hot:  # the texts of these segments are at hand from here on
+        pieces = staged(pieces, "pieces")
+        apart = pieces.where("shard is null").select("doc", "st", "h", "text", "n")
+        split = meet(apart.mapInArrow(anchored_again, ROWS), "split-segments")
+        found = found.unionByName(split)
+        again = split.where("kind > 1").select("doc", "st", "n", "h")
+        more = shards_of(again)
+
+        def cut(batches):
+            for batch in batches:
+                cols: dict[int, list] = {}
+                for i, p, n, h, base, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    held = cols.setdefault(shards + int(h & (2**63 - 1)) % more, [[], [], [], []])
+                    for k, x in enumerate((i, p, n, text[p - base : p - base + n + span - 1])):
+                        held[k].append(x)
+                yield from to_shards(cols)
+
+        # a segment lies in one piece, found by the stretches of the document that the piece covers
+        stretch = F.explode(F.sequence(F.floor(F.col("st") / STRETCH), F.floor((F.col("st") + F.col("n") - 1) / STRETCH))).alias("stretch")
+        whole = apart.select("doc", F.col("st").alias("base"), (F.col("st") + F.col("n")).alias("end"), "text", stretch)
+        inner = again.withColumn("stretch", F.floor(F.col("st") / STRETCH)).join(whole, ["doc", "stretch"]).where("st >= base and st < end")
+        inner = inner.select("doc", "st", "n", "h", "base", "text").mapInArrow(cut, "shard long, place binary, text binary")
+        pieces = pieces.where("shard is not null").select("shard", "place", "text").unionByName(inner)
+        shards += more
 
     def sorted_(batches):
         def repeats(one: Shard):
@@ -290,7 +325,7 @@ def suffix_dedup(docs: DataFrame, span: int = 100, with_text: bool = False) -> D
         if one is not None:
             yield from repeats(one)
 
-    compared = pieces.repartition(min(parts, shards), "shard").sortWithinPartitions("shard").mapInArrow(sorted_, "doc long, st long, n long")
+    compared = pieces.select("shard", "place", "text").repartition(min(parts, shards), "shard").sortWithinPartitions("shard").mapInArrow(sorted_, "doc long, st long, n long")
     marks = found.where("kind = 1").select("doc", "st", "n").unionByName(compared)
     marks = marks.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("st", "n")).alias("marks"))
 
