@@ -67,7 +67,7 @@ def test_suffix_array_beyond_its_budget():
     sa, lcp, spills = induced_sort.suffix_array(t, 50, 1 << 16)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    files = len(t) * (1 + 8 + 4 + 4 + 2 + 2)  # types, words, suffixes and prefixes of one level alone
+    files = len(t) * (1 + 4 + 4 + 4 + 2 + 2)  # types, words, suffixes and prefixes of one level alone
     assert spills > 3 and peak < files / 3 and len(t) * 6 > 10 * (1 << 16)
     s = t.tolist()
     assert np.array_equal(np.sort(sa), np.arange(len(s)))
@@ -109,7 +109,7 @@ def test_suffix_dedup_splits_frequent_anchors(spark, corpus, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "staged", lambda df, label, real=suffix_dedup.staged: labels.append(label) or real(df, label))
     clash = frame(spark, rows).selectExpr("*", "1 as id", "2 as marks", "3 as want", "4 as kind")
     assert {x[0]: tuple(x[1:5]) for x in suffix_dedup.suffix_dedup(clash).collect()} == removed(rows)
-    assert labels == ["segments", "split-segments"]
+    assert labels == ["segments", "pieces", "split-segments"]
 
 
 def test_exact_dedup(spark, corpus):
