@@ -39,13 +39,23 @@ def safe_fix(kind: Column, suggestions: Column) -> Column:
     return F.when(kind == "unknown-word", F.lit(None)).when(kind == "typo", F.when(F.size(suggestions) == 1, first)).otherwise(first)
 
 
+# Fixed value: white space by the Unicode property, as a class for regular expressions.
+BLANK = "\\t-\\r \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(F.regexp_replace(text, f"^[{BLANK}]++", ""), f"(?<![{BLANK}])[{BLANK}]++$", "")
+
+
+# The templates of messages.
 def message(kind: Column, word: Column, suggestions: Column) -> Column:
     first = F.coalesce(F.try_element_at(suggestions, F.lit(1)), F.lit("?"))
     w = F.concat(F.lit("`"), word, F.lit("`"))
     to = F.concat(F.lit("`"), first, F.lit("`"))
     return (
         F.when((kind == "typo") & (F.size(suggestions) == 1), F.concat(w, F.lit(" should be "), to))
-        .when(kind == "typo", F.concat(w, F.lit(" should be one of: "), F.array_join(suggestions, ", ")))
+        .when(kind == "typo", F.concat(w, F.lit(" should be one of: "), F.array_join(F.transform(suggestions, lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", ")))
         .when(kind == "unknown-word", F.concat(w, F.lit(" is not a known word")))
         .when(kind == "en-variant", F.concat(F.lit("regional spelling "), w, F.lit(" → "), to))
         .when(kind == "ja-variant", F.concat(w, F.lit(" は "), to, F.lit(" に統一 (表記ゆれ)")))
@@ -103,5 +113,5 @@ def github_escape(value: Column, prop: bool) -> Column:
 
 
 def snippet(line: Column, most: int = 96) -> Column:
-    t = F.trim(line)
+    t = trimmed(line)
     return F.when(F.char_length(t) > most, F.concat(F.substring(t, 1, most), F.lit("…"))).otherwise(t)

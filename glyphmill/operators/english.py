@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_case
@@ -12,14 +12,41 @@ from .tokens import Options, word_column, words
 BUILTIN_ALLOW = ("ser", "flate", "referer")
 
 # American and British spellings.
-LOCALE_PAIRS = """analyze analyse;analyzed analysed;analyzing analysing;apologize apologise;behavior behaviour;catalog catalogue;center centre;color colour;defense defence;dialog dialogue;favor favour;favorite favourite;fiber fibre;fulfill fulfil;gray grey;honor honour;initialize initialise;initialized initialised;initializing initialising;liter litre;modeling modelling;neighbor neighbour;organization organisation;organize organise;organized organised;organizing organising;paralyze paralyse;realize realise;realized realised;recognize recognise;theater theatre;traveled travelled;traveler traveller"""
-
-BROADCAST_ROWS = 2_000_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A rule table to be broadcast if it has at most ``most`` rows, else left to the join planner."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).limit(most + 1).groupBy().count().where(f"count > {most}").take(1)) == 0 else df
+LOCALE_PAIRS = [
+    ("analyze", "analyse"),
+    ("analyzed", "analysed"),
+    ("analyzing", "analysing"),
+    ("apologize", "apologise"),
+    ("behavior", "behaviour"),
+    ("catalog", "catalogue"),
+    ("center", "centre"),
+    ("color", "colour"),
+    ("defense", "defence"),
+    ("dialog", "dialogue"),
+    ("favor", "favour"),
+    ("favorite", "favourite"),
+    ("fiber", "fibre"),
+    ("fulfill", "fulfil"),
+    ("gray", "grey"),
+    ("honor", "honour"),
+    ("initialize", "initialise"),
+    ("initialized", "initialised"),
+    ("initializing", "initialising"),
+    ("liter", "litre"),
+    ("modeling", "modelling"),
+    ("neighbor", "neighbour"),
+    ("organization", "organisation"),
+    ("organize", "organise"),
+    ("organized", "organised"),
+    ("organizing", "organising"),
+    ("paralyze", "paralyse"),
+    ("realize", "realise"),
+    ("realized", "realised"),
+    ("recognize", "recognise"),
+    ("theater", "theatre"),
+    ("traveled", "travelled"),
+    ("traveler", "traveller"),
+]
 
 
 def corrections(spark: SparkSession, rows: list[tuple[str, str, int]]) -> DataFrame:
@@ -37,29 +64,30 @@ def layered(df: DataFrame) -> DataFrame:
     return top.select("typo", "fixes", ((F.size("fixes") == 1) & (F.lower(F.col("fixes")[0]) == F.col("typo"))).alias("allow"))
 
 
-def locale_table(spark: SparkSession, locale: str, pairs: str = LOCALE_PAIRS) -> DataFrame:
+def locale_table(spark: SparkSession, locale: str, pairs: list[tuple[str, str]] = LOCALE_PAIRS) -> DataFrame:
     """(variant, preferred) for en-US or en-GB; any other locale has no variants."""
-    rows = [p.split() for p in pairs.split(";")]
-    rows = {"en-US": [(gb, us) for us, gb in rows], "en-GB": [(us, gb) for us, gb in rows]}.get(locale, [])
+    rows = {"en-US": [(gb, us) for us, gb in pairs], "en-GB": pairs}.get(locale, [])
     return spark.createDataFrame(rows, "variant string, preferred string")
 
 
-def english(lines: DataFrame, fixes: DataFrame, allow: DataFrame, locale: DataFrame | None = None, known: DataFrame | None = None, options: Options = Options()) -> DataFrame:
+def english(lines: DataFrame, fixes: DataFrame, allow: DataFrame, locale: DataFrame | None = None, known: DataFrame | None = None, options: Options = Options(), dictionary: Column | None = None) -> DataFrame:
     """Findings (doc_id, line, col, offset, len, word, kind, suggestions) of English words.
 
     The first that applies decides: allow set, allowed or corrected by a rule, regional spelling, and with
-    ``known`` (dictionary mode) not in any word list (four letters or more, not all capitals)."""
+    ``known`` (dictionary mode) not in any word list (four letters or more, not all capitals); ``dictionary`` says of which lines that is asked.
+
+    Rule tables are joined as the planner sees fit: small ones are broadcast by their size, larger ones are not."""
     rows = words(lines, options).withColumn("key", F.lower("word")).where("token is not null")
-    rows = rows.join(small(allow.select(F.lower("word").alias("key")).distinct()), "key", "left_anti")
-    rows = rows.join(small(fixes.select(F.col("typo").alias("key"), "fixes", F.col("allow").alias("allowed"))), "key", "left")
+    rows = rows.join(allow.select(F.lower("word").alias("key")).distinct(), "key", "left_anti")
+    rows = rows.join(fixes.select(F.col("typo").alias("key"), "fixes", F.col("allow").alias("allowed")), "key", "left")
     rows = rows.where("allowed is null or not allowed")
     if locale is not None:
-        rows = rows.join(small(locale.select(F.col("variant").alias("key"), "preferred")), "key", "left")
+        rows = rows.join(locale.select(F.col("variant").alias("key"), "preferred"), "key", "left")
     else:
         rows = rows.withColumn("preferred", F.lit(None).cast("string"))
     if known is not None:
-        rows = rows.join(small(known.select(F.col("word").alias("key"), F.lit(True).alias("is_known")).distinct()), "key", "left")
-        unknown = F.col("is_known").isNull() & (F.length("word") >= 4) & ~F.col("word").rlike("^[A-Z]+$")
+        rows = rows.join(known.select(F.col("word").alias("key"), F.lit(True).alias("is_known")).distinct(), "key", "left")
+        unknown = (F.lit(True) if dictionary is None else dictionary) & F.col("is_known").isNull() & (F.length("word") >= 4) & ~F.col("word").rlike("^[A-Z]+$")
     else:
         unknown = F.lit(False)
     kind = F.when(F.col("fixes").isNotNull(), "typo").when(F.col("preferred").isNotNull(), "en-variant").when(unknown, "unknown-word")

@@ -1,144 +1,259 @@
-"""Japanese notation: widths, compatibility characters, variants, and consistency within a document."""
+"""Japanese notation: widths, compatibility characters, variants, and consistency within a document.
+
+Every function takes documents (doc_id, text) or their lines (doc_id, line, line_offset, b, and skip for lines that a
+directive takes out); what is found never spans lines."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_of_fullwidth, compatibility_form, full_of_halfwidth
-from .english import small
+from ..functions.text import ascii_of_fullwidth, byte_view, compatibility_form, from_bytes, full_of_halfwidth
+from .lines import lines, running
 
+# Character classes, units of numbers, and kanji digits from zero to nine.
 KATAKANA = "ァ-ヺーヽヾ"
 FULL_ALNUM = "０-９Ａ-Ｚａ-ｚ"
 HALF_KANA = "｡-ﾟ"
 COMPATIBLE = "℀-⅏㌀-㏿"
+MARKS = "、。，．"
 UNITS = "円人件年月日時分秒"
 KANJI_DIGITS = "〇零一二三四五六七八九"
 
 # Kanji spellings, the first form of a pair is replaced by the second where both occur equally often.
-KANJI_PAIRS = [("お問合せ", "お問い合わせ"), ("取扱い", "取り扱い"), ("子供", "子ども"), ("引続き", "引き続き"), ("行なう", "行う"), ("表わす", "表す"), ("読替える", "読み替える"), ("問い合せ", "問い合わせ")]
-
-# Katakana words that are written with or without a long vowel at their end (short form).
-KATAKANA_SHORT = """サーバ ユーザ コンピュータ プリンタ ブラウザ フォルダ ドライバ ルータ プロセッサ マネージャ コントローラ スケジューラ パラメータ エディタ モニタ レイヤ タイマ ヘッダ フッタ センサ モータ フィルタ マスタ クラスタ メンバ カレンダ アダプタ コネクタ セレクタ デバッガ ビルダ リーダ ライタ プログラマ デザイナ ハンドラ リスナ ワーカ プロバイダ トリガ スピーカ エレベータ エスカレータ カウンタ イテレータ ジェネレータ デコレータ バリデータ シミュレータ エミュレータ コンバータ ポインタ インジケータ セパレータ アクセラレータ ナビゲータ コンデンサ""".split()
+KANJI_PAIRS = [
+    ("お問合せ", "お問い合わせ"),
+    ("取扱い", "取り扱い"),
+    ("子供", "子ども"),
+    ("引続き", "引き続き"),
+    ("行なう", "行う"),
+    ("表わす", "表す"),
+    ("読替える", "読み替える"),
+    ("問い合せ", "問い合わせ"),
+]
+
+# Katakana words without and with a long vowel at their end.
+KATAKANA_PAIRS = [
+    ("サーバ", "サーバー"),
+    ("ユーザ", "ユーザー"),
+    ("コンピュータ", "コンピューター"),
+    ("プリンタ", "プリンター"),
+    ("ブラウザ", "ブラウザー"),
+    ("フォルダ", "フォルダー"),
+    ("ドライバ", "ドライバー"),
+    ("ルータ", "ルーター"),
+    ("プロセッサ", "プロセッサー"),
+    ("マネージャ", "マネージャー"),
+    ("コントローラ", "コントローラー"),
+    ("スケジューラ", "スケジューラー"),
+    ("パラメータ", "パラメーター"),
+    ("エディタ", "エディター"),
+    ("モニタ", "モニター"),
+    ("レイヤ", "レイヤー"),
+    ("タイマ", "タイマー"),
+    ("ヘッダ", "ヘッダー"),
+    ("フッタ", "フッター"),
+    ("センサ", "センサー"),
+    ("モータ", "モーター"),
+    ("フィルタ", "フィルター"),
+    ("マスタ", "マスター"),
+    ("クラスタ", "クラスター"),
+    ("メンバ", "メンバー"),
+    ("カレンダ", "カレンダー"),
+    ("アダプタ", "アダプター"),
+    ("コネクタ", "コネクター"),
+    ("セレクタ", "セレクター"),
+    ("デバッガ", "デバッガー"),
+    ("ビルダ", "ビルダー"),
+    ("リーダ", "リーダー"),
+    ("ライタ", "ライター"),
+    ("プログラマ", "プログラマー"),
+    ("デザイナ", "デザイナー"),
+    ("ハンドラ", "ハンドラー"),
+    ("リスナ", "リスナー"),
+    ("ワーカ", "ワーカー"),
+    ("プロバイダ", "プロバイダー"),
+    ("トリガ", "トリガー"),
+    ("スピーカ", "スピーカー"),
+    ("エレベータ", "エレベーター"),
+    ("エスカレータ", "エスカレーター"),
+    ("カウンタ", "カウンター"),
+    ("イテレータ", "イテレーター"),
+    ("ジェネレータ", "ジェネレーター"),
+    ("デコレータ", "デコレーター"),
+    ("バリデータ", "バリデーター"),
+    ("シミュレータ", "シミュレーター"),
+    ("エミュレータ", "エミュレーター"),
+    ("コンバータ", "コンバーター"),
+    ("ポインタ", "ポインター"),
+    ("インジケータ", "インジケーター"),
+    ("セパレータ", "セパレーター"),
+    ("アクセラレータ", "アクセラレーター"),
+    ("ナビゲータ", "ナビゲーター"),
+    ("コンデンサ", "コンデンサー"),
+]
+
+
+def katakana_pairs(style: str | None) -> list[tuple[str, str]]:
+    """(variant, preferred) of style 'long' or 'short'; any other style has none."""
+    return {"long": KATAKANA_PAIRS, "short": [(b, a) for a, b in KATAKANA_PAIRS]}.get(style, [])
 
 
 def katakana_table(spark: SparkSession, style: str) -> DataFrame:
-    """(variant, preferred) of style 'long' or 'short'; any other style has none."""
-    rows = {"long": [(s, s + "ー") for s in KATAKANA_SHORT], "short": [(s + "ー", s) for s in KATAKANA_SHORT]}.get(style, [])
-    return spark.createDataFrame(rows, "variant string, preferred string")
+    return spark.createDataFrame(katakana_pairs(style), "variant string, preferred string")
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    rows = rows if "b" in rows.columns else lines(rows, keep=tuple(c for c in ("prose",) if c in rows.columns))
+    return rows if "skip" in rows.columns else rows.withColumn("skip", F.lit(False))
 
 
-def occurrences(docs: DataFrame, run: str, other: str | None = None) -> DataFrame:
-    """(doc_id, word, offset, line, col, before): every match of ``run`` with its byte position.
+def occurrences(rows: DataFrame, run: str, other: str, hit: str | None = None) -> DataFrame:
+    """(lines' columns, word, offset, col): every match of ``run`` with its byte position.
 
-    ``other`` matches what lies between; by default anything but the character class ``run`` repeats."""
-    other = other or f"[^{run}]+"
-    pattern = f"({run if other != f'[^{run}]+' else f'[{run}]+'}|{other})"
-    hit = f"^(?:{run})$" if other != f"[^{run}]+" else f"^[{run}]"
-    rows = docs.where(F.col("text").rlike(run if other != f"[^{run}]+" else f"[{run}]"))
-    rows = rows.select("doc_id", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("parts")).select("doc_id", "parts", F.posexplode("parts").alias("k", "word"))
-    rows = rows.where(F.col("word").rlike(hit)).select("doc_id", "word", F.array_join(F.slice("parts", F.lit(1), F.col("k")), "").alias("before"))
-    return rows.select(
-        "doc_id",
-        "word",
-        F.octet_length("before").cast("long").alias("offset"),
-        (F.length("before") - F.length(F.replace("before", F.lit("\n"), F.lit(""))) + 1).cast("int").alias("line"),
-        F.octet_length(F.substring_index("before", "\n", -1)).cast("long").alias("col"),
-    )
+    ``other`` matches what lies between; ``hit`` tells matches of ``run`` from it where ``run`` alone does not."""
+    rows = lines_of(rows)
+    keep = [c for c in rows.columns if c != "b"]
+    text = from_bytes(F.col("b"))
+    parts = rows.select(*keep, text.alias("t")).where(F.col("t").rlike(run)).select(*keep, F.regexp_extract_all("t", F.lit(f"{run}|{other}"), F.lit(0)).alias("parts"))
+    zipped = F.arrays_zip(F.col("parts").alias("w"), running(F.col("parts"), F.octet_length).alias("o"))
+    found = parts.select(*keep, F.explode(zipped).alias("z")).where(F.col("z.w").rlike(hit or f"^(?:{run})$"))
+    col = F.col("z.o")
+    return found.select(*keep, F.col("z.w").alias("word"), col.alias("col"), (F.col("line_offset") + col).alias("offset"))
 
 
-def finding(rows: DataFrame, kind: str, suggestion: Column) -> DataFrame:
-    return rows.select("doc_id", "line", "col", "offset", F.octet_length("word").cast("long").alias("len"), "word", F.lit(kind).alias("kind"), F.array(suggestion).alias("suggestions"))
+def finding(rows: DataFrame, kind: str | Column, suggestion: Column) -> DataFrame:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return rows.select("doc_id", "line", "col", "offset", F.octet_length("word").cast("long").alias("len"), "word", kind.alias("kind"), F.array(suggestion).alias("suggestions"))
 
 
-def fullwidth_alnum(docs: DataFrame) -> DataFrame:
-    return finding(occurrences(docs, FULL_ALNUM), "fullwidth-alnum", ascii_of_fullwidth(F.col("word")))
+def class_runs(rows: DataFrame) -> DataFrame:
+    """Runs of katakana, full-width letters and digits, half-width kana, and single spaces, compatibility characters and
+    marks, in one pass.  The classes are disjoint."""
+    every = KATAKANA + FULL_ALNUM + HALF_KANA + COMPATIBLE + "　" + MARKS
+    return occurrences(rows, f"[{KATAKANA}]+|[{FULL_ALNUM}]+|[{HALF_KANA}]+|[{COMPATIBLE}　{MARKS}]", f"[^{every}]+", f"^[{every}]")
 
 
-def halfwidth_kana(docs: DataFrame) -> DataFrame:
-    return finding(occurrences(docs, HALF_KANA), "halfwidth-kana", full_of_halfwidth(F.col("word")))
+def fullwidth_alnum(rows: DataFrame) -> DataFrame:
+    return finding(occurrences(rows, f"[{FULL_ALNUM}]+", f"[^{FULL_ALNUM}]+"), "fullwidth-alnum", ascii_of_fullwidth(F.col("word")))
 
 
-def fullwidth_space(docs: DataFrame, policy: str = "code") -> DataFrame:
-    """``policy``: always, never, or code (only where ``is_prose`` is false)."""
-    docs = docs.where(F.lit(policy == "always")) if policy != "code" else docs.where(~F.col("is_prose"))
-    return finding(occurrences(docs, "　", "[^　]+"), "fullwidth-space", F.lit(" "))
+def halfwidth_kana(rows: DataFrame) -> DataFrame:
+    return finding(occurrences(rows, f"[{HALF_KANA}]+", f"[^{HALF_KANA}]+"), "halfwidth-kana", full_of_halfwidth(F.col("word")))
 
 
-def compatibility(docs: DataFrame) -> DataFrame:
-    rows = occurrences(docs, f"[{COMPATIBLE}]", f"[^{COMPATIBLE}]+").withColumn("to", compatibility_form(F.col("word"))).where("to is not null")
-    return finding(rows, "ja-compatibility", F.col("to"))
+def space_allowed(policy: str) -> Column:
+    """``policy``: always, never, or code (only where ``prose`` is false)."""
+    return ~F.col("prose") if policy == "code" else F.lit(policy == "always")
 
 
-def katakana_runs(docs: DataFrame) -> DataFrame:
-    return occurrences(docs, KATAKANA)
+def fullwidth_space(rows: DataFrame, policy: str = "code") -> DataFrame:
+    return finding(occurrences(lines_of(rows).where(space_allowed(policy)), "　", "[^　]+"), "fullwidth-space", F.lit(" "))
 
 
-def variants(docs: DataFrame, table: DataFrame) -> DataFrame:
+def compatibility(rows: DataFrame) -> DataFrame:
+    found = occurrences(rows, f"[{COMPATIBLE}]", f"[^{COMPATIBLE}]+").withColumn("to", compatibility_form(F.col("word"))).where("to is not null")
+    return finding(found, "ja-compatibility", F.col("to"))
+
+
+def katakana_runs(rows: DataFrame) -> DataFrame:
+    return occurrences(rows, f"[{KATAKANA}]+", f"[^{KATAKANA}]+")
+
+
+def variants(rows: DataFrame, table: DataFrame) -> DataFrame:
     """A whole maximal katakana run that is a variant."""
-    rows = katakana_runs(docs).join(small(table.select(F.col("variant").alias("word"), "preferred")), "word").where("word <> preferred")
-    return finding(rows, "ja-variant", F.col("preferred"))
+    found = katakana_runs(rows).join(table.select(F.col("variant").alias("word"), "preferred"), "word").where("word <> preferred")
+    return finding(found, "ja-variant", F.col("preferred"))
 
 
-def katakana_consistency(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
+def katakana_consistency(rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Words with and without a final long vowel in one document: all but the most frequent form."""
-    runs = katakana_runs(docs).where(F.char_length("word") >= 3)
+    runs = katakana_runs(rows)
     if table is not None:
-        runs = runs.join(small(table.select(F.col("variant").alias("word"))), "word", "left_anti")
-    runs = runs.withColumn("key", F.regexp_replace("word", "ー+$", "")).where(F.char_length("key") >= 2)
-    forms = runs.groupBy("doc_id", "key", "word").agg(F.count("*").alias("n"))
-    best = F.max_by("word", F.struct("n", F.col("word").endswith("ー"), F.octet_length("word"), "word"))
-    groups = forms.groupBy("doc_id", "key").agg(best.alias("winner"), F.count("*").alias("forms")).where("forms > 1")
-    return finding(runs.join(groups, ["doc_id", "key"]).where("word <> winner"), "ja-variant", F.col("winner"))
+        runs = runs.join(table.select(F.col("variant").alias("word")), "word", "left_anti")
+    return _inconsistent(runs)
 
 
-def kanji_consistency(docs: DataFrame) -> DataFrame:
-    """Both spellings of a pair in one document: the rarer one, of equal ones the first of the pair."""
-    out = None
-    count = lambda w: F.size(F.split("text", w, -1)) - 1
-    for a, b in KANJI_PAIRS:
-        both = docs.where((count(a) > 0) & (count(b) > 0)).withColumn("swap", count(a) > count(b))
-        for bad, good, which in ((a, b, ~F.col("swap")), (b, a, F.col("swap"))):
-            rows = finding(occurrences(both.where(which), bad, f"(?:(?!{bad})[\\s\\S])+"), "ja-variant", F.lit(good))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+def _inconsistent(runs: DataFrame) -> DataFrame:
+    runs = runs.where(F.char_length("word") >= 3).withColumn("key", F.regexp_replace("word", "ー+$", "")).where(F.char_length("key") >= 2)
+    of_key, of_form = Window.partitionBy("doc_id", "key"), Window.partitionBy("doc_id", "key", "word")
+    best = F.max(F.struct("n", F.col("word").endswith("ー").alias("long"), F.octet_length("word").alias("bytes"), "word")).over(of_key)
+    runs = runs.withColumn("n", F.count("*").over(of_form)).withColumn("winner", best["word"])
+    return finding(runs.where("word <> winner"), "ja-variant", F.col("winner"))
+
 
+def _minority_marks(found: DataFrame) -> DataFrame:
+    w = Window.partitionBy("doc_id")
+    western = F.col("word").isin("，", "．")
+    both = found.withColumn("we", F.count_if(western).over(w)).withColumn("ja", F.count_if(~western).over(w)).where("ja > 0 and we > 0")
+    to = F.when(western, F.translate("word", "，．", "、。")).otherwise(F.translate("word", "、。", "，．"))
+    return finding(both.where(western == (F.col("ja") >= F.col("we"))), "ja-punctuation", to)
 
-def numbers(docs: DataFrame) -> DataFrame:
+
+def punctuation_style(rows: DataFrame) -> DataFrame:
+    """、。 and ，． in one document: the rarer kind; the Japanese marks win ties."""
+    return _minority_marks(occurrences(rows, f"[{MARKS}]", f"[^{MARKS}]+"))
+
+
+def pieces(rows: DataFrame, table: dict[str, str], space: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From one pass over the lines: findings of characters and variants, of katakana forms, and of marks."""
+    runs = class_runs(rows)
+    w = F.col("word")
+    to = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[w] if table else F.lit(None).cast("string")
+    kata = w.rlike(f"^[{KATAKANA}]")
+    kinds = [
+        (kata, "ja-variant", F.when(to != w, to)),
+        (w.rlike(f"^[{FULL_ALNUM}]"), "fullwidth-alnum", ascii_of_fullwidth(w)),
+        (w.rlike(f"^[{HALF_KANA}]"), "halfwidth-kana", full_of_halfwidth(w)),
+        (w == "　", "fullwidth-space", F.when(space_allowed(space), F.lit(" "))),
+        (w.rlike(f"^[{COMPATIBLE}]"), "ja-compatibility", compatibility_form(w)),
+    ]
+    kind = suggestion = F
+    for test, name, fix in kinds:
+        kind, suggestion = kind.when(test, name), suggestion.when(test, fix)
+    direct = runs.where(~F.col("skip") & ~w.rlike(f"^[{MARKS}]")).withColumn("to", suggestion).where("to is not null")
+    free = runs.where(~F.col("skip") & kata & (to.isNull() | (to == w)))
+    return finding(direct, kind, F.col("to")), _inconsistent(free), _minority_marks(runs.where(w.rlike(f"^[{MARKS}]")))
+
+
+def kanji_consistency(rows: DataFrame) -> DataFrame:
+    """Both spellings of a pair in one document: the rarer one, of equal ones the first of the pair."""
+    forms = [F.struct(F.lit(i).alias("pair"), F.lit(left).alias("left"), F.lit(form).alias("form"), F.lit(other).alias("other")) for i, (a, b) in enumerate(KANJI_PAIRS) for left, form, other in ((True, a, b), (False, b, a))]
+    rows = lines_of(rows).withColumn("text", from_bytes(F.col("b"))).where(F.col("text").rlike("|".join(f for p in KANJI_PAIRS for f in p)))
+    rows = rows.select("doc_id", "line", "line_offset", "text", F.explode(F.array(*forms)).alias("z")).select("*", "z.*").where(F.contains("text", "form"))
+    parts = rows.withColumn("parts", F.split("text", F.col("form"), -1))
+    starts = running(F.col("parts"), lambda x: F.octet_length(x) + F.octet_length("form"))
+    # the parts after the first begin behind an occurrence
+    at = parts.select("doc_id", "line", "line_offset", "pair", "left", "form", "other", F.explode(F.slice(starts, F.lit(2), F.size("parts"))).alias("end"))
+    w = Window.partitionBy("doc_id", "pair")
+    at = at.withColumn("a", F.count_if("left").over(w)).withColumn("b", F.count_if(~F.col("left")).over(w)).where("a > 0 and b > 0 and left = (a <= b)")
+    col = F.col("end") - F.octet_length("form")
+    return finding(at.select("doc_id", "line", col.alias("col"), (F.col("line_offset") + col).alias("offset"), F.col("form").alias("word"), "other"), "ja-variant", F.col("other"))
+
+
+def numbers(rows: DataFrame) -> DataFrame:
     """(.., canonical, kanji) of numbers with a unit: commas dropped, kanji digits by position."""
     run = f"(?:[0-9][0-9,]*|[{KANJI_DIGITS}]+)[{UNITS}]"
     digits = f"0-9,{KANJI_DIGITS}"
-    rows = occurrences(docs, run, f"[0-9][0-9,]*|[{KANJI_DIGITS}]+|[^{digits}]+|,")
+    found = occurrences(rows, run, f"[0-9][0-9,]*|[{KANJI_DIGITS}]+|[^{digits}]+|,")
     plain = F.translate(F.replace("word", F.lit(","), F.lit("")), KANJI_DIGITS, "00123456789")
-    return rows.select("*", plain.alias("canonical"), F.col("word").rlike(f"^[{KANJI_DIGITS}]").alias("kanji"))
+    return found.select("*", plain.alias("canonical"), F.col("word").rlike(f"^[{KANJI_DIGITS}]").alias("kanji"))
 
 
-def number_style(docs: DataFrame) -> DataFrame:
+def number_style(rows: DataFrame) -> DataFrame:
     """A number in both styles: those in the rarer style; arabic wins ties, its first form is suggested."""
-    rows = numbers(docs)
-    styles = rows.groupBy("doc_id", "canonical").agg(
-        F.count_if("kanji").alias("k"), F.count_if(~F.col("kanji")).alias("a"), F.min_by("word", F.when(F.col("kanji"), F.col("offset"))).alias("first_k"), F.min_by("word", F.when(~F.col("kanji"), F.col("offset"))).alias("first_a")
-    )
-    both = styles.where("k > 0 and a > 0").withColumn("arabic", F.col("a") >= F.col("k"))
-    hits = rows.join(both, ["doc_id", "canonical"]).where(F.col("kanji") == F.col("arabic"))
-    return finding(hits, "ja-number-style", F.when(F.col("arabic"), F.col("first_a")).otherwise(F.col("first_k")))
+    w = Window.partitionBy("doc_id", "canonical")
+    first = lambda c: F.min(F.when(c, F.struct("offset", "word"))).over(w)["word"]
+    found = numbers(rows).withColumn("k", F.count_if("kanji").over(w)).withColumn("a", F.count_if(~F.col("kanji")).over(w))
+    found = found.withColumn("first_k", first(F.col("kanji"))).withColumn("first_a", first(~F.col("kanji"))).where("k > 0 and a > 0 and kanji = (a >= k)")
+    return finding(found, "ja-number-style", F.when(F.col("kanji"), F.col("first_a")).otherwise(F.col("first_k")))
 
 
-def punctuation_style(docs: DataFrame) -> DataFrame:
-    """、。 and ，． in one document: the rarer kind; the Japanese marks win ties."""
-    n = docs.select("doc_id", "text", F.regexp_count("text", F.lit("[、。]")).alias("ja"), F.regexp_count("text", F.lit("[，．]")).alias("we")).where("ja > 0 and we > 0")
-    western = finding(occurrences(n.where("ja >= we"), "[，．]", "[^，．]+"), "ja-punctuation", F.translate("word", "，．", "、。"))
-    japanese = finding(occurrences(n.where("ja < we"), "[、。]", "[^、。]+"), "ja-punctuation", F.translate("word", "、。", "，．"))
-    return western.unionByName(japanese)
-
-
-def regex_rules(docs: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+def regex_rules(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame | None:
     """Every non-empty match of a (pattern, replacement) rule that the replacement changes."""
     out = None
     for pattern, to in rules:
-        rows = occurrences(docs, pattern, f"(?:(?!{pattern})[\\s\\S])+").withColumn("to", F.regexp_replace("word", pattern, to)).where("to <> word and word <> ''")
-        part = finding(rows, "ja-variant", F.col("to"))
+        found = occurrences(rows, f"(?:{pattern})", f"(?:(?!{pattern})[\\s\\S])+").withColumn("to", F.regexp_replace("word", pattern, to)).where("to <> word and word <> ''")
+        part = finding(found, "ja-variant", F.col("to"))
         out = part if out is None else out.unionByName(part)
     return out
-
-

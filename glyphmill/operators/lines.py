@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,20 +12,25 @@ from ..functions.text import byte_view
 DIRECTIVE = "glyphmill:"
 
 
-CHUNK = 256  # lines
+CHUNK = 256  # elements
 
 
-def line_starts(parts: Column) -> Column:
-    """The byte offset of each line of an array: offsets in chunks of ``CHUNK`` lines, each from its chunk's start,
+def running(parts: Column, size: Callable[[Column], Column]) -> Column:
+    """For each element of an array the sum of the sizes before it: in chunks of ``CHUNK``, each from its chunk's start,
     as a fold that appends to an array copies it each time."""
     first = lambda n: F.array(n.cast("long"))
     add = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda c: F.slice(parts, c * CHUNK + 1, F.lit(CHUNK)))
-    sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.length(x) + 1))
-    within = lambda c, start: F.slice(F.aggregate(c, first(start), lambda acc, x: add(acc, F.length(x) + 1)), F.lit(1), F.size(c))
+    sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + size(x)))
+    within = lambda c, start: F.slice(F.aggregate(c, first(start), lambda acc, x: add(acc, size(x))), F.lit(1), F.size(c))
     return F.flatten(F.zip_with(chunks, F.slice(F.aggregate(sizes, first(F.lit(0)), add), F.lit(1), F.size(sizes)), within))
 
 
+def line_starts(parts: Column) -> Column:
+    """The byte offset of each line of an array of lines in byte view."""
+    return running(parts, lambda x: F.length(x) + 1)
+
+
 def lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, line, line_offset, b): lines in byte view with their offset; no shuffle.
 
@@ -40,6 +47,16 @@ def directive(line: Column, prefix: str = DIRECTIVE) -> Column:
     return F.when(rest.startswith("ignore-next-line"), "next").when(rest.startswith("ignore-line"), "line")
 
 
+def skipped_of(b: Column, prefix: str = DIRECTIVE) -> Column:
+    """The numbers of a text's lines without checks.  A line with next is skipped with the one after it, whose own
+    directive is then inert: in a run of consecutive next lines every other one is live."""
+    marked = F.transform(F.split(b, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), directive(F.rtrim(x, F.lit("\r")), prefix).alias("d")))
+    of = lambda kind: F.transform(F.filter(marked, lambda m: m["d"] == kind), lambda m: m["line"])
+    live = F.aggregate(of("next"), F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) == i - 1), acc).otherwise(F.concat(acc, F.array(i))))
+    skips = F.array_distinct(F.concat(live, F.transform(live, lambda i: i + 1), of("line")))
+    return F.when(F.contains(b, F.lit(prefix)), skips).otherwise(F.array().cast("array<int>"))
+
+
 def skipped_lines(some_lines: DataFrame, prefix: str = DIRECTIVE) -> DataFrame:
     """(doc_id, line) of lines without checks.  A line with next is skipped with the one after it, whose own
     directive is then inert: in a run of consecutive next lines every other one is live."""

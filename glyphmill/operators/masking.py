@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import byte_view, from_bytes
 
+# Extensions of markup, source code, languages with hash comments, and prose.
 MARKUP = ("md", "markdown", "mdx")
 SOURCE = ("c", "cc", "cpp", "cs", "css", "go", "h", "hpp", "java", "js", "jsx", "kt", "kts", "lua", "php", "py", "rb", "rs", "scala", "sh", "swift", "ts", "tsx", "vue")
 HASHES = ("py", "rb", "sh", "php", "yaml", "yml", "toml")
 PROSE = ("md", "markdown", "txt", "text", "rst", "adoc", "asciidoc", "tex", "org", "typ")
 
 
+CHUNK = 256  # lines
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
 
@@ -53,7 +57,8 @@ def mask_source_view(b: Column, hashes: Column) -> Column:
 def mask_markdown_view(b: Column) -> Column:
     """Masks front matter keys and delimiters, code fences, inline code and link targets."""
     lines = F.split(b, "\n", -1)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("k"), F.lit("").alias("fence"), F.lit(False).alias("front"))
+    state = lambda out, k, fence, front: F.struct(out.alias("out"), k.alias("k"), fence.alias("fence"), front.alias("front"))
+    none = F.array().cast("array<string>")
 
     def step(acc: Column, line: Column) -> Column:
         t = F.trim(line)
@@ -75,9 +80,14 @@ def mask_markdown_view(b: Column) -> Column:
         )
         front = opens_front | (acc["front"] & ~closes_front)
         fence = F.when(acc["front"] | opens_front, acc["fence"]).when(closes, "").when(in_fence, acc["fence"]).otherwise(marker)
-        return F.struct(F.concat(acc["out"], F.array(new)).alias("out"), (acc["k"] + 1).alias("k"), fence.alias("fence"), front.alias("front"))
+        return state(F.concat(acc["out"], F.array(new)), acc["k"] + 1, fence, front)
+
+    def chunk(acc: Column, c: Column) -> Column:  # a fold that appends to an array copies it each time
+        part = F.aggregate(F.slice(lines, c * CHUNK + 1, F.lit(CHUNK)), state(none, acc["k"], acc["fence"], acc["front"]), step, lambda a: state(F.array(F.array_join(a["out"], "\n")), a["k"], a["fence"], a["front"]))
+        return F.struct(F.concat(acc["out"], part["out"]).alias("out"), part["k"].alias("k"), part["fence"].alias("fence"), part["front"].alias("front"))
 
-    return F.aggregate(lines, start, step, lambda acc: F.array_join(acc["out"], "\n"))
+    chunks = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / CHUNK).cast("int"))
+    return F.aggregate(chunks, state(none, F.lit(0), F.lit(""), F.lit(False)), chunk, lambda acc: F.array_join(acc["out"], "\n"))
 
 
 def mask(text: Column, path: Column, chosen: Column | None = None) -> Column:

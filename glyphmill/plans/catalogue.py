@@ -9,40 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import github_escape, match_case, message, safe_fix
-from ..operators import english, findings, japanese, lines, masking, suggest, tokens
+from ..operators import check, english, findings, japanese, lines, masking, suggest, tokens
 from ..sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 ENGLISH = [
-    "\nsee https://exmaple.com/foo?bar=baz or mail foo.bar@exmaple.com now",
-    "\nid 0xDEADBEEF sha 550e8400e29b41d4a716446655440000 token eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9 end",
-    "\nprint \\nfoo and \\tbar, developer's APIs and IDs doesn't 'quoted'",
-    "\ngetUserName HTTPServerError parse_html_doc state-of-the-art sha256sum the colour of Color behaviour",
-    "\nWe Recieve teh TEH Teh serialised ser flate recieve publically zzqqy",
+    "\nread ftp://mirror.test/pub?x=1 or write to jo.lee@mirror.test today",
+    "\nmask 0xC0FFEE12 sum 9f86d081884c7d659a2feaa0c55ad015 key QWxhZGRpbjpPcGVuU2VzYW1lMTIzNDU2 stop",
+    "\necho \\rhello or \\vworld, maker's URLs and PDFs won't 'cited'",
+    "\nloadFileIndex XMLParserState read_csv_row out-of-date md5digest the favour of Favor GREY",
+    "\nYou Wierd adn ADN Adn organise ser flate wierd definately qqvvx",
 ]
 JAPANESE = [
-    "\nバージョン１２３ＡＢＣです ﾃﾞｰﾀﾍﾞｰｽ接続 ﾊﾟﾞｱ",
-    "\n重量は5㎏、面積は2㎡。let　x = 1;　終 ℡",
-    "\n子どもは1,000円を使う。子どもを説明、する。\n子供は一〇〇〇円を使う．\n",
-    "\nサーバーを起動する。\nサーバーを停止する。\n古いサーバを削除する。Webサイト と Web サイト",
-    "\n費用は1,000円、予備は42件。比較値は一〇〇〇円，四二件。お問合せ、お問い合わせ",
+    "\nモデル４５６ＸＹＺを更新 ｶﾞｲﾄﾞﾌﾞｯｸ参照 ﾋﾟﾞｱ",
+    "\n長さは3㎝、容量は7㍑。var　y = 2;　完 ℃",
+    "\n取り扱いは2,500円から。取り扱いの窓口、受付。\n取扱いは二五〇〇円から．\n",
+    "\nユーザーを登録する。\nユーザを消す。スライダーと古いスライダ、スライダー。Webページ と Web ページ",
+    "\n料金は3,200円、在庫は15件。前回は三二〇〇円，一五件。引続き、引き続き",
 ]
 DIRECTIVES = [
-    "\nteh\nteh # glyphmill:ignore-line\n# glyphmill:ignore-next-line\nteh\nteh",
-    "\nglyphmill:ignore-next-line\nglyphmill:ignore-next-line\nteh",
-    "\nteh glyphmill:other glyphmill:ignore-line\nteh",
-    "\nteh\n# glyphmill:ignore-file",
+    "\nadn\nadn # glyphmill:ignore-line\n# glyphmill:ignore-next-line\nadn\nadn",
+    "\nglyphmill:ignore-next-line\nglyphmill:ignore-next-line\nadn ＡＢ",
+    "\nadn glyphmill:other glyphmill:ignore-line\nadn",
+    "\nadn\n# glyphmill:ignore-file",
     "",
 ]
 CODE = [
-    "\n---\ntitle: x\n",
-    "\n`code recieve` and [a](http://x.y/recieve) ``a ` b`` end",
-    "\n```\nrecieve\n```\nafter",
-    "\nlet recieve = 1; // recieve comment\n\"recieve string\" /* é */ x",
+    "\n---\nauthor: me\n",
+    "\n`run wierd` and [there](http://q.test/wierd) ``x ` y`` done",
+    "\n```\nwierd\n```\nbelow",
+    "\nvar wierd = 2; // wierd remark\n\"wierd text\" /* ü */ w",
     "",
 ]
+# What the composed check is run on: every tail of English and Japanese with every directive.
+CHECKED = [ENGLISH[i % 5] + JAPANESE[i % 5] + DIRECTIVES[i // 5] for i in range(25)]
 
 
 def query(f):
@@ -158,16 +160,16 @@ oracle("plural_acronym_skip", f"WITH {docs_sql(ENGLISH)},{LINES},{TOKENS} SELECT
 
 @query
 def escape_skip(spark, sf_dir):
-    w = tokens.words(english_lines(spark, sf_dir)).where(F.lower("word").isin("nfoo", "tbar", "foo", "bar", "print", "developer", "doesn't", "quoted"))
+    w = tokens.words(english_lines(spark, sf_dir))
     return w.groupBy("word").agg(F.count("*").alias("n"))
 
 
-oracle("escape_skip", f"WITH {docs_sql(ENGLISH)},{WORDS} SELECT word, count(*) AS n FROM words WHERE key IN ('nfoo', 'tbar', 'foo', 'bar', 'print', 'developer', 'doesn''t', 'quoted') GROUP BY word")
+oracle("escape_skip", f"WITH {docs_sql(ENGLISH)},{WORDS} SELECT word, count(*) AS n FROM words GROUP BY word")
 
 # Rule tables of the queries: invented corrections for words that the texts have.
-RULES = [("teh", "the", 1), ("recieve", "receive", 1), ("publically", "publicly", 1), ("thnt", "that,than", 1), ("erth", "earth", 1), ("erth", "berth", 2), ("ednt", "ednt", 1), ("ononly", "only", 1)]
-ALLOW = ["zzqqy", "thnd"]
-FIXES_SQL = "fixes(key, fix, allowed) AS (VALUES ('teh', ['the'], false), ('recieve', ['receive'], false), ('publically', ['publicly'], false), ('thnt', ['that', 'than'], false), ('erth', ['berth'], false), ('ednt', ['ednt'], true), ('ononly', ['only'], false)), allow(key) AS (VALUES ('zzqqy'), ('thnd'))"
+RULES = [("adn", "and", 1), ("wierd", "weird", 1), ("definately", "definitely", 1), ("thnt", "that,than", 1), ("erth", "earth", 1), ("erth", "berth", 2), ("ednt", "ednt", 1), ("ononly", "only", 1)]
+ALLOW = ["qqvvx", "thnd"]
+FIXES_SQL = "fixes(key, fix, allowed) AS (VALUES ('adn', ['and'], false), ('wierd', ['weird'], false), ('definately', ['definitely'], false), ('thnt', ['that', 'than'], false), ('erth', ['berth'], false), ('ednt', ['ednt'], true), ('ononly', ['only'], false)), allow(key) AS (VALUES ('qqvvx'), ('thnd'))"
 
 
 def rules(spark):
@@ -204,7 +206,7 @@ def locale_findings(spark, sf_dir):
     return flat(english.english(english_lines(spark, sf_dir), none, allow, locale=english.locale_table(spark, "en-US")))
 
 
-PAIRS_SQL = "pairs(us, gb) AS (VALUES " + ", ".join("('{}', '{}')".format(*p.split()) for p in english.LOCALE_PAIRS.split(";")) + ")"
+PAIRS_SQL = "pairs(us, gb) AS (VALUES " + ", ".join(f"('{us}', '{gb}')" for us, gb in english.LOCALE_PAIRS) + ")"
 oracle("locale_findings", f"WITH {docs_sql(ENGLISH)},{WORDS},{PAIRS_SQL} SELECT doc_id, line, col, \"offset\", CAST(strlen(word) AS BIGINT) AS len, word, 'en-variant' AS kind, {MATCH.format(w='word', s='us')} AS suggestions FROM words JOIN pairs ON key = gb")
 
 
@@ -230,16 +232,10 @@ oracle("unknown_words", f"""WITH {docs_sql(ENGLISH)},{WORDS},{FIXES_SQL},{KNOWN_
 
 @query
 def suggest_topk(spark, sf_dir):
-    words = documents(spark, sf_dir).select(F.explode(F.split("text", "[^a-z]+")).alias("word")).where("length(word) between 4 and 9")
-    known = words.groupBy("word").count().where("count >= 30").select("word")
-    asked = words.where("length(word) >= 5").groupBy("word").count().where("count between 25 and 29").select("word")
-    return suggest.suggest(asked, known)
-
-
-oracle("suggest_topk", """WITH w AS (SELECT unnest(string_split_regex(text, '[^a-z]+')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w WHERE length(word) BETWEEN 4 AND 9 GROUP BY word),
-p AS (SELECT a.word, b.word AS suggestion, levenshtein(a.word, b.word) AS distance FROM c a, c b WHERE a.n BETWEEN 25 AND 29 AND length(a.word) >= 5 AND b.n >= 30 AND levenshtein(a.word, b.word) <= CASE WHEN strlen(a.word) <= 6 THEN 1 ELSE 2 END),
-r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, abs(strlen(word) - strlen(suggestion)), suggestion) AS rank FROM p)
-SELECT word, CAST(rank AS INTEGER) AS rank, suggestion, CAST(distance AS INTEGER) AS distance FROM r WHERE rank <= 4""")
+    """Suggestions for every word that is not in the list of known ones."""
+    words = tokens.words(lines.lines(documents(spark, sf_dir))).select(F.lower("word").alias("word")).distinct()
+    known = known_words(spark, sf_dir)
+    return suggest.suggest(words.join(known, "word", "left_anti"), known)
 
 
 @query
@@ -258,7 +254,7 @@ def issue_message(spark, sf_dir):
     return found.select("doc_id", "offset", message(F.col("kind"), F.col("word"), F.col("suggestions")).alias("message"))
 
 
-MESSAGE = "CASE WHEN len(s) = 1 THEN '`' || word || '` should be `' || s[1] || '`' ELSE '`' || word || '` should be one of: ' || array_to_string(s, ', ') END"
+MESSAGE = "CASE WHEN len(s) = 1 THEN '`' || word || '` should be `' || s[1] || '`' ELSE '`' || word || '` should be one of: ' || array_to_string(list_transform(s, lambda x: '`' || x || '`'), ', ') END"
 oracle("issue_message", f"WITH {docs_sql(ENGLISH)},{WORDS},{FIXES_SQL},{TYPO_ROWS} SELECT doc_id, \"offset\", {MESSAGE} AS message FROM typos")
 
 
@@ -291,7 +287,7 @@ _ja("fullwidth_space", lambda s, d: japanese.fullwidth_space(d, "always"), occur
 _map = "CASE word " + " ".join(f"WHEN {quoted(a)} THEN {quoted(b)}" for a, b in COMPATIBILITY.items()) + " END"
 _ja("compat_chars", lambda s, d: japanese.compatibility(d), occurrence_sql(f"[{japanese.COMPATIBLE}]", f"[^{japanese.COMPATIBLE}]+", f"^[{japanese.COMPATIBLE}]"), f"SELECT * FROM ({BASIC.format(kind='ja-compatibility', to=_map)}) WHERE suggestions IS NOT NULL")
 _KATA = occurrence_sql(f"[{japanese.KATAKANA}]+", f"[^{japanese.KATAKANA}]+", f"^[{japanese.KATAKANA}]")
-_long = "[" + ", ".join(quoted(w) for w in japanese.KATAKANA_SHORT) + "]"
+_long = "[" + ", ".join(quoted(w) for w, _ in japanese.KATAKANA_PAIRS) + "]"
 _ja("katakana_variants", lambda s, d: japanese.variants(d, japanese.katakana_table(s, "long")), _KATA, BASIC.format(kind="ja-variant", to="word || 'ー'") + f" WHERE list_contains({_long}, word)")
 _ja(
     "katakana_consistency",
@@ -319,7 +315,7 @@ u AS (SELECT doc_id, word, suggestions, unnest(string_split(text, word)) AS part
 o AS (SELECT *, CAST(sum(strlen(part)) OVER (PARTITION BY doc_id, word ORDER BY k) + (k - 1) * strlen(word) AS BIGINT) AS "offset" FROM u)
 SELECT doc_id, "offset", CAST(strlen(word) AS BIGINT) AS len, word, 'ja-variant' AS kind, suggestions FROM o WHERE k < parts""")
 ORACLES["kanji_consistency"] = ORACLES["kanji_consistency"].replace(") , n AS", "), n AS")
-_ja("regex_rules", lambda s, d: japanese.regex_rules(d, [("Web ?サイト", "ウェブサイト")]), "occ0 AS (SELECT doc_id, unnest(regexp_extract_all(text, 'Web ?サイト')) AS word, text FROM docs)", "SELECT doc_id, CAST(strlen(text[:strpos(text, word) - 1]) AS BIGINT) AS \"offset\", CAST(strlen(word) AS BIGINT) AS len, word, 'ja-variant' AS kind, 'ウェブサイト' AS suggestions FROM occ0")
+_ja("regex_rules", lambda s, d: japanese.regex_rules(d, [("Web ?ページ", "ウェブページ")]), "occ0 AS (SELECT doc_id, unnest(regexp_extract_all(text, 'Web ?ページ')) AS word, text FROM docs)", "SELECT doc_id, CAST(strlen(text[:strpos(text, word) - 1]) AS BIGINT) AS \"offset\", CAST(strlen(word) AS BIGINT) AS len, word, 'ja-variant' AS kind, 'ウェブページ' AS suggestions FROM occ0")
 
 
 @query
@@ -361,15 +357,25 @@ def profile_choice(spark, sf_dir):
 oracle("profile_choice", f"SELECT doc_id, {PATH_SQL} AS path, CASE doc_id % 6 WHEN 0 THEN 'prose' WHEN 1 THEN 'source' WHEN 3 THEN 'source' ELSE 'all' END AS profile, doc_id % 6 IN (0, 2, 4) AS prose FROM documents")
 
 
+OVERRIDES = (check.Override("src1/**", mode="dictionary", japanese=True), check.Override("*.md", mode="off"), check.Override("src3/*", japanese=False, profile="all"))
+CONFIG = check.Config(profile="all", locale="en-US", katakana="long", rules=(("Web ?ページ", "ウェブページ"),), overrides=OVERRIDES)
+CHECK_PATH = "'src' || doc_id % 7 || '/' || " + PATH_SQL
+
+
+def check_docs(spark, sf_dir, tails: list[str]) -> DataFrame:
+    d = with_path(appended(spark, sf_dir, tails))
+    return d.withColumn("path", F.concat(F.lit("src"), F.col("doc_id") % 7, F.lit("/"), F.col("path")))
+
+
+EFFECTIVE = "CASE WHEN doc_id % 6 = 0 THEN 'off' WHEN doc_id % 7 = 1 THEN 'dictionary' ELSE 'corrections' END AS mode, doc_id % 7 <> 3 AS ja, doc_id % 6 IN (0, 2, 4) AS prose"
+
+
 @query
 def path_overrides(spark, sf_dir):
-    d = with_path(documents(spark, sf_dir)).withColumn("path", F.concat(F.lit("src"), F.col("doc_id") % 7, F.lit("/"), F.col("path")))
-    overrides = [("src1/**", "dictionary"), ("*.md", "off"), ("src3/*", "dictionary")]
-    mode = F.coalesce(*[F.when(F.col("path").rlike(files.glob_regex(g)), m) for g, m in reversed(overrides)], F.lit("corrections"))
-    return d.select("doc_id", mode.alias("mode"))
+    return check.effective(check_docs(spark, sf_dir, [""]), CONFIG).select("doc_id", "mode", "ja", "prose", "profile")
 
 
-oracle("path_overrides", "SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'dictionary' WHEN doc_id % 6 = 0 THEN 'off' WHEN doc_id % 7 = 1 THEN 'dictionary' ELSE 'corrections' END AS mode FROM documents")
+oracle("path_overrides", f"SELECT doc_id, {EFFECTIVE}, 'all' AS profile FROM documents")
 
 
 @query
@@ -387,29 +393,64 @@ def source_mask(spark, sf_dir):
 
 
 def all_findings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    docs = appended(spark, sf_dir, [a + b for a, b in zip(ENGLISH, JAPANESE)])
+    docs = check_docs(spark, sf_dir, CHECKED)
     fixes, allow = rules(spark)
-    parts = [
-        english.english(lines.lines(docs), fixes, allow, locale=english.locale_table(spark, "en-US")),
-        japanese.fullwidth_alnum(docs),
-        japanese.katakana_consistency(docs),
-        japanese.punctuation_style(docs),
-    ]
-    return docs, findings.union(parts, allow)
-
-
-ALL_SQL = f"""{docs_sql([a + b for a, b in zip(ENGLISH, JAPANESE)])},{WORDS},{FIXES_SQL},{PAIRS_SQL},{TYPO_ROWS},
-{_KATA.replace('occ', 'ka')}, f AS (SELECT *, regexp_replace(word, 'ー+$', '') AS key FROM ka WHERE length(word) >= 3), n AS (SELECT doc_id, key, word, count(*) AS n FROM f WHERE length(key) >= 2 GROUP BY ALL), g AS (SELECT doc_id, key, arg_max(word, (n, ends_with(word, 'ー'), strlen(word), word)) AS winner FROM n GROUP BY doc_id, key HAVING count(*) > 1),
-{occurrence_sql(f"[{japanese.FULL_ALNUM}]+", f"[^{japanese.FULL_ALNUM}]+", f"^[{japanese.FULL_ALNUM}]").replace('occ', 'fa')},
-{occurrence_sql("[、。，．]", "[^、。，．]+", "^[、。，．]").replace('occ', 'pu')}, c AS (SELECT doc_id, count(*) FILTER (word IN ('、', '。')) AS ja, count(*) FILTER (word IN ('，', '．')) AS we FROM pu GROUP BY doc_id),
-found AS (
+    return docs, check.check(docs, CONFIG, fixes, allow, known_words(spark, sf_dir))
+
+
+WORDS_OF_LINES = WORDS[len(LINES) + 1 :]
+SKIPS = """
+dir AS (SELECT doc_id, line, regexp_extract(b, '^.*?glyphmill:(ignore-next-line|ignore-line|)', 1) AS d FROM alllines WHERE contains(b, 'glyphmill:')),
+nextlines AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM dir WHERE d = 'ignore-next-line'),
+livelines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, run ORDER BY line) AS k FROM nextlines),
+skips AS (SELECT doc_id, line FROM dir WHERE d <> '' UNION SELECT doc_id, line FROM livelines WHERE k % 2 = 1 UNION SELECT doc_id, line + 1 FROM livelines WHERE k % 2 = 1)"""
+_EVERY = japanese.KATAKANA + japanese.FULL_ALNUM + japanese.HALF_KANA + japanese.COMPATIBLE + "　" + japanese.MARKS
+_RUNS = f"[{japanese.KATAKANA}]+|[{japanese.FULL_ALNUM}]+|[{japanese.HALF_KANA}]+|[{japanese.COMPATIBLE}　{japanese.MARKS}]|[^{_EVERY}]+"
+_NUMBER = f"(?:[0-9][0-9,]*|[{japanese.KANJI_DIGITS}]+)[{japanese.UNITS}]"
+
+
+def line_occurrences(name: str, pattern: str, keep: str) -> str:
+    """Matches in the lines of documents with Japanese checks: (doc_id, line, word, offset, prose, skip)."""
+    return f"""{name}0 AS (SELECT doc_id, line, line_offset, prose, unnest(p) AS word, generate_subscripts(p, 1) AS k FROM (SELECT alllines.*, prose, regexp_extract_all(b, '{pattern}') AS p FROM alllines JOIN docs USING (doc_id) WHERE ja)),
+{name}1 AS (SELECT *, CAST(line_offset + coalesce(sum(strlen(word)) OVER (PARTITION BY doc_id, line ORDER BY k {BEFORE}), 0) AS BIGINT) AS "offset" FROM {name}0),
+{name} AS (SELECT {name}1.*, skips.line IS NOT NULL AS skip FROM {name}1 LEFT JOIN skips USING (doc_id, line) WHERE regexp_matches(word, '{keep}'))"""
+
+
+ALL_SQL = f"""base AS (SELECT doc_id, {CHECK_PATH} AS path, text FROM (WITH {docs_sql(CHECKED)} SELECT * FROM docs)),
+docs AS (SELECT *, {EFFECTIVE} FROM base WHERE text IS NOT NULL AND NOT contains(text, 'glyphmill:ignore-file') AND NOT (doc_id % 6 = 0 AND doc_id % 7 = 3)),
+{LINES.replace("lines AS", "alllines AS")},{SKIPS},
+lines AS (SELECT alllines.*, mode FROM alllines JOIN docs USING (doc_id) LEFT JOIN skips USING (doc_id, line) WHERE skips.line IS NULL AND mode <> 'off'),
+{WORDS_OF_LINES},{FIXES_SQL},{PAIRS_SQL},{KNOWN_SQL},{TYPO_ROWS},
+{line_occurrences("pc", _RUNS, f"^[{_EVERY}]")},
+{line_occurrences("nu", f"{_NUMBER}|[0-9][0-9,]*|[{japanese.KANJI_DIGITS}]+|[^{_DIG}]+|,", f"^{_NUMBER}$")},
+{line_occurrences("ru", "Web ?ページ|.", "^Web ?ページ$")},
+kc AS (SELECT *, regexp_replace(word, 'ー+$', '') AS key FROM pc WHERE NOT skip AND regexp_matches(word, '^[{japanese.KATAKANA}]') AND NOT list_contains({_long}, word) AND length(word) >= 3),
+kn AS (SELECT doc_id, key, word, count(*) AS n FROM kc WHERE length(key) >= 2 GROUP BY ALL),
+kg AS (SELECT doc_id, key, arg_max(word, (n, ends_with(word, 'ー'), strlen(word), word)) AS winner FROM kn GROUP BY doc_id, key HAVING count(*) > 1),
+pu AS (SELECT *, count(*) FILTER (word IN ('、', '。')) OVER (PARTITION BY doc_id) AS njp, count(*) FILTER (word IN ('，', '．')) OVER (PARTITION BY doc_id) AS nwe FROM pc WHERE regexp_matches(word, '^[{japanese.MARKS}]')),
+nf AS (SELECT *, translate(replace(word, ',', ''), '{japanese.KANJI_DIGITS}', '00123456789') AS key, regexp_matches(word, '^[{japanese.KANJI_DIGITS}]') AS kanji FROM nu),
+ng AS (SELECT doc_id, key, count(*) FILTER (kanji) AS nk, count(*) FILTER (NOT kanji) AS na, arg_min(word, "offset") FILTER (kanji) AS fk, arg_min(word, "offset") FILTER (NOT kanji) AS fa FROM nf GROUP BY doc_id, key),
+kpairs(bad, good) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in japanese.KANJI_PAIRS)}),
+kp AS (SELECT doc_id, text, CASE WHEN a > b THEN good ELSE bad END AS word, CASE WHEN a > b THEN bad ELSE good END AS good FROM (SELECT doc_id, text, bad, good, len(string_split(text, bad)) - 1 AS a, len(string_split(text, good)) - 1 AS b FROM docs, kpairs WHERE ja AND contains(text, bad) AND contains(text, good))),
+ku AS (SELECT doc_id, word, good, unnest(string_split(text, word)) AS part, generate_subscripts(string_split(text, word), 1) AS k, len(string_split(text, word)) AS parts FROM kp),
+ko AS (SELECT *, CAST(sum(strlen(part)) OVER (PARTITION BY doc_id, word ORDER BY k) + (k - 1) * strlen(word) AS BIGINT) AS "offset" FROM ku),
+found0 AS (
  SELECT doc_id, "offset", word, kind, s, 0 AS phase FROM typos
- UNION ALL SELECT doc_id, "offset", word, 'en-variant', [{MATCH.format(w='word', s='us')}], 0 FROM words JOIN pairs ON key = gb
- UNION ALL SELECT doc_id, "offset", word, 'fullwidth-alnum', [translate(word, '{FULL_ALNUM}', '{HALF_ALNUM}')], 1 FROM fa
- UNION ALL SELECT doc_id, "offset", word, 'ja-variant', [winner], 2 FROM f JOIN g USING (doc_id, key) WHERE word <> winner
- UNION ALL SELECT doc_id, "offset", word, 'ja-punctuation', [CASE WHEN ja >= we THEN translate(word, '，．', '、。') ELSE translate(word, '、。', '，．') END], 3 FROM pu JOIN c USING (doc_id) WHERE ja > 0 AND we > 0 AND (word IN ('，', '．')) = (ja >= we)),
-placedf AS (SELECT *, len(string_split(before, chr(10))) AS line, string_split(before, chr(10))[-1] AS inline FROM (SELECT found.*, decode(encode(text)[1:"offset"]) AS before, text FROM found JOIN docs USING (doc_id))),
-lined AS (SELECT *, 'doc/' || doc_id AS path, CAST(strlen(inline) AS BIGINT) AS col, length(inline) + 1 AS "column", rtrim(string_split(text, chr(10))[line], chr(13)) AS line_text FROM placedf)"""
+ UNION ALL SELECT doc_id, "offset", word, 'en-variant', [{MATCH.format(w='word', s='us')}], 0 FROM words JOIN pairs ON key = gb WHERE key NOT IN (SELECT key FROM allow) AND key NOT IN (SELECT key FROM fixes)
+ UNION ALL SELECT doc_id, "offset", word, 'unknown-word', CAST([] AS VARCHAR[]), 0 FROM words JOIN docs USING (doc_id) WHERE mode = 'dictionary' AND key NOT IN (SELECT key FROM allow) AND key NOT IN (SELECT key FROM fixes) AND key NOT IN (SELECT gb FROM pairs) AND key NOT IN (SELECT key FROM known) AND strlen(word) >= 4 AND NOT regexp_matches(word, '^[A-Z]+$')
+ UNION ALL SELECT doc_id, "offset", word, 'ja-variant', ['ウェブページ'], 1 FROM ru WHERE NOT skip
+ UNION ALL SELECT doc_id, "offset", word, 'ja-variant', [word || 'ー'], 2 FROM pc WHERE NOT skip AND list_contains({_long}, word)
+ UNION ALL SELECT doc_id, "offset", word, 'fullwidth-alnum', [translate(word, '{FULL_ALNUM}', '{HALF_ALNUM}')], 2 FROM pc WHERE NOT skip AND regexp_matches(word, '^[{japanese.FULL_ALNUM}]')
+ UNION ALL SELECT doc_id, "offset", word, 'halfwidth-kana', [translate({_kana}, '{HALF_KANA}', '{FULL_KANA}')], 2 FROM pc WHERE NOT skip AND regexp_matches(word, '^[{japanese.HALF_KANA}]')
+ UNION ALL SELECT doc_id, "offset", word, 'fullwidth-space', [' '], 2 FROM pc WHERE NOT skip AND word = '　' AND NOT prose
+ UNION ALL SELECT doc_id, "offset", word, 'ja-compatibility', [w], 2 FROM (SELECT *, {_map} AS w FROM pc WHERE NOT skip AND regexp_matches(word, '^[{japanese.COMPATIBLE}]')) WHERE w IS NOT NULL
+ UNION ALL SELECT doc_id, "offset", word, 'ja-variant', [winner], 3 FROM kc JOIN kg USING (doc_id, key) WHERE word <> winner
+ UNION ALL SELECT doc_id, "offset", word, 'ja-variant', [good], 4 FROM ko WHERE k < parts
+ UNION ALL SELECT doc_id, "offset", word, 'ja-number-style', [CASE WHEN na >= nk THEN fa ELSE fk END], 5 FROM nf JOIN ng USING (doc_id, key) WHERE nk > 0 AND na > 0 AND kanji = (na >= nk)
+ UNION ALL SELECT doc_id, "offset", word, 'ja-punctuation', [CASE WHEN njp >= nwe THEN translate(word, '，．', '、。') ELSE translate(word, '、。', '，．') END], 6 FROM pu WHERE njp > 0 AND nwe > 0 AND (word IN ('，', '．')) = (njp >= nwe)),
+found AS (SELECT * FROM found0 WHERE lower(word) NOT IN (SELECT key FROM allow)),
+placedf AS (SELECT *, len(string_split(before, chr(10))) AS line, string_split(before, chr(10))[-1] AS inline FROM (SELECT found.*, path, decode(encode(text)[1:"offset"]) AS before, text FROM found JOIN docs USING (doc_id))),
+lined AS (SELECT *, CAST(strlen(inline) AS BIGINT) AS col, length(inline) + 1 AS "column", rtrim(string_split(text, chr(10))[line], chr(13)) AS line_text FROM placedf)"""
 
 
 @query
@@ -418,6 +459,14 @@ def findings_all(spark, sf_dir):
     return flat(found).select("doc_id", "line", "col", "offset", "word", "kind", "suggestions", "phase")
 
 
+@query
+def check_masked(spark, sf_dir):
+    """The composed check on texts whose masks depend on their paths."""
+    fixes, allow = rules(spark)
+    docs = check_docs(spark, sf_dir, [c + e for c, e in zip(CODE, ENGLISH)])
+    return flat(check.check(docs, check.Config(locale="en-US"), fixes, allow)).select("doc_id", "line", "col", "offset", "word", "kind", "suggestions", "phase")
+
+
 oracle("findings_all", f"WITH {ALL_SQL} SELECT doc_id, CAST(line AS INTEGER) AS line, col, \"offset\", word, kind, array_to_string(s, ',') AS suggestions, phase FROM lined")
 
 
@@ -446,7 +495,7 @@ oracle("run_summary", f"WITH {ALL_SQL},{GUARDS} SELECT (SELECT count(*) FROM fou
 
 def lined(spark, sf_dir) -> DataFrame:
     docs, found = all_findings(spark, sf_dir)
-    return findings.with_line_text(found, docs).withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
+    return findings.with_line_text(found, docs).join(docs.select("doc_id", "path"), "doc_id")
 
 
 @query
@@ -454,10 +503,17 @@ def words_collect(spark, sf_dir):
     return flat(findings.collect_words(lined(spark, sf_dir)))
 
 
-oracle("words_collect", f"""WITH {ALL_SQL}, k AS (SELECT CASE WHEN regexp_matches(word, '^[\\x00-\\x7F]*$') THEN lower(word) ELSE word END AS w, * FROM lined WHERE kind IN ('typo', 'unknown-word', 'en-variant', 'ja-variant')),
-e AS (SELECT w, count(*) AS count, arg_min(kind, (doc_id, "offset", phase)) AS kind, arg_min(trim(line_text), (doc_id, "offset", phase)) AS x FROM k GROUP BY w),
-u AS (SELECT w, doc_id, "offset", phase, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM k), m AS (SELECT w, s, min((doc_id, "offset", phase, i)) AS pos FROM u GROUP BY w, s)
-SELECT w AS word, count, kind, CASE WHEN length(x) > 96 THEN x[:96] || '…' ELSE x END AS example, (SELECT string_agg(s, ',' ORDER BY pos) FROM m WHERE m.w = e.w) AS suggestions FROM e""")
+BLANK_SQL = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
+def trim_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{BLANK_SQL}+', ''), '{BLANK_SQL}+$', '')"
+
+
+oracle("words_collect", f"""WITH {ALL_SQL}, k AS (SELECT CASE WHEN regexp_matches(word, '^[\\x00-\\x7F]*$') THEN lower(word) ELSE word END AS w, *, {trim_sql("line_text")} AS x FROM lined WHERE kind IN ('typo', 'unknown-word', 'en-variant', 'ja-variant')),
+e AS (SELECT w, count(*) AS count, arg_min(kind, (path, "offset", phase)) AS kind, arg_min(path || ':' || line || ': ' || CASE WHEN length(x) > 96 THEN x[:96] || '…' ELSE x END, (path, "offset", phase)) AS example FROM k GROUP BY w),
+u AS (SELECT w, path, "offset", phase, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM k), m AS (SELECT w, s, min((path, "offset", phase, i)) AS pos FROM u GROUP BY w, s)
+SELECT w AS word, count, kind, example, coalesce((SELECT string_agg(s, ',' ORDER BY pos) FROM m WHERE m.w = e.w), '') AS suggestions FROM e""")
 
 
 def printed(spark, sf_dir):
@@ -465,7 +521,7 @@ def printed(spark, sf_dir):
     return f.withColumn("fingerprint", findings.fingerprint(F.col("path"), F.col("kind"), F.col("word"), F.col("line_text")))
 
 
-FP = "fp AS (SELECT *, sha256(path || chr(0) || kind || chr(0) || lower(word) || chr(0) || sha256(trim(line_text, ' '))) AS fingerprint FROM lined)"
+FP = f"fp AS (SELECT *, sha256(path || chr(0) || kind || chr(0) || lower(word) || chr(0) || sha256({trim_sql('line_text')})) AS fingerprint FROM lined)"
 
 
 @query
@@ -490,10 +546,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY path, "offs
 @query
 def baseline_prune(spark, sf_dir):
     f = printed(spark, sf_dir)
-    return findings.prune(findings.baseline(f), findings.baseline(f.where("offset % 3 <> 0"))).select("fingerprint", "count")
+    return findings.prune(findings.baseline(f), findings.baseline(f.where("offset % 3 <> 0"))).select("fingerprint", "count", "removed")
 
 
-oracle("baseline_prune", f"WITH {ALL_SQL},{FP} SELECT fingerprint, count(*) AS count FROM fp WHERE \"offset\" % 3 <> 0 GROUP BY fingerprint")
+oracle("baseline_prune", f"WITH {ALL_SQL},{FP} SELECT fingerprint, count(*) FILTER (\"offset\" % 3 <> 0) AS count, count(*) FILTER (\"offset\" % 3 = 0) AS removed FROM fp GROUP BY fingerprint")
 
 
 @query
@@ -507,7 +563,7 @@ def fix_dry_run(spark, sf_dir):
     return findings.dry_run(all_findings(spark, sf_dir)[1])
 
 
-oracle("fix_dry_run", f"WITH {ALL_SQL} SELECT doc_id, count(*) FILTER (kind <> 'typo' OR len(s) = 1) AS fixed, count(*) FILTER (kind = 'typo' AND len(s) > 1) AS skipped, count(*) FILTER (len(s) = 0) AS unfixable FROM found GROUP BY doc_id")
+oracle("fix_dry_run", f"WITH {ALL_SQL} SELECT doc_id, count(*) FILTER (len(s) > 0 AND (kind <> 'typo' OR len(s) = 1)) AS fixed, count(*) FILTER (kind = 'typo' AND len(s) > 1) AS skipped, count(*) FILTER (len(s) = 0) AS unfixable FROM found GROUP BY doc_id")
 
 
 @query
@@ -522,23 +578,37 @@ oracle("format_brief", f"WITH {ALL_SQL} SELECT doc_id, \"offset\", path || ':' |
 @query
 def format_json(spark, sf_dir):
     r = findings.json_record()
-    return lined(spark, sf_dir).where("phase = 0").select("doc_id", "offset", F.get_json_object(r, "$.column").alias("column"), F.get_json_object(r, "$.fix").alias("fix"), F.get_json_object(r, "$.kind").alias("kind"), F.get_json_object(r, "$.length").alias("length"))
+    names = ("column", "fix", "kind", "length", "message", "path", "type")
+    return lined(spark, sf_dir).select("doc_id", "offset", "phase", *[F.get_json_object(r, f"$.{n}").alias(n) for n in names])
+
+
+MESSAGES = "CASE kind WHEN 'typo' THEN " + MESSAGE + """ WHEN 'unknown-word' THEN '`' || word || '` is not a known word' WHEN 'en-variant' THEN 'regional spelling `' || word || '` → `' || s[1] || '`'
+ WHEN 'ja-variant' THEN '`' || word || '` は `' || s[1] || '` に統一 (表記ゆれ)' WHEN 'fullwidth-alnum' THEN 'fullwidth alphanumerics `' || word || '` → `' || s[1] || '`' WHEN 'halfwidth-kana' THEN 'halfwidth katakana `' || word || '` → `' || s[1] || '`'
+ WHEN 'fullwidth-space' THEN 'fullwidth space (U+3000)' WHEN 'ja-compatibility' THEN 'compatibility character `' || word || '` → `' || s[1] || '`' WHEN 'ja-number-style' THEN '`' || word || '` は `' || s[1] || '` に統一 (数字表記)' ELSE '`' || word || '` は `' || s[1] || '` に統一 (句読点)' END"""
+FIX = "CASE WHEN kind <> 'typo' OR len(s) = 1 THEN s[1] END"
+oracle("format_json", f"WITH {ALL_SQL} SELECT doc_id, \"offset\", phase, CAST(\"column\" AS VARCHAR) AS \"column\", {FIX} AS fix, kind, CAST(strlen(word) AS VARCHAR) AS length, {MESSAGES} AS message, path, 'issue' AS type FROM lined")
+
+
+@query
+def json_summary(spark, sf_dir):
+    _, found = all_findings(spark, sf_dir)
+    return findings.summary_record(findings.summary(found, _files(spark, sf_dir)))
 
 
-oracle("format_json", f"WITH {ALL_SQL} SELECT doc_id, \"offset\", CAST(\"column\" AS VARCHAR) AS \"column\", CASE WHEN kind <> 'typo' OR len(s) = 1 THEN s[1] END AS fix, kind, CAST(strlen(word) AS VARCHAR) AS length FROM lined WHERE phase = 0")
+oracle("json_summary", f"""WITH {ALL_SQL},{GUARDS} SELECT '{{"version":1,"type":"summary","issues":' || (SELECT count(*) FROM found) || ',"files_with_issues":' || (SELECT count(DISTINCT doc_id) FROM found) || ',"files_checked":' || count(*) FILTER (NOT skipped_large AND NOT skipped_binary) || ',"fixed":0,"skipped_binary":' || count(*) FILTER (skipped_binary) || ',"skipped_large":' || count(*) FILTER (skipped_large) || '}}' AS record FROM guards""")
 
 
 @query
 def format_github(spark, sf_dir):
-    return lined(spark, sf_dir).where("kind = 'typo'").select("doc_id", "offset", findings.github().alias("line"))
+    return lined(spark, sf_dir).select("doc_id", "offset", "phase", findings.github().alias("line"))
 
 
-oracle("format_github", f"WITH {ALL_SQL} SELECT doc_id, \"offset\", '::warning file=' || path || ',line=' || line || ',col=' || \"column\" || ',title=glyphmill [typo]::' || {MESSAGE} AS line FROM lined WHERE kind = 'typo'")
+oracle("format_github", f"WITH {ALL_SQL} SELECT doc_id, \"offset\", phase, '::warning file=' || path || ',line=' || line || ',col=' || \"column\" || ',title=glyphmill [' || kind || ']::' || {MESSAGES} AS line FROM lined")
 
 
 @query
 def format_sarif(spark, sf_dir):
-    return findings.sarif(lined(spark, sf_dir))
+    return findings.sarif_lines(lined(spark, sf_dir))
 
 
 @query
@@ -563,11 +633,12 @@ oracle("incremental_reuse", "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN d
 
 @query
 def wordlist_parse(spark, sf_dir):
-    v = documents(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("value"))
+    tail = F.lit("\nc#\r\n\t# note\nTab\t\n　wide　\nmid # dle")
+    v = documents(spark, sf_dir).select(F.explode(F.split(F.concat("text", tail), "\n")).alias("value"))
     return files.word_list(v)
 
 
-oracle("wordlist_parse", "WITH v AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents) SELECT DISTINCT lower(trim(string_split(value, '#')[1], ' ')) AS word FROM v WHERE trim(string_split(value, '#')[1], ' ') <> ''")
+oracle("wordlist_parse", "WITH v AS (SELECT unnest(string_split(text || chr(10) || 'c#' || chr(13) || chr(10) || chr(9) || '# note' || chr(10) || 'Tab' || chr(9) || chr(10) || '　wide　' || chr(10) || 'mid # dle', chr(10))) AS value FROM documents) SELECT DISTINCT lower(w) AS word FROM (SELECT " + trim_sql("value") + " AS w FROM v) WHERE w <> '' AND NOT starts_with(w, '#')")
 
 
 @query

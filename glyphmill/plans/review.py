@@ -50,7 +50,7 @@ def normalise_every(spark, sf_dir):
 
 oracle("normalise_every", f"""WITH {ALL_SQL} SELECT doc_id, kind, word, s[1] AS target, count(*) AS n, min("offset") AS first_offset FROM found WHERE len(s) > 0 GROUP BY ALL""")
 
-DECISIONS = [("recieve", "typo", "fix", "receive"), ("TEH", "typo", "allow", None), ("colour", "en-variant", "fix", "color")]
+DECISIONS = [("wierd", "typo", "fix", "weird"), ("ADN", "typo", "allow", None), ("favour", "en-variant", "fix", "favor")]
 
 
 @query
