@@ -81,18 +81,8 @@ def check(docs: DataFrame, config: Config, fixes: DataFrame, allow: DataFrame, k
         english_rows = rows.where("mode <> 'off' and not skip")
         parts.append((0, english.english(english_rows, fixes, allow, locale, known, config.options, F.col("mode") == "dictionary")))
     if config.japanese:
-        # every character of these checks, and every rule's text, is looked for in lines beyond Latin script only,
-        # but rules may be about anything
-        ja = rows.where("ja")
-        wide = ja.where(F.col("b").rlike("[\\xE2-\\xEF]"))
-        for k, rule in enumerate(config.rules):
-            parts.append((1, japanese.regex_rules(ja.where("not skip"), [rule])))
-        table = list(config.variants) + japanese.katakana_pairs(config.katakana)
-        direct, consistent, points = japanese.pieces(wide, dict(table), config.space)
-        parts.append((2, direct))
-        if config.consistency:
-            parts.append((3, consistent))
-        parts += [(4, japanese.kanji_consistency(wide)), (5, japanese.number_style(wide)), (6, points)]
+        table = dict([*japanese.katakana_pairs(config.katakana), *config.variants])
+        parts.append((None, japanese.document_findings(rows.where("ja"), table, config.space, config.rules, config.consistency)))
     return findings.united(spark, parts, allow)
 
 

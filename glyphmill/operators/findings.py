@@ -18,10 +18,11 @@ def union(parts: list[DataFrame], allow: DataFrame | None = None) -> DataFrame:
     return united(parts[0].sparkSession, list(enumerate(parts)), allow)
 
 
-def united(spark: SparkSession, parts: list[tuple[int, DataFrame]], allow: DataFrame | None = None) -> DataFrame:
+def united(spark: SparkSession, parts: list[tuple[int | None, DataFrame]], allow: DataFrame | None = None) -> DataFrame:
+    """``union`` of findings with a phase for each part, or with phases of their own (None)."""
     out = None
     for phase, p in parts:
-        p = p.select(*COLUMNS).withColumn("phase", F.lit(phase))
+        p = p.select(*COLUMNS, (F.col("phase") if phase is None else F.lit(phase)).cast("int").alias("phase"))
         out = p if out is None else out.unionByName(p)
     if out is None:
         return spark.createDataFrame([], "doc_id long, line int, col long, offset long, len long, word string, kind string, suggestions array<string>, phase int")

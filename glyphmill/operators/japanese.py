@@ -127,13 +127,6 @@ def finding(rows: DataFrame, kind: str | Column, suggestion: Column) -> DataFram
     return rows.select("doc_id", "line", "col", "offset", F.octet_length("word").cast("long").alias("len"), "word", kind.alias("kind"), F.array(suggestion).alias("suggestions"))
 
 
-def class_runs(rows: DataFrame) -> DataFrame:
-    """Runs of katakana, full-width letters and digits, half-width kana, and single spaces, compatibility characters and
-    marks, in one pass.  The classes are disjoint."""
-    every = KATAKANA + FULL_ALNUM + HALF_KANA + COMPATIBLE + "　" + MARKS
-    return occurrences(rows, f"[{KATAKANA}]+|[{FULL_ALNUM}]+|[{HALF_KANA}]+|[{COMPATIBLE}　{MARKS}]", f"[^{every}]+", f"^[{every}]")
-
-
 def fullwidth_alnum(rows: DataFrame) -> DataFrame:
     return finding(occurrences(rows, f"[{FULL_ALNUM}]+", f"[^{FULL_ALNUM}]+"), "fullwidth-alnum", ascii_of_fullwidth(F.col("word")))
 
@@ -195,27 +188,6 @@ def punctuation_style(rows: DataFrame) -> DataFrame:
     return _minority_marks(occurrences(rows, f"[{MARKS}]", f"[^{MARKS}]+"))
 
 
-def pieces(rows: DataFrame, table: dict[str, str], space: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From one pass over the lines: findings of characters and variants, of katakana forms, and of marks."""
-    runs = class_runs(rows)
-    w = F.col("word")
-    to = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[w] if table else F.lit(None).cast("string")
-    kata = w.rlike(f"^[{KATAKANA}]")
-    kinds = [
-        (kata, "ja-variant", F.when(to != w, to)),
-        (w.rlike(f"^[{FULL_ALNUM}]"), "fullwidth-alnum", ascii_of_fullwidth(w)),
-        (w.rlike(f"^[{HALF_KANA}]"), "halfwidth-kana", full_of_halfwidth(w)),
-        (w == "　", "fullwidth-space", F.when(space_allowed(space), F.lit(" "))),
-        (w.rlike(f"^[{COMPATIBLE}]"), "ja-compatibility", compatibility_form(w)),
-    ]
-    kind = suggestion = F
-    for test, name, fix in kinds:
-        kind, suggestion = kind.when(test, name), suggestion.when(test, fix)
-    direct = runs.where(~F.col("skip") & ~w.rlike(f"^[{MARKS}]")).withColumn("to", suggestion).where("to is not null")
-    free = runs.where(~F.col("skip") & kata & (to.isNull() | (to == w)))
-    return finding(direct, kind, F.col("to")), _inconsistent(free), _minority_marks(runs.where(w.rlike(f"^[{MARKS}]")))
-
-
 def kanji_consistency(rows: DataFrame) -> DataFrame:
     """Both spellings of a pair in one document: the rarer one, of equal ones the first of the pair."""
     forms = [F.struct(F.lit(i).alias("pair"), F.lit(left).alias("left"), F.lit(form).alias("form"), F.lit(other).alias("other")) for i, (a, b) in enumerate(KANJI_PAIRS) for left, form, other in ((True, a, b), (False, b, a))]
@@ -257,3 +229,94 @@ def regex_rules(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame | No
         part = finding(found, "ja-variant", F.col("to"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+NUMBER = f"(?:[0-9][0-9,]*|[{KANJI_DIGITS}]+)[{UNITS}]"
+NOT_NUMBER = f"[0-9][0-9,]*|[{KANJI_DIGITS}]+|[^0-9,{KANJI_DIGITS}]+|,"
+CANDIDATE = "array<struct<phase:int,word:string,col:bigint,place:int,to:string>>"
+
+
+def candidates(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    """Everything in a line that can become a finding, as an array of (phase, word, col, place, to): matches of rules (1, with
+    their replacement), runs and characters of the classes (2), kanji forms (4, with their pair and the other form), and
+    numbers with a unit (5)."""
+    none = F.array().cast(CANDIDATE)
+
+    def row(phase: int, word: Column, col: Column, place: Column | None = None, to: Column | None = None) -> Column:
+        empty = F.lit(None)
+        return F.struct(F.lit(phase).alias("phase"), word.alias("word"), col.alias("col"), (empty if place is None else place).cast("int").alias("place"), (empty if to is None else to).cast("string").alias("to"))
+
+    def hits(phase: int, run: str, other: str, hit: str, to=lambda w: None) -> Column:
+        parts = F.regexp_extract_all(text, F.lit(f"{run}|{other}"), F.lit(0))
+        zipped = F.arrays_zip(parts.alias("w"), running(parts, F.octet_length).alias("o"))
+        found = F.transform(F.filter(zipped, lambda z: z["w"].rlike(hit)), lambda z: row(phase, z["w"], z["o"], to=to(z["w"])))
+        return F.when(text.rlike(run), found).otherwise(none)
+
+    every = KATAKANA + FULL_ALNUM + HALF_KANA + COMPATIBLE + "　" + MARKS
+    classes = f"[{KATAKANA}]+|[{FULL_ALNUM}]+|[{HALF_KANA}]+|[{COMPATIBLE}　{MARKS}]"
+    out = [hits(1, f"(?:{p})", f"(?:(?!{p})[\\s\\S])+", f"^(?:{p})$", lambda w, p=p, to=to: F.regexp_replace(w, p, to)) for p, to in rules]
+    out += [hits(2, classes, f"[^{every}]+", f"^[{every}]"), hits(5, NUMBER, NOT_NUMBER, f"^{NUMBER}$")]
+    forms = F.array(*[F.struct(F.lit(2 * i + j).alias("place"), F.lit(p[j]).alias("form"), F.lit(p[1 - j]).alias("other")) for i, p in enumerate(KANJI_PAIRS) for j in (0, 1)])
+
+    def of_form(f: Column) -> Column:
+        parts = F.split(text, f["form"], -1)  # those after the first begin behind an occurrence
+        ends = F.slice(running(parts, lambda x: F.octet_length(x) + F.octet_length(f["form"])), F.lit(2), F.size(parts))
+        return F.transform(ends, lambda e: row(4, f["form"], e - F.octet_length(f["form"]), f["place"], f["other"]))
+
+    some = F.filter(forms, lambda f: F.contains(text, f["form"]))
+    out.append(F.when(text.rlike("|".join(f for p in KANJI_PAIRS for f in p)), F.flatten(F.transform(some, of_form))).otherwise(none))
+    return F.concat(*out)
+
+
+def document_findings(rows: DataFrame, table: dict[str, str], space: str, rules: tuple[tuple[str, str], ...] = (), consistency: bool = True) -> DataFrame:
+    """All Japanese findings with their phase, from one pass over lines (with prose and skip) and one shuffle: rules 1,
+    characters and variants 2, katakana forms 3, kanji forms 4, numbers 5, marks 6.
+
+    Groups are the katakana words, pairs, numbers and marks of a document.  A group of two sides (arabic or kanji
+    digits, one form or the other, western or Japanese marks) reports its lesser one."""
+    text = from_bytes(F.col("b"))
+    asked = F.col("b").rlike("[\\xE2-\\xEF]")
+    for p, _ in rules:
+        asked = asked | text.rlike(p)
+    found = rows.where(asked).withColumn("t", text).select("doc_id", "line", "line_offset", "prose", "skip", F.explode(candidates(F.col("t"), rules)).alias("z"))
+    found = found.select("doc_id", "line", "prose", "skip", (F.col("line_offset") + F.col("z.col")).alias("offset"), "z.*")
+    w = F.col("word")
+    fixed = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[w] if table else F.lit(None).cast("string")
+    kata, mark = w.rlike(f"^[{KATAKANA}]"), w.rlike(f"^[{MARKS}]")
+    run_to = (
+        F.when(kata, F.when(fixed != w, fixed))
+        .when(w.rlike(f"^[{FULL_ALNUM}]"), ascii_of_fullwidth(w))
+        .when(w.rlike(f"^[{HALF_KANA}]"), full_of_halfwidth(w))
+        .when(w == "　", F.when(space_allowed(space), F.lit(" ")))
+        .otherwise(compatibility_form(w))
+    )
+    found = found.withColumn("to", F.when((F.col("phase") == 2) & ~mark, run_to).otherwise(F.col("to")))
+    stem = F.regexp_replace(w, "ー+$", "")
+    free = kata & F.col("to").isNull() & (F.char_length(w) >= 3) & (F.char_length(stem) >= 2) & F.lit(consistency)
+    phase = F.when(F.col("phase") != 2, F.col("phase")).when(mark, 6).when(free & ~F.col("skip"), 3).otherwise(2)
+    found = found.withColumn("phase", phase).where("(phase = 1 and to <> word and word <> '' and not skip) or (phase = 2 and to is not null and not skip) or phase > 2")
+    key = F.when(F.col("phase") == 3, stem).when(F.col("phase") == 4, F.floor(F.col("place") / 2).cast("string")).when(F.col("phase") == 5, F.translate(F.replace(w, F.lit(","), F.lit("")), KANJI_DIGITS, "00123456789")).otherwise(F.lit(""))
+    side = F.when(F.col("phase") == 4, F.col("place") % 2 == 0).when(F.col("phase") == 5, w.rlike(f"^[{KANJI_DIGITS}]")).otherwise(w.isin("，", "．"))
+    grouped = found.withColumn("key", key).withColumn("side", side).repartition("doc_id", "phase", "key")
+    of_key, of_form = Window.partitionBy("doc_id", "phase", "key"), Window.partitionBy("doc_id", "phase", "key", "word")
+    first = lambda c: F.min(F.when(c, F.struct("offset", "word"))).over(of_key)["word"]
+    grouped = grouped.withColumn("n", F.count("*").over(of_form))
+    best = F.max(F.struct("n", w.endswith("ー").alias("long"), F.octet_length(w).alias("bytes"), "word")).over(of_key)["word"]
+    grouped = grouped.select("*", best.alias("winner"), F.count_if("side").over(of_key).alias("a"), F.count_if(~F.col("side")).over(of_key).alias("b"), first(F.col("side")).alias("first_a"), first(~F.col("side")).alias("first_b"))
+    grouped = grouped.where("phase <= 2 or (phase = 3 and word <> winner) or (phase > 3 and a > 0 and b > 0 and side = (b >= a))")
+    fix = (
+        F.when(F.col("phase") == 3, F.col("winner"))
+        .when(F.col("phase") == 5, F.when(F.col("side"), F.col("first_b")).otherwise(F.col("first_a")))
+        .when(F.col("phase") == 6, F.when(F.col("side"), F.translate(w, "，．", "、。")).otherwise(F.translate(w, "、。", "，．")))
+        .otherwise(F.col("to"))
+    )
+    kind = (
+        F.when(F.col("phase") == 5, "ja-number-style")
+        .when(F.col("phase") == 6, "ja-punctuation")
+        .when((F.col("phase") != 2) | kata, "ja-variant")
+        .when(w.rlike(f"^[{FULL_ALNUM}]"), "fullwidth-alnum")
+        .when(w.rlike(f"^[{HALF_KANA}]"), "halfwidth-kana")
+        .when(w == "　", "fullwidth-space")
+        .otherwise("ja-compatibility")
+    )
+    return grouped.select("doc_id", "line", F.col("col"), "offset", F.octet_length(w).cast("long").alias("len"), "word", kind.alias("kind"), F.array(fix).alias("suggestions"), "phase")
