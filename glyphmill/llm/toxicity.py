@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import U64, mix64, table, texts_of
+from .jaccard_join import shingle_sets
 from .transducer import Transducer
 
 # Closed word classes of the four languages.
@@ -102,8 +103,8 @@ class Model:
 
     def weight(self, word: str) -> float:
         w = self.words.get(word, 0.0)
-        for k in self.lengths:
-            w = max(w, self.stems.get(word[:k], 0.0) if len(word) >= k else 0.0)
+        for k in self.lengths:  # a stem is learned from longer words, and says nothing of a word that it is
+            w = max(w, self.stems.get(word[:k], 0.0) if len(word) > k else 0.0)
         return w
 
     def symbol(self, word: str) -> tuple[str, float]:
@@ -154,11 +155,24 @@ def signal(k1: int, n1: int, k0: int, n0: int) -> float:
     return g
 
 
-def learn(texts: list[str], toxic: list[int], least_signal: float = 20.0, least_weight: float = 2.5) -> Model:
+def first_copies(texts: list[str], tries: int = 8) -> list[int]:
+    """The first of each group of (near) copies: texts that share one of ``tries`` MinHash values of their word shingles.
+
+    The words of a text that was copied often would else look like a sign of its label."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for i, x in enumerate(shingle_sets(texts)):
+        keys = {(k, int(mix64(x ^ U64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))).min())) for k in range(tries)} if len(x) else {(-1, i)}
+        if not keys & seen:
+            out.append(i)
+        seen |= keys
+    return out
+
+
+def learn(texts: list[str], toxic: list[int], least_signal: float = 14.0, least_weight: float = 2.5) -> Model:
     """Learns lexicon, factors and scale from labelled texts."""
-    sets = [set(WORD.findall(t.lower())) for t in texts]
-    pos = [s for s, y in zip(sets, toxic) if y]
-    neg = [s for s, y in zip(sets, toxic) if not y]
+    alone = first_copies(texts)
+    pos, neg = ([set(WORD.findall(texts[i].lower())) for i in alone if bool(toxic[i]) == y] for y in (True, False))
     n1, n0 = max(1, len(pos)), max(1, len(neg))
     stems_of = lambda s: {w[:k] for w in s for k in STEMS if len(w) > k}
     words1, stems1 = Counter(w for s in pos for w in s), Counter(p for s in pos for p in stems_of(s))
