@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 # Element classes of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select noframes".split())
+HIDDEN = frozenset("script style noscript template iframe head title textarea select noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe noframes xmp".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -16,28 +16,10 @@ BARRIER = frozenset("table ul ol dl div section article aside body main nav form
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+[^>]*+)(?:>|\Z)", re.S)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDE = re.compile(r"hidden|style", re.I)
-EACH = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 IN_HEAD = frozenset("base link meta noscript noframes script style template title".split())
 NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
-def hides(own: str) -> bool:
-    """Whether an element with these attributes is hidden: by ``hidden``, or by display or visibility in its style."""
-    for a in EACH.finditer(own):
-        name = a[1].lower()
-        if name == "hidden":
-            return True
-        if name == "style":
-            style = {}
-            for part in entities.unescape(a[2] or a[3] or a[4] or "").lower().split(";"):
-                key, _, value = part.partition(":")
-                style[key.strip()] = value.replace("!important", "").strip()
-            if style.get("display") == "none" or style.get("visibility") == "hidden":
-                return True
-    return False
-
-
 @dataclass
 class Block:
     text: str
@@ -47,7 +29,8 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """All leaf blocks in page order; nothing is dropped but markup, hidden elements and empty text."""
+    """All leaf blocks in page order; nothing is dropped but markup, what a
+    page never shows as text (``HIDDEN``) and empty text.  Whether a style hides an element is not asked."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset]] = []
     parts: list[str] = []
@@ -81,9 +64,9 @@ def blocks(page: str) -> list[Block]:
     def close(k: int) -> None:
         nonlocal links, hidden
         while len(stack) > k:
-            t, c = stack.pop()
+            t, _ = stack.pop()
             links -= t == "a"
-            hidden -= t in HIDDEN or "?hidden" in c
+            hidden -= t in HIDDEN
 
     while at < n:
         m = TAG.search(page, at)
@@ -125,8 +108,6 @@ def blocks(page: str) -> list[Block]:
         names = frozenset()
         if own and not own.isspace():
             names = frozenset(w.lower() for a in ATTR.finditer(own) for w in NAMES.findall(a[2] or a[3] or a[4] or ""))
-            if HIDE.search(own) and hides(own):
-                names |= {"?hidden"}
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
@@ -135,6 +116,6 @@ def blocks(page: str) -> list[Block]:
             continue
         stack.append((tag, names))
         links += tag == "a"
-        hidden += tag in HIDDEN or "?hidden" in names
+        hidden += tag in HIDDEN
     flush()
     return out
