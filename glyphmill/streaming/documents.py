@@ -1,8 +1,8 @@
-"""Checking a stream of document events: the latest text of each document, checked per micro-batch."""
+"""Checking a stream of document events: the latest text of each document, kept as state and checked per micro-batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,19 +35,71 @@ def spliced(text: str, start: tuple[int, int], end: tuple[int, int], new: str) -
     return text[:a] + new + text[b:]
 
 
+EDITS = "array<struct<start_line:int,start_col:int,end_line:int,end_col:int,text:string>>"
+EVENTS = f"uri string, version long, event string, text string, edits {EDITS}"
+
+
+def edited(events: DataFrame) -> DataFrame:
+    """(uri, version, text, problem) after every micro-batch for each document with events; a stateful stream.
+
+    Events (``EVENTS``) of a document are applied in order of version: open, change and save set a whole text where they have one,
+    and change applies its edits one after another, by ranges of lines and UTF-16 columns.  An edit outside of the text, or of a
+    document that is not open, leaves the text as it was and is told in ``problem``.  close forgets the document, whose text
+    is then null.  Events whose version is not larger than the last one seen are late and change nothing."""
+    import pandas as pd
+
+    def step(key: tuple, parts: Iterator, state) -> Iterator:
+        version, text = state.get if state.exists else (-1, None)
+        problem = None
+        rows = sorted((r for part in parts for r in part.itertuples(index=False)), key=lambda r: r.version)
+        for r in rows:
+            if r.version <= version:
+                continue
+            version = r.version
+            if r.event == "close":
+                text = None
+                continue
+            if isinstance(r.text, str):
+                text = r.text
+            edits = [] if r.edits is None else list(r.edits)
+            if edits and text is None:
+                problem = "not open"
+                continue
+            for e in edits:
+                try:
+                    text = spliced(text, (e["start_line"], e["start_col"]), (e["end_line"], e["end_col"]), e["text"] or "")
+                except ValueError as error:
+                    problem = str(error)
+        state.update((int(version), text))
+        yield pd.DataFrame({"uri": [key[0]], "version": [int(version)], "text": [text], "problem": [problem]})
+
+    return events.groupBy("uri").applyInPandasWithState(step, "uri string, version long, text string, problem string", "version long, text string", "update", "NoTimeout")
+
+
+def watch_edits(events: DataFrame, load: Callable[[], Callable[[DataFrame], DataFrame]], sink: Callable[[DataFrame, DataFrame, int], None], interval: str = "150 milliseconds", most_findings: int = 1000, largest: int = LARGEST) -> StreamingQuery:
+    """``watch`` for events with edits.  ``load`` gives the check and is asked again for every micro-batch, so changed rule
+    tables and word lists hold from the next one on; documents that have no events keep their findings until they do."""
+    return _each(edited(events), load, sink, interval, most_findings, largest)
+
+
 def watch(events: DataFrame, check: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, DataFrame, int], None], interval: str = "150 milliseconds", most_findings: int = 1000) -> StreamingQuery:
     """Checks every micro-batch's latest texts; the last write in a batch wins, as with a debounce.
 
     ``check`` gets (doc_id, text) and returns findings with doc_id and offset; at most ``most_findings`` of
     a document are reported.  ``sink`` gets the documents of the batch (those over 4 MiB and closed ones
     have no findings), the findings, and the batch's number."""
+    return _each(events, lambda: check, sink, interval, most_findings, LARGEST, latest)
+
+
+
+def _each(rows: DataFrame, load: Callable, sink: Callable, interval: str, most_findings: int, largest: int, texts: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> StreamingQuery:
     from pyspark.sql import Window
 
     def run(batch: DataFrame, number: int) -> None:
-        docs = latest(batch).withColumnRenamed("uri", "doc_id").persist()
-        found = check(docs.where(F.octet_length("text") <= LARGEST).select("doc_id", "text"))
+        docs = texts(batch).withColumnRenamed("uri", "doc_id").persist()
+        found = load()(docs.where(F.octet_length("text") <= largest).select("doc_id", "text"))
         w = Window.partitionBy("doc_id").orderBy("offset")
         sink(docs, found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most_findings).drop("k"), number)
         docs.unpersist()
 
-    return events.writeStream.foreachBatch(run).trigger(processingTime=interval).start()
+    return rows.writeStream.outputMode("update").foreachBatch(run).trigger(processingTime=interval).start()

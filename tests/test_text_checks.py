@@ -279,6 +279,29 @@ def test_stream(spark, tmp_path):
     assert sorted(seen) == [("u1", 4), ("u1", 8)]
 
 
+def test_edited_documents_keep_their_state(spark, tmp_path):
+    src, seen, rules_now = tmp_path / "in", [], [("adn", "and", 1)]
+    frame = lambda rows: spark.createDataFrame(rows, stream.EVENTS).coalesce(1).write.mode("append").json(str(src))
+    frame([("u1", 1, "open", "an adn\nhere", None), ("u2", 1, "change", None, [(0, 0, 0, 1, "x")])])
+    none = spark.createDataFrame([], "word string")
+    load = lambda: lambda d: english.english(lines.lines(d), english.corrections(spark, rules_now), none)
+    sink = lambda d, f, n: seen.append(({r["doc_id"]: (r["version"], r["text"], r["problem"]) for r in d.collect()}, sorted((r["doc_id"], r["word"]) for r in f.collect())))
+    q = stream.watch_edits(spark.readStream.schema(stream.EVENTS).json(str(src)), load, sink, "0 seconds")
+    try:
+        q.processAllAvailable()
+        rules_now.append(("wierd", "weird", 1))
+        frame([("u1", 3, "change", None, [(0, 0, 0, 2, "wierd"), (9, 0, 9, 0, "y")]), ("u1", 2, "change", None, [(1, 0, 1, 4, "adn")]), ("u1", 1, "change", "late", None)])
+        q.processAllAvailable()
+        frame([("u1", 4, "close", None, None)])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    seen = [x for x in seen if x[0]]
+    assert seen[0] == ({"u1": (1, "an adn\nhere", None), "u2": (1, None, "not open")}, [("u1", "adn")])
+    assert seen[1] == ({"u1": (3, "wierd adn\nadn", "line out of range")}, [("u1", "adn"), ("u1", "adn"), ("u1", "wierd")])
+    assert seen[2] == ({"u1": (4, None, None)}, [])
+
+
 def test_mask_queries_cover_all_documents(spark):
     from glyphmill.plans import catalogue
 
