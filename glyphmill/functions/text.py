@@ -5,6 +5,7 @@ regular expressions and lengths of Spark work on bytes; ``from_bytes`` goes back
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ def from_bytes(view: Column) -> Column:
     return F.decode(F.encode(view, "ISO-8859-1"), "UTF-8")
 
 
+def mapping(table: dict[str, str]) -> Column:
+    """A map of strings as one constant, however large it is."""
+    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "map<string,string>")
+
+
 def match_case(pattern: Column, word: Column) -> Column:
     """``word`` in the letter case of ``pattern``: all lower, ALL UPPER (two letters or more) or Capitalised."""
     letters = F.regexp_replace(pattern, "[^A-Za-z]", "")
@@ -94,7 +100,7 @@ COMPATIBILITY = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (*range(
 
 def compatibility_form(char: Column) -> Column:
     """The compatibility normal form of letter-like and squared characters, null for others."""
-    return F.create_map(*[F.lit(x) for kv in COMPATIBILITY.items() for x in kv])[char]
+    return mapping(COMPATIBILITY)[char]
 
 
 def display_column(line: Column, col: Column) -> Column:

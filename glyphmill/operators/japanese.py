@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_of_fullwidth, byte_view, compatibility_form, from_bytes, full_of_halfwidth
+from ..functions.text import ascii_of_fullwidth, byte_view, compatibility_form, from_bytes, full_of_halfwidth, mapping
 from .lines import lines, running
 
 # Character classes, units of numbers, and kanji digits from zero to nine.
@@ -281,7 +281,7 @@ def document_findings(rows: DataFrame, table: dict[str, str], space: str, rules:
     found = rows.where(asked).withColumn("t", text).select("doc_id", "line", "line_offset", "prose", "skip", F.explode(candidates(F.col("t"), rules)).alias("z"))
     found = found.select("doc_id", "line", "prose", "skip", (F.col("line_offset") + F.col("z.col")).alias("offset"), "z.*")
     w = F.col("word")
-    fixed = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[w] if table else F.lit(None).cast("string")
+    fixed = mapping(table)[w] if table else F.lit(None).cast("string")
     kata, mark = w.rlike(f"^[{KATAKANA}]"), w.rlike(f"^[{MARKS}]")
     run_to = (
         F.when(kata, F.when(fixed != w, fixed))
