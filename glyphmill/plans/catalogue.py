@@ -459,6 +459,18 @@ def findings_all(spark, sf_dir):
     return flat(found).select("doc_id", "line", "col", "offset", "word", "kind", "suggestions", "phase")
 
 
+@query
+def check_defaults(spark, sf_dir):
+    """The composed check without overrides: corrections, regional spellings and all Japanese notation."""
+    fixes, allow = rules(spark)
+    config = check.Config(profile="all", locale="en-US", katakana="long", rules=CONFIG.rules)
+    return flat(check.check(check_docs(spark, sf_dir, CHECKED), config, fixes, allow)).select("doc_id", "line", "col", "offset", "word", "kind", "suggestions", "phase")
+
+
+DEFAULTS_SQL = ALL_SQL.replace(EFFECTIVE, "'corrections' AS mode, true AS ja, doc_id % 6 IN (0, 2, 4) AS prose").replace(" AND NOT (doc_id % 6 = 0 AND doc_id % 7 = 3)", "")
+oracle("check_defaults", f"WITH {DEFAULTS_SQL} SELECT doc_id, CAST(line AS INTEGER) AS line, col, \"offset\", word, kind, array_to_string(s, ',') AS suggestions, phase FROM lined")
+
+
 @query
 def check_masked(spark, sf_dir):
     """The composed check on texts whose masks depend on their paths."""
