@@ -5,31 +5,34 @@ words within distance d share one, so an equi-join finds all pairs; the distance
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_view
 
 
-def _deleted(words: DataFrame, depth: int) -> DataFrame:
-    """(word, left): the word and what deleting up to ``depth`` characters leaves."""
-    level = out = words.select("word", F.col("word").alias("left"))
-    for _ in range(depth):
-        level = level.where(F.length("left") > 0).select("word", F.explode(F.sequence(F.lit(1), F.length("left"))).alias("i"), "left")
-        level = level.select("word", F.concat(F.expr("substring(left, 1, i - 1)"), F.expr("substring(left, i + 1)")).alias("left")).distinct()
-        out = out.unionByName(level)
-    return out.distinct()
+def _deleted(word: Column, depth: Column) -> Column:
+    """The distinct strings that deleting up to ``depth`` (one or two) characters leaves, the word itself among them."""
+    n = F.length(word)
+    cut = lambda a, b: F.substring(word, a, b - a)  # noqa: E731 - characters a to b - 1
+    end = n + 1
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(cut(F.lit(1), i), cut(i + 1, end)))
+    two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.concat(cut(F.lit(1), i), cut(i + 1, j), cut(j + 1, end)))))
+    some = F.when((depth > 1) & (n > 1), F.concat(F.array(word), one, two)).when(n > 0, F.concat(F.array(word), one)).otherwise(F.array(word))
+    return F.array_distinct(some)
 
 
 def suggest(queries: DataFrame, known: DataFrame, most: int = 4, longest: int = 24) -> DataFrame:
     """(word, rank, suggestion, distance): none for words over ``longest`` bytes; distance 1 up to six bytes, else 2;
-    ranked by byte distance, difference of lengths, then alphabetically."""
+    ranked by byte distance, difference of lengths, then alphabetically.
+
+    Neighbourhoods are made in place, without a shuffle; that of the known words is broadcast if the planner finds it small."""
     q = queries.select(F.lower("word").alias("word")).distinct().where(F.octet_length("word") <= longest)
-    d = F.when(F.octet_length("word") <= 6, 1).otherwise(2)
-    left = _deleted(q, 2).join(q.select("word", d.alias("d")), "word").where(F.length("word") - F.length("left") <= F.col("d"))
-    right = _deleted(known.select("word").distinct(), 2).withColumnRenamed("word", "suggestion")
-    pairs = left.join(right, "left").select("word", "d", "suggestion").distinct()
-    pairs = pairs.where(F.levenshtein("word", "suggestion", 2).between(0, F.col("d")))
+    q = q.withColumn("d", F.when(F.octet_length("word") <= 6, 1).otherwise(2))
+    left = q.select("word", "d", F.explode(_deleted(F.col("word"), F.col("d"))).alias("left"))
+    own = known.select(F.col("word").alias("suggestion")).distinct().where(F.length("suggestion") <= longest + 2)
+    right = own.select("suggestion", F.explode(_deleted(F.col("suggestion"), F.lit(2))).alias("left"))
+    pairs = left.join(right, "left").where(F.levenshtein("word", "suggestion", 2).between(0, F.col("d"))).select("word", "d", "suggestion").distinct()
     pairs = pairs.withColumn("distance", F.levenshtein(byte_view(F.col("word")), byte_view(F.col("suggestion"))))
     w = Window.partitionBy("word").orderBy("distance", F.abs(F.octet_length("word") - F.octet_length("suggestion")), "suggestion")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("word", "rank", "suggestion", "distance")
