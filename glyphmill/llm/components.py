@@ -15,17 +15,19 @@ from .common import staged
 SALTS = 32
 
 
-def with_least(rows: DataFrame, key: str, value: str, several: bool = False) -> DataFrame:
+def with_least(rows: DataFrame, key: str, value: str, several: bool = False, spread: bool = False) -> DataFrame:
     """Adds m, the least ``value`` of the row's ``key``; with ``several`` only keys of two values or more stay.
 
     Rows of one key are dealt over ``SALTS`` parts by their value.  The aggregate of a key says in a bit mask
-    which parts it has, so that its least value is copied to these only and a rare key is not copied."""
+    which parts it has, so that its least value is copied to these only and a rare key is not copied.  With ``spread`` the
+    planner may not broadcast the rows instead, after which all rows of a key would come out of one task."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
     least = salted.groupBy(key).agg(F.min(value).alias("m"), F.max(value).alias("most"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask"))
     if several:
         least = least.where("m < most")
     parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("mask", k) == 1)
-    return salted.join(least.select(key, "m", F.explode(parts).alias("salt")), [key, "salt"]).drop("salt")
+    least = least.select(key, "m", F.explode(parts).alias("salt"))
+    return salted.join(least.hint("merge") if spread else least, [key, "salt"]).drop("salt")
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -273,7 +273,7 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, tolerance
     links = verified.where("kind = 0").groupBy(F.col("u").alias("rep")).agg(F.sum("v").alias("n_links"))
     roots = components(verified.where("kind = 1").select("u", "v")).select(F.col("node").alias("rep"), "root")
     # rows are numbered in order of doc_id, so the root has the smallest one of its class
-    named = with_least(roots.join(sets.select("rep", "rep_id"), "rep").select("rep", "root", F.struct("rep", "rep_id").alias("own")), "root", "own")
+    named = with_least(roots.join(sets.select("rep", "rep_id"), "rep").select("rep", "root", F.struct("rep", "rep_id").alias("own")), "root", "own", spread=True)
     classes = named.select("rep", "root", F.col("m.rep_id").alias("class_id"))
     parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("mask", k) == 1)
     of_set = sets.select("set_a", "set_b", "rep", "rep_id", "mask").join(links, "rep", "left").join(classes, "rep", "left").withColumn("salt", F.explode(parts)).drop("mask")
