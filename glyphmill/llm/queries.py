@@ -7,6 +7,7 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .html_extract import op4_html_extract
 from .jaccard_join import op2_jaccard_join
 from .language_id import op9_language_id
+from .lexical_search import OP11_SQL, op11_block_max_search
 from .packing import op3_packing
 from .suffix_dedup import op1_suffix_dedup
 from .token_store import op8_token_store
@@ -26,7 +27,8 @@ QUERIES = {
         op8_token_store,
         op9_language_id,
         op10_decontaminate,
+        op11_block_max_search,
     )
 }
 
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op11_block_max_search": OP11_SQL}

@@ -71,3 +71,60 @@ def combined(h: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         out = out * U64(0xD1342543DE82EF95) + h[j : j + k]
     return mix64(out)
+
+
+# Which bytes are part of a word: ASCII letters and digits and all of other characters, or all but white space.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+BLACK = np.ones(256, bool)
+BLACK[[32, *range(9, 14)]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _pieces(raw: list[bytes], inside: np.ndarray, size: int):
+    """(text, part of its bytes): texts as they are, long ones cut where no word is."""
+    for i, x in enumerate(raw):
+        a = 0
+        while len(x) - a > size:
+            view = np.frombuffer(x, np.uint8, offset=a)
+            gaps = np.flatnonzero(~inside[view[:size]])
+            if len(gaps):
+                b = int(gaps[-1]) + 1
+            else:  # one word longer than a block
+                more = np.flatnonzero(~inside[view[size:]])
+                b = size + int(more[0]) + 1 if len(more) else len(view)
+            yield i, x[a : a + b]
+            a += b
+        yield i, x[a:] if a else x
+
+
+def hashed_runs(raw: list[bytes], inside: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """``hashed`` for bytes: words are the runs of bytes that ``inside`` has, with A-Z lower-cased.  Long texts are hashed
+    in parts of about ``size`` bytes, so that working memory does not grow with them."""
+    out, counts, held, n = [], np.zeros(len(raw) + 1, np.int64), [], 0
+
+    def flush():
+        buf = _LOWER[np.frombuffer(b" ".join(x for _, x in held) + b" ", np.uint8)]
+        within = inside[buf]
+        edge = np.flatnonzero(within[1:] != within[:-1]) + 1
+        if within[0]:
+            edge = np.concatenate(([0], edge))
+        a, b = edge[0::2], edge[1::2]
+        up, down = powers(len(buf) + 1)
+        total = np.zeros(len(buf) + 1, U64)
+        np.cumsum(_CODES[buf] * up[: len(buf)], out=total[1:])
+        out.append(mix64((total[b] - total[a]) * down[a] + (b - a).astype(U64)))
+        starts = np.cumsum([0] + [len(x) + 1 for _, x in held])
+        np.add.at(counts, np.array([i for i, _ in held]) + 1, np.diff(np.searchsorted(a, starts)))
+        held.clear()
+
+    for i, x in _pieces(raw, inside, size):
+        if held and n + len(x) > size:
+            flush()
+            n = 0
+        held.append((i, x))
+        n += len(x) + 1
+    if held:
+        flush()
+    return np.concatenate(out) if out else np.zeros(0, U64), np.cumsum(counts)
