@@ -10,9 +10,9 @@ threshold shares a listed value but for a chance of 1.3e-10 if nothing is common
 
 A list of up to ``BLOCK`` sets is a unit of work.  A longer one is cut into blocks; its first block meets every
 other one, which joins most of a group of copies, and then the sets that are not in the list's largest component
-meet all blocks.  In a unit the overlaps of sketches count for all pairs at once; pairs with enough of them are estimated
-on the sketch of their union, and if they can reach the threshold verified on the full sets.  Pairs that are connected
-already are not compared, so a group of n copies costs about n verifications in a unit."""
+meet all blocks.  In a unit the overlaps of sketches count for all pairs at once, and pairs with enough of them are estimated
+on the sketch of their union.  What such pairs connect is a group; only groups get full sets, and pairs in them are
+verified exactly.  Pairs that are connected already are not compared, so n copies cost about n verifications."""
 
 from __future__ import annotations
 
@@ -20,10 +20,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, bytes_of, grouped, numbered, partitions, staged, table
+from .common import U64, bytes_of, grouped, mix64, numbered, partitions, staged, table
 from .components import SALTS, components, with_least
 from .jaccard_join import set_hashes
 from .words import BLACK, combined, hashed_runs, in_blocks
@@ -32,7 +32,6 @@ KEPT = 48
 LISTED = 12
 COMMON = 256
 BLOCK = 256  # sets of a block
-BLOCK_SHINGLES = 1 << 19
 TOLERANCE = 1e-9  # chance to drop a pair at the threshold by its sketch
 
 
@@ -65,10 +64,11 @@ def fewest(percent: int) -> np.ndarray:
 
 
 class Unions:
-    """Connected components of a few sets."""
+    """Connected components of a few sets, from those that are known."""
 
     def __init__(self, roots: np.ndarray):
-        self.up = np.unique(roots, return_index=True)[1][np.unique(roots, return_inverse=True)[1]].tolist()
+        _, first, which = np.unique(roots, return_index=True, return_inverse=True)
+        self.up = first[which].tolist()
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -76,21 +76,30 @@ class Unions:
             i = self.up[i]
         return i
 
+    def join(self, i: int, j: int) -> None:
+        x, y = self.root(i), self.root(j)
+        self.up[max(x, y)] = min(x, y)
+
 
 def union_overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(shared values, values) of the bottom-k sketch of the union, from the sketches of both."""
+    """(shared values, values) of the bottom-k sketch of the union, from the sketches of both in order of their hashes."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    both = len(a) + len(b) - len(i)
-    k = min(KEPT, both)
+    i, j = np.sort(i), np.sort(j)  # shared values are in the same order in both
+    k = min(KEPT, len(a) + len(b) - len(i))
     rank = i + j - np.arange(len(i)) + 1  # of each shared value in the union
     return int((rank <= k).sum()), k
 
 
-def links_of(sets: list[np.ndarray], roots: np.ndarray, percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Verified links that connect what the pairs at ``percent`` connect, as a forest; ``sides`` are 0 or 1, and pairs then are of both."""
-    n = len(sets)
-    sketches = [s[:KEPT] for s in sets]
-    size = np.array([len(s) for s in sets])
+def open_pairs(sketches: list[np.ndarray], size: np.ndarray, percent: int, least: np.ndarray, sides: np.ndarray | None) -> np.ndarray:
+    """Which pairs overlap enough: the shared values of a union's sketch are no more than those of both sketches."""
+    n = len(sketches)
+    kept = np.minimum(size, KEPT)
+    ok = 100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)
+    ok &= np.triu(np.ones((n, n), bool), 1)
+    if sides is not None:
+        ok &= sides[:, None] != sides
+    if not ok.any():
+        return ok
     values, at = np.unique(np.concatenate(sketches), return_inverse=True)
     owner = np.repeat(np.arange(n), [len(s) for s in sketches])
     shared = np.bincount(at) > 1
@@ -99,27 +108,39 @@ def links_of(sets: list[np.ndarray], roots: np.ndarray, percent: int, sides: np.
     has = np.zeros((n, int(shared.sum())), np.float32)
     has[owner[keep], column[at[keep]]] = 1
     overlap = has @ has.T
-    # the shared values of the union's sketch are no more than those of both sketches, and the sizes bound the similarity
-    least = fewest(percent)
-    kept = np.minimum(size, KEPT)
     union = np.minimum(kept[:, None] + kept - overlap, KEPT).astype(np.int64)
-    open_ = (overlap >= np.maximum(least[union], 1)) & (100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size))
-    open_ &= np.triu(np.ones((n, n), bool), 1)
-    if sides is not None:
-        open_ &= sides[:, None] != sides
-    forest, found = Unions(roots), []
+    return ok & (overlap >= np.maximum(least[union], 1))
+
+
+def estimated(sketches: list[np.ndarray], size: np.ndarray, roots: np.ndarray, percent: int, sides: np.ndarray | None) -> list[list[int]]:
+    """Groups of two sets or more that pairs connect whose similarity can reach ``percent`` by the sketch of their union."""
+    least = fewest(percent)
+    open_ = open_pairs(sketches, size, percent, least, sides)
+    known, forest = Unions(roots), Unions(np.arange(len(size)))
     for i in np.flatnonzero(open_.any(1)).tolist():
         for j in np.flatnonzero(open_[i]).tolist():
-            x, y = forest.root(i), forest.root(j)
-            if x == y:
-                continue
-            both, k = union_overlap(sketches[i], sketches[j])
-            if both < least[k]:
-                continue
-            inside = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * inside >= percent * (len(sets[i]) + len(sets[j]) - inside):
-                found.append((i, j))
-                forest.up[max(x, y)] = min(x, y)
+            if known.root(i) != known.root(j) and forest.root(i) != forest.root(j):
+                both, k = union_overlap(sketches[i], sketches[j])
+                if both >= least[k]:
+                    forest.join(i, j)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(size)):
+        groups.setdefault(forest.root(i), []).append(i)
+    return [g for g in groups.values() if len(g) > 1]
+
+
+def verified(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of the pairs at ``percent``, as a forest of what they connect."""
+    size = np.array([len(s) for s in sets])
+    open_ = open_pairs([s[:KEPT] for s in sets], size, percent, fewest(percent), None)
+    forest, found = Unions(np.arange(len(sets))), []
+    for i in np.flatnonzero(open_.any(1)).tolist():
+        for j in np.flatnonzero(open_[i]).tolist():
+            if forest.root(i) != forest.root(j):
+                inside = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * inside >= percent * (len(sets[i]) + len(sets[j]) - inside):
+                    found.append((i, j))
+                    forest.join(i, j)
     return found
 
 
@@ -130,47 +151,84 @@ def listed(sets: DataFrame) -> DataFrame:
     with 0.15 ** 12.  Of values that are not common, a set with a quarter of common ones has at least 0.75 * 0.85 of the
     union, of which 0.15 are not shared: one is shared with chance 0.76 or more, with 0.65 if the sketch was off by much; pairs of
     which both have more common ones meet on the lists of any value."""
-    each = sets.select("rep", "n_shingles", F.posexplode("sketch").alias("place", "value"))
-    # how often a value is retained is an aggregate; the values of a set that are common come back as rows of their own
-    common = each.groupBy("value").count().where(F.col("count") > COMMON).select("value")
-    common = staged(common, "common-values")
-    marked = each.join(common.withColumn("common", F.lit(True)), "value", "left")
-    of_set = marked.groupBy("rep").agg(F.first("n_shingles").alias("n_shingles"), F.array_sort(F.collect_list(F.struct("place", "value", F.coalesce("common", F.lit(False)).alias("common")))).alias("v"))
-    rare = F.slice(F.filter("v", lambda x: ~x["common"]), 1, LISTED)
-    hot = F.when(4 * F.size(F.filter("v", lambda x: x["common"])) > F.size("v"), F.filter(F.slice("v", 1, LISTED), lambda x: x["common"])).otherwise(F.slice("v", 1, 0))
+    each = sets.select("rep", F.posexplode("sketch").alias("place", "value"))
+    common = staged(each.groupBy("value").count().where(F.col("count") > COMMON).select("value"), "common-values")
+    # only the common values of a set come back to it
+    places = each.join(common, "value").groupBy("rep").agg(F.collect_set("place").alias("places"))
+    of_set = sets.select("rep", "n_shingles", "sketch").join(places, "rep", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
+    rare = F.slice(F.filter("sketch", lambda x, i: ~F.array_contains("places", i)), 1, LISTED)
+    first = F.filter(F.slice("sketch", 1, LISTED), lambda x, i: F.array_contains("places", i))
+    hot = F.when(4 * F.size("places") > F.size("sketch"), first).otherwise(F.slice("sketch", 1, 0))
     # two sets of one list and similarity 0.85 are in the same or in neighbouring classes of size
     grade = F.floor(F.log(F.col("n_shingles") + 0.5) / -math.log(0.85)).cast("long")
-    keys = F.concat(F.transform(rare, lambda x: x["value"]), F.flatten(F.transform(hot, lambda x: F.array(F.xxhash64(x["value"], grade), F.xxhash64(x["value"], grade + 1)))))
+    keys = F.concat(rare, F.flatten(F.transform(hot, lambda x: F.array(F.xxhash64(x, grade), F.xxhash64(x, grade + 1)))))
     keyed = of_set.select("rep", "n_shingles", F.explode(keys).alias("key")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
     mask = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")
     parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("mask", k) == 1)
     same = [F.count("*").alias("n"), F.min("rep").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
-    # lists of one set go; of lists with the same sets one stays; the rest is joined in as many parts as it has
+    # lists of one set go; the sets of the others are joined in as many parts as a list has
     keyed = staged(keyed, "listed-values")
-    lists = keyed.groupBy("key").agg(*same, F.sum("n_shingles").alias("size"), mask).where("n > 1")
-    lists = lists.groupBy("n", "m", "x", "y").agg(F.min(F.struct("key", "mask", "size")).alias("z")).select("n", "z.*")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES))
-    lists = lists.select("key", F.least(blocks, F.col("n")).alias("blocks"), F.explode(parts).alias("salt"))
-    return staged(keyed.join(lists, ["key", "salt"]).select("key", "rep", "n_shingles", "blocks"), "inverted-lists")
-
-
-def compared(units: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the links of each unit; rows are (unit, node, root, side, shingles)."""
+    several = keyed.groupBy("key").agg(F.count("*").alias("n"), mask).where("n > 1").select("key", "n", F.explode(parts).alias("salt"))
+    members = keyed.join(several, ["key", "salt"])
+    # in a short list a set stays if the next smaller or larger one is near enough in size
+    w = Window.partitionBy("key").orderBy("n_shingles")
+    size = F.col("n_shingles")
+    near = (F.lag(size).over(w) >= 0.85 * size) | (0.85 * F.lead(size).over(w) <= size)
+    short = members.where(F.col("n") <= COMMON).withColumn("near", near).where("near").drop("near")
+    members = staged(short.unionByName(members.where(F.col("n") > COMMON)).select("key", "rep", "n_shingles", "salt"), "list-members")
+    # of lists with the same sets one stays
+    lists = members.groupBy("key").agg(*same, F.sum("n_shingles").alias("size"), mask).where("n > 1")
+    lists = lists.groupBy("n", "m", "x", "y").agg(F.min(F.struct("key", "mask")).alias("z")).select("n", "z.*")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    lists = lists.select("key", blocks.alias("blocks"), F.explode(parts).alias("salt"))
+    return staged(members.join(lists, ["key", "salt"]).select("key", "rep", "blocks"), "inverted-lists")
+
+
+def in_units(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(together, node): groups of sets that a unit's sketches connect; equal groups of several units are one.
+
+    ``places`` (unit, node, root, side) say where a set takes part; the sets of one unit meet in one task with their sketches."""
 
     def run(batches):
         for _, t in grouped(batches, "unit"):
             if t.num_rows < 2:
                 continue
-            side = t.column("side").to_numpy()
+            side, node = t.column("side").to_numpy(), t.column("node").to_numpy()
+            sketches = [np.frombuffer(x, np.uint32) for x in t.column("ids").to_pylist()]
+            both = None if (side == side[0]).all() else side
+            for g in estimated(sketches, t.column("n_shingles").to_numpy(), t.column("root").to_numpy(), percent, both):
+                members = np.sort(node[g])
+                name = int(mix64((mix64(members.view(U64)) * U64(3)).sum(dtype=U64, keepdims=True) ^ np.bitwise_xor.reduce(mix64(members.view(U64) + U64(1))))[0] >> U64(1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), name)), pa.array(members)], ["together", "node"])
+
+    of_node = places.groupBy("node").agg(F.first("root").alias("root"), F.collect_set(F.struct("unit", "side")).alias("units"))
+    units = sets.select(F.col("rep").alias("node"), "n_shingles", "ids").join(of_node, "node").select("node", "root", "n_shingles", "ids", F.explode("units").alias("z")).select("z.unit", "z.side", "node", "root", "n_shingles", "ids")
+    spread = units.repartition(partitions(units.sparkSession), "unit").sortWithinPartitions("unit", "node")
+    return staged(spread.mapInArrow(run, "together long, node long").distinct(), "estimated-groups")
+
+
+def compared(groups: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """(u, v) of the verified links of ``groups`` (together, node) on the full sets of ``texts`` (node, text)."""
+
+    def shingled(batches):
+        for batch in batches:
+            raw = bytes_of(batch.column(2))
+            for a, b in in_blocks(raw, 1 << 21):
+                full = pa.array([s.tobytes() for s in shingle_sets(raw[a:b], n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], full], ["node", "groups", "shingles"])
+
+    def run(batches):
+        for _, t in grouped(batches, "together"):
             node = t.column("node").to_numpy()
-            sets = [np.frombuffer(x, U64) for x in t.column("shingles").to_pylist()]
-            found = links_of(sets, t.column("root").to_numpy(), percent, None if (side == side[0]).all() else side)
+            found = verified([np.frombuffer(x, U64) for x in t.column("shingles").to_pylist()], percent)
             if found:
                 i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["u", "v"])
 
-    spread = units.repartition(partitions(units.sparkSession), "unit").sortWithinPartitions("unit", "node")
-    return spread.mapInArrow(run, "u long, v long")
+    of_node = groups.groupBy("node").agg(F.collect_list("together").alias("groups"))
+    full = texts.join(of_node, "node").select("node", "groups", "text").mapInArrow(shingled, "node long, groups array<long>, shingles binary")
+    spread = full.select(F.explode("groups").alias("together"), "node", "shingles").repartition(partitions(texts.sparkSession), "together").sortWithinPartitions("together", "node")
+    return staged(spread.mapInArrow(run, "u long, v long"), "links")
 
 
 def sketch_dedup(docs: DataFrame, percent: int = 85, n: int = 3, row: str | None = None) -> DataFrame:
@@ -194,31 +252,19 @@ def sketch_dedup(docs: DataFrame, percent: int = 85, n: int = 3, row: str | None
             for a, b in in_blocks(raw, 1 << 21):
                 sets = shingle_sets(raw[a:b], n)
                 sketch = pa.array([s[:KEPT].view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
+                ids = pa.array([(mix64(s[:KEPT]) >> U64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())
                 size = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *set_hashes(sets), size, sketch], ["row", "doc_id", "set_a", "set_b", "n_shingles", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *set_hashes(sets), size, sketch, ids], ["row", "doc_id", "set_a", "set_b", "n_shingles", "sketch", "ids"])
 
-    rows = staged(own.mapInArrow(sketched, "row long, doc_id long, set_a long, set_b long, n_shingles long, sketch array<long>"), "sketches")
+    rows = staged(own.mapInArrow(sketched, "row long, doc_id long, set_a long, set_b long, n_shingles long, sketch array<long>, ids binary"), "sketches")
     # the copies of one text can be many: they are dealt over SALTS parts of the last join, a bit mask says which
     salt = F.when(F.col("n_shingles") > 0, F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     mask = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")
-    classes = rows.withColumn("salt", salt).where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("row", "doc_id")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), mask)
-    sets = staged(classes.select("set_a", "set_b", F.col("least.row").alias("rep"), F.col("least.doc_id").alias("rep_id"), "n_shingles", "sketch", "mask"), "text-classes")
+    classes = rows.withColumn("salt", salt).where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("row", "doc_id")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("ids").alias("ids"), mask)
+    sets = staged(classes.select("set_a", "set_b", F.col("least.row").alias("rep"), F.col("least.doc_id").alias("rep_id"), "n_shingles", "sketch", "ids", "mask"), "text-classes")
     lists = listed(sets)
 
-    def shingled(batches):
-        for batch in batches:
-            raw = bytes_of(batch.column(1))
-            for a, b in in_blocks(raw, 1 << 21):
-                full = pa.array([s.tobytes() for s in shingle_sets(raw[a:b], n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], full], ["node", "shingles"])
-
-    wanted = lists.select("rep").distinct()
-    full = staged(own.join(wanted, own["row"] == wanted["rep"]).select("row", "text").mapInArrow(shingled, "node long, shingles binary"), "full-sets")
-
-    def with_sets(places: DataFrame) -> DataFrame:
-        """Units from places (node, root, pairs): all lists of a set meet it once."""
-        of_node = places.groupBy("node").agg(F.first("root").alias("root"), F.collect_set(F.struct("unit", "side")).alias("units"))
-        return full.join(of_node, "node").select("node", "root", "shingles", F.explode("units").alias("z")).select("z.unit", "z.side", "node", "root", "shingles")
+    texts = own.select(F.col("row").alias("node"), "text")
 
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     placed = lists.withColumn("block", block).withColumnRenamed("rep", "node")
@@ -226,7 +272,7 @@ def sketch_dedup(docs: DataFrame, percent: int = 85, n: int = 3, row: str | None
     meets = F.when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     first = placed.select("node", F.col("node").alias("root"), "key", "block", F.explode(meets).alias("other"))
     first = first.select("node", "root", F.xxhash64("key", "other").alias("unit"), F.when((F.col("other") == 0) | (F.col("block") == 0), 0).otherwise(1).alias("side"))
-    linked = staged(compared(with_sets(first), percent), "links")
+    linked = compared(in_units(first, sets, percent), texts, percent, n)
     long_lists = placed.where("blocks > 1")
     if not long_lists.isEmpty():
         # sets outside of the largest component of their list meet all of it
@@ -242,7 +288,7 @@ def sketch_dedup(docs: DataFrame, percent: int = 85, n: int = 3, row: str | None
         across = pairs.where("rest and block = rest_block").select("node", "root", "key", "rest_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), F.lit(0).alias("side"))
         across = across.unionByName(pairs.where("not rest or block <> rest_block").select("node", "root", "key", "rest_block", F.col("block").alias("other"), F.lit(1).alias("side")))
         across = across.select("node", "root", F.xxhash64("key", "rest_block", "other").alias("unit"), "side")
-        linked = linked.unionByName(staged(compared(with_sets(one.unionByName(across)), percent), "links"))
+        linked = linked.unionByName(compared(in_units(one.unionByName(across), sets, percent), texts, percent, n))
     roots = components(linked).select(F.col("node").alias("rep"), "root")
     # rows are numbered in order of doc_id, so the root has the smallest one of its component
     named = with_least(roots.join(sets.select("rep", "rep_id"), "rep").select("rep", "root", F.struct("rep", "rep_id").alias("own")), "root", "own", spread=True)
@@ -250,7 +296,7 @@ def sketch_dedup(docs: DataFrame, percent: int = 85, n: int = 3, row: str | None
     parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("mask", k) == 1)
     of_set = sets.select("set_a", "set_b", "rep", "rep_id", "mask").join(named, "rep", "left").withColumn("salt", F.explode(parts)).drop("mask")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("found"), F.col("component_id")).otherwise(F.col("rep_id"))
-    out = rows.drop("sketch").withColumn("salt", salt).join(of_set, ["set_a", "set_b", "salt"], "left").withColumn("component_id", component)
+    out = rows.drop("sketch", "ids").withColumn("salt", salt).join(of_set, ["set_a", "set_b", "salt"], "left").withColumn("component_id", component)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("row").alias("row_number"))
 
 
