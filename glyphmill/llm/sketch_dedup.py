@@ -8,9 +8,9 @@ than a quarter of the sketch is common is also listed under its first ``LISTED``
 threshold shares a listed value but for a chance of 1.3e-10 if nothing is common in its texts and 3e-6 at worst
 (see ``listed``).  Lists under common values are divided by the sizes of their sets, and lists of the same sets are one.
 
-A list of up to ``BLOCK`` sets is a unit of work.  A longer one is cut into blocks; its first block meets every
-other one, which joins most of a group of copies, and then the sets that are not in the list's largest component
-meet all blocks.  In a unit the overlaps of sketches count for all pairs at once, and pairs with enough of them are estimated
+A list of up to ``BLOCK`` sets is a unit of work.  A longer one is cut into blocks, which first meet a few sets that
+retain the most common values: what others are copies of.  That joins most of a group of copies, and then the sets
+that are not in the list's largest component meet all blocks.  In a unit the overlaps of sketches count for all pairs at once, and pairs with enough of them are estimated
 on the sketch of their union.  What such pairs connect is a group; only groups get full sets, and pairs in them are
 verified exactly.  Pairs that are connected already are not compared, so n copies cost about n verifications."""
 
@@ -129,23 +129,47 @@ def estimated(sketches: list[np.ndarray], size: np.ndarray, roots: np.ndarray, p
     return [g for g in groups.values() if len(g) > 1]
 
 
-def verified(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of the pairs at ``percent``, as a forest of what they connect."""
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all sets of ``a`` with all of ``b``, by products of their incidence matrices."""
+    values, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    cut = sum(len(s) for s in a)
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    places = [at[:cut], at[cut:]]
+    both = np.bincount(places[0], minlength=len(values)).astype(bool) & np.bincount(places[1], minlength=len(values)).astype(bool)
+    column, width = np.cumsum(both) - 1, int(both.sum())
+    out = np.zeros((len(a), len(b)), np.float64)
+    for c in range(0, width, 8192):
+        x, y = (np.zeros((len(s), 8192), np.float32) for s in (a, b))
+        for m, row, place in ((x, rows[0], places[0]), (y, rows[1], places[1])):
+            keep = both[place] & (column[place] >= c) & (column[place] < c + 8192)
+            m[row[keep], column[place[keep]] - c] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def verified(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links of the pairs at ``percent`` between components, as a forest of what they connect."""
     size = np.array([len(s) for s in sets])
-    open_ = open_pairs([s[:KEPT] for s in sets], size, percent, fewest(percent), None)
-    forest, found = Unions(np.arange(len(sets))), []
-    for i in np.flatnonzero(open_.any(1)).tolist():
-        for j in np.flatnonzero(open_[i]).tolist():
-            if forest.root(i) != forest.root(j):
-                inside = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * inside >= percent * (len(sets[i]) + len(sets[j]) - inside):
-                    found.append((i, j))
-                    forest.join(i, j)
+    open_ = open_pairs([s[:KEPT] for s in sets], size, percent, fewest(percent), None) & (roots[:, None] != roots)
+    i, j = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    forest, found = Unions(roots), []
+    if not len(i):
+        return found
+    inside = np.zeros(open_.shape, np.int64)
+    if open_.sum() > 16:
+        inside[np.ix_(i, j)] = intersections([sets[k] for k in i], [sets[k] for k in j])
+    else:
+        for x, y in zip(*np.nonzero(open_)):
+            inside[x, y] = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+    for x, y in zip(*np.nonzero(open_ & (100 * inside >= percent * (size[:, None] + size - inside)))):
+        if forest.root(int(x)) != forest.root(int(y)):
+            found.append((int(x), int(y)))
+            forest.join(int(x), int(y))
     return found
 
 
 def listed(sets: DataFrame) -> DataFrame:
-    """(key, rep, n_shingles): the sets of every inverted list of two or more.
+    """(key, rep, central, blocks): the sets of every inverted list of two or more, with the number of common values each retains.
 
     Let a pair have similarity 0.85.  The first values of its union are shared with chance 0.85 each, so 12 of them all fail
     with 0.15 ** 12.  Of values that are not common, a set with a quarter of common ones has at least 0.75 * 0.85 of the
@@ -154,15 +178,16 @@ def listed(sets: DataFrame) -> DataFrame:
     each = sets.select("rep", F.posexplode("sketch").alias("place", "value"))
     common = staged(each.groupBy("value").count().where(F.col("count") > COMMON).select("value"), "common-values")
     # only the common values of a set come back to it
-    places = each.join(common, "value").groupBy("rep").agg(F.collect_set("place").alias("places"))
-    of_set = sets.select("rep", "n_shingles", "sketch").join(places, "rep", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
+    marked = each.join(common.withColumn("common", F.lit(True)), "value", "left")
+    places = marked.groupBy("rep").agg(F.collect_set(F.when(F.col("common"), F.col("place"))).alias("places"))
+    of_set = sets.select("rep", "n_shingles", "sketch").join(places, "rep")
     rare = F.slice(F.filter("sketch", lambda x, i: ~F.array_contains("places", i)), 1, LISTED)
     first = F.filter(F.slice("sketch", 1, LISTED), lambda x, i: F.array_contains("places", i))
     hot = F.when(4 * F.size("places") > F.size("sketch"), first).otherwise(F.slice("sketch", 1, 0))
     # two sets of one list and similarity 0.85 are in the same or in neighbouring classes of size
     grade = F.floor(F.log(F.col("n_shingles") + 0.5) / -math.log(0.85)).cast("long")
     keys = F.concat(rare, F.flatten(F.transform(hot, lambda x: F.array(F.xxhash64(x, grade), F.xxhash64(x, grade + 1)))))
-    keyed = of_set.select("rep", "n_shingles", F.explode(keys).alias("key")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    keyed = of_set.select("rep", "n_shingles", F.size("places").alias("central"), F.explode(keys).alias("key")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
     mask = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")
     parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("mask", k) == 1)
     same = [F.count("*").alias("n"), F.min("rep").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
@@ -175,13 +200,13 @@ def listed(sets: DataFrame) -> DataFrame:
     size = F.col("n_shingles")
     near = (F.lag(size).over(w) >= 0.85 * size) | (0.85 * F.lead(size).over(w) <= size)
     short = members.where(F.col("n") <= COMMON).withColumn("near", near).where("near").drop("near")
-    members = staged(short.unionByName(members.where(F.col("n") > COMMON)).select("key", "rep", "n_shingles", "salt"), "list-members")
+    members = staged(short.unionByName(members.where(F.col("n") > COMMON)).select("key", "rep", "n_shingles", "central", "salt"), "list-members")
     # of lists with the same sets one stays
     lists = members.groupBy("key").agg(*same, F.sum("n_shingles").alias("size"), mask).where("n > 1")
     lists = lists.groupBy("n", "m", "x", "y").agg(F.min(F.struct("key", "mask")).alias("z")).select("n", "z.*")
     blocks = F.ceil(F.col("n") / BLOCK)
     lists = lists.select("key", blocks.alias("blocks"), F.explode(parts).alias("salt"))
-    return staged(members.join(lists, ["key", "salt"]).select("key", "rep", "blocks"), "inverted-lists")
+    return staged(members.join(lists, ["key", "salt"]).select("key", "rep", "central", "blocks"), "inverted-lists")
 
 
 def in_units(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -197,7 +222,9 @@ def in_units(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             sketches = [np.frombuffer(x, np.uint32) for x in t.column("ids").to_pylist()]
             both = None if (side == side[0]).all() else side
             for g in estimated(sketches, t.column("n_shingles").to_numpy(), t.column("root").to_numpy(), percent, both):
-                members = np.sort(node[g])
+                members = np.unique(node[g])
+                if len(members) < 2:
+                    continue
                 name = int(mix64((mix64(members.view(U64)) * U64(3)).sum(dtype=U64, keepdims=True) ^ np.bitwise_xor.reduce(mix64(members.view(U64) + U64(1))))[0] >> U64(1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), name)), pa.array(members)], ["together", "node"])
 
@@ -207,27 +234,29 @@ def in_units(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return staged(spread.mapInArrow(run, "together long, node long").distinct(), "estimated-groups")
 
 
-def compared(groups: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
-    """(u, v) of the verified links of ``groups`` (together, node) on the full sets of ``texts`` (node, text)."""
+def compared(groups: DataFrame, texts: DataFrame, percent: int, n: int, known: DataFrame | None = None) -> DataFrame:
+    """(u, v) of the verified links of ``groups`` (together, node) on the full sets of ``texts`` (node, text).  ``known`` (node, root)
+    are components whose sets are not compared with each other."""
 
     def shingled(batches):
         for batch in batches:
             raw = bytes_of(batch.column(2))
             for a, b in in_blocks(raw, 1 << 21):
                 full = pa.array([s.tobytes() for s in shingle_sets(raw[a:b], n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], full], ["node", "groups", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], batch.column(3)[a:b], full], ["node", "groups", "root", "shingles"])
 
     def run(batches):
         for _, t in grouped(batches, "together"):
             node = t.column("node").to_numpy()
-            found = verified([np.frombuffer(x, U64) for x in t.column("shingles").to_pylist()], percent)
+            found = verified([np.frombuffer(x, U64) for x in t.column("shingles").to_pylist()], t.column("root").to_numpy(), percent)
             if found:
                 i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["u", "v"])
 
     of_node = groups.groupBy("node").agg(F.collect_list("together").alias("groups"))
-    full = texts.join(of_node, "node").select("node", "groups", "text").mapInArrow(shingled, "node long, groups array<long>, shingles binary")
-    spread = full.select(F.explode("groups").alias("together"), "node", "shingles").repartition(partitions(texts.sparkSession), "together").sortWithinPartitions("together", "node")
+    rooted = of_node.withColumn("root", F.col("node")) if known is None else of_node.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    full = texts.join(rooted, "node").select("node", "groups", "text", "root").mapInArrow(shingled, "node long, groups array<long>, root long, shingles binary")
+    spread = full.select(F.explode("groups").alias("together"), "node", "root", "shingles").repartition(partitions(texts.sparkSession), "together").sortWithinPartitions("together", "node")
     return staged(spread.mapInArrow(run, "u long, v long"), "links")
 
 
@@ -266,29 +295,29 @@ def sketch_dedup(docs: DataFrame, percent: int = 85, n: int = 3, row: str | None
 
     texts = own.select(F.col("row").alias("node"), "text")
 
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    placed = lists.withColumn("block", block).withColumnRenamed("rep", "node")
-    # the first block of a list meets itself and every other one
-    meets = F.when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    first = placed.select("node", F.col("node").alias("root"), "key", "block", F.explode(meets).alias("other"))
-    first = first.select("node", "root", F.xxhash64("key", "other").alias("unit"), F.when((F.col("other") == 0) | (F.col("block") == 0), 0).otherwise(1).alias("side"))
+    lists = lists.select("key", F.col("rep").alias("node"), "central", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))
+    long_lists = lists.where("blocks > 1")
+    # the sets of a long list that have the most common values are likely what others are copies of: they meet all blocks
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS))
+    pivots = long_lists.groupBy("key", "blocks", part.alias("part")).agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("node"))
+    pivots = pivots.select("node", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
+    first = lists.select("node", "key", "block", F.when(F.col("blocks") > 1, 1).otherwise(0).alias("side")).unionByName(pivots)
+    first = first.select("node", F.col("node").alias("root"), F.xxhash64("key", "block").alias("unit"), "side")
     linked = compared(in_units(first, sets, percent), texts, percent, n)
-    long_lists = placed.where("blocks > 1")
     if not long_lists.isEmpty():
-        # sets outside of the largest component of their list meet all of it
+        # sets outside of the largest component of their list meet all blocks, too
         known = components(linked)
         rooted = long_lists.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        most = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+        most = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), (F.sum("count") - F.max("count")).alias("others"))
         # a list's sets are dealt over parts of this join by their block, as one list may hold a large share of all sets
-        mains = long_lists.select("key", "block").distinct().join(most, "key")
-        left = staged(rooted.join(mains, ["key", "block"]).withColumn("rest", F.col("root") != F.col("main")).select("node", "root", "key", "block", "blocks", "rest"), "rest")
-        open_blocks = left.where("rest").select("key", F.col("block").alias("rest_block")).distinct()
-        pairs = left.join(open_blocks, "key")
-        one = pairs.where("rest and block = rest_block").select("node", "root", F.xxhash64("key", F.lit(-1), "block").alias("unit"), F.lit(0).alias("side"))
-        across = pairs.where("rest and block = rest_block").select("node", "root", "key", "rest_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), F.lit(0).alias("side"))
-        across = across.unionByName(pairs.where("not rest or block <> rest_block").select("node", "root", "key", "rest_block", F.col("block").alias("other"), F.lit(1).alias("side")))
-        across = across.select("node", "root", F.xxhash64("key", "rest_block", "other").alias("unit"), "side")
-        linked = linked.unionByName(compared(in_units(one.unionByName(across), sets, percent), texts, percent, n))
+        mains = long_lists.select("key", "block").distinct().join(most.where("others > 0"), "key")
+        left = staged(rooted.join(mains, ["key", "block"]), "rest")
+        groups = F.ceil(F.col("others") / BLOCK)
+        every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        rest = left.where("root <> main").withColumn("group", F.pmod(F.xxhash64("node", F.lit(2)), groups)).select("node", "root", "key", "group", F.explode(every).alias("block"), F.lit(0).alias("side"))
+        whole = left.select("node", "root", "key", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)).alias("group"), "block", F.lit(1).alias("side"))
+        across = rest.unionByName(whole).select("node", "root", F.xxhash64("key", "group", "block").alias("unit"), "side")
+        linked = linked.unionByName(compared(in_units(across, sets, percent), texts, percent, n, known))
     roots = components(linked).select(F.col("node").alias("rep"), "root")
     # rows are numbered in order of doc_id, so the root has the smallest one of its component
     named = with_least(roots.join(sets.select("rep", "rep_id"), "rep").select("rep", "root", F.struct("rep", "rep_id").alias("own")), "root", "own", spread=True)
