@@ -4,8 +4,8 @@ Texts become sets of hashed word shingles; equal sets are one class from there o
 smallest hashes.  Inverted lists hold, for a retained value, the sets that retain it.  A value that more than ``COMMON``
 sets retain is common: a passage that many texts share gives such values, and most sets on their lists are no
 duplicates.  So a set is listed under its first ``LISTED`` values that are not common, and only a set of which more
-than a quarter of the sketch is common is also listed under its first ``LISTED`` values of any kind.  A pair at the
-threshold shares a listed value but for a chance of 1.3e-10 if nothing is common in its texts and 3e-6 at worst
+than three eighths of the sketch are common is also listed under its first ``LISTED`` values of any kind.  A pair at the
+threshold shares a listed value but for a chance of 1.3e-10 if nothing is common in its texts and 4e-6 at worst
 (see ``listed``).  Lists under common values are divided by the sizes of their sets, and lists of the same sets are one.
 
 A list of up to ``BLOCK`` sets is a unit of work.  A longer one is cut into blocks, which first meet a few sets that
@@ -172,9 +172,9 @@ def listed(sets: DataFrame) -> DataFrame:
     """(key, rep, central, blocks): the sets of every inverted list of two or more, with the number of common values each retains.
 
     Let a pair have similarity 0.85.  The first values of its union are shared with chance 0.85 each, so 12 of them all fail
-    with 0.15 ** 12.  Of values that are not common, a set with a quarter of common ones has at least 0.75 * 0.85 of the
-    union, of which 0.15 are not shared: one is shared with chance 0.76 or more, with 0.65 if the sketch was off by much; pairs of
-    which both have more common ones meet on the lists of any value."""
+    with 0.15 ** 12.  Of values that are not common, a set with three eighths of common ones has at least 0.625 * 0.85 of the
+    union, of which 0.15 are not shared: one is shared with chance 0.71 or more, with 0.64 if the sketch was off by two
+    deviations; pairs of which both have more common ones meet on the lists of any value."""
     each = sets.select("rep", F.posexplode("sketch").alias("place", "value"))
     common = staged(each.groupBy("value").count().where(F.col("count") > COMMON).select("value"), "common-values")
     # only the common values of a set come back to it
@@ -183,7 +183,7 @@ def listed(sets: DataFrame) -> DataFrame:
     of_set = sets.select("rep", "n_shingles", "sketch").join(places, "rep")
     rare = F.slice(F.filter("sketch", lambda x, i: ~F.array_contains("places", i)), 1, LISTED)
     first = F.filter(F.slice("sketch", 1, LISTED), lambda x, i: F.array_contains("places", i))
-    hot = F.when(4 * F.size("places") > F.size("sketch"), first).otherwise(F.slice("sketch", 1, 0))
+    hot = F.when(8 * F.size("places") > 3 * F.size("sketch"), first).otherwise(F.slice("sketch", 1, 0))
     # two sets of one list and similarity 0.85 are in the same or in neighbouring classes of size
     grade = F.floor(F.log(F.col("n_shingles") + 0.5) / -math.log(0.85)).cast("long")
     keys = F.concat(rare, F.flatten(F.transform(hot, lambda x: F.array(F.xxhash64(x, grade), F.xxhash64(x, grade + 1)))))
@@ -234,6 +234,22 @@ def in_units(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return staged(spread.mapInArrow(run, "together long, node long").distinct(), "estimated-groups")
 
 
+FILTER_BITS = 1 << 23
+
+
+def thinned(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose node can be among ``wanted``: texts that nobody asks for are not shuffled.
+
+    The nodes' hashes are marked in ``FILTER_BITS`` bits, 1 MB whatever the input, which all tasks get."""
+    page = 8 * 4096  # bits of a bitmap
+    place = lambda: F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    bits = wanted.select(F.floor(place() / page).alias("page"), F.pmod(place(), F.lit(page)).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bit = F.pmod(place(), F.lit(page))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = texts.withColumn("page", F.floor(place() / page)).join(F.broadcast(bits), "page")
+    return near.where(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).select(*texts.columns)
+
+
 def compared(groups: DataFrame, texts: DataFrame, percent: int, n: int, known: DataFrame | None = None) -> DataFrame:
     """(u, v) of the verified links of ``groups`` (together, node) on the full sets of ``texts`` (node, text).  ``known`` (node, root)
     are components whose sets are not compared with each other."""
@@ -253,9 +269,9 @@ def compared(groups: DataFrame, texts: DataFrame, percent: int, n: int, known: D
                 i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["u", "v"])
 
-    of_node = groups.groupBy("node").agg(F.collect_list("together").alias("groups"))
+    of_node = staged(groups.groupBy("node").agg(F.collect_list("together").alias("groups")), "groups-of-sets")
     rooted = of_node.withColumn("root", F.col("node")) if known is None else of_node.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    full = texts.join(rooted, "node").select("node", "groups", "text", "root").mapInArrow(shingled, "node long, groups array<long>, root long, shingles binary")
+    full = thinned(texts, of_node).join(rooted, "node").select("node", "groups", "text", "root").mapInArrow(shingled, "node long, groups array<long>, root long, shingles binary")
     spread = full.select(F.explode("groups").alias("together"), "node", "root", "shingles").repartition(partitions(texts.sparkSession), "together").sortWithinPartitions("together", "node")
     return staged(spread.mapInArrow(run, "u long, v long"), "links")
 
