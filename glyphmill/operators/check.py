@@ -26,12 +26,17 @@ class Override:
 @dataclass(frozen=True)
 class Config:
     mode: str = "corrections"  # off, corrections or dictionary
-    profile: str = "auto"  # auto, prose, source or all
+    profile: str = "all"  # auto, prose, source or all
     japanese: bool = True
     locale: str | None = None  # en-US or en-GB
-    katakana: str | None = None  # long or short
+    katakana: str = "consistency"  # of one document; or long, short, off
     space: str = "code"  # always, never or code
-    consistency: bool = True  # katakana forms of one document
+    fullwidth: bool = True  # the switches of single Japanese checks
+    halfwidth: bool = True
+    compatibility: bool = True
+    kanji: bool = True
+    numbers: bool = True
+    punctuation: bool = True
     variants: tuple[tuple[str, str], ...] = ()  # (katakana word, preferred)
     rules: tuple[tuple[str, str], ...] = ()  # (regular expression, replacement)
     overrides: tuple[Override, ...] = ()
@@ -51,6 +56,11 @@ def effective(docs: DataFrame, config: Config) -> DataFrame:
     return docs.select("*", pick("mode", F.lit(config.mode)).alias("mode"), pick("profile", F.lit(config.profile)).alias("profile"), ja.alias("ja"), masking.is_prose(F.col("path")).alias("prose"))
 
 
+def switched_off(config: Config) -> tuple[str, ...]:
+    """The names of Japanese checks that the settings leave out."""
+    return tuple(n for n in ("fullwidth", "halfwidth", "compatibility", "kanji", "numbers", "punctuation") if not getattr(config, n))
+
+
 def checked_lines(docs: DataFrame, config: Config) -> DataFrame:
     """(doc_id, mode, ja, prose, skip, line, line_offset, b): lines of the masked texts that are checked at all.
 
@@ -71,7 +81,8 @@ def check(docs: DataFrame, config: Config, fixes: DataFrame, allow: DataFrame, k
     ``fixes`` (typo, fixes, allow) are the corrections, ``allow`` (word) is never reported in any kind, ``known`` (word) is the
     word list of dictionary mode.  Null texts have no findings.  In a document findings are in order of offset, then
     phase: English words 0, rules 1, characters and variants of a line 2, then what differs within the document:
-    katakana 3, kanji 4, numbers 5, punctuation 6.
+    katakana 3 (in the style consistency only), kanji 4, numbers 5, punctuation 6.  In dictionary mode the distinct unknown words
+    are worked out when this is called, in a job of its own.
     """
     spark = docs.sparkSession
     rows = checked_lines(docs, config)
@@ -82,7 +93,7 @@ def check(docs: DataFrame, config: Config, fixes: DataFrame, allow: DataFrame, k
         parts.append((0, english.english(english_rows, fixes, allow, locale, known, config.options, F.col("mode") == "dictionary")))
     if config.japanese:
         table = dict([*japanese.katakana_pairs(config.katakana), *config.variants])
-        parts.append((None, japanese.document_findings(rows.where("ja"), table, config.space, config.rules, config.consistency)))
+        parts.append((None, japanese.document_findings(rows.where("ja"), table, config.space, config.rules, config.katakana == "consistency", switched_off(config))))
     return findings.united(spark, parts, allow)
 
 

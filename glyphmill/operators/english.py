@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_case
+from ..sources.staging import staged
+from .suggest import suggestion_lists
 from .tokens import Options, word_column, words
 
 # Words that a built-in correction table must not touch.
@@ -70,28 +72,44 @@ def locale_table(spark: SparkSession, locale: str, pairs: list[tuple[str, str]]
     return spark.createDataFrame(rows, "variant string, preferred string")
 
 
+def verdicts(fixes: DataFrame, allow: DataFrame, locale: DataFrame | None = None) -> DataFrame:
+    """(key, kind, suggestions): what the rule tables say of each lower-case word; rules go before regional spellings, and
+    words that are allowed by either table are never reported."""
+    none = allow.select(F.lower("word").alias("key"))
+    out = fixes.where("not allow").select(F.col("typo").alias("key"), F.lit("typo").alias("kind"), F.col("fixes").alias("suggestions"))
+    if locale is not None:
+        own = locale.select(F.col("variant").alias("key"), F.lit("en-variant").alias("kind"), F.array("preferred").alias("suggestions"))
+        out = out.unionByName(own.join(fixes.select(F.col("typo").alias("key")), "key", "left_anti"))
+    return out.join(none, "key", "left_anti")
+
+
+def unknown(keys: DataFrame, known: DataFrame, fixes: DataFrame, allow: DataFrame, locale: DataFrame | None = None, most: int = 4) -> DataFrame:
+    """(key, kind, suggestions) of the distinct ``keys`` (key) that no list and no rule has, with the nearest known words.
+
+    It is worked out once for each word and not for each occurrence, and written, so that the join with the occurrences knows its size."""
+    for table, name in ((known, "word"), (allow, "word"), (fixes, "typo"), *([(locale, "variant")] if locale is not None else [])):
+        keys = keys.join(table.select((F.lower(name) if table is allow else F.col(name)).alias("key")), "key", "left_anti")
+    keys = staged(keys, "unknown-words")
+    lists = suggestion_lists(keys.select(F.col("key").alias("word")), known, most)
+    return staged(lists.select(F.col("word").alias("key"), F.lit("unknown-word").alias("kind"), "suggestions"), "suggestions")
+
+
 def english(lines: DataFrame, fixes: DataFrame, allow: DataFrame, locale: DataFrame | None = None, known: DataFrame | None = None, options: Options = Options(), dictionary: Column | None = None) -> DataFrame:
     """Findings (doc_id, line, col, offset, len, word, kind, suggestions) of English words.
 
     The first that applies decides: allow set, allowed or corrected by a rule, regional spelling, and with
-    ``known`` (dictionary mode) not in any word list (four letters or more, not all capitals); ``dictionary`` says of which lines that is asked.
+    ``known`` (dictionary mode) not in any word list (four letters or more, not all capitals); ``dictionary`` says of which lines that is
+    asked.  Unknown words carry up to four known ones that are near, in their letter case.
 
-    Rule tables are joined as the planner sees fit: small ones are broadcast by their size, larger ones are not."""
-    rows = words(lines, options).withColumn("key", F.lower("word")).where("token is not null")
-    rows = rows.join(allow.select(F.lower("word").alias("key")).distinct(), "key", "left_anti")
-    rows = rows.join(fixes.select(F.col("typo").alias("key"), "fixes", F.col("allow").alias("allowed")), "key", "left")
-    rows = rows.where("allowed is null or not allowed")
-    if locale is not None:
-        rows = rows.join(locale.select(F.col("variant").alias("key"), "preferred"), "key", "left")
-    else:
-        rows = rows.withColumn("preferred", F.lit(None).cast("string"))
+    Verdicts are made for distinct words and joined with the occurrences once; the planner broadcasts them by their size."""
+    rows = words(lines, options).withColumn("key", F.lower("word"))
+    table = verdicts(fixes, allow, locale)
     if known is not None:
-        rows = rows.join(known.select(F.col("word").alias("key"), F.lit(True).alias("is_known")).distinct(), "key", "left")
-        unknown = (F.lit(True) if dictionary is None else dictionary) & F.col("is_known").isNull() & (F.length("word") >= 4) & ~F.col("word").rlike("^[A-Z]+$")
+        asked = (F.lit(True) if dictionary is None else dictionary) & (F.length("word") >= 4) & ~F.col("word").rlike("^[A-Z]+$")
+        table = table.unionByName(unknown(rows.where(asked).select("key").distinct(), known, fixes, allow, locale))
+        found = rows.join(table, "key").where((F.col("kind") != "unknown-word") | asked)
     else:
-        unknown = F.lit(False)
-    kind = F.when(F.col("fixes").isNotNull(), "typo").when(F.col("preferred").isNotNull(), "en-variant").when(unknown, "unknown-word")
-    rows = rows.withColumn("kind", kind).where("kind is not null")
-    suggestions = F.when(F.col("kind") == "typo", F.transform("fixes", lambda x: match_case(F.col("word"), x))).when(F.col("kind") == "en-variant", F.array(match_case(F.col("word"), F.col("preferred")))).otherwise(F.array().cast("array<string>"))
+        found = rows.join(table, "key")
+    cased = F.transform("suggestions", lambda x: match_case(F.col("word"), x))
     col = word_column()
-    return rows.select("doc_id", "line", col.alias("col"), (F.col("line_offset") + col).alias("offset"), F.length("word").cast("long").alias("len"), "word", "kind", suggestions.alias("suggestions"))
+    return found.select("doc_id", "line", col.alias("col"), (F.col("line_offset") + col).alias("offset"), F.length("word").cast("long").alias("len"), "word", "kind", cased.alias("suggestions"))

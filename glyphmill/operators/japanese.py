@@ -268,11 +268,12 @@ def candidates(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return F.concat(*out)
 
 
-def document_findings(rows: DataFrame, table: dict[str, str], space: str, rules: tuple[tuple[str, str], ...] = (), consistency: bool = True) -> DataFrame:
+def document_findings(rows: DataFrame, table: dict[str, str], space: str, rules: tuple[tuple[str, str], ...] = (), consistency: bool = True, without: tuple[str, ...] = ()) -> DataFrame:
     """All Japanese findings with their phase, from one pass over lines (with prose and skip) and one shuffle: rules 1,
     characters and variants 2, katakana forms 3, kanji forms 4, numbers 5, marks 6.
 
-    Groups are the katakana words, pairs, numbers and marks of a document.  A group of two sides (arabic or kanji
+    ``consistency`` asks for katakana forms, ``without`` names checks to leave out: fullwidth, halfwidth, compatibility, kanji,
+    numbers, punctuation.  Groups are the katakana words, pairs, numbers and marks of a document.  A group of two sides (arabic or kanji
     digits, one form or the other, western or Japanese marks) reports its lesser one."""
     text = from_bytes(F.col("b"))
     asked = F.col("b").rlike("[\\xE2-\\xEF]")
@@ -295,6 +296,10 @@ def document_findings(rows: DataFrame, table: dict[str, str], space: str, rules:
     free = kata & F.col("to").isNull() & (F.char_length(w) >= 3) & (F.char_length(stem) >= 2) & F.lit(consistency)
     phase = F.when(F.col("phase") != 2, F.col("phase")).when(mark, 6).when(free & ~F.col("skip"), 3).otherwise(2)
     found = found.withColumn("phase", phase).where("(phase = 1 and to <> word and word <> '' and not skip) or (phase = 2 and to is not null and not skip) or phase > 2")
+    of = {"kanji": F.col("phase") == 4, "numbers": F.col("phase") == 5, "punctuation": F.col("phase") == 6}
+    of |= {n: (F.col("phase") == 2) & w.rlike(f"^[{c}]") for n, c in (("fullwidth", FULL_ALNUM), ("halfwidth", HALF_KANA), ("compatibility", COMPATIBLE))}
+    for name in without:
+        found = found.where(~of[name])
     key = F.when(F.col("phase") == 3, stem).when(F.col("phase") == 4, F.floor(F.col("place") / 2).cast("string")).when(F.col("phase") == 5, F.translate(F.replace(w, F.lit(","), F.lit("")), KANJI_DIGITS, "00123456789")).otherwise(F.lit(""))
     side = F.when(F.col("phase") == 4, F.col("place") % 2 == 0).when(F.col("phase") == 5, w.rlike(f"^[{KANJI_DIGITS}]")).otherwise(w.isin("，", "．"))
     grouped = found.withColumn("key", key).withColumn("side", side).repartition("doc_id", "phase", "key")

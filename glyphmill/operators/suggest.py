@@ -1,7 +1,7 @@
 """Spelling suggestions: nearest words of a list by edit distance.
 
 Words are blocked by their deletion neighbourhoods (what is left after deleting up to d letters): two
-words within distance d share one, so an equi-join finds all pairs; the distance then verifies them."""
+words within distance d share one, so an equi-join of their hashes finds all pairs; the distance then verifies them."""
 
 from __future__ import annotations
 
@@ -12,14 +12,14 @@ from ..functions.text import byte_view
 
 
 def _deleted(word: Column, depth: Column) -> Column:
-    """The distinct strings that deleting up to ``depth`` (one or two) characters leaves, the word itself among them."""
+    """Hashes of the distinct strings that deleting up to ``depth`` (one or two) characters leaves, the word itself among them."""
     n = F.length(word)
     cut = lambda a, b: F.substring(word, a, b - a)  # noqa: E731 - characters a to b - 1
     end = n + 1
     one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(cut(F.lit(1), i), cut(i + 1, end)))
     two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.concat(cut(F.lit(1), i), cut(i + 1, j), cut(j + 1, end)))))
     some = F.when((depth > 1) & (n > 1), F.concat(F.array(word), one, two)).when(n > 0, F.concat(F.array(word), one)).otherwise(F.array(word))
-    return F.array_distinct(some)
+    return F.array_distinct(F.transform(some, lambda x: F.xxhash64(x)))
 
 
 def suggest(queries: DataFrame, known: DataFrame, most: int = 4, longest: int = 24) -> DataFrame:
@@ -31,8 +31,17 @@ def suggest(queries: DataFrame, known: DataFrame, most: int = 4, longest: int =
     q = q.withColumn("d", F.when(F.octet_length("word") <= 6, 1).otherwise(2))
     left = q.select("word", "d", F.explode(_deleted(F.col("word"), F.col("d"))).alias("left"))
     own = known.select(F.col("word").alias("suggestion")).distinct().where(F.length("suggestion") <= longest + 2)
-    right = own.select("suggestion", F.explode(_deleted(F.col("suggestion"), F.lit(2))).alias("left"))
+    # a word at distance 2 is asked for by words of seven bytes or more
+    depth = F.when(F.octet_length("suggestion") >= 5, 2).otherwise(1)
+    right = own.select("suggestion", F.explode(_deleted(F.col("suggestion"), depth)).alias("left"))
     pairs = left.join(right, "left").where(F.levenshtein("word", "suggestion", 2).between(0, F.col("d"))).select("word", "d", "suggestion").distinct()
     pairs = pairs.withColumn("distance", F.levenshtein(byte_view(F.col("word")), byte_view(F.col("suggestion"))))
     w = Window.partitionBy("word").orderBy("distance", F.abs(F.octet_length("word") - F.octet_length("suggestion")), "suggestion")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("word", "rank", "suggestion", "distance")
+
+
+def suggestion_lists(queries: DataFrame, known: DataFrame, most: int = 4) -> DataFrame:
+    """(word, suggestions) for every distinct word, the best first; an empty list where there is none."""
+    ranked = suggest(queries, known, most).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "suggestion"))).alias("r"))
+    each = queries.select(F.lower("word").alias("word")).distinct().join(ranked, "word", "left")
+    return each.select("word", F.coalesce(F.transform("r", lambda x: x["suggestion"]), F.array().cast("array<string>")).alias("suggestions"))

@@ -7,10 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lines import running
+
 DELIMITERS = " \\t\\n\\f\\r\"`()\\[\\]{}<>,;\\x80-\\xFF"
 TOKEN_PARTS = f"[^{DELIMITERS}]+|[{DELIMITERS}]+"
 RUN_PARTS = "\\\\?[A-Za-z][A-Za-z']*|[^A-Za-z\\\\]+|\\\\"
 CASE_CUT = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+SEGMENT = 2048  # bytes; what is found in a line looks for its column in a part of about that size
 
 
 @dataclass(frozen=True)
@@ -42,28 +45,62 @@ def is_plural_acronym(run: Column) -> Column:
     return run.rlike("^[A-Z]{2,}s$")
 
 
+def _placed(parts: Column) -> Column:
+    """Parts of a text with the position of each."""
+    return F.arrays_zip(parts.alias("text"), running(parts, F.length).alias("at"))
+
+
+def _unplaced(parts: Column) -> Column:
+    """Parts of a short text, whose positions are looked up when they are needed."""
+    return F.transform(parts, lambda x: F.struct(x.alias("text"), F.lit(None).cast("long").alias("at")))
+
+
+def _alone(text: Column) -> Column:
+    return F.array(F.struct(text.alias("text"), F.lit(0).cast("long").alias("at")))
+
+
+def segments(lines: DataFrame) -> DataFrame:
+    """The lines with ``at``, long ones as several rows: parts of ``SEGMENT`` bytes and the rest of the token at their end, so
+    that no row of a token carries more of its line than that."""
+    rest = [c for c in lines.columns if c != "b"]
+    parts = _placed(F.regexp_extract_all("b", F.lit(f"[\\s\\S]{{1,{SEGMENT}}}[^{DELIMITERS}]*+"), F.lit(0)))
+    z = F.when(F.length("b") <= SEGMENT, _alone(F.col("b"))).otherwise(parts)
+    return lines.select(*rest, F.explode(z).alias("z")).select(*rest, F.col("z.text").alias("b"), F.col("z.at").alias("at"))
+
+
 def token_rows(lines: DataFrame) -> DataFrame:
-    """(.., t, token) for each delimited token; t is its index among the line's parts."""
-    keep = [c for c in lines.columns]
-    parts = lines.select(*keep, F.posexplode(F.split("b", f"[{DELIMITERS}]+")).alias("k", "token")).where("token <> ''")
+    """(.., at, t, token) for each delimited token; t is its index among the parts of ``b``, which begins at ``at`` in its line."""
+    cut = segments(lines)
+    keep = cut.columns
+    parts = cut.select(*keep, F.posexplode(F.split("b", f"[{DELIMITERS}]+")).alias("k", "token")).where("token <> ''")
     # delimiters alternate with tokens; one in front of all tokens leaves an empty token before it
     t = 2 * F.col("k") - F.when(F.col("b").rlike(f"^[{DELIMITERS}]"), 1).otherwise(0)
     return parts.select(*keep, t.alias("t"), "token")
 
 
 def words(lines: DataFrame, options: Options = Options()) -> DataFrame:
-    """(lines' columns, t, token, r, run, c, word): the words that are looked up."""
+    """(lines' columns, at, t, token, r, r_at, run, c, c_at, word): the words that are looked up.
+
+    Positions within long tokens and runs are carried with their parts, and the token itself is not."""
     tokens = token_rows(lines).where(F.col("token").rlike("[A-Za-z]") & ~is_link(F.col("token")) & ~is_junk(F.col("token"), options.max_token_length))
-    keep = tokens.columns
+    long = F.length("token") > SEGMENT
+    own = [c for c in tokens.columns if c not in ("at", "b", "token")]
+    start = _before(F.regexp_extract_all("b", F.lit(TOKEN_PARTS), F.lit(0)), F.col("t"))
+    tokens = tokens.select(*own, F.when(long, F.col("at") + start).otherwise(F.col("at")).alias("at"), F.when(~long, F.col("b")).alias("b"), "token")
     # most tokens are one run of lower-case letters, which nothing below changes
-    plain = F.col("token").rlike("^[a-z]++$")
-    parts = F.when(plain, F.array("token")).otherwise(F.regexp_extract_all("token", F.lit(RUN_PARTS), F.lit(0)))
-    runs = tokens.select(*keep, F.posexplode(parts).alias("r", "run")).where(F.col("run").rlike("^[A-Za-z]"))
+    parts = F.regexp_extract_all("token", F.lit(RUN_PARTS), F.lit(0))
+    parts = F.when(F.col("token").rlike("^[a-z]++$"), _alone(F.col("token"))).when(long, _placed(parts)).otherwise(_unplaced(parts))
+    runs = tokens.select(*own, "at", "b", F.when(~long, F.col("token")).alias("short_token"), F.posexplode(parts).alias("r", "z"))
+    runs = runs.select(*own, "at", "b", F.col("short_token").alias("token"), "r", F.col("z.at").alias("r_at"), F.col("z.text").alias("run")).where(F.col("run").rlike("^[A-Za-z]"))
     run = F.regexp_replace(F.regexp_replace("run", "'+$", ""), "(?<=.)'[sS]$", "")
     lower = F.col("run").rlike("^[a-z]++$")
     runs = runs.withColumn("run", F.when(lower, F.col("run")).otherwise(run)).where(lower | ~is_plural_acronym(F.col("run")))
-    cased = F.when(F.col("run").rlike("[a-z][A-Z]|[A-Z][A-Z][a-z]"), F.split("run", CASE_CUT)).otherwise(F.array("run"))
-    return runs.select(*keep, "r", "run", F.posexplode(cased).alias("c", "word")).where(F.length("word") >= options.min_word_length)
+    long_run = F.length("run") > SEGMENT
+    cased = F.split("run", CASE_CUT)
+    cased = F.when(~F.col("run").rlike("[a-z][A-Z]|[A-Z][A-Z][a-z]"), _alone(F.col("run"))).when(long_run, _placed(cased)).otherwise(_unplaced(cased))
+    keep = [*own, "at", "b", "token", "r", "r_at"]
+    cut = runs.select(*keep, F.when(~long_run, F.col("run")).alias("short_run"), F.posexplode(cased).alias("c", "z"))
+    return cut.select(*keep, F.col("short_run").alias("run"), "c", F.col("z.at").alias("c_at"), F.col("z.text").alias("word")).where(F.length("word") >= options.min_word_length)
 
 
 def _before(parts: Column, n: Column) -> Column:
@@ -71,9 +108,10 @@ def _before(parts: Column, n: Column) -> Column:
 
 
 def word_column() -> Column:
-    """Byte column of a row of ``words`` in its line; evaluate it only on rows that are findings."""
-    return (
-        _before(F.regexp_extract_all("b", F.lit(TOKEN_PARTS), F.lit(0)), F.col("t"))
-        + _before(F.regexp_extract_all("token", F.lit(RUN_PARTS), F.lit(0)), F.col("r"))
-        + _before(F.split("run", CASE_CUT), F.col("c"))
-    )
+    """Byte column of a row of ``words`` in its line; evaluate it only on rows that are findings.
+
+    It looks at the word's part of the line, token and run, each of about ``SEGMENT`` bytes at most."""
+    in_line = F.when(F.col("b").isNull(), 0).otherwise(_before(F.regexp_extract_all("b", F.lit(TOKEN_PARTS), F.lit(0)), F.col("t")))
+    in_token = F.coalesce("r_at", _before(F.regexp_extract_all("token", F.lit(RUN_PARTS), F.lit(0)), F.col("r")))
+    in_run = F.coalesce("c_at", _before(F.split("run", CASE_CUT), F.col("c")))
+    return F.col("at") + in_line + in_token + in_run

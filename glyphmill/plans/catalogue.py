@@ -223,11 +223,20 @@ KNOWN_SQL = f"known AS (SELECT key FROM (WITH {docs_sql()},{WORDS} SELECT DISTIN
 def unknown_words(spark, sf_dir):
     fixes, allow = rules(spark)
     found = english.english(english_lines(spark, sf_dir), fixes, allow, known=known_words(spark, sf_dir))
-    return found.where("kind = 'unknown-word'").groupBy("word").agg(F.count("*").alias("n"), F.min("offset").alias("first"))
+    return flat(found.where("kind = 'unknown-word'")).groupBy("word", "suggestions").agg(F.count("*").alias("n"), F.min("offset").alias("first"))
 
 
-oracle("unknown_words", f"""WITH {docs_sql(ENGLISH)},{WORDS},{FIXES_SQL},{KNOWN_SQL} SELECT word, count(*) AS n, min("offset") AS first FROM words
- WHERE key NOT IN (SELECT key FROM allow) AND key NOT IN (SELECT key FROM fixes) AND key NOT IN (SELECT key FROM known) AND strlen(word) >= 4 AND NOT regexp_matches(word, '^[A-Z]+$') GROUP BY word""")
+def suggested(unknown: str) -> str:
+    """The nearest known words of each of the ``unknown`` (key), as lists."""
+    near = "levenshtein(u.key, k.key)"
+    return f"""nearest AS (SELECT u.key, list(k.key ORDER BY {near}, abs(strlen(k.key) - strlen(u.key)), k.key)[1:4] AS near FROM (SELECT DISTINCT key FROM {unknown}) u JOIN known k
+ ON abs(strlen(k.key) - strlen(u.key)) <= 2 AND strlen(u.key) <= 24 AND {near} <= CASE WHEN strlen(u.key) <= 6 THEN 1 ELSE 2 END GROUP BY u.key)"""
+
+
+NEAR = f"list_transform(coalesce(near, CAST([] AS VARCHAR[])), lambda s: {MATCH.format(w='word', s='s')})"
+oracle("unknown_words", f"""WITH {docs_sql(ENGLISH)},{WORDS},{FIXES_SQL},{KNOWN_SQL}, strange AS (SELECT * FROM words
+ WHERE key NOT IN (SELECT key FROM allow) AND key NOT IN (SELECT key FROM fixes) AND key NOT IN (SELECT key FROM known) AND strlen(word) >= 4 AND NOT regexp_matches(word, '^[A-Z]+$')),{suggested("strange")}
+ SELECT word, array_to_string({NEAR}, ',') AS suggestions, count(*) AS n, min("offset") AS first FROM strange LEFT JOIN nearest USING (key) GROUP BY word, near""")
 
 
 @query
@@ -358,7 +367,7 @@ oracle("profile_choice", f"SELECT doc_id, {PATH_SQL} AS path, CASE doc_id % 6 WH
 
 
 OVERRIDES = (check.Override("src1/**", mode="dictionary", japanese=True), check.Override("*.md", mode="off"), check.Override("src3/*", japanese=False, profile="all"))
-CONFIG = check.Config(profile="all", locale="en-US", katakana="long", rules=(("Web ?ページ", "ウェブページ"),), overrides=OVERRIDES)
+CONFIG = check.Config(locale="en-US", rules=(("Web ?ページ", "ウェブページ"),), overrides=OVERRIDES)
 CHECK_PATH = "'src' || doc_id % 7 || '/' || " + PATH_SQL
 
 
@@ -416,7 +425,8 @@ def line_occurrences(name: str, pattern: str, keep: str) -> str:
 {name} AS (SELECT {name}1.*, skips.line IS NOT NULL AS skip FROM {name}1 LEFT JOIN skips USING (doc_id, line) WHERE regexp_matches(word, '{keep}'))"""
 
 
-ALL_SQL = f"""base AS (SELECT doc_id, {CHECK_PATH} AS path, text FROM (WITH {docs_sql(CHECKED)} SELECT * FROM docs)),
+NO_WORDS = "CAST([] AS VARCHAR[])"
+STYLED_SQL = f"""base AS (SELECT doc_id, {CHECK_PATH} AS path, text FROM (WITH {docs_sql(CHECKED)} SELECT * FROM docs)),
 docs AS (SELECT *, {EFFECTIVE} FROM base WHERE text IS NOT NULL AND NOT contains(text, 'glyphmill:ignore-file') AND NOT (doc_id % 6 = 0 AND doc_id % 7 = 3)),
 {LINES.replace("lines AS", "alllines AS")},{SKIPS},
 lines AS (SELECT alllines.*, mode FROM alllines JOIN docs USING (doc_id) LEFT JOIN skips USING (doc_id, line) WHERE skips.line IS NULL AND mode <> 'off'),
@@ -434,10 +444,12 @@ kpairs(bad, good) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in japanese.K
 kp AS (SELECT doc_id, text, CASE WHEN a > b THEN good ELSE bad END AS word, CASE WHEN a > b THEN bad ELSE good END AS good FROM (SELECT doc_id, text, bad, good, len(string_split(text, bad)) - 1 AS a, len(string_split(text, good)) - 1 AS b FROM docs, kpairs WHERE ja AND contains(text, bad) AND contains(text, good))),
 ku AS (SELECT doc_id, word, good, unnest(string_split(text, word)) AS part, generate_subscripts(string_split(text, word), 1) AS k, len(string_split(text, word)) AS parts FROM kp),
 ko AS (SELECT *, CAST(sum(strlen(part)) OVER (PARTITION BY doc_id, word ORDER BY k) + (k - 1) * strlen(word) AS BIGINT) AS "offset" FROM ku),
+strange AS (SELECT words.* FROM words JOIN docs USING (doc_id) WHERE mode = 'dictionary' AND key NOT IN (SELECT key FROM allow) AND key NOT IN (SELECT key FROM fixes) AND key NOT IN (SELECT gb FROM pairs) AND key NOT IN (SELECT key FROM known) AND strlen(word) >= 4 AND NOT regexp_matches(word, '^[A-Z]+$')),
+{suggested("strange")},
 found0 AS (
  SELECT doc_id, "offset", word, kind, s, 0 AS phase FROM typos
  UNION ALL SELECT doc_id, "offset", word, 'en-variant', [{MATCH.format(w='word', s='us')}], 0 FROM words JOIN pairs ON key = gb WHERE key NOT IN (SELECT key FROM allow) AND key NOT IN (SELECT key FROM fixes)
- UNION ALL SELECT doc_id, "offset", word, 'unknown-word', CAST([] AS VARCHAR[]), 0 FROM words JOIN docs USING (doc_id) WHERE mode = 'dictionary' AND key NOT IN (SELECT key FROM allow) AND key NOT IN (SELECT key FROM fixes) AND key NOT IN (SELECT gb FROM pairs) AND key NOT IN (SELECT key FROM known) AND strlen(word) >= 4 AND NOT regexp_matches(word, '^[A-Z]+$')
+ UNION ALL SELECT doc_id, "offset", word, 'unknown-word', {NEAR}, 0 FROM strange LEFT JOIN nearest USING (key)
  UNION ALL SELECT doc_id, "offset", word, 'ja-variant', ['ウェブページ'], 1 FROM ru WHERE NOT skip
  UNION ALL SELECT doc_id, "offset", word, 'ja-variant', [word || 'ー'], 2 FROM pc WHERE NOT skip AND list_contains({_long}, word)
  UNION ALL SELECT doc_id, "offset", word, 'fullwidth-alnum', [translate(word, '{FULL_ALNUM}', '{HALF_ALNUM}')], 2 FROM pc WHERE NOT skip AND regexp_matches(word, '^[{japanese.FULL_ALNUM}]')
@@ -453,6 +465,10 @@ placedf AS (SELECT *, len(string_split(before, chr(10))) AS line, string_split(b
 lined AS (SELECT *, CAST(strlen(inline) AS BIGINT) AS col, length(inline) + 1 AS "column", rtrim(string_split(text, chr(10))[line], chr(13)) AS line_text FROM placedf)"""
 
 
+# The style consistency has no list of variants; the styles long and short do not compare forms.
+ALL_SQL = STYLED_SQL.replace(_long, NO_WORDS)
+
+
 @query
 def findings_all(spark, sf_dir):
     _, found = all_findings(spark, sf_dir)
@@ -461,14 +477,30 @@ def findings_all(spark, sf_dir):
 
 @query
 def check_defaults(spark, sf_dir):
-    """The composed check without overrides: corrections, regional spellings and all Japanese notation."""
+    """The composed check with default settings: corrections of any region and all Japanese notation."""
+    fixes, allow = rules(spark)
+    return flat(check.check(check_docs(spark, sf_dir, CHECKED), check.Config(), fixes, allow)).select("doc_id", "line", "col", "offset", "word", "kind", "suggestions", "phase")
+
+
+def settings_sql(sql: str) -> str:
+    """For all documents in mode corrections with Japanese checks."""
+    return sql.replace(EFFECTIVE, "'corrections' AS mode, true AS ja, doc_id % 6 IN (0, 2, 4) AS prose").replace(" AND NOT (doc_id % 6 = 0 AND doc_id % 7 = 3)", "")
+
+
+REPORTED = "SELECT doc_id, CAST(line AS INTEGER) AS line, col, \"offset\", word, kind, array_to_string(s, ',') AS suggestions, phase FROM lined"
+DEFAULTS_SQL = settings_sql(ALL_SQL).replace("FROM words JOIN pairs", "FROM (SELECT * FROM words WHERE false) JOIN pairs").replace("FROM ru WHERE", "FROM ru WHERE false AND")
+oracle("check_defaults", f"WITH {DEFAULTS_SQL} {REPORTED}")
+
+
+@query
+def check_styles(spark, sf_dir):
+    """The composed check with long katakana, American spelling and single Japanese checks switched off."""
     fixes, allow = rules(spark)
-    config = check.Config(profile="all", locale="en-US", katakana="long", rules=CONFIG.rules)
+    config = check.Config(locale="en-US", katakana="long", rules=CONFIG.rules, space="never", halfwidth=False, kanji=False, punctuation=False)
     return flat(check.check(check_docs(spark, sf_dir, CHECKED), config, fixes, allow)).select("doc_id", "line", "col", "offset", "word", "kind", "suggestions", "phase")
 
 
-DEFAULTS_SQL = ALL_SQL.replace(EFFECTIVE, "'corrections' AS mode, true AS ja, doc_id % 6 IN (0, 2, 4) AS prose").replace(" AND NOT (doc_id % 6 = 0 AND doc_id % 7 = 3)", "")
-oracle("check_defaults", f"WITH {DEFAULTS_SQL} SELECT doc_id, CAST(line AS INTEGER) AS line, col, \"offset\", word, kind, array_to_string(s, ',') AS suggestions, phase FROM lined")
+oracle("check_styles", f"WITH {settings_sql(STYLED_SQL)} {REPORTED} WHERE kind NOT IN ('halfwidth-kana', 'fullwidth-space', 'ja-punctuation') AND phase NOT IN (3, 4)")
 
 
 @query
@@ -476,7 +508,7 @@ def check_masked(spark, sf_dir):
     """The composed check on texts whose masks depend on their paths."""
     fixes, allow = rules(spark)
     docs = check_docs(spark, sf_dir, [c + e for c, e in zip(CODE, ENGLISH)])
-    return flat(check.check(docs, check.Config(locale="en-US"), fixes, allow)).select("doc_id", "line", "col", "offset", "word", "kind", "suggestions", "phase")
+    return flat(check.check(docs, check.Config(profile="auto", locale="en-US"), fixes, allow)).select("doc_id", "line", "col", "offset", "word", "kind", "suggestions", "phase")
 
 
 oracle("findings_all", f"WITH {ALL_SQL} SELECT doc_id, CAST(line AS INTEGER) AS line, col, \"offset\", word, kind, array_to_string(s, ',') AS suggestions, phase FROM lined")
@@ -575,7 +607,7 @@ def fix_dry_run(spark, sf_dir):
     return findings.dry_run(all_findings(spark, sf_dir)[1])
 
 
-oracle("fix_dry_run", f"WITH {ALL_SQL} SELECT doc_id, count(*) FILTER (len(s) > 0 AND (kind <> 'typo' OR len(s) = 1)) AS fixed, count(*) FILTER (kind = 'typo' AND len(s) > 1) AS skipped, count(*) FILTER (len(s) = 0) AS unfixable FROM found GROUP BY doc_id")
+oracle("fix_dry_run", f"WITH {ALL_SQL} SELECT doc_id, count(*) FILTER (len(s) > 0 AND kind <> 'unknown-word' AND (kind <> 'typo' OR len(s) = 1)) AS fixed, count(*) FILTER (len(s) > 0 AND (kind = 'unknown-word' OR (kind = 'typo' AND len(s) > 1))) AS skipped, count(*) FILTER (len(s) = 0) AS unfixable FROM found GROUP BY doc_id")
 
 
 @query
@@ -597,7 +629,7 @@ def format_json(spark, sf_dir):
 MESSAGES = "CASE kind WHEN 'typo' THEN " + MESSAGE + """ WHEN 'unknown-word' THEN '`' || word || '` is not a known word' WHEN 'en-variant' THEN 'regional spelling `' || word || '` → `' || s[1] || '`'
  WHEN 'ja-variant' THEN '`' || word || '` は `' || s[1] || '` に統一 (表記ゆれ)' WHEN 'fullwidth-alnum' THEN 'fullwidth alphanumerics `' || word || '` → `' || s[1] || '`' WHEN 'halfwidth-kana' THEN 'halfwidth katakana `' || word || '` → `' || s[1] || '`'
  WHEN 'fullwidth-space' THEN 'fullwidth space (U+3000)' WHEN 'ja-compatibility' THEN 'compatibility character `' || word || '` → `' || s[1] || '`' WHEN 'ja-number-style' THEN '`' || word || '` は `' || s[1] || '` に統一 (数字表記)' ELSE '`' || word || '` は `' || s[1] || '` に統一 (句読点)' END"""
-FIX = "CASE WHEN kind <> 'typo' OR len(s) = 1 THEN s[1] END"
+FIX = "CASE WHEN kind <> 'unknown-word' AND (kind <> 'typo' OR len(s) = 1) THEN s[1] END"
 oracle("format_json", f"WITH {ALL_SQL} SELECT doc_id, \"offset\", phase, CAST(\"column\" AS VARCHAR) AS \"column\", {FIX} AS fix, kind, CAST(strlen(word) AS VARCHAR) AS length, {MESSAGES} AS message, path, 'issue' AS type FROM lined")
 
 

@@ -139,7 +139,7 @@ def test_check_masks_directives_overrides(spark):
         (4, 1, "ＣＤ", "fullwidth-alnum", 2),
         (5, 1, "adn", "typo", 0), (5, 1, "qqvv", "unknown-word", 0), (5, 1, "ＣＤ", "fullwidth-alnum", 2),
     ]
-    assert full_check(spark, rows, check.Config(overrides=over)) == want
+    assert full_check(spark, rows, check.Config(profile="auto", overrides=over)) == want
     assert full_check(spark, rows[:2], check.Config(mode="off", japanese=False)) == []
     assert full_check(spark, [], check.Config()) == []
 
