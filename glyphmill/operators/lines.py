@@ -15,15 +15,28 @@ DIRECTIVE = "glyphmill:"
 CHUNK = 256  # elements
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often and in whatever lambdas ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def running(parts: Column, size: Callable[[Column], Column]) -> Column:
-    """For each element of an array the sum of the sizes before it: in chunks of ``CHUNK``, each from its chunk's start,
-    as a fold that appends to an array copies it each time."""
+    """For each element of an array the sum of the sizes before it: in chunks of ``CHUNK`` (or of the root of the number of
+    elements, if that is more), each from its chunk's start, as a fold that appends to an array copies it each time."""
+    return bound(parts, lambda p: _running(p, F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(p))).cast("int")), size))
+
+
+def _running(parts: Column, chunk: Column, size: Callable[[Column], Column]) -> Column:
     first = lambda n: F.array(n.cast("long"))
     add = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda c: F.slice(parts, c * CHUNK + 1, F.lit(CHUNK)))
-    sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + size(x)))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / chunk).cast("int")), lambda c: F.slice(parts, c * chunk + 1, chunk))
     within = lambda c, start: F.slice(F.aggregate(c, first(start), lambda acc, x: add(acc, size(x))), F.lit(1), F.size(c))
-    return F.flatten(F.zip_with(chunks, F.slice(F.aggregate(sizes, first(F.lit(0)), add), F.lit(1), F.size(sizes)), within))
+
+    def summed(chunks: Column) -> Column:
+        sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + size(x)))
+        return F.flatten(F.zip_with(chunks, F.slice(F.aggregate(sizes, first(F.lit(0)), add), F.lit(1), F.size(chunks)), within))
+
+    return bound(cut, summed)
 
 
 def line_starts(parts: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_view, from_bytes
+from .lines import bound
 
 # Extensions of markup, source code, languages with hash comments, and prose.
 MARKUP = ("md", "markdown", "mdx")
@@ -56,7 +57,10 @@ def mask_source_view(b: Column, hashes: Column) -> Column:
 
 def mask_markdown_view(b: Column) -> Column:
     """Masks front matter keys and delimiters, code fences, inline code and link targets."""
-    lines = F.split(b, "\n", -1)
+    return bound(F.split(b, "\n", -1), _mask_markdown_lines)
+
+
+def _mask_markdown_lines(lines: Column) -> Column:
     state = lambda out, k, fence, front: F.struct(out.alias("out"), k.alias("k"), fence.alias("fence"), front.alias("front"))
     none = F.array().cast("array<string>")
 
