@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import github_escape, match_case, message, safe_fix
 from ..operators import check, english, findings, japanese, lines, masking, suggest, tokens
-from ..sources import files
+from ..sources import files, tree
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -713,4 +713,22 @@ def registry_states(spark, sf_dir):
 oracle("registry_states", "SELECT n_name AS name, '1.0' AS version, CASE WHEN n_nationkey % 3 <> 0 THEN CASE WHEN n_nationkey % 2 = 0 THEN '0.9' ELSE '1.0' END END AS locked, CASE WHEN n_nationkey % 3 = 0 THEN 'absent' WHEN n_nationkey % 2 = 0 THEN 'outdated' ELSE 'installed' END AS state FROM nation")
 
 
+# Rule files of three levels, with a folder, a rule taken back and a stronger kind of file.
+TREE_RULES = [("", ".gitignore", "*.log\n/a1/b2/\n# f*\nf1?.md"), ("a0", ".gitignore", "!f3*.log\nb3/*.md"), ("a2/b1", ".ignore", "!*.log\n"), ("a1/b2", ".gitignore", "!*"), ("a1", "notes", "*")]
+
+
+@query
+def ignore_tree(spark, sf_dir):
+    ext = F.element_at(F.array(*[F.lit(e) for e in ("md", "log", "txt", "tmp", "py")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("a"), F.col("doc_id") % 3, F.lit("/b"), F.col("doc_id") % 4, F.lit("/f"), "doc_id", F.lit("."), ext)
+    rules = tree.ignore_rules(spark.createDataFrame(TREE_RULES, "folder string, name string, text string"))
+    return tree.not_ignored(documents(spark, sf_dir).select("doc_id", path.alias("below")), rules)
+
+
+oracle("ignore_tree", """WITH p AS (SELECT doc_id, doc_id % 3 AS a, doc_id % 4 AS b, ['md', 'log', 'txt', 'tmp', 'py'][doc_id % 5 + 1] AS ext FROM documents)
+SELECT doc_id, 'a' || a || '/b' || b || '/f' || doc_id || '.' || ext AS below FROM p
+WHERE NOT (a = 1 AND b = 2) AND NOT (ext = 'md' AND ((a = 0 AND b = 3) OR doc_id BETWEEN 10 AND 19))
+ AND NOT (ext = 'log' AND NOT (a = 0 AND starts_with(CAST(doc_id AS VARCHAR), '3')) AND NOT (a = 2 AND b = 1))""")
+
+
 from . import review  # noqa: E402, F401 - registers its queries here
