@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,17 +39,27 @@ EDITS = "array<struct<start_line:int,start_col:int,end_line:int,end_col:int,text
 EVENTS = f"uri string, version long, event string, text string, edits {EDITS}"
 
 
-def edited(events: DataFrame) -> DataFrame:
+RULES = ""  # the uri of events that say that rules have changed
+
+
+def edited(events: DataFrame, largest: int = LARGEST, keep_closed: str | None = None) -> DataFrame:
     """(uri, version, text, problem) after every micro-batch for each document with events; a stateful stream.
 
     Events (``EVENTS``) of a document are applied in order of version: open, change and save set a whole text where they have one,
     and change applies its edits one after another, by ranges of lines and UTF-16 columns.  An edit outside of the text, or of a
-    document that is not open, leaves the text as it was and is told in ``problem``.  close forgets the document, whose text
-    is then null.  Events whose version is not larger than the last one seen are late and change nothing."""
+    document that is not open, leaves the text as it was and is told in ``problem``, as is once a text of more than ``largest`` bytes.
+    close forgets the document, whose text is then null; its version is kept for ``keep_closed`` (such as "1 hour") and then leaves
+    the state, which takes batches without events, or for ever without that.  Events whose version is not larger than the last one
+    seen are late and change nothing."""
     import pandas as pd
 
+    wait = int(pd.Timedelta(keep_closed).total_seconds() * 1000) if keep_closed else None
+
     def step(key: tuple, parts: Iterator, state) -> Iterator:
-        version, text = state.get if state.exists else (-1, None)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        version, text, warned = state.get if state.exists else (-1, None, False)
         problem = None
         rows = sorted((r for part in parts for r in part.itertuples(index=False)), key=lambda r: r.version)
         for r in rows:
@@ -57,7 +67,7 @@ def edited(events: DataFrame) -> DataFrame:
                 continue
             version = r.version
             if r.event == "close":
-                text = None
+                text, warned = None, False
                 continue
             if isinstance(r.text, str):
                 text = r.text
@@ -70,16 +80,57 @@ def edited(events: DataFrame) -> DataFrame:
                     text = spliced(text, (e["start_line"], e["start_col"]), (e["end_line"], e["end_col"]), e["text"] or "")
                 except ValueError as error:
                     problem = str(error)
-        state.update((int(version), text))
+        large = text is not None and len(text.encode("utf-8")) > largest
+        if large and not warned:
+            problem = "too large to check"
+        state.update((int(version), text, bool(large or warned)))
+        if text is None and wait:
+            state.setTimeoutDuration(wait)
         yield pd.DataFrame({"uri": [key[0]], "version": [int(version)], "text": [text], "problem": [problem]})
 
-    return events.groupBy("uri").applyInPandasWithState(step, "uri string, version long, text string, problem string", "version long, text string", "update", "NoTimeout")
+    return events.groupBy("uri").applyInPandasWithState(step, "uri string, version long, text string, problem string", "version long, text string, warned boolean", "update", "ProcessingTimeTimeout" if wait else "NoTimeout")
+
+
+def open_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, version, text): the documents that are open by the batches that ``watch_edits`` has written to ``folder``."""
+    rows = spark.read.schema("doc_id string, version long, text string").option("recursiveFileLookup", True).parquet(folder)
+    last = rows.groupBy("doc_id").agg(F.max_by(F.struct("version", "text"), "version").alias("e"))
+    return last.select("doc_id", "e.version", "e.text").where("text is not null")
 
 
-def watch_edits(events: DataFrame, load: Callable[[], Callable[[DataFrame], DataFrame]], sink: Callable[[DataFrame, DataFrame, int], None], interval: str = "150 milliseconds", most_findings: int = 1000, largest: int = LARGEST) -> StreamingQuery:
+def watch_edits(events: DataFrame, load: Callable[[], Callable[[DataFrame], DataFrame]], sink: Callable[[DataFrame, DataFrame, int], None], interval: str = "150 milliseconds", most_findings: int = 1000, largest: int = LARGEST, folder: str | None = None, keep_closed: str | None = None) -> StreamingQuery:
     """``watch`` for events with edits.  ``load`` gives the check and is asked again for every micro-batch, so changed rule
-    tables and word lists hold from the next one on; documents that have no events keep their findings until they do."""
-    return _each(edited(events), load, sink, interval, most_findings, largest)
+    tables and word lists hold from the next one on.
+
+    With a ``folder`` (in a store that all executors reach) an event with the uri ``RULES`` has all open documents checked again,
+    those without events of their own, too.  Every batch writes the texts it changed there, under its number, so that a batch that
+    is run again replaces its own; a batch with such an event brings the folder down to what is open."""
+    spark = events.sparkSession
+
+    def wanted(batch: DataFrame, number: int) -> DataFrame:
+        docs = batch.where(F.col("uri") != RULES)
+        if folder is None:
+            return docs
+        docs = docs.persist()
+        changed = batch.where(F.col("uri") == RULES)
+        if docs.isEmpty() and changed.isEmpty():
+            return docs
+        rows = docs.select(F.col("uri").alias("doc_id"), "version", "text")
+        rows.write.mode("overwrite").parquet(f"{folder}/batch-{number:012d}")
+        if changed.isEmpty():
+            return docs
+        every = open_documents(spark, folder)
+        every.write.mode("overwrite").parquet(f"{folder}/open-{number:012d}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for s in store.listStatus(path):
+            # the versions of closed documents are needed no longer than the state keeps them, so older batches can go
+            if s.getPath().getName()[-12:] < f"{number:012d}":
+                store.delete(s.getPath(), True)
+        silent = spark.read.schema("doc_id string, version long, text string").parquet(f"{folder}/open-{number:012d}").withColumnRenamed("doc_id", "uri")
+        return docs.unionByName(silent.join(docs.select("uri"), "uri", "left_anti").withColumn("problem", F.lit(None).cast("string")))
+
+    return _each(edited(events, largest, keep_closed), load, sink, interval, most_findings, largest, wanted)
 
 
 def watch(events: DataFrame, check: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, DataFrame, int], None], interval: str = "150 milliseconds", most_findings: int = 1000) -> StreamingQuery:
@@ -88,15 +139,15 @@ def watch(events: DataFrame, check: Callable[[DataFrame], DataFrame], sink: Call
     ``check`` gets (doc_id, text) and returns findings with doc_id and offset; at most ``most_findings`` of
     a document are reported.  ``sink`` gets the documents of the batch (those over 4 MiB and closed ones
     have no findings), the findings, and the batch's number."""
-    return _each(events, lambda: check, sink, interval, most_findings, LARGEST, latest)
+    return _each(events, lambda: check, sink, interval, most_findings, LARGEST, lambda batch, number: latest(batch))
 
 
 
-def _each(rows: DataFrame, load: Callable, sink: Callable, interval: str, most_findings: int, largest: int, texts: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> StreamingQuery:
+def _each(rows: DataFrame, load: Callable, sink: Callable, interval: str, most_findings: int, largest: int, texts: Callable[[DataFrame, int], DataFrame]) -> StreamingQuery:
     from pyspark.sql import Window
 
     def run(batch: DataFrame, number: int) -> None:
-        docs = texts(batch).withColumnRenamed("uri", "doc_id").persist()
+        docs = texts(batch, number).withColumnRenamed("uri", "doc_id").persist()
         found = load()(docs.where(F.octet_length("text") <= largest).select("doc_id", "text"))
         w = Window.partitionBy("doc_id").orderBy("offset")
         sink(docs, found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most_findings).drop("k"), number)
