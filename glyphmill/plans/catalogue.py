@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import github_escape, match_case, message, safe_fix
 from ..operators import check, english, findings, japanese, lines, masking, suggest, tokens
-from ..sources import files, tree
+from ..sources import files, lists, tree
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -731,4 +731,34 @@ WHERE NOT (a = 1 AND b = 2) AND NOT (ext = 'md' AND ((a = 0 AND b = 3) OR doc_id
  AND NOT (ext = 'log' AND NOT (a = 0 AND starts_with(CAST(doc_id AS VARCHAR), '3')) AND NOT (a = 2 AND b = 1))""")
 
 
+@query
+def list_lint(spark, sf_dir):
+    """Every document as a dictionary file, a word a line: word lists, correction tables and variant tables, with faults by line."""
+    word = F.posexplode(F.split("text", "[ \t\n\r]+")).alias("n", "w")
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("file"), word).withColumn("n", F.col("n").cast("long"))
+    kind = F.when(F.col("file") % 3 == 0, "wordlist").when(F.col("file") % 3 == 1, "corrections").otherwise("variants")
+    fix = F.concat("w", F.when(F.col("n") % 7 == 0, " ").otherwise("\t"), F.when(F.col("n") % 5 == 0, " , ").otherwise("x, y"))
+    variant = F.concat("w", F.lit("\t"), F.when(F.col("n") % 4 == 0, F.col("w")).otherwise("v"))
+    value = F.when(kind == "wordlist", F.col("w")).when(kind == "corrections", fix).otherwise(variant)
+    base = rows.where("file % 10 = 9 and n < 5").select(F.col("w").alias("word"))
+    return lists.lint_lists(rows.select("file", kind.alias("kind"), "n", value.alias("value")), base)
+
+
+oracle("list_lint", f"""WITH p AS (SELECT doc_id AS file, string_split_regex(text, '[ \\t\\n\\r]+') AS p FROM documents),
+r AS (SELECT file, unnest(p) AS w, generate_subscripts(p, 1) - 1 AS n FROM p),
+l AS (SELECT file, n, w, {trim_sql("w || CASE file % 3 WHEN 0 THEN '' WHEN 1 THEN CASE WHEN n % 7 = 0 THEN ' ' ELSE chr(9) END || CASE WHEN n % 5 = 0 THEN ' , ' ELSE 'x, y' END ELSE chr(9) || CASE WHEN n % 4 = 0 THEN w ELSE 'v' END END")} AS e FROM r),
+k AS (SELECT * FROM l WHERE e <> '' AND NOT starts_with(e, '#')),
+lowered AS (SELECT *, translate(e, '{lists.UPPER}', '{lists.LOWER}') AS low FROM k),
+o AS (SELECT file, n, low, lag(low) OVER (PARTITION BY file ORDER BY n) AS b FROM lowered WHERE file % 3 = 0),
+c AS (SELECT file, n, contains(e, chr(9)) AS tab, {trim_sql("string_split(low, chr(9))[1]")} AS typo, {trim_sql("w")} AS own, e FROM lowered WHERE file % 3 = 1),
+g AS (SELECT *, min(n) OVER (PARTITION BY file, typo) AS first FROM c WHERE tab AND typo <> '' AND n % 5 <> 0)
+SELECT file, n, CASE WHEN b = low THEN 'repeated' ELSE 'unsorted' END AS problem FROM o WHERE b >= low
+UNION ALL SELECT file, n, 'in-base' FROM o WHERE low IN (SELECT translate(w, '{lists.UPPER}', '{lists.LOWER}') FROM r WHERE file % 10 = 9 AND n < 5)
+UNION ALL SELECT file, n, 'no-tab' FROM c WHERE NOT tab
+UNION ALL SELECT file, n, 'empty' FROM c WHERE tab AND (typo = '' OR n % 5 = 0)
+UNION ALL SELECT file, n, 'repeated' FROM g WHERE n > first
+UNION ALL SELECT doc_id, NULL, 'no-entries' FROM documents WHERE doc_id % 3 = 1 AND text IS NOT NULL AND doc_id NOT IN (SELECT file FROM g)
+UNION ALL SELECT file, n, 'bad-variant' FROM k WHERE file % 3 = 2 AND ({trim_sql("w")} = '' OR n % 4 = 0)""")
+
+
 from . import review  # noqa: E402, F401 - registers its queries here
