@@ -193,10 +193,15 @@ oracle("typo_findings", f"WITH {docs_sql(ENGLISH)},{WORDS},{FIXES_SQL},{TYPO_ROW
 
 @query
 def correction_layering(spark, sf_dir):
-    return english.corrections(spark, RULES).select("typo", F.array_join("fixes", ",").alias("fixes"), "allow")
+    """Documents as rows of correction tables in three layers, of which the highest and then the last row of a typo holds."""
+    typo = F.concat(F.lit("W"), F.col("doc_id") % 97)
+    fix = F.when(F.col("doc_id") % 13 == 0, F.lower(typo)).otherwise(F.concat(F.lit("f"), F.col("doc_id") % 11, F.lit(" ,, g")))
+    rows = documents(spark, sf_dir).select(typo.alias("typo"), fix.alias("fix"), (F.col("doc_id") % 3).alias("priority"), F.col("doc_id").alias("seq"))
+    return english.layered(rows).select("typo", F.array_join("fixes", ",").alias("fixes"), "allow")
 
 
-oracle("correction_layering", f"WITH {FIXES_SQL} SELECT key AS typo, array_to_string(fix, ',') AS fixes, allowed AS allow FROM fixes")
+oracle("correction_layering", """WITH r AS (SELECT 'w' || (doc_id % 97) AS typo, doc_id, row_number() OVER (PARTITION BY doc_id % 97 ORDER BY doc_id % 3 DESC, doc_id DESC) AS k FROM documents)
+SELECT typo, CASE WHEN doc_id % 13 = 0 THEN typo ELSE 'f' || (doc_id % 11) || ',g' END AS fixes, doc_id % 13 = 0 AS allow FROM r WHERE k = 1""")
 
 
 @query
