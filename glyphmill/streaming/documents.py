@@ -42,7 +42,13 @@ EVENTS = f"uri string, version long, event string, text string, edits {EDITS}"
 RULES = ""  # the uri of events that say that rules have changed
 
 
-def edited(events: DataFrame, largest: int = LARGEST, keep_closed: str | None = None) -> DataFrame:
+def millis(span: str) -> int:
+    import pandas as pd
+
+    return int(pd.Timedelta(span).total_seconds() * 1000)
+
+
+def edited(events: DataFrame, largest: int = LARGEST, keep_closed: str | None = None, quiet: str | None = None, longest: str = "5 seconds") -> DataFrame:
     """(uri, version, text, problem) after every micro-batch for each document with events; a stateful stream.
 
     Events (``EVENTS``) of a document are applied in order of version: open, change and save set a whole text where they have one,
@@ -50,22 +56,32 @@ def edited(events: DataFrame, largest: int = LARGEST, keep_closed: str | None =
     document that is not open, leaves the text as it was and is told in ``problem``, as is once a text of more than ``largest`` bytes.
     close forgets the document, whose text is then null; its version is kept for ``keep_closed`` (such as "1 hour") and then leaves
     the state, which takes batches without events, or for ever without that.  Events whose version is not larger than the last one
-    seen are late and change nothing."""
+    seen are late and change nothing.
+
+    With ``quiet`` (such as "150 milliseconds", five seconds at most) a document whose events are changes only gets its row from a timer of its own, when no event has come for
+    that long, or ``longest`` after the first change that waits: a burst of edits gives one row, and one that does not end a row each
+    ``longest``.  Any other event gives the row at once, with what waited.  Timers go by the time of the micro-batch, so they are no finer
+    than the trigger, and a batch that is run again decides alike."""
     import pandas as pd
 
-    wait = int(pd.Timedelta(keep_closed).total_seconds() * 1000) if keep_closed else None
+    wait = millis(keep_closed) if keep_closed else None
+    still, most = (min(millis(quiet), 5000), millis(longest)) if quiet else (None, None)
 
     def step(key: tuple, parts: Iterator, state) -> Iterator:
-        if state.hasTimedOut:
+        version, text, warned, since, problem = state.get if state.exists else (-1, None, False, None, None)
+        timed = bool(wait or still)
+        now = state.getCurrentProcessingTimeMs() if timed else 0
+        at_once = still is None or state.hasTimedOut
+        if state.hasTimedOut and since is None:  # it was closed long ago
             state.remove()
             return
-        version, text, warned = state.get if state.exists else (-1, None, False)
-        problem = None
-        rows = sorted((r for part in parts for r in part.itertuples(index=False)), key=lambda r: r.version)
+        rows = sorted((r for part in parts for r in part.itertuples(index=False)), key=lambda r: r.version) if not state.hasTimedOut else []
         for r in rows:
             if r.version <= version:
                 continue
             version = r.version
+            at_once |= r.event != "change"
+            since = now if since is None else since
             if r.event == "close":
                 text, warned = None, False
                 continue
@@ -80,15 +96,23 @@ def edited(events: DataFrame, largest: int = LARGEST, keep_closed: str | None =
                     text = spliced(text, (e["start_line"], e["start_col"]), (e["end_line"], e["end_col"]), e["text"] or "")
                 except ValueError as error:
                     problem = str(error)
+        waits = still is not None and since is not None
+        left = min(still, since + most - now) if waits else 0  # late events alone start the pause anew, too
+        if waits and not at_once and left > 0:
+            state.update((int(version), text, bool(warned), int(since), problem))
+            state.setTimeoutDuration(left)
+            return
         large = text is not None and len(text.encode("utf-8")) > largest
         if large and not warned:
             problem = "too large to check"
-        state.update((int(version), text, bool(large or warned)))
+        state.update((int(version), text, bool(large or warned), None, None))
         if text is None and wait:
             state.setTimeoutDuration(wait)
-        yield pd.DataFrame({"uri": [key[0]], "version": [int(version)], "text": [text], "problem": [problem]})
+        if still is None or waits:
+            yield pd.DataFrame({"uri": [key[0]], "version": [int(version)], "text": [text], "problem": [problem]})
 
-    return events.groupBy("uri").applyInPandasWithState(step, "uri string, version long, text string, problem string", "version long, text string, warned boolean", "update", "ProcessingTimeTimeout" if wait else "NoTimeout")
+    kept = "version long, text string, warned boolean, since long, problem string"
+    return events.groupBy("uri").applyInPandasWithState(step, "uri string, version long, text string, problem string", kept, "update", "ProcessingTimeTimeout" if wait or still else "NoTimeout")
 
 
 def open_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,13 +122,15 @@ def open_documents(spark: SparkSession, folder: str) -> DataFrame:
     return last.select("doc_id", "e.version", "e.text").where("text is not null")
 
 
-def watch_edits(events: DataFrame, load: Callable[[], Callable[[DataFrame], DataFrame]], sink: Callable[[DataFrame, DataFrame, int], None], interval: str = "150 milliseconds", most_findings: int = 1000, largest: int = LARGEST, folder: str | None = None, keep_closed: str | None = None) -> StreamingQuery:
+def watch_edits(events: DataFrame, load: Callable[[], Callable[[DataFrame], DataFrame]], sink: Callable[[DataFrame, DataFrame, int], None], interval: str = "150 milliseconds", most_findings: int = 1000, largest: int = LARGEST, folder: str | None = None, keep_closed: str | None = None, quiet: str | None = None, longest: str = "5 seconds") -> StreamingQuery:
     """``watch`` for events with edits.  ``load`` gives the check and is asked again for every micro-batch, so changed rule
     tables and word lists hold from the next one on.
 
     With a ``folder`` (in a store that all executors reach) an event with the uri ``RULES`` has all open documents checked again,
     those without events of their own, too.  Every batch writes the texts it changed there, under its number, so that a batch that
-    is run again replaces its own; a batch with such an event brings the folder down to what is open."""
+    is run again replaces its own; a batch with such an event brings the folder down to what is open.
+
+    ``quiet`` and ``longest`` are the pauses of ``edited``; without the first each batch checks all documents with events."""
     spark = events.sparkSession
 
     def wanted(batch: DataFrame, number: int) -> DataFrame:
@@ -130,7 +156,7 @@ def watch_edits(events: DataFrame, load: Callable[[], Callable[[DataFrame], Data
         silent = spark.read.schema("doc_id string, version long, text string").parquet(f"{folder}/open-{number:012d}").withColumnRenamed("doc_id", "uri")
         return docs.unionByName(silent.join(docs.select("uri"), "uri", "left_anti").withColumn("problem", F.lit(None).cast("string")))
 
-    return _each(edited(events, largest, keep_closed), load, sink, interval, most_findings, largest, wanted)
+    return _each(edited(events, largest, keep_closed, quiet, longest), load, sink, interval, most_findings, largest, wanted)
 
 
 def watch(events: DataFrame, check: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, DataFrame, int], None], interval: str = "150 milliseconds", most_findings: int = 1000) -> StreamingQuery:

@@ -62,3 +62,59 @@ def test_closed_documents_leave_the_state(spark, tmp_path):
         assert ("u2", 1, "late") not in seen
     finally:
         q.stop()
+
+
+def rows_until(q, seen, wanted, seconds=60):
+    import time
+
+    end = time.time() + seconds
+    while not wanted(seen) and time.time() < end and q.isActive:
+        time.sleep(0.2)
+    return wanted(seen)
+
+
+def edit_stream(spark, src, seen, **settings):
+    rows = stream.edited(spark.readStream.schema(stream.EVENTS).option("maxFilesPerTrigger", 1).json(str(src)), **settings)
+    return rows.writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend((r.uri, r.version, r.text, r.problem) for r in b.collect())).trigger(processingTime="200 milliseconds").start()
+
+
+def test_a_burst_of_edits_gives_one_row(spark, tmp_path):
+    src, seen = tmp_path / "in", []
+    put = lambda rows: spark.createDataFrame(rows, stream.EVENTS).coalesce(1).write.mode("append").json(str(src))
+    edit = lambda new, line=0: [(line, 0, line, 0, new)]
+    put([("u", 1, "open", "text", None), ("v", 1, "open", "other", None)])
+    q = edit_stream(spark, src, seen, quiet="5 seconds", longest="1 hour")
+    try:
+        assert rows_until(q, seen, lambda s: len(s) == 2) and sorted(x[:3] for x in seen) == [("u", 1, "text"), ("v", 1, "other")]
+        for version in range(2, 6):  # each in a batch of its own
+            put([("u", version, "change", None, edit(str(version)))])
+        put([("u", 6, "change", None, edit("no", 9)), ("u", 3, "change", "late", None)])
+        put([("v", 2, "change", None, edit("an"))])
+        put([("v", 3, "save", None, None)])  # is not waited for, and takes along what waited
+        assert rows_until(q, seen, lambda s: len(s) == 4)
+        assert seen[2] == ("v", 3, "another", None)
+        assert seen[3] == ("u", 6, "5432text", "line out of range")
+        put([("u", 7, "change", "unseen", None)])
+        put([("u", 8, "close", None, None)])
+        assert rows_until(q, seen, lambda s: len(s) == 5) and seen[4] == ("u", 8, None, None)
+    finally:
+        q.stop()
+    assert len(seen) == 5
+
+
+def test_edits_without_end_are_not_put_off_for_ever(spark, tmp_path):
+    src, seen = tmp_path / "in", []
+    put = lambda rows: spark.createDataFrame(rows, stream.EVENTS).coalesce(1).write.mode("append").json(str(src))
+    put([("u", 1, "open", "0", None)])
+    q = edit_stream(spark, src, seen, quiet="5 seconds", longest="2 seconds", keep_closed="1 second")
+    try:
+        assert rows_until(q, seen, lambda s: len(s) == 1)
+        version = 1
+        while len(seen) < 3 and version < 60:
+            version += 1
+            put([("u", version, "change", str(version), None)])
+        assert len(seen) >= 3 and len(seen) < version and all(str(v) == t for _, v, t, _ in seen[1:])
+        put([("u", 99, "close", None, None)])
+        assert rows_until(q, seen, lambda s: s[-1][:3] == ("u", 99, None))
+    finally:
+        q.stop()
