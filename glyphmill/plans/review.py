@@ -50,6 +50,28 @@ def normalise_every(spark, sf_dir):
 
 oracle("normalise_every", f"""WITH {ALL_SQL} SELECT doc_id, kind, word, s[1] AS target, count(*) AS n, min("offset") AS first_offset FROM found WHERE len(s) > 0 GROUP BY ALL""")
 
+@query
+def range_actions(spark, sf_dir):
+    """Three requests for each document: all of it, a selection and a cursor."""
+    docs, found = all_findings(spark, sf_dir)
+    size = F.octet_length("text").cast("long")
+    spans = [(F.lit(0).cast("long"), size), (F.floor(size / 3), F.floor(size / 2)), (size - 20, size - 20)]
+    wanted = F.array(*[F.struct((F.col("doc_id") * 3 + i).alias("request_id"), a.alias("start"), b.alias("end")) for i, (a, b) in enumerate(spans)])
+    return review.range_actions(found, docs.select("doc_id", F.explode(wanted).alias("r")).select("doc_id", "r.*"))
+
+
+oracle("range_actions", f"""WITH {ALL_SQL}, sizes AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size FROM docs WHERE text IS NOT NULL),
+asked AS (SELECT doc_id, doc_id * 3 AS request_id, 0 AS a, size AS b FROM sizes UNION ALL SELECT doc_id, doc_id * 3 + 1, size // 3, size // 2 FROM sizes UNION ALL SELECT doc_id, doc_id * 3 + 2, size - 20, size - 20 FROM sizes),
+near AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY "offset", phase, strlen(word), word) AS place, count(*) OVER () AS every FROM found JOIN asked USING (doc_id) WHERE "offset" <= b AND "offset" + strlen(word) >= a),
+top AS (SELECT *, CASE WHEN kind = 'ja-variant' THEN (SELECT count(*) FROM found f WHERE f.doc_id = near.doc_id AND f.kind = near.kind AND f.word = near.word AND f.s[1] = near.s[1]) END AS same FROM near WHERE place <= 3),
+acts AS (SELECT request_id, place, doc_id, "offset", word, 'change' AS action, n, s[n] AS new_text, len(s) = 1 AS preferred, 1 AS edits FROM (SELECT *, unnest(range(1, least(len(s), 5) + 1)) AS n FROM top)
+ UNION ALL SELECT request_id, place, doc_id, "offset", word, 'normalise', 1, s[1], false, same FROM top WHERE kind = 'ja-variant' AND len(s) > 0
+ UNION ALL SELECT request_id, place, doc_id, "offset", word, unnest(['add-project', 'add-global', 'ignore']), 1, NULL, false, 0 FROM top WHERE kind IN ('typo', 'unknown-word', 'ja-variant')
+ UNION ALL SELECT request_id, place, doc_id, "offset", word, 'add-correction', 1, s[1], false, 0 FROM top WHERE len(s) > 0
+ UNION ALL SELECT request_id, place, doc_id, "offset", word, unnest(['ignore-file', 'ignore-line']), 1, NULL, false, 1 FROM top)
+SELECT request_id, CAST(place AS INTEGER) AS place, doc_id, "offset", CAST(strlen(word) AS BIGINT) AS len, action, CAST(n AS INTEGER) AS n, word, new_text, preferred, CAST(edits AS BIGINT) AS edits FROM acts
+UNION ALL SELECT request_id, 0, doc_id, NULL, NULL, 'fix-all', 1, NULL, NULL, false, edits FROM asked JOIN (SELECT doc_id, count(*) AS edits FROM found WHERE len(s) > 0 AND kind <> 'unknown-word' AND (kind <> 'typo' OR len(s) = 1) GROUP BY doc_id) USING (doc_id)""")
+
 DECISIONS = [("wierd", "typo", "fix", "weird"), ("ADN", "typo", "allow", None), ("favour", "en-variant", "fix", "favor")]
 
 
