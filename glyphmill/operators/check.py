@@ -93,7 +93,10 @@ def check(docs: DataFrame, config: Config, fixes: DataFrame, allow: DataFrame, k
         parts.append((0, english.english(english_rows, fixes, allow, locale, known, config.options, F.col("mode") == "dictionary")))
     if config.japanese:
         table = dict([*japanese.katakana_pairs(config.katakana), *config.variants])
-        parts.append((None, japanese.document_findings(rows.where("ja"), table, config.space, config.rules, config.katakana == "consistency", switched_off(config))))
+        many = len(config.rules) > japanese.IN_PLAN
+        if many:
+            parts.append((1, japanese.indexed_rules(rows.where("ja and not skip"), list(config.rules))))
+        parts.append((None, japanese.document_findings(rows.where("ja"), table, config.space, () if many else config.rules, config.katakana == "consistency", switched_off(config))))
     return findings.united(spark, parts, allow)
 
 

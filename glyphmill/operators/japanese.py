@@ -221,16 +221,85 @@ def number_style(rows: DataFrame) -> DataFrame:
     return finding(found, "ja-number-style", F.when(F.col("kanji"), F.col("first_a")).otherwise(F.col("first_k")))
 
 
+def matches(pattern: str) -> tuple[str, str, str]:
+    """Patterns for the matches of a rule, for what lies between them, and for telling the two apart.  A match is not empty: it
+    does not end where the one before it, or what lies between, has ended."""
+    some = f"(?:{pattern})(?!\\G)"
+    return some, f"(?:(?!{some})[\\s\\S])+", f"^(?:{pattern})$"
+
+
 def regex_rules(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame | None:
     """Every non-empty match of a (pattern, replacement) rule that the replacement changes."""
     out = None
     for pattern, to in rules:
-        found = occurrences(rows, f"(?:{pattern})", f"(?:(?!{pattern})[\\s\\S])+").withColumn("to", F.regexp_replace("word", pattern, to)).where("to <> word and word <> ''")
+        found = occurrences(rows, *matches(pattern)).withColumn("to", F.regexp_replace("word", pattern, to)).where("to <> word and word <> ''")
         part = finding(found, "ja-variant", F.col("to"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+IN_PLAN = 8  # rules that are expressions of their own; more are looked up
+
+
+def factor(pattern: str) -> str:
+    """The longest text that every match of a regular expression surely contains, or an empty one.
+
+    Only plain characters outside of groups and classes are looked at; alternatives at the top, flags that change letters or spaces, and quoted or
+    numbered escapes give an empty text."""
+    import re
+
+    if re.search(r"\(\?[a-zA-Z]*[ix]|\\[^\WdDsSwWbBAzZGhHvVRrntf]|\[\^?\]", pattern):
+        return ""
+    piece = re.compile(r"\\(?P<escaped>\W)|(?P<class>\\\w|[.^$])|(?P<open>[\[(])|(?P<close>[\])])|(?P<most>\+[+?]?)|(?P<count>[?*][+?]?|\{[^}]*\}[+?]?)|(?P<either>\|)|(?P<plain>.)", re.DOTALL)
+    runs, nested = [""], []
+    for m in piece.finditer(pattern):
+        kind = m.lastgroup
+        in_class = bool(nested) and nested[-1] == "["
+        if kind == "open" and not (in_class and m[0] == "("):
+            nested.append(m[0])
+            runs.append("")
+        elif kind == "close" and not (in_class and m[0] == ")"):
+            if not nested:
+                return ""
+            nested.pop()
+        elif nested:
+            continue
+        elif kind == "either":
+            return ""
+        elif kind in ("plain", "escaped"):
+            runs[-1] += m["escaped"] or m["plain"]
+        else:
+            if kind == "count":
+                runs[-1] = runs[-1][:-1]
+            runs.append("")
+    return max(runs, key=len)
+
+
+def indexed_rules(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """``regex_rules`` in a plan that does not grow with the number of rules.
+
+    Each rule stands under the first two characters (or one) of its ``factor``; a line asks for the rules of its own pairs of characters and runs
+    those whose factor it contains, and all rules without one.  The table of rules is as long as the list that was handed in."""
+    import json
+
+    spark = rows.sparkSession
+    keyed = [(f[:2], f, f"{run}|{other}", hit, p, to) for p, to in rules for f, (run, other, hit) in [(factor(p), matches(p))]]
+    table = spark.createDataFrame(keyed, "gram string, factor string, run string, hit string, pattern string, to string")
+    literal = lambda n: F.from_json(F.lit(json.dumps(sorted({k[0] for k in keyed if len(k[0]) == n}))), "array<string>")
+    rows = lines_of(rows)
+    keep = [c for c in rows.columns if c != "b"]
+    t = F.col("t")
+    lengths = {len(k[0]) for k in keyed}
+    grams = {2: F.array_intersect(F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), F.lit(1)), literal(2)), 1: F.array_intersect(F.split(t, ""), literal(1)), 0: F.array(F.lit(""))}
+    asked = rows.withColumn("t", from_bytes(F.col("b"))).select(*keep, "t", F.explode(F.concat(F.array().cast("array<string>"), *[grams[n] for n in sorted(lengths)])).alias("gram"))
+    met = asked.join(F.broadcast(table), "gram").where(F.contains("t", "factor") & F.regexp_like("t", F.col("pattern")))
+    parts = met.select(*keep, "hit", "pattern", "to", F.regexp_extract_all("t", F.col("run"), F.lit(0)).alias("parts"))
+    zipped = F.arrays_zip(F.col("parts").alias("w"), running(F.col("parts"), F.octet_length).alias("o"))
+    found = parts.select(*keep, "hit", "pattern", "to", F.explode(zipped).alias("z")).where(F.regexp_like("z.w", F.col("hit")))
+    found = found.select(*keep, F.col("z.w").alias("word"), F.col("z.o").alias("col"), (F.col("line_offset") + F.col("z.o")).alias("offset"), F.regexp_replace("z.w", F.col("pattern"), F.col("to")).alias("to"))
+    return finding(found.where("to <> word and word <> ''"), "ja-variant", F.col("to"))
+
+
 NUMBER = f"(?:[0-9][0-9,]*|[{KANJI_DIGITS}]+)[{UNITS}]"
 NOT_NUMBER = f"[0-9][0-9,]*|[{KANJI_DIGITS}]+|[^0-9,{KANJI_DIGITS}]+|,"
 CANDIDATE = "array<struct<phase:int,word:string,col:bigint,place:int,to:string>>"
@@ -254,7 +323,7 @@ def candidates(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
 
     every = KATAKANA + FULL_ALNUM + HALF_KANA + COMPATIBLE + "　" + MARKS
     classes = f"[{KATAKANA}]+|[{FULL_ALNUM}]+|[{HALF_KANA}]+|[{COMPATIBLE}　{MARKS}]"
-    out = [hits(1, f"(?:{p})", f"(?:(?!{p})[\\s\\S])+", f"^(?:{p})$", lambda w, p=p, to=to: F.regexp_replace(w, p, to)) for p, to in rules]
+    out = [hits(1, *matches(p), lambda w, p=p, to=to: F.regexp_replace(w, p, to)) for p, to in rules]
     out += [hits(2, classes, f"[^{every}]+", f"^[{every}]"), hits(5, NUMBER, NOT_NUMBER, f"^{NUMBER}$")]
     forms = F.array(*[F.struct(F.lit(2 * i + j).alias("place"), F.lit(p[j]).alias("form"), F.lit(p[1 - j]).alias("other")) for i, p in enumerate(KANJI_PAIRS) for j in (0, 1)])
 

@@ -5,6 +5,8 @@ to each text, chosen by doc_id, in the same way in both engines; every row of th
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -332,6 +334,21 @@ ORACLES["kanji_consistency"] = ORACLES["kanji_consistency"].replace(") , n AS",
 _ja("regex_rules", lambda s, d: japanese.regex_rules(d, [("Web ?ページ", "ウェブページ")]), "occ0 AS (SELECT doc_id, unnest(regexp_extract_all(text, 'Web ?ページ')) AS word, text FROM docs)", "SELECT doc_id, CAST(strlen(text[:strpos(text, word) - 1]) AS BIGINT) AS \"offset\", CAST(strlen(word) AS BIGINT) AS len, word, 'ja-variant' AS kind, 'ウェブページ' AS suggestions FROM occ0")
 
 
+# A letter that comes again after one other letter, and a letter after it: a rule for each two letters.
+MANY_RULES = [(f"{a}{b}{a}[a-z]", f"<{a}{b}{a}>") for a in string.ascii_lowercase for b in string.ascii_lowercase if a != b]
+
+
+@query
+def many_rules(spark, sf_dir):
+    found = japanese.indexed_rules(documents(spark, sf_dir), MANY_RULES)
+    return found.groupBy("doc_id", "word", F.col("suggestions")[0].alias("to")).agg(F.count("*").alias("n"))
+
+
+oracle("many_rules", f"""WITH r(a, b) AS (SELECT x, y FROM unnest(string_split('{string.ascii_lowercase}', '')) AS u(x), unnest(string_split('{string.ascii_lowercase}', '')) AS v(y) WHERE x <> y),
+hits AS (SELECT doc_id, unnest(regexp_extract_all(text, a || b || a || '[a-z]')) AS word, '<' || a || b || a || '>' AS "to" FROM documents JOIN r ON contains(text, a || b || a))
+SELECT doc_id, word, "to", count(*) AS n FROM hits GROUP BY ALL""")
+
+
 @query
 def ignore_file(spark, sf_dir):
     return lines.without_ignored_files(appended(spark, sf_dir, DIRECTIVES)).select("doc_id")
