@@ -8,9 +8,10 @@ from dataclasses import dataclass
 
 # Element classes of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-HIDDEN = frozenset("script style noscript template iframe head title textarea select noframes".split())
+HIDDEN = frozenset("script style template iframe head title textarea select noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe noframes xmp".split())
+RAW = frozenset("script style title textarea iframe noframes xmp".split())
+APART = BLOCKS | {"noscript", "xmp"}  # their text is a block of its own
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = frozenset("table ul ol dl div section article aside body main nav form".split())
 
@@ -30,7 +31,8 @@ class Block:
 
 def blocks(page: str) -> list[Block]:
     """All leaf blocks in page order; nothing is dropped but markup, what a
-    page never shows as text (``HIDDEN``) and empty text.  Whether a style hides an element is not asked."""
+    page never shows as text (``HIDDEN``) and empty text.  Whether a style hides an element is not asked.  noscript is read
+    like any element, the text of xmp stands for itself, markup and references in it too."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset]] = []
     parts: list[str] = []
@@ -79,7 +81,7 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in BLOCKS:
+            if tag in APART:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -93,7 +95,7 @@ def blocks(page: str) -> list[Block]:
             if tag == "br" and parts:
                 parts.append(" ")
             continue
-        if tag in BLOCKS:
+        if tag in APART:
             flush()
         if tag in CLOSES:
             for k in range(len(stack) - 1, -1, -1):
@@ -110,6 +112,11 @@ def blocks(page: str) -> list[Block]:
             names = frozenset(w.lower() for a in ATTR.finditer(own) for w in NAMES.findall(a[2] or a[3] or a[4] or ""))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            if tag == "xmp":
+                stack.append((tag, names))
+                add(page[at : end.start() if end else n].replace("&", "&amp;"))
+                flush()
+                close(len(stack) - 1)
             at = end.end() if end else n
             continue
         if own.endswith("/") and tag not in BLOCKS:

@@ -25,6 +25,7 @@ import tempfile
 import numpy as np
 
 BUDGET = 64 << 20  # bytes of queued tuples, and of what is worked on at once
+LONGEST = 2**31 - 1  # symbols of a shard: suffixes are 32-bit numbers; no value of a column is longer
 
 
 def mapped(n: int, dtype: str) -> np.ndarray:
@@ -95,6 +96,8 @@ class Text:
     """A string of positive symbols with the sentinel 0 at its end: suffix types, LMS suffixes, ranges, comparisons."""
 
     def __init__(self, symbols: np.ndarray, cap: int, budget: int):
+        if len(symbols) > LONGEST:
+            raise ValueError(f"a shard has {len(symbols)} symbols, suffixes are numbered up to {LONGEST}")
         self.t, self.cap, self.n, self.budget = symbols, cap, len(symbols), budget
         self.block = max(256, min(budget // 128, max(4096, self.n // 16)))
         t, n = symbols, self.n

@@ -304,6 +304,22 @@ def test_html_hidden_and_head():
     assert html_extract.main_text(wrapped, html_extract.model()) == "Some text, it is long enough."
 
 
+def test_html_rare_elements_keep_their_text():
+    texts = lambda page: [b.text for b in dom.blocks(page)]
+    assert texts("<p>a<xmp>seen <b>text</b> &amp; &lt;</xmp><p>c") == ["a", "seen <b>text</b> &amp; &lt;", "c"]
+    assert texts("<p>x<noscript>no <i>js</i></noscript>y") == ["x", "no js", "y"]
+    assert texts("<xmp>open") == ["open"] and texts("<xmp></xmp>") == []
+    assert texts("<head><noscript><p>p</noscript><title>t</title></head><body>z") == ["z"]
+    page = "<body><article><p>A first paragraph, it is long enough.</p><xmp>An example of markup, <b>as it is</b>.</xmp><p>A second one, it is long enough.</p></article>"
+    assert html_extract.main_text(page, html_extract.model()) == "A first paragraph, it is long enough.\nAn example of markup, <b>as it is</b>.\nA second one, it is long enough."
+
+
+def test_suffix_shard_beyond_its_numbers_is_refused(monkeypatch):
+    monkeypatch.setattr(induced_sort, "LONGEST", 4)
+    with pytest.raises(ValueError, match="symbols"):
+        induced_sort.Text(np.array([3, 1, 2, 1, 0], np.int32), 1, 1 << 20)
+
+
 def test_html_held_out_layouts():
     chain = html_extract.model()
     xs, ys = html_extract.labelled_pages(100, seed=77)
