@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import byte_view, display_column, from_bytes, github_escape, message, safe_fix, snippet, trimmed
@@ -118,6 +118,26 @@ def apply_fixes(docs: DataFrame, findings: DataFrame) -> DataFrame:
     return joined.select("doc_id", from_bytes(F.concat(F.array_join(F.zip_with("fixes", starts, part), ""), rest)).alias("text"), F.size("fixes").cast("long").alias("fixed"))
 
 
+def remaining(findings: DataFrame) -> DataFrame:
+    """The findings that ``apply_fixes`` leaves: without a safe fix, or overlapping one that came before."""
+    taken = chosen_fixes(findings).select("doc_id", F.explode("fixes").alias("x")).select("doc_id", "x.offset", "x.phase", "x.len")
+    return findings.join(taken, ["doc_id", "offset", "phase", "len"], "left_anti").select(*findings.columns)
+
+
+class Counted:
+    """Rows that count themselves while they are written: ``rows`` is to be written once, ``get`` waits for that and gives the counts.
+
+    ``counts`` are aggregates by name.  No second pass is made for them; a table without rows has all counts 0."""
+
+    def __init__(self, rows: DataFrame, **counts: Column):
+        self.names, self.seen = list(counts), Observation()
+        self.rows = rows.observe(self.seen, *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in counts.items()])
+
+    def get(self) -> dict[str, int]:
+        seen = self.seen.get
+        return {n: int(seen.get(n) or 0) for n in self.names}
+
+
 def dry_run(findings: DataFrame) -> DataFrame:
     """Per document: what fixing would do, what has several candidates, what has none."""
     fix = safe_fix(F.col("kind"), F.col("suggestions"))

@@ -72,6 +72,19 @@ acts AS (SELECT request_id, place, doc_id, "offset", word, 'change' AS action, n
 SELECT request_id, CAST(place AS INTEGER) AS place, doc_id, "offset", CAST(strlen(word) AS BIGINT) AS len, action, CAST(n AS INTEGER) AS n, word, new_text, preferred, CAST(edits AS BIGINT) AS edits FROM acts
 UNION ALL SELECT request_id, 0, doc_id, NULL, NULL, 'fix-all', 1, NULL, NULL, false, edits FROM asked JOIN (SELECT doc_id, count(*) AS edits FROM found WHERE len(s) > 0 AND kind <> 'unknown-word' AND (kind <> 'typo' OR len(s) = 1) GROUP BY doc_id) USING (doc_id)""")
 
+@query
+def findings_left(spark, sf_dir):
+    """What a run that writes safe fixes reports."""
+    return findings.remaining(all_findings(spark, sf_dir)[1]).select("doc_id", "offset", "phase", "word", "kind")
+
+
+# Of the safe fixes of a document the next one that is taken begins no earlier than the last one ended.
+oracle("findings_left", f"""WITH RECURSIVE {ALL_SQL}, every AS MATERIALIZED (SELECT doc_id, "offset", phase, word, kind, s, CAST(strlen(word) AS BIGINT) AS size FROM found),
+safe AS MATERIALIZED (SELECT doc_id, {{'o': "offset", 'p': phase, 'l': size}} AS x FROM every WHERE len(s) > 0 AND kind <> 'unknown-word' AND (kind <> 'typo' OR len(s) = 1)),
+taken AS (SELECT doc_id, min(x) AS x FROM safe GROUP BY doc_id UNION ALL SELECT safe.doc_id, min(safe.x) FROM taken JOIN safe ON safe.doc_id = taken.doc_id AND safe.x.o >= taken.x.o + taken.x.l GROUP BY safe.doc_id)
+SELECT doc_id, "offset", phase, word, kind FROM every WHERE NOT EXISTS (SELECT 1 FROM taken WHERE taken.doc_id = every.doc_id AND taken.x.o = every."offset" AND taken.x.p = every.phase AND taken.x.l = every.size)""")
+
+
 DECISIONS = [("wierd", "typo", "fix", "weird"), ("ADN", "typo", "allow", None), ("favour", "en-variant", "fix", "favor")]
 
 

@@ -236,3 +236,29 @@ def fix_tree(tree: DataFrame, findings: DataFrame) -> DataFrame:
     rows = staged(fixed.join(before, "doc_id").select(F.col("doc_id").alias("path"), "text", "before", "fixed"), "fixed-texts")
     return write_back(rows).join(rows.select("path", "fixed"), "path")
 
+
+def fixed_run(tree: DataFrame, check: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(findings that are left, with path; outcomes of ``fix_tree``; one row of counters for ``summary_record``): checks the files of ``tree``
+    (rows of ``read_tree``), writes their safe fixes back and counts on the way.
+
+    The files are read once and checked once: each step is written as a table, and the counters of the scan and of the fixes are
+    observed while that is done.  Fixes of files that have changed since, or are gone, do not count, and their findings are left.
+    Empty trees have no rows and zeros."""
+    from ..operators.findings import Counted, remaining
+    from .staging import staged
+
+    spark = tree.sparkSession
+    clean = ~F.col("skipped_binary") & ~F.col("skipped_large")
+    scan = Counted(tree, files_checked=F.count_if(clean), skipped_binary=F.count_if("skipped_binary"), skipped_large=F.count_if("skipped_large"))
+    rows = staged(scan.rows, "scanned-tree")
+    docs = rows.where("text is not null").select(F.xxhash64("path").alias("doc_id"), "path", "text")
+    found = staged(check(docs).join(docs.select("doc_id", "path"), "doc_id"), "findings")
+    fixes = Counted(fix_tree(rows, found), fixed=F.sum(F.when(F.col("outcome") == "written", F.col("fixed"))))
+    outcomes = staged(fixes.rows, "fix-outcomes")
+    written = outcomes.where("outcome = 'written'").select("path")
+    left = remaining(found).join(written, "path", "left_semi").unionByName(found.join(written, "path", "left_anti"))
+    left = staged(left, "left-findings")
+    of_files = left.agg(F.count("*").alias("issues"), F.count_distinct("path").alias("files_with_issues"))
+    seen = scan.get() | fixes.get()
+    counts = spark.createDataFrame([tuple(seen.values())], ", ".join(f"{n} long" for n in seen))
+    return left, outcomes, of_files.join(F.broadcast(counts))  # one row each

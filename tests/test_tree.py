@@ -113,6 +113,36 @@ def test_guarded_writes(spark, tmp_path):
     assert tree.fix_tree(rows.limit(0), found.limit(0)).count() == 0
 
 
+def test_a_run_with_fixes_counts_them_in_one_scan(spark, tmp_path):
+    import json
+
+    from glyphmill.operators import findings
+
+    root = tmp_path / "in"
+    root.mkdir()
+    texts = {"a.txt": "a wierd Ｗｅｂ one\nadn adn", "b.txt": "teh", "c.txt": "adn", "d.txt": "fine", "e.bin": "x\0adn", "f.txt": "adn " * 100}
+    for name, text in texts.items():
+        (root / name).write_text(text)
+    fixes = spark.createDataFrame([("wierd", ["weird"], False), ("adn", ["and"], False), ("teh", ["the", "ten"], False)], "typo string, fixes array<string>, allow boolean")
+    allow = spark.createDataFrame([], "word string")
+    rows = tree.read_tree(spark, f"file://{root}", most_bytes=300)
+    passes = spark.sparkContext.accumulator(0)
+
+    def once(d):
+        passes.add(1)
+        (root / "c.txt").write_text("adn, changed since")
+        return check.check(d, check.Config(), fixes, allow)
+
+    left, outcomes, counts = tree.fixed_run(rows, once)
+    assert {(r.path.rsplit("/", 1)[1], r.outcome) for r in outcomes.collect()} == {("a.txt", "written"), ("c.txt", "changed")}
+    assert sorted((r.path.rsplit("/", 1)[1], r.word) for r in left.collect()) == [("b.txt", "teh"), ("c.txt", "adn")]
+    record = json.loads(findings.summary_record(counts).collect()[0].record)
+    assert record == {"version": 1, "type": "summary", "issues": 2, "files_with_issues": 2, "files_checked": 4, "fixed": 4, "skipped_binary": 1, "skipped_large": 1}
+    assert (root / "a.txt").read_text() == "a weird Web one\nand and" and passes.value == 1
+    left, outcomes, counts = tree.fixed_run(rows.limit(0), lambda d: check.check(d, check.Config(), fixes, allow))
+    assert left.count() == 0 and outcomes.count() == 0 and set(counts.collect()[0]) == {0}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
