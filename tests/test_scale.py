@@ -1,5 +1,8 @@
 """Whole jobs of queries, and steps that must stay small on the driver."""
 
+from pyspark.sql import functions as F
+
+from glyphmill.operators import english, suggest
 from glyphmill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -10,3 +13,21 @@ def test_check_defaults_does_all_that_it_did(spark):
     got = {(r.kind, r.phase) for r in catalogue.QUERIES["check_defaults"](spark, SF).select("kind", "phase").distinct().collect()}
     assert {("en-variant", 0), ("ja-variant", 1), ("ja-variant", 2), ("ja-variant", 3)} <= got
     assert "false" not in catalogue.ORACLES["check_defaults"].split("words JOIN pairs")[1][:40]
+
+
+def test_neighbourhoods_are_not_broadcast(spark):
+    """They are some 50 times as large as the words that the planner goes by."""
+    frame = lambda words: spark.createDataFrame([(w,) for w in words], "word string")
+    found = suggest.suggest(frame(["seperate", "cart"]), frame(["separate", "card"]))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [left" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_filter_of_keys_loses_none(spark):
+    frame = lambda n: spark.range(n).select(F.concat(F.lit("w"), "id").alias("key"))
+    for keys, most in ((0, 1 << 26), (1, 1 << 26), (20_000, 1 << 26), (20_000, 1 << 16)):
+        kept = english.may_have(frame(100_000), frame(keys), most)
+        assert frame(keys).join(kept, "key", "left_anti").count() == 0
+        others = kept.join(frame(keys), "key", "left_anti").count()
+        assert others <= (100_000 - keys) * (0.1 if most > 1 << 16 else 0.3)
