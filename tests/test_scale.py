@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from glyphmill.operators import english, suggest
+from glyphmill.operators import english, japanese, suggest
 from glyphmill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +31,13 @@ def test_filter_of_keys_loses_none(spark):
         assert frame(keys).join(kept, "key", "left_anti").count() == 0
         others = kept.join(frame(keys), "key", "left_anti").count()
         assert others <= (100_000 - keys) * (0.1 if most > 1 << 16 else 0.3)
+
+
+def test_rules_are_looked_up_by_whole_short_factors(spark):
+    """A line is asked for the rules whose first characters it has, not for all that share two letters with it."""
+    rows = spark.createDataFrame([(0, "xabcq abyabd abc")], "doc_id long, text string")
+    rules = [(f"ab{c}[a-z]?", "<$0>") for c in "cdefghijklmn"] + [("(?:z|y)*", "-")]
+    found = japanese.indexed_rules(rows, rules)
+    got = sorted((r.offset, r.word) for r in found.collect())
+    assert got == [(1, "abcq"), (8, "y"), (9, "abd"), (13, "abc")]
+    assert japanese.GRAM == 3 and "(?s)(?=(...))" in found._jdf.queryExecution().optimizedPlan().toString()
