@@ -26,9 +26,8 @@ def with_previous(words: DataFrame) -> DataFrame:
     entry of a chunk gets the last one of the chunk before it from a table of a row a chunk."""
     rows = words.withColumn("chunk", F.floor(F.col("n") / CHUNK))
     inside = F.lag("entry").over(Window.partitionBy("file", "chunk").orderBy("n"))
-    lasts = rows.groupBy("file", "chunk").agg(F.max_by("entry", "n").alias("last"))
-    over = lasts.select("file", "chunk", F.lag("last").over(Window.partitionBy("file").orderBy("chunk")).alias("carried"))
-    heads = rows.groupBy("file", "chunk").agg(F.min("n").alias("n")).join(over, ["file", "chunk"]).select("file", "n", "carried")
+    ends = rows.groupBy("file", "chunk").agg(F.max_by("entry", "n").alias("last"), F.min("n").alias("n"))
+    heads = ends.select("file", "n", F.lag("last").over(Window.partitionBy("file").orderBy("chunk")).alias("carried"))
     marked = rows.withColumn("inside", inside)
     return marked.join(heads, ["file", "n"], "left").withColumn("before", F.coalesce("inside", "carried")).drop("inside", "carried", "chunk")
 
@@ -51,10 +50,10 @@ def lint_lists(lines: DataFrame, base: DataFrame) -> DataFrame:
     state = F.when(~F.col("tab"), "no-tab").when((F.col("typo") == "") | (F.col("fixes") <= 0), "empty")
     table = table.withColumn("problem", state)
     good = table.where("problem is null")
-    first = good.groupBy("file", "typo").agg(F.min("n").alias("first"))
-    twice = good.join(first, ["file", "typo"]).where("n > first").select("file", "n", F.lit("repeated").alias("problem"))
+    first = F.min("n").over(Window.partitionBy("file", "typo"))
+    twice = good.withColumn("first", first).where("n > first").select("file", "n", F.lit("repeated").alias("problem"))
     files = lines.where("kind = 'corrections'").select("file").distinct()
-    none = files.join(good.select("file"), "file", "left_anti").select("file", F.lit(None).cast("long").alias("n"), F.lit("no-entries").alias("problem"))
+    none = files.join(good.select("file").distinct(), "file", "left_anti").select("file", F.lit(None).cast("long").alias("n"), F.lit("no-entries").alias("problem"))
     left, right = trimmed(parts[0]), trimmed(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")))
     bad = rows.where("kind = 'variants'").where((left == "") | (right == "") | (left == right)).select("file", "n", F.lit("bad-variant").alias("problem"))
     out = order

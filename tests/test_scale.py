@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from glyphmill.functions import text as T
 from glyphmill.operators import english, japanese, suggest
 from glyphmill.plans import catalogue
 
@@ -41,3 +42,11 @@ def test_rules_are_looked_up_by_whole_short_factors(spark):
     got = sorted((r.offset, r.word) for r in found.collect())
     assert got == [(1, "abcq"), (8, "y"), (9, "abd"), (13, "abc")]
     assert japanese.GRAM == 3 and "(?s)(?=(...))" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trimming_takes_no_regular_expression(spark):
+    """It is asked several times for each line of dictionary files; all white space of Unicode goes, at the ends only."""
+    blanks = "".join(c for c in map(chr, range(0x10000)) if c.isspace() and not 0x1C <= ord(c) <= 0x1F)
+    rows = spark.createDataFrame([(blanks + "a" + blanks + "b" + blanks,), (blanks,), ("",), (None,), ("​x\x1c",)], "v string").select(T.trimmed(F.col("v")).alias("v"))
+    assert [r.v for r in rows.collect()] == ["a" + blanks + "b", "", "", None, "​x\x1c"]
+    assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
