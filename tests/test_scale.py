@@ -50,3 +50,9 @@ def test_trimming_takes_no_regular_expression(spark):
     rows = spark.createDataFrame([(blanks + "a" + blanks + "b" + blanks,), (blanks,), ("",), (None,), ("​x\x1c",)], "v string").select(T.trimmed(F.col("v")).alias("v"))
     assert [r.v for r in rows.collect()] == ["a" + blanks + "b", "", "", None, "​x\x1c"]
     assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_documents_are_cut_into_words_once_for_suggestions(spark):
+    """Known and unknown words come from one table of counted words."""
+    files = catalogue.QUERIES["suggest_topk"](spark, SF).inputFiles()
+    assert files and all("/counted-words-" in f for f in files)
