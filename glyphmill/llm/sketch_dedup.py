@@ -10,7 +10,7 @@ threshold shares a listed value but for a chance of 1.3e-10 if nothing is common
 
 A list of up to ``BLOCK`` sets is a unit of work.  A longer one is cut into blocks, which first meet a few sets that
 retain the most common values: what others are copies of.  That joins most of a group of copies, and then the sets
-that are not in the list's largest component meet all blocks.  In a unit the overlaps of sketches count for all pairs at once, and pairs with enough of them are estimated
+that are not in the list's largest component meet the whole list, in units of up to ``WIDE`` sets of either.  In a unit the overlaps of sketches count for all pairs at once, and pairs with enough of them are estimated
 on the sketch of their union.  What such pairs connect is a group; only groups get full sets, and pairs in them are
 verified exactly.  Pairs that are connected already are not compared, so n copies cost about n verifications."""
 
@@ -32,6 +32,7 @@ KEPT = 48
 LISTED = 12
 COMMON = 256
 BLOCK = 256  # sets of a block
+WIDE = 4 * BLOCK  # sets on a side of a unit where the rest of a long list meets all of it
 TOLERANCE = 1e-9  # chance to drop a pair at the threshold by its sketch
 
 
@@ -90,35 +91,42 @@ def union_overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return int((rank <= k).sum()), k
 
 
-def open_pairs(sketches: list[np.ndarray], size: np.ndarray, percent: int, least: np.ndarray, sides: np.ndarray | None) -> np.ndarray:
-    """Which pairs overlap enough: the shared values of a union's sketch are no more than those of both sketches."""
+def open_pairs(sketches: list[np.ndarray], size: np.ndarray, percent: int, least: np.ndarray, sides: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, which pairs of them overlap enough): the shared values of a union's sketch are no more than those of both sketches.
+
+    Rows and columns are all sets, each pair once, or with ``sides`` those of one side and of the other."""
     n = len(sketches)
+    here = np.arange(n)
+    rows, columns = (here, here) if sides is None else (np.flatnonzero(sides == sides.min()), np.flatnonzero(sides != sides.min()))
     kept = np.minimum(size, KEPT)
-    ok = 100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)
-    ok &= np.triu(np.ones((n, n), bool), 1)
-    if sides is not None:
-        ok &= sides[:, None] != sides
+    ok = 100 * np.minimum(size[rows][:, None], size[columns]) >= percent * np.maximum(size[rows][:, None], size[columns])
+    if sides is None:
+        ok &= np.triu(np.ones((n, n), bool), 1)
     if not ok.any():
-        return ok
-    values, at = np.unique(np.concatenate(sketches), return_inverse=True)
-    owner = np.repeat(np.arange(n), [len(s) for s in sketches])
-    shared = np.bincount(at) > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[at]
-    has = np.zeros((n, int(shared.sum())), np.float32)
-    has[owner[keep], column[at[keep]]] = 1
-    overlap = has @ has.T
-    union = np.minimum(kept[:, None] + kept - overlap, KEPT).astype(np.int64)
-    return ok & (overlap >= np.maximum(least[union], 1))
+        return rows, columns, ok
+    if sides is None:
+        values, at = np.unique(np.concatenate(sketches), return_inverse=True)
+        owner = np.repeat(here, [len(s) for s in sketches])
+        shared = np.bincount(at) > 1
+        column = np.cumsum(shared) - 1
+        keep = shared[at]
+        has = np.zeros((n, int(shared.sum())), np.float32)
+        has[owner[keep], column[at[keep]]] = 1
+        overlap = has @ has.T
+    else:
+        overlap = intersections([sketches[k] for k in rows], [sketches[k] for k in columns])
+    union = np.minimum(kept[rows][:, None] + kept[columns] - overlap, KEPT).astype(np.int64)
+    return rows, columns, ok & (overlap >= np.maximum(least[union], 1))
 
 
 def estimated(sketches: list[np.ndarray], size: np.ndarray, roots: np.ndarray, percent: int, sides: np.ndarray | None) -> list[list[int]]:
     """Groups of two sets or more that pairs connect whose similarity can reach ``percent`` by the sketch of their union."""
     least = fewest(percent)
-    open_ = open_pairs(sketches, size, percent, least, sides)
+    rows, columns, open_ = open_pairs(sketches, size, percent, least, sides)
     known, forest = Unions(roots), Unions(np.arange(len(size)))
-    for i in np.flatnonzero(open_.any(1)).tolist():
-        for j in np.flatnonzero(open_[i]).tolist():
+    for row in np.flatnonzero(open_.any(1)).tolist():
+        i = int(rows[row])
+        for j in columns[open_[row]].tolist():
             if known.root(i) != known.root(j) and forest.root(i) != forest.root(j):
                 both, k = union_overlap(sketches[i], sketches[j])
                 if both >= least[k]:
@@ -150,7 +158,7 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def verified(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links of the pairs at ``percent`` between components, as a forest of what they connect."""
     size = np.array([len(s) for s in sets])
-    open_ = open_pairs([s[:KEPT] for s in sets], size, percent, fewest(percent), None) & (roots[:, None] != roots)
+    open_ = open_pairs([s[:KEPT] for s in sets], size, percent, fewest(percent), None)[2] & (roots[:, None] != roots)
     i, j = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
     forest, found = Unions(roots), []
     if not len(i):
@@ -327,9 +335,11 @@ def sketch_dedup(docs: DataFrame, percent: int = 85, n: int = 3, row: str | None
         most = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), (F.sum("count") - F.max("count")).alias("others"))
         # a list's sets are dealt over parts of this join by their block, as one list may hold a large share of all sets
         mains = long_lists.select("key", "block").distinct().join(most.where("others > 0"), "key")
-        left = staged(rooted.join(mains, ["key", "block"]), "rest")
-        groups = F.ceil(F.col("others") / BLOCK)
-        every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        # all of the rest meets all of the list, in units that are wider than a block on both sides: a set is copied once a WIDE sets
+        wide = F.ceil(F.col("blocks") * BLOCK / WIDE)
+        left = staged(rooted.join(mains, ["key", "block"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), wide)), "rest")
+        groups = F.ceil(F.col("others") / WIDE)
+        every = F.sequence(F.lit(0).cast("long"), wide - 1)
         rest = left.where("root <> main").withColumn("group", F.pmod(F.xxhash64("node", F.lit(2)), groups)).select("node", "root", "key", "group", F.explode(every).alias("block"), F.lit(0).alias("side"))
         whole = left.select("node", "root", "key", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)).alias("group"), "block", F.lit(1).alias("side"))
         across = rest.unionByName(whole).select("node", "root", F.xxhash64("key", "group", "block").alias("unit"), "side")

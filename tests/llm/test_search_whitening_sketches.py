@@ -239,3 +239,33 @@ def test_thinned_keeps_what_is_asked_for(spark):
     got = {r.node for r in sketch_dedup.thinned(rows, asked).collect()}
     assert {r.node for r in asked.collect()} <= got and len(got) < 110
     assert sketch_dedup.thinned(rows, asked.limit(0)).count() == 0
+
+
+def test_second_look_copies_sets_once_a_wide_unit(spark, monkeypatch):
+    """Texts that share a passage and are not connected meet in wide units, and no link between them is lost."""
+    r = random.Random(5)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    passage = " ".join(r.choice(vocabulary) for _ in range(60))
+    rows = [passage + " " + " ".join(r.choice(vocabulary) for _ in range(r.randint(20, 30))) for _ in range(96)]
+    rows += [t + " and more" for t in rows[:6]]
+    monkeypatch.setattr(sketch_dedup, "COMMON", 12)
+    monkeypatch.setattr(sketch_dedup, "BLOCK", 8)
+    monkeypatch.setattr(sketch_dedup, "WIDE", 64)
+    made, in_units = [], sketch_dedup.in_units
+    monkeypatch.setattr(sketch_dedup, "in_units", lambda places, *a: made.append(places.count()) or in_units(places, *a))
+    docs = list(enumerate(rows))
+    got = sketch_dedup.sketch_dedup(spark.createDataFrame(docs, "doc_id long, text string")).drop("row_number").collect()
+    assert sorted((tuple(g) for g in got), key=repr) == classes(docs)
+    # a set is on 12 lists at most, each under two grades of size, and in two groups or two blocks there
+    assert len(made) == 2 and made[1] <= len(rows) * 12 * 2 * (2 + 2)
+
+
+def test_pairs_of_two_sides():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**32, 200, np.uint32)
+    sketches = [np.unique(np.where(r.random(200) < 0.1, r.integers(0, 2**32, 200, np.uint32), base))[: sketch_dedup.KEPT] for _ in range(40)]
+    size, sides, least = np.full(40, 200), r.integers(0, 2, 40), sketch_dedup.fewest(85)
+    _, _, whole = sketch_dedup.open_pairs(sketches, size, 85, least, None)
+    rows, columns, open_ = sketch_dedup.open_pairs(sketches, size, 85, least, sides)
+    assert open_.shape == ((sides == 0).sum(), (sides == 1).sum()) and open_.any()
+    assert np.array_equal(open_, (whole | whole.T)[np.ix_(rows, columns)])
