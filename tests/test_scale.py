@@ -25,6 +25,22 @@ def test_neighbourhoods_are_not_broadcast(spark):
     assert "SortMergeJoin [left" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_known_words_are_not_broadcast(spark, monkeypatch):
+    """They grow with the corpus; lists that are handed in may be broadcast by their size."""
+    plans, staged = {}, english.staged
+
+    def watched(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, label)
+
+    monkeypatch.setattr(english, "staged", watched)
+    frame = lambda words, name: spark.createDataFrame([(w,) for w in words], f"{name} string")
+    fixes = english.corrections(spark, [("adn", "and", 1)])
+    got = english.unknown(frame(["card", "carx", "qqvvx", "adn"], "key"), frame(["card"], "word"), fixes, frame(["QQVVX"], "word")).collect()
+    assert [(r.key, r.kind, r.suggestions) for r in got] == [("carx", "unknown-word", ["card"])]
+    assert "BroadcastHashJoin" not in plans["unknown-words"]
+
+
 def test_filter_of_keys_loses_none(spark):
     frame = lambda n: spark.range(n).select(F.concat(F.lit("w"), "id").alias("key"))
     for keys, most in ((0, 1 << 26), (1, 1 << 26), (20_000, 1 << 26), (20_000, 1 << 16)):
