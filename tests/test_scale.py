@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
-from glyphmill.operators import english, japanese, suggest
+from glyphmill.operators import check, english, japanese, suggest, tokens
 from glyphmill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,27 @@ def test_documents_are_cut_into_words_once_for_suggestions(spark):
     """Known and unknown words come from one table of counted words."""
     files = catalogue.QUERIES["suggest_topk"](spark, SF).inputFiles()
     assert files and all("/counted-words-" in f for f in files)
+
+
+def test_driver_plans_each_pass_of_a_check_alone(spark):
+    """In dictionary mode what is done with findings reads them; the lines are not planned, nor checked, once more for it."""
+    found = catalogue.all_findings(spark, SF)[1]
+    files = found.inputFiles()
+    assert files and all("/findings-" in f for f in files)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plans_repeat_texts_and_directives_seldom(spark):
+    """Where the filter on skipped lines asked whether their list is null, it brought 16 more copies of the text and all that is done to it."""
+    rows = check.checked_lines(catalogue.check_docs(spark, SF, catalogue.CHECKED), catalogue.CONFIG)
+    plan = tokens.words(rows.where("mode <> 'off' and not skip"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
+
+
+def test_tails_are_looked_up(spark, tmp_path):
+    """Rows without a number, or with one below 0, get none."""
+    some = [(None, "a"), (-1, "b"), (0, "c"), (4, "d"), (7, None)]
+    spark.createDataFrame(some, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalogue.appended(spark, str(tmp_path), ["0", "1", "2"])
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(None, "a"), (-1, "b"), (0, "c0"), (4, "d1"), (7, None)}
+    assert "CASE WHEN" not in out._jdf.queryExecution().optimizedPlan().toString()
