@@ -82,13 +82,24 @@ class Unions:
         self.up[max(x, y)] = min(x, y)
 
 
+def union_overlaps(a: np.ndarray, others: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shared values, values) of the bottom-k sketch of the union of ``a`` with each of ``others``, all in order of their hashes.
+
+    A row of ``others`` begins with the ``kept`` values of a sketch, -1 follows."""
+    same = others[:, :, None] == a
+    in_a, in_b = same.any(1), same.any(2)
+    k = np.minimum(KEPT, len(a) + kept - in_a.sum(1))
+    # shared values are in the same order in both, so the n-th of one is the n-th of the other
+    most = min(same.shape[1:])
+    i, j = (np.sort(np.where(x, np.arange(x.shape[1]), 4 * KEPT), 1)[:, :most] for x in (in_a, in_b))
+    rank = i + j - np.arange(most) + 1  # of each shared value in the union
+    return (rank <= k[:, None]).sum(1), k
+
+
 def union_overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(shared values, values) of the bottom-k sketch of the union, from the sketches of both in order of their hashes."""
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    i, j = np.sort(i), np.sort(j)  # shared values are in the same order in both
-    k = min(KEPT, len(a) + len(b) - len(i))
-    rank = i + j - np.arange(len(i)) + 1  # of each shared value in the union
-    return int((rank <= k).sum()), k
+    """``union_overlaps`` of one pair."""
+    both, k = union_overlaps(a, b[None, :], np.array([len(b)]))
+    return int(both[0]), int(k[0])
 
 
 def open_pairs(sketches: list[np.ndarray], size: np.ndarray, percent: int, least: np.ndarray, sides: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,17 +115,7 @@ def open_pairs(sketches: list[np.ndarray], size: np.ndarray, percent: int, least
         ok &= np.triu(np.ones((n, n), bool), 1)
     if not ok.any():
         return rows, columns, ok
-    if sides is None:
-        values, at = np.unique(np.concatenate(sketches), return_inverse=True)
-        owner = np.repeat(here, [len(s) for s in sketches])
-        shared = np.bincount(at) > 1
-        column = np.cumsum(shared) - 1
-        keep = shared[at]
-        has = np.zeros((n, int(shared.sum())), np.float32)
-        has[owner[keep], column[at[keep]]] = 1
-        overlap = has @ has.T
-    else:
-        overlap = intersections([sketches[k] for k in rows], [sketches[k] for k in columns])
+    overlap = intersections([sketches[k] for k in rows], [sketches[k] for k in columns])
     union = np.minimum(kept[rows][:, None] + kept[columns] - overlap, KEPT).astype(np.int64)
     return rows, columns, ok & (overlap >= np.maximum(least[union], 1))
 
@@ -123,36 +124,64 @@ def estimated(sketches: list[np.ndarray], size: np.ndarray, roots: np.ndarray, p
     """Groups of two sets or more that pairs connect whose similarity can reach ``percent`` by the sketch of their union."""
     least = fewest(percent)
     rows, columns, open_ = open_pairs(sketches, size, percent, least, sides)
-    known, forest = Unions(roots), Unions(np.arange(len(size)))
+    open_ &= roots[rows][:, None] != roots[columns]
+    kept = np.minimum(size, KEPT)
+    padded = np.full((len(size), KEPT), -1, np.int64)
+    padded[np.arange(KEPT) < kept[:, None]] = np.concatenate(sketches)
+    label = np.arange(len(size))  # the smallest set that each is connected with
     for row in np.flatnonzero(open_.any(1)).tolist():
         i = int(rows[row])
-        for j in columns[open_[row]].tolist():
-            if known.root(i) != known.root(j) and forest.root(i) != forest.root(j):
-                both, k = union_overlap(sketches[i], sketches[j])
-                if both >= least[k]:
-                    forest.join(i, j)
+        rest = columns[open_[row]]
+        rest, n = rest[label[rest] != label[i]], 4
+        while len(rest):
+            some, rest, n = rest[:n], rest[n:], min(2 * n, BLOCK)
+            both, k = union_overlaps(padded[i, : kept[i]], padded[some], kept[some])
+            joined = np.unique(label[np.append(some[both >= least[k]], i)])
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+                rest = rest[label[rest] != label[i]]
     groups: dict[int, list[int]] = {}
     for i in range(len(size)):
-        groups.setdefault(forest.root(i), []).append(i)
+        groups.setdefault(int(label[i]), []).append(i)
     return [g for g in groups.values() if len(g) > 1]
 
 
+FEW = 1024  # pairs of sets
+COLUMNS = 1024  # of a matrix of incidence
+
+
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """The sizes of the intersections of all sets of ``a`` with all of ``b``, by products of their incidence matrices."""
+    """The sizes of the intersections of all sets of ``a`` with all of ``b``.
+
+    Values that up to ``FEW`` pairs share are counted pair by pair, as most are; only the others get columns in products of incidence matrices."""
     values, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
     cut = sum(len(s) for s in a)
     rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
     places = [at[:cut], at[cut:]]
-    both = np.bincount(places[0], minlength=len(values)).astype(bool) & np.bincount(places[1], minlength=len(values)).astype(bool)
-    column, width = np.cumsum(both) - 1, int(both.sum())
-    out = np.zeros((len(a), len(b)), np.float64)
-    for c in range(0, width, 8192):
-        x, y = (np.zeros((len(s), 8192), np.float32) for s in (a, b))
+    n = [np.bincount(x, minlength=len(values)) for x in places]
+    pairs = n[0] * n[1]
+    out = np.zeros(len(a) * len(b), np.int64)
+    own = np.flatnonzero((pairs[places[0]] > 0) & (pairs[places[0]] <= FEW))
+    if len(own):
+        others = rows[1][np.argsort(places[1], kind="stable")]
+        start = np.cumsum(n[1]) - n[1]
+        ends = np.cumsum(n[1][places[0][own]])
+        cuts = np.searchsorted(ends, np.arange(1 << 20, ends[-1] + (1 << 20), 1 << 20))
+        for x in np.split(own, np.minimum(cuts, len(own))):
+            times = n[1][places[0][x]]
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            met = others[np.repeat(start[places[0][x]], times) + nth]
+            out += np.bincount(np.repeat(rows[0][x], times) * len(b) + met, minlength=len(out))
+    out = out.reshape(len(a), len(b))
+    many = pairs > FEW
+    column = np.cumsum(many) - 1
+    for c in range(0, int(many.sum()), COLUMNS):
+        x, y = (np.zeros((len(s), COLUMNS), np.float32) for s in (a, b))
         for m, row, place in ((x, rows[0], places[0]), (y, rows[1], places[1])):
-            keep = both[place] & (column[place] >= c) & (column[place] < c + 8192)
+            keep = many[place] & (column[place] >= c) & (column[place] < c + COLUMNS)
             m[row[keep], column[place[keep]] - c] = 1
-        out += x @ y.T
-    return out.astype(np.int64)
+        out += (x @ y.T).astype(np.int64)
+    return out
 
 
 def verified(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:

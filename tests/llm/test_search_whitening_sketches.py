@@ -269,3 +269,31 @@ def test_pairs_of_two_sides():
     rows, columns, open_ = sketch_dedup.open_pairs(sketches, size, 85, least, sides)
     assert open_.shape == ((sides == 0).sum(), (sides == 1).sum()) and open_.any()
     assert np.array_equal(open_, (whole | whole.T)[np.ix_(rows, columns)])
+
+
+def test_intersections_of_values_that_few_or_many_pairs_share():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**62, 80)
+    some = lambda n: [np.unique(np.concatenate((r.choice(base, int(r.integers(0, 70)), replace=False), r.integers(0, 500, 20)))) for _ in range(n)]
+    a, b = some(70), [*some(45), np.zeros(0, np.int64)]
+    assert sketch_dedup.intersections(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert not sketch_dedup.intersections(a[:1], b[-1:]).any()
+
+
+def test_pairs_of_a_set_are_estimated_in_batches(monkeypatch):
+    """Sets that overlap a lot and are no duplicates: their pairs were estimated one by one, each time with a search of its own."""
+    r = np.random.default_rng(8)
+    base = r.integers(0, 2**32, 30)
+    sketches = [np.concatenate((base, r.integers(0, 2**32, 18))) for _ in range(64)] + [base[:20]]
+    sketches[40] = np.append(sketches[7][:-1], 5)
+    size = np.array([len(s) for s in sketches])
+    asked, several = [], sketch_dedup.union_overlaps
+    monkeypatch.setattr(sketch_dedup, "union_overlaps", lambda a, others, kept: asked.append(len(others)) or several(a, others, kept))
+    monkeypatch.setattr(sketch_dedup, "fewest", lambda percent: np.where(np.arange(sketch_dedup.KEPT + 1) < 48, 0, 46))
+    monkeypatch.setattr(sketch_dedup, "open_pairs", lambda s, *_: (np.arange(len(s)), np.arange(len(s)), np.triu(np.ones((len(s), len(s)), bool), 1)))
+    size[-1] = 20
+    assert [7, 40] in sketch_dedup.estimated(sketches[:-1], size[:-1], np.arange(64), 85, None)
+    assert sum(asked) > 1500 and len(asked) < sum(asked) / 5
+    # known components are not asked for again
+    asked.clear()
+    assert sketch_dedup.estimated(sketches[:-1], size[:-1], np.zeros(64, int), 85, None) == [] and not asked
