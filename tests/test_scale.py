@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
-from glyphmill.operators import check, english, japanese, suggest, tokens
+from glyphmill.operators import check, english, findings, japanese, suggest, tokens
 from glyphmill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +96,13 @@ def test_tails_are_looked_up(spark, tmp_path):
     out = catalogue.appended(spark, str(tmp_path), ["0", "1", "2"])
     assert {(r.doc_id, r.text) for r in out.collect()} == {(None, "a"), (-1, "b"), (0, "c0"), (4, "d1"), (7, None)}
     assert "CASE WHEN" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_joins_of_findings_are_not_broadcast(spark):
+    """By the size of its compressed file the planner took a table of findings for small."""
+    found = spark.createDataFrame([(1, 1, 0, 0, 3, "adn", "typo", ["and"], 0)], "doc_id long, line int, col long, offset long, len long, word string, kind string, suggestions array<string>, phase int")
+    docs = spark.createDataFrame([(1, "adn b")], "doc_id long, text string")
+    known = spark.createDataFrame([("f", 1)], "fingerprint string, count long")
+    outs = [findings.with_line_text(found, docs), findings.apply_fixes(docs, found), findings.remaining(found), findings.prune(known, known)]
+    assert [len(out.collect()) for out in outs] == [1, 1, 0, 1]
+    assert not any("BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString() for out in outs)
