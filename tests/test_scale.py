@@ -82,6 +82,27 @@ def test_driver_plans_each_pass_of_a_check_alone(spark):
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lines_are_made_once_and_cut_in_jobs_without_other_steps(spark, monkeypatch):
+    """The driver plans a job anew whenever a step of it ends, and the plans that make lines and cut them into words are its largest."""
+    jobs, staged = [], english.staged
+
+    def watched(df, label):
+        jobs.append((label, set(df.inputFiles()), df._jdf.queryExecution().optimizedPlan().toString()))
+        return staged(df, label)
+
+    monkeypatch.setattr(english, "staged", watched)
+    monkeypatch.setattr(check, "staged", watched)
+    catalogue.all_findings(spark, SF)
+    of = {label: (files, plan) for label, files, plan in jobs if label != "findings"}
+    words, marks = [(files, plan) for label, files, plan in jobs if label == "findings"]
+    assert any("documents" in f for f in of["checked-lines"][0])
+    for files, plan in (of["asked-words"], of["occurrences"], marks):
+        assert "Generate" in plan and any("/checked-lines-" in f for f in files) and not any("documents" in f for f in files)
+    assert "Join" not in of["asked-words"][1]
+    assert of["occurrences"][1].count("Join ") == 1 and "Aggregate" not in of["occurrences"][1]
+    assert "Generate" not in words[1] and "Generate" not in of["unknown-words"][1]
+
+
 def test_plans_repeat_texts_and_directives_seldom(spark):
     """Where the filter on skipped lines asked whether their list is null, it brought 16 more copies of the text and all that is done to it."""
     rows = check.checked_lines(catalogue.check_docs(spark, SF, catalogue.CHECKED), catalogue.CONFIG)
