@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
-from glyphmill.operators import check, english, findings, japanese, suggest, tokens
+from glyphmill.operators import check, english, findings, japanese, lines, suggest, tokens
 from glyphmill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -127,3 +127,36 @@ def test_joins_of_findings_are_not_broadcast(spark):
     outs = [findings.with_line_text(found, docs), findings.apply_fixes(docs, found), findings.remaining(found), findings.prune(known, known)]
     assert [len(out.collect()) for out in outs] == [1, 1, 0, 1]
     assert not any("BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString() for out in outs)
+
+
+def test_words_of_a_document_are_cut_from_its_distinct_tokens(spark):
+    """They are those of its lines, one row each, also where an id occurs twice or is null."""
+    texts = ["don't XMLParserState read_csv_row PDFs URLs maker's 'cited' \\rhello it's0 a'' 9f86d081884c7d659a2feaa0c55ad015 x@y.z ftp://a/b out-of-date md5digest end. End: -the- //no/ up/down @at", "\u00c9t\u00e9 na\u00efve (A.B.C.) ABCs ABCDs fooBAR''s b''S '' ab. \\", None, "", "\u65e5\u672cabc\u8a9edef\r\nghi" + "q" * 5000 + " " + "aB" * 3000]
+    cut = lambda d: tokens.words(lines.lines(d)).select("doc_id", F.lower("word").alias("word")).distinct()
+    key = lambda rows: sorted(rows, key=str)
+    for more in ([], [(0, "more don't words"), (None, "null id")]):
+        d = spark.createDataFrame([*enumerate(texts), *more], "doc_id long, text string")
+        got = tokens.document_words(d)
+        assert key(got.collect()) == key(cut(d).collect())
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Aggregate" in plan) == bool(more)
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    assert tokens.document_words(real).exceptAll(cut(real)).isEmpty() and cut(real).exceptAll(tokens.document_words(real)).isEmpty()
+
+
+def test_tokens_without_verdicts_are_not_cut_in_lines(spark, monkeypatch):
+    """The scan of the lines asks the filter first; each distinct token is cut into words once, after it was dealt out."""
+    plans, staged = {}, english.staged
+
+    def watched(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, label)
+
+    monkeypatch.setattr(english, "staged", watched)
+    fixes, none = english.corrections(spark, [("adn", "and", 1)]), spark.createDataFrame([], "word string")
+    text = spark.createDataFrame([(1, "the Adn, card. carxCard\n'adn' 12adn ADN")], "doc_id long, text string")
+    got = english.english(lines.lines(text), fixes, none, known=spark.createDataFrame([("the",), ("card",)], "word string"))
+    assert sorted((r.offset, r.word, r.kind) for r in got.collect()) == [(4, "Adn", "typo"), (15, "carx", "unknown-word"), (25, "adn", "typo"), (32, "adn", "typo"), (36, "ADN", "typo")]
+    scan = plans["occurrences"].split("LeftSemi", 1)[1]
+    assert "RLIKE(token" not in scan and "regexp_extract_all(token" not in scan
+    assert "RLIKE(token" not in plans["asked-words"].split("Exchange", 1)[1]
