@@ -160,3 +160,13 @@ def test_tokens_without_verdicts_are_not_cut_in_lines(spark, monkeypatch):
     scan = plans["occurrences"].split("LeftSemi", 1)[1]
     assert "RLIKE(token" not in scan and "regexp_extract_all(token" not in scan
     assert "RLIKE(token" not in plans["asked-words"].split("Exchange", 1)[1]
+
+
+def test_directives_are_looked_for_once_in_lines_that_have_one(spark):
+    """The list of a text's directives was made four times, with all of its lines each time."""
+    texts = ["a\nx glyphmill:ignore-next-line\nglyphmill:ignore-next-line\nb\nglyphmill:ignore-line\r\nglyphmill:other glyphmill:ignore-line", "glyphmill:ignore-next-line\r\n" * 3, "none\nhere", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = d.select("doc_id", F.sort_array(lines.skipped_of(F.col("text"))).alias("s"))
+    want = {0: [2, 3, 5], 1: [1, 2, 3, 4], 2: [], 3: [], 4: []}
+    assert {r.doc_id: r.s for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
